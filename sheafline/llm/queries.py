@@ -5,18 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_dedup, suffix_dedup
+from . import mixing, quality_classifier, quality_rules, sharding, simhash_dedup, suffix_dedup
 from .common import table
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_dedup, op7_suffix_dedup)}
-ORACLES: dict[str, str] = {}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mixed(table(spark, sf_dir, "documents"), share=0.5, weights=mixing.WEIGHTS, max_epochs=2)
+    return taken.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), n_shards=8)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_quality_classifier,
+        op4_simhash_dedup,
+        op5_quality_rules,
+        op7_suffix_dedup,
+        op9_mixing,
+        op10_sharding,
+    )
+}
+ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
