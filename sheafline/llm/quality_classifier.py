@@ -137,18 +137,35 @@ def held_out(c: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row of docs, learnt from labels (doc_id, quality) not held out."""
-    stats = staged(with_statistics(docs, id_col, text_col), "quality-statistics").withColumn("held_out", held_out())
+class Model:
+    """Weights of the cosines and the calibration; its size does not depend on the data."""
+
+    def __init__(self, cosines: Cosines, weights: np.ndarray, centres: np.ndarray, levels: np.ndarray) -> None:
+        self.cosines, self.weights, self.centres, self.levels = cosines, weights, centres, levels
+
+    def __call__(self, x: list[list[float]] | np.ndarray) -> np.ndarray:
+        if not len(x):
+            return np.zeros(0)
+        return np.clip(np.interp(self.cosines(np.asarray(x)) @ self.weights, self.centres, self.levels), 0, 1)
+
+
+class Undecided:
+    """The model where no label is known."""
+
+    def __call__(self, x: list[list[float]] | np.ndarray) -> np.ndarray:
+        return np.full(len(x), 0.5)
+
+
+def fitted(stats: DataFrame, labels: DataFrame) -> Model | Undecided:
+    """The model of stats (doc_id, x) that labels (doc_id, quality) mark and that are not held out."""
     marked = labels.filter("quality in (0, 1)").select("doc_id", F.col("quality").cast("double").alias("y"))
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
-    known = staged(stats.filter(~F.col("held_out")).join(marked.hint("merge"), "doc_id").select("x", "y", half), "quality-known")
+    known = staged(stats.filter(~held_out()).join(marked.hint("merge"), "doc_id").select("x", "y", half), "quality-known")
     moments = known.agg(*[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(N_STATS) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if moments["m0"] is None:
-        return stats.select("doc_id", "held_out", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
+        return Undecided()
     cosines = Cosines([moments[f"m{i}"] for i in range(N_STATS)], [moments[f"s{i}"] or 1.0 for i in range(N_STATS)])
     sums = _normal_equations(known, cosines)
-    final = _solved(sums[0][0] + sums[1][0], sums[0][1] + sums[1][1])
     halves = [_solved(*sums[1]), _solved(*sums[0])]  # each half is scored by the other's model
 
     def cross(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,14 +175,35 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 s = np.where(own == 0, f @ halves[0], f @ halves[1])
                 yield pd.DataFrame({"at": np.round(np.clip(s, -1, 2) * 1000).astype(int), "y": p["y"]})
 
+    # at most 3001 rows
     bins = known.mapInPandas(cross, "at int, y double").groupBy("at").agg(F.avg("y").alias("m"), F.count("*").alias("w")).toPandas()
     bins = bins.sort_values("at")
     centres, levels = isotonic(bins["at"].to_numpy() / 1000, bins["m"].to_numpy(), bins["w"].to_numpy(dtype=float))
+    return Model(cosines, _solved(sums[0][0] + sums[1][0], sums[0][1] + sums[1][1]), centres, levels)
 
-    def apply(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in frames:
-            if len(p):
-                s = np.interp(cosines(np.stack(p["x"].to_numpy())) @ final, centres, levels)
-                yield pd.DataFrame({"doc_id": p["doc_id"], "held_out": p["held_out"], "score": np.clip(s, 0, 1), "predicted": (s >= THRESHOLD).astype("int32")})
 
-    return stats.select("doc_id", "held_out", "x").mapInPandas(apply, "doc_id long, held_out boolean, score double, predicted int")
+def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each row of docs."""
+    stats = staged(with_statistics(docs, id_col, text_col), "quality-statistics")
+    model = fitted(stats, labels)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = model(b.column("x").to_pylist())
+            cols = [b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted"])
+
+    return stats.withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not predicted to be of low quality. Rows are never moved: the last pass takes the statistics anew."""
+    model = fitted(staged(with_statistics(docs, id_col, text_col), "quality-statistics"), labels)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            yield b.filter(pa.array(model([statistics(None if t is None else t.encode()) for t in texts]) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_classifier, quality_rules, sharding, simhash_dedup, suffix_dedup
+from . import (
+    hash_forest,
+    mixing,
+    page_text,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_codec,
+    sharding,
+    simhash_dedup,
+    suffix_dedup,
+    token_counts,
+)
 from .common import table
 
 
+def op1_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -21,11 +40,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids, and whether they decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = sentencepiece_codec.encoded(docs, verify=True)
+    return ids.select("doc_id", "n_tokens", "n_fallback", F.xxhash64("ids").alias("ids_hash"), "round_trip")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"), rule="majority")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mixed(table(spark, sf_dir, "documents"), share=0.5, weights=mixing.WEIGHTS, max_epochs=2)
     return taken.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
@@ -38,10 +68,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_hash_forest,
+        op2_page_text,
         op3_quality_classifier,
         op4_simhash_dedup,
         op5_quality_rules,
+        op6_sentencepiece,
         op7_suffix_dedup,
+        op8_token_counts,
         op9_mixing,
         op10_sharding,
     )

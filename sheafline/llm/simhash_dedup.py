@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, staged
@@ -117,15 +117,40 @@ def links(distinct: DataFrame, bucket_rows: int = 512) -> DataFrame:
     return small.unionByName(_pairs(large, ["key", "m", "part"])).distinct()
 
 
+def _classes(found: DataFrame, least: Column, bucket_rows: int) -> DataFrame:
+    """(fingerprint, least over the fingerprint's component) of found (fingerprint, ...)."""
+    as_long = F.conv("fingerprint", 16, -10).cast("long")
+    groups = staged(found.groupBy("fingerprint").agg(F.min(least).alias("least")).withColumn("f", as_long), "simhash-groups")
+    roots = components(links(groups.select("f"), bucket_rows), "simhash-components")
+    joined = groups.join(roots.withColumnRenamed("node", "f").hint("merge"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+    lowest = joined.groupBy("root").agg(F.min("least").alias("lowest"))
+    return joined.select("fingerprint", "root").join(lowest.hint("merge"), "root").select("fingerprint", "lowest")
+
+
 def near_duplicates(
     docs: DataFrame, shingle_words: int = 3, bucket_rows: int = 512, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of docs."""
     found = staged(fingerprints(docs, shingle_words, id_col, text_col), "simhash-fingerprints")
-    as_long = F.conv("fingerprint", 16, -10).cast("long")
-    groups = staged(found.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("f", as_long), "simhash-groups")
-    roots = components(links(groups.select("f"), bucket_rows), "simhash-components")
-    joined = groups.join(roots.withColumnRenamed("node", "f").hint("merge"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.select("fingerprint", "root").join(least.hint("merge"), "root").select("fingerprint", "component_id")
-    return found.join(classes.hint("merge"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    classes = _classes(found, F.col("doc_id"), bucket_rows)
+    return found.join(classes.hint("merge"), "fingerprint").select("doc_id", "fingerprint", F.col("lowest").alias("component_id"))
+
+
+def representatives(
+    docs: DataFrame, shingle_words: int = 5, bucket_rows: int = 512, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of docs from each component: that of the smallest id (null ids last), of equal ids that of the lower text hash."""
+    keys = {"__k": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "__r": F.xxhash64(text_col)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [f"{fingerprint(t, shingle_words):016x}" for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], ["__k", "__r", "fingerprint"])
+
+    keyed = docs.withColumns(keys)
+    src = keyed.select("__k", "__r", F.col(text_col).cast("binary").alias("t"))
+    found = staged(src.mapInArrow(run, "__k long, __r long, fingerprint string"), "simhash-fingerprints")
+    winners = _classes(found, F.struct("__k", "__r"), bucket_rows).select("lowest.*").distinct()
+    first = keyed.hint("merge").join(winners, ["__k", "__r"], "left_semi")
+    one = F.row_number().over(Window.partitionBy("__k", "__r").orderBy(F.lit(0)))  # rows that agree on both are alike
+    return first.withColumn("__i", one).filter("__i = 1").select(*docs.columns)

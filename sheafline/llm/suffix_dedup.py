@@ -20,7 +20,6 @@ null doc_ids stay; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -287,7 +286,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_rows(batches: Iterable[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     """Adds what is left of column __t without the spans in column __s."""
     for b in batches:
         texts, spans = b.column("__t").to_pylist(), b.column("__s").to_pylist()
@@ -300,29 +299,29 @@ def _cut_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(t))
             removed.append(sum(e - a for a, e in cut))
             runs.append(len(cut))
-            kept.append(b"".join(t[a:z] for a, z in zip(ends, starts, strict=True)))
+            left = b"".join(t[a:z] for a, z in zip(ends, starts, strict=True))
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
         own = [i for i, k in enumerate(b.schema.names) if k not in ("__t", "__s")]
         yield pa.RecordBatch.from_arrays(
-            [*(b.column(i) for i in own), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
+            [*(b.column(i) for i in own), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())],
             [*(b.schema.names[i] for i in own), "__n", "__removed", "__runs", "__kept"],
         )
 
 
-def without_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns `keep` of each row with n_bytes, n_removed, n_spans and kept (the bytes left, as they stood)."""
+def without_repeats(docs: DataFrame, keep: list[str], as_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns `keep` of each row with n_bytes, n_removed, n_spans and kept (the bytes left, as they stood).
+
+    With as_text kept is a string: bytes of a code point that was cut through are left out.
+    """
     spans = repeated_spans(docs, id_col, text_col).groupBy(F.col("doc_key").alias("__k"), F.col("r").alias("__r")).agg(
         F.collect_set(F.struct("start", "end")).alias("__s")
     )
     keyed = _keyed(docs, id_col, text_col).select("__k", "__r", "__t", *[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)])
     joined = keyed.hint("merge").join(spans, ["__k", "__r"], "left").drop("__k", "__r")
     types = dict(docs.dtypes)
-    schema = ", ".join([*(f"__c{i} {types[c]}" for i, c in enumerate(keep)), "__n long, __removed long, __runs long, __kept binary"])
-    cut = joined.select(*[f"__c{i}" for i in range(len(keep))], "__t", "__s").mapInArrow(_cut_rows, schema)
+    schema = ", ".join([*(f"__c{i} {types[c]}" for i, c in enumerate(keep)), f"__n long, __removed long, __runs long, __kept {'string' if as_text else 'binary'}"])
+    cut = joined.select(*[f"__c{i}" for i in range(len(keep))], "__t", "__s").mapInArrow(lambda batches: _cut_rows(batches, as_text), schema)
     return cut.select(
         *[F.col(f"__c{i}").alias(c) for i, c in enumerate(keep)],
         F.col("__n").alias("n_bytes"), F.col("__removed").alias("n_removed"), F.col("__runs").alias("n_spans"), F.col("__kept").alias("kept"),
     )
-
-
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
