@@ -8,8 +8,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from . import relations
-from .operators import itemising, reviewing, tagging  # noqa: F401
+from .operators import answers, folds, itemising, noise, reviewing, tagging  # noqa: F401
 from .plans import fixtures  # noqa: F401
+from .sources import json, tables  # noqa: F401
+from .streaming import jobs
 
 FLAGSHIP = "d_segments"
 
@@ -20,5 +22,5 @@ def _query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Operators have names such as b_tag_markers; other relations are inputs.
 NAMES = [n for n in relations.RELATIONS if n[1] == "_"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: partial(_query, n) for n in NAMES}
-ORACLES: dict[str, str] = {n: sql for n in NAMES if (sql := relations.oracle(n))}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: partial(_query, n) for n in NAMES} | jobs.QUERIES
+ORACLES: dict[str, str] = {n: sql for n in NAMES if (sql := relations.oracle(n))} | jobs.ORACLES

@@ -48,10 +48,12 @@ relation("d_uncovered_head", "Topmost segments with uncovered text close above t
     _TAIL.format(place="(l.y0 + l.y1) / 2 < r.y0 AND (l.y0 + l.y1) / 2 >= 4 AND r.top = 0", keep="r.y0 - max(l.y1) <= 14 AND sum(l.y1 - l.y0) >= 2"))
 
 relation("d_orphan_pages", "Pages with six per cent of text or more far from every segment.", """
-SELECT l.doc_id, l.page, sum(l.y1 - l.y0) AS band FROM {cover} l
-WHERE NOT l.covered AND NOT EXISTS (SELECT 1 FROM {segments} s WHERE s.doc_id = l.doc_id AND s.page = l.page AND l.y0 <= s.y1 + 14 AND l.y1 >= s.y0 - 14)
+SELECT l.doc_id, l.page, sum(l.y1 - l.y0) AS band FROM {lines_pct} l
+WHERE NOT EXISTS (SELECT 1 FROM {few_segments} s WHERE s.doc_id = l.doc_id AND s.page = l.page AND l.y0 <= s.y1 + 14 AND l.y1 >= s.y0 - 14)
 GROUP BY l.doc_id, l.page HAVING sum(l.y1 - l.y0) >= 6""")
 
+relation("few_segments", "Segments of every fortieth item.", "SELECT * FROM {segments} WHERE item % 40 = 0")
+
 relation("e_duplicates", "Items whose number and side an earlier item has.", """
 SELECT doc_id, item, q_num, is_solution FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, is_solution, q_num ORDER BY item) AS rn FROM {items}) x WHERE rn > 1""")
@@ -68,11 +70,13 @@ SELECT i.doc_id, i.item, reason IS NOT NULL AS flagged, reason FROM (
 
 relation("g_number_gaps", "Numbers missing between a side's lowest and highest.", """
 SELECT r.doc_id, r.is_solution, CAST(r.n AS BIGINT) AS num FROM (
-  SELECT doc_id, is_solution, EXPLODE(SEQ(lo, hi)) AS n FROM (SELECT doc_id, is_solution, min(CAST(q_num AS INT)) AS lo, max(CAST(q_num AS INT)) AS hi FROM {items} GROUP BY doc_id, is_solution) x) r
-WHERE NOT EXISTS (SELECT 1 FROM {items} i WHERE i.doc_id = r.doc_id AND i.is_solution = r.is_solution AND CAST(i.q_num AS INT) = r.n)""")
+  SELECT doc_id, is_solution, EXPLODE(SEQ(lo, hi)) AS n FROM (SELECT doc_id, is_solution, min(CAST(q_num AS INT)) AS lo, max(CAST(q_num AS INT)) AS hi FROM {sparse_items} GROUP BY doc_id, is_solution) x) r
+WHERE NOT EXISTS (SELECT 1 FROM {sparse_items} i WHERE i.doc_id = r.doc_id AND i.is_solution = r.is_solution AND CAST(i.q_num AS INT) = r.n)""")
+
+relation("sparse_items", "Every seventh item.", "SELECT * FROM {items} WHERE item % 7 = 3")
 
 relation("d_expected_numbers", "The run of numbers that a key implies.", """
-SELECT doc_id, CAST(EXPLODE(SEQ(lo, hi)) AS BIGINT) AS num FROM (SELECT doc_id, min(num) AS lo, max(num) AS hi FROM {key_pairs} GROUP BY doc_id) x""")
+SELECT doc_id, CAST(n AS BIGINT) AS num FROM (SELECT doc_id, EXPLODE(SEQ(lo, hi)) AS n FROM (SELECT doc_id, min(num) AS lo, max(num) AS hi FROM {key_pairs} GROUP BY doc_id) x) y""")
 
 relation("c_key_minus_found", "Expected numbers that no question has.", """
 SELECT e.doc_id, e.num FROM {d_expected_numbers} e WHERE NOT EXISTS (SELECT 1 FROM {items} i WHERE i.doc_id = e.doc_id AND NOT i.is_solution AND CAST(i.q_num AS BIGINT) = e.num)""")

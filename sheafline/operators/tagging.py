@@ -1,7 +1,8 @@
 """Projections and filters over lines: markers, headers, folios, branding, options, keys, scripts."""
 
 from ..functions import fixed as fx
-from ..relations import relation
+from ..functions import markers
+from ..relations import built, relation
 
 relation("b_tag_markers", "Item markers: strong (a Q word and number) or weak (a leading number), with the number.", rf"""
 SELECT doc_id, page, seq, y_top, y_bottom, x_left, x_right, CAST(CAST(n AS INT) AS STRING) AS q_num, is_strong
@@ -114,3 +115,8 @@ relation("b_gate_figures", "Figures that are neither too small, nor the whole pa
 SELECT doc_id, page, fig_id, x0, x1, y0, y1 FROM {figures}
 WHERE (x1 - x0) * (y1 - y0) >= 0.01 * 640 * 800 AND (x1 - x0) >= 0.05 * 640 AND (y1 - y0) >= 0.02 * 800
   AND NOT ((x1 - x0) >= 0.9 * 640 AND (y1 - y0) >= 0.9 * 800) AND y1 > 0.06 * 800 AND y0 < 0.94 * 800""")
+
+built("j_custom_marker", "Markers by a user's pattern (here an option letter), by the default rules where it does not match.", ["page_lines"],
+    lambda lines: markers.tag_markers(lines.select("doc_id", "page", "seq", "text"), pattern=r"\(([AB])\)").drop("text"),
+    other=r"""SELECT doc_id, page, seq, regexp_extract(trim(text), r'^\(([AB])\)', 1) AS q_num, true AS is_strong FROM {page_lines} WHERE LIKE_RE(trim(text), r'(?i)^\(([AB])\)')
+UNION ALL SELECT m.doc_id, m.page, m.seq, m.q_num, m.is_strong FROM {b_tag_markers} m JOIN {page_lines} l ON l.doc_id = m.doc_id AND l.page = m.page AND l.seq = m.seq WHERE NOT LIKE_RE(trim(l.text), r'(?i)^\(([AB])\)')""")

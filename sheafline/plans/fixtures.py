@@ -70,7 +70,7 @@ SELECT doc_id, CAST(floor((box_id+1)/2.0) AS BIGINT) AS item, CAST((box_id+1)%2
 
 relation("items", "One row per item.", """
 SELECT doc_id, item, min(q_num) AS q_num, bool_or(is_solution) AS is_solution, min(page) AS page,
-  CASE WHEN item%5=0 THEN 'ABC' WHEN item%5=1 THEN 'AB' WHEN item%5=2 THEN '' ELSE 'ABCD' END AS option_labels, count(*) AS n_segments
+  CASE WHEN item%5=0 THEN 'BCD' WHEN item%5=1 THEN 'CD' WHEN item%5=2 THEN '' ELSE 'ABCD' END AS option_labels, count(*) AS n_segments
 FROM {segments} GROUP BY doc_id, item""")
 
 relation("files", "File names with sizes, in batches.", """
@@ -88,8 +88,8 @@ SELECT CAST(floor(l_orderkey/400.0) AS BIGINT) AS doc_id, CAST(l_linenumber%3 AS
   row_number() OVER (PARTITION BY CAST(floor(l_orderkey/400.0) AS BIGINT) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS stroke_id,
   CAST(32 + (l_partkey%4)*64 AS DOUBLE) AS x0,
   CAST(32 + (l_partkey%4)*64 + CASE WHEN l_suppkey%4=0 THEN 1 WHEN l_suppkey%4=1 THEN 30 ELSE 256 END AS DOUBLE) AS x1,
-  CAST(64 + (l_partkey%20)*32 AS DOUBLE) AS y0,
-  CAST(64 + (l_partkey%20)*32 + CASE WHEN l_suppkey%4=0 THEN 96 ELSE 1 END AS DOUBLE) AS y1
+  CAST(64 + (l_orderkey%20)*32 AS DOUBLE) AS y0,
+  CAST(64 + (l_orderkey%20)*32 + CASE WHEN l_suppkey%4=0 THEN 96 ELSE 1 END AS DOUBLE) AS y1
 FROM {lineitem}""")
 
 relation("links", "Hyperlinks on some pages.", """
