@@ -13,6 +13,7 @@ from .plans import fixtures  # noqa: F401
 from .sources import json, tables  # noqa: F401
 from .streaming import jobs
 
+apply = relations.apply
 FLAGSHIP = "d_segments"
 
 

@@ -1,0 +1,176 @@
+"""Single rules on literal inputs, as the survey lists them."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from sheafline.functions.markers import marker, tag_markers
+from sheafline.operators import folds
+from sheafline.catalog import apply
+from sheafline.streaming import jobs
+from tests.support import rows
+
+LINE = "doc_id long, page int, seq long, y_top double, y_bottom double, x_left double, x_right double, text string"
+
+
+def lines(spark, *texts, page=1):
+    return spark.createDataFrame([(1, page, i, 100.0 + 100 * i, 112.0 + 100 * i, 48.0, 300.0, t) for i, t in enumerate(texts)], LINE)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Q1. Find x", ("1", True)),
+        ("Question No 07 what", ("7", True)),
+        ("q2 = -16C", None),
+        ("Q1 = 5C", None),
+        ("1. text", ("1", False)),
+        ("12)", None),
+        ("12) then", ("12", False)),
+        ("3.(a)", ("3", False)),
+        ("2.5 metres", None),
+        ("2024 was", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_marker(spark, text, want):
+    df = spark.createDataFrame([(text,)], "text string").select(marker(F.col("text")).alias("m"))
+    m = df.first()["m"]
+    assert (m and tuple(m)) == want
+    if text:
+        got = apply("b_tag_markers", page_lines=lines(spark, text)).select("q_num", "is_strong").collect()
+        assert [tuple(r) for r in got] == ([want] if want else [])
+
+
+def test_marker_styles_and_patterns(spark):
+    df = lines(spark, "Q4. a", "5. b", "Item 06 c")
+    nums = lambda **k: sorted(r["q_num"] for r in tag_markers(df, **k).collect())
+    assert nums() == ["4", "5"]
+    assert nums(style="q") == ["4"]
+    assert nums(style="numbered") == ["5"]
+    assert nums(pattern=r"item (\d+)") == ["4", "5", "6"]
+    assert nums(pattern="(") == ["4", "5"]  # a bad pattern is ignored
+
+
+def test_ocr_numbers(spark):
+    got = apply("b_ocr_number_repair", page_lines=lines(spark, "2O. x", "Z0) y", "This is", "l2-", "1234. z"))
+    assert [r["num"] for r in got.orderBy("seq").collect()] == [20, 20, None, 12, None]
+
+
+@pytest.mark.parametrize(
+    ("spec", "want"),
+    [
+        ("1-5", [1, 2, 3, 4, 5]), ("1 to 3", [1, 2, 3]), ("8", [8]), ("5-3, 8", [3, 4, 5, 8]), ("9-40", [9, 10]), ("", []),
+        ("2,x", None),
+    ],
+)
+def test_page_ranges(spark, spec, want):
+    got = apply("b_parse_page_ranges", page_specs=spark.createDataFrame([(1, spec, 10)], "spec_id long, spec string, max_page int")).collect()
+    if want is None:
+        assert [r["error"] for r in got] == ["Invalid page range: x"]
+    else:
+        assert sorted(r["page"] for r in got) == want
+
+
+def test_answer_key(spark):
+    key = lambda t: sorted((r["num"], r["letter"]) for r in apply("d_answer_key", key_lines=spark.createDataFrame([(1, 0, t)], "doc_id long, seq long, text string")).collect())
+    assert key("1. (b) 2. (a) 3. (c) 4. (d)") == [(1, "B"), (2, "A"), (3, "C"), (4, "D")]
+    assert len(key("1-B 2-A 3-D 4-C 5-A 6-B")) == 6
+    assert key("It took 3 a day, then 40 b or 99 c.") == []
+
+
+def test_expected_numbers(spark):
+    pairs = spark.createDataFrame([(1, n, "A") for n in (1, 2, 3, 5, 6, 7)], "doc_id long, num int, letter string")
+    assert sorted(r["num"] for r in apply("d_expected_numbers", key_pairs=pairs).collect()) == list(range(1, 8))
+
+
+@pytest.mark.parametrize(("nums", "kept"), [([1, 2, 3, 4, 5, 53], [1, 2, 3, 4, 5]), (range(48, 54), range(48, 54)), ([1, 2, 53], [1, 2, 53])])
+def test_phantoms(spark, nums, kept):
+    items = spark.createDataFrame([(1, i, False, n) for i, n in enumerate(nums)], "doc_id long, item long, is_solution boolean, num int")
+    assert sorted(r["num"] for r in apply("e_phantoms", spiked_items=items).collect()) == list(kept)
+
+
+def test_numbered_options(spark):
+    m = [(1, 1, 0, 0, 48.0, "1", False, False), (1, 1, 1, 0, 68.0, "1", False, False), (1, 1, 2, 0, 48.0, "2", False, False), (1, 2, 3, 0, 50.0, "6", False, False), (1, 2, 4, 0, 70.0, "1", False, False)]
+    df = spark.createDataFrame(m, "doc_id long, page int, seq long, copy int, x_left double, q_num string, is_solution boolean, is_strong boolean")
+    assert sorted(r["seq"] for r in apply("d_drop_numbered_options", indented_markers=df).collect()) == [0, 2, 3]
+
+
+def test_weak_pages(spark):
+    df = spark.createDataFrame([(1, 1, 92.0), (1, 2, 40.0), (1, 3, 0.0)], "doc_id long, page int, conf double")
+    assert [r["page"] for r in apply("d_weak_pages", d_ocr_confidence=df).collect()] == [2]
+
+
+def _iou(a, b):
+    w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+
+
+def test_nms_is_the_greedy_loop(spark):
+    from sheafline.relations import frame
+
+    boxes = frame(spark, "/root/testdata/sf0.001", "boxes")
+    want = set()
+    groups = {}
+    for r in boxes.collect():
+        groups.setdefault((r["doc_id"], r["page"], r["label"]), []).append(r)
+    for key, g in groups.items():
+        kept = []
+        for r in sorted(g, key=lambda r: (-r["score"], r["box_id"])):
+            b = (r["x0"], r["y0"], r["x1"], r["y1"])
+            if not any(_iou(k, b) >= 0.5 for k in kept):
+                kept.append(b)
+                want.add((*key, r["box_id"]))
+    got = apply("d_nms", boxes=boxes)
+    assert {(r["doc_id"], r["page"], r["label"], r["box_id"]) for r in got.collect()} == want
+
+
+def test_iou_dedupe_keeps_the_larger(spark):
+    s = [(1, 3, 0, "3", False, 1, 30.0, 45.0, 5.0, 95.0), (1, 4, 0, "23", False, 1, 29.0, 50.0, 5.0, 95.0), (1, 5, 0, "5", False, 1, 60.0, 80.0, 5.0, 95.0), (1, 6, 0, "6", False, 2, 30.0, 45.0, 5.0, 95.0), (1, 7, 0, "7", True, 1, 30.0, 45.0, 5.0, 95.0)]
+    df = spark.createDataFrame(s, "doc_id long, item long, seg int, q_num string, is_solution boolean, page int, y0 double, y1 double, x0 double, x1 double")
+    assert sorted(r["item"] for r in apply("c_iou_dedupe", segments=df).collect()) == [4, 5, 6, 7]
+
+
+def test_clusters_and_pairs():
+    assert folds.merged_clusters([(0, 0, 1, 1), (10, 0, 11, 1), (1.5, 0, 9.5, 1)], 1) == [(0, 0, 11, 1)]
+    assert folds.merged_clusters([(0, 0, 1, 1), (10, 0, 11, 1)], 1) == [(0, 0, 1, 1), (10, 0, 11, 1)]
+    assert folds.nearest_pairs([(1, 40.0), (2, 5.0)], [(3, 40.5), (4, 90.0), (5, 6.0)], 6) == [(2, 5), (1, 3)]
+
+
+def test_flagship_needs_no_columns_it_does_not_use(spark):
+    from sheafline import catalog
+
+    plan = catalog.QUERIES["b_normalize_keys"](spark, "/root/testdata/sf0.001")
+    assert set(plan.columns) == {"doc_id", "page", "seq", "exact_key", "loose_key"}
+
+
+def test_streams_equal_their_batch_twins(spark):
+    sf = "/root/testdata/sf0.001"
+    events = sorted(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "value").collect())
+    want, state = {}, {}
+    for e in events:
+        n, total = state.get(e["user_id"], (0, 0.0))
+        ok = total + e["value"] <= jobs.CEILING
+        state[e["user_id"]] = (n + 1, total + e["value"]) if ok else (n, total)
+        want[e["event_id"]] = (*state[e["user_id"]], ok)
+    got = {r["file"]: (r["index"], r["total"], r["accepted"]) for r in jobs.i_upload_sessions(spark, sf).collect()}
+    assert got == want
+    want, tops = {}, {}
+    for e in events:
+        t, y = tops.setdefault(e["user_id"], []), e["value"] % 90
+        hit = next((i for i, k in enumerate(t) if (o := max(0.0, 10 - abs(k - y))) / (20 - o) >= 0.6), None)
+        want[e["event_id"]] = (len(t) + 1 if hit is None else hit + 1, hit is not None)
+        if hit is None:
+            t.append(y)
+        else:
+            t[hit] = y
+    got = {r["edit"]: (r["item"], r["replaced"]) for r in jobs.i_edit_log(spark, sf).collect()}
+    assert got == want
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    df = e.entry(spark)
+    assert df.count() > 0 and rows(df)
+    assert set(e.oracle_sql()) <= set(e.queries())
