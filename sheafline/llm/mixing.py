@@ -11,7 +11,7 @@ in whole and which one holds the end, and only that one's rows are added up one
 
 Defined cases: null and blank texts have no tokens and are never taken; a null language or source is a leaf of its own;
 siblings without a weight weigh 0 where `weights` names any of their level, else all weigh 1; repeated rows are rows of
-their own; other columns are kept.
+their own; other columns are kept, but those called domain, n_tokens or epoch are replaced.
 """
 
 from __future__ import annotations
@@ -87,8 +87,8 @@ def budgets(leaves: DataFrame, budget: float, weights: dict[str, dict[str, float
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame, n_leaves: int, how: str = "inner") -> DataFrame:
-    """rows joined with their leaf's line of plan (p_domain, p_lang, p_source); broadcast only up to BROADCAST leaves."""
-    same = [F.col("__domain") == F.col("p_domain"), F.col("lang").eqNullSafe(F.col("p_lang")), F.col("source").eqNullSafe(F.col("p_source"))]
+    """rows joined with their leaf's line of plan (__p_domain, __p_lang, __p_source); broadcast only up to BROADCAST leaves."""
+    same = [F.col("__domain") == F.col("__p_domain"), F.col("lang").eqNullSafe(F.col("__p_lang")), F.col("source").eqNullSafe(F.col("__p_source"))]
     return rows.join(plan.hint("broadcast" if n_leaves <= BROADCAST else "merge"), same[0] & same[1] & same[2], how)
 
 
@@ -107,32 +107,32 @@ def mixed(
     """
     added = {"__n": tokens(text_col), "__domain": domain_of(F.col("source"))}
     rows = docs.withColumns({**added, "__h": F.hex(F.xxhash64(text_col)), "__i": F.coalesce(F.col(id_col).cast("string"), F.lit("-"))}).filter("__n > 0")
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), "__i", "__h"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), "__i", "__h"))
     keyed = staged(rows.select("__i", "__h", "__domain", "lang", "source", "__n"), "mixing-keys")
     leaves = staged(keyed.groupBy(F.col("__domain").alias("domain"), "lang", "source").agg(F.sum("__n").alias("n")), "mixing-leaves")
     total, n_leaves = leaves.agg(F.sum("n"), F.count("*")).first()
     plan = budgets(leaves, share * (total or 0), weights or {}, max_epochs).filter("budget > 0")
-    plan = plan.withColumn("whole", F.least(F.floor(F.col("budget") / F.col("n")), F.lit(max_epochs)))
+    plan = plan.withColumn("__whole", F.least(F.floor(F.col("budget") / F.col("n")), F.lit(max_epochs)))
     plan = staged(plan.select(
-        F.col("domain").alias("p_domain"), F.col("lang").alias("p_lang"), F.col("source").alias("p_source"),
-        "whole", (F.col("budget") - F.col("whole") * F.col("n")).alias("rest"),
+        F.col("domain").alias("__p_domain"), F.col("lang").alias("__p_lang"), F.col("source").alias("__p_source"),
+        "__whole", (F.col("budget") - F.col("__whole") * F.col("n")).alias("__rest"),
     ), "mixing-plan")
-    leaf = ["p_domain", "p_lang", "p_source"]
+    leaf = ["__p_domain", "__p_lang", "__p_source"]
 
     # the hash range in which the last epoch's prefix ends, then its last row
     turns = _with_plan(keyed, plan, n_leaves).withColumn("__o", order).withColumn("__r", F.substring("__o", 1, RANGES_HEX))
-    ranges = turns.groupBy(*leaf, "rest", "__r").agg(F.sum("__n").alias("s"))
+    ranges = turns.groupBy(*leaf, "__rest", "__r").agg(F.sum("__n").alias("s"))
     before = Window.partitionBy(*leaf).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ranges.withColumn("used", F.coalesce(F.sum("s").over(before), F.lit(0))).filter("used < rest and used + s >= rest")
-    ends = staged(ends.select(*leaf, F.col("__r").alias("end"), "used", "rest"), "mixing-ends")
-    edge = _with_plan(turns.select("__domain", "lang", "source", "__n", "__o", "__r"), ends, n_leaves).filter("__r = end")
+    ends = ranges.withColumn("__used", F.coalesce(F.sum("s").over(before), F.lit(0))).filter("__used < __rest and __used + s >= __rest")
+    ends = staged(ends.select(*leaf, F.col("__r").alias("__end"), "__used", "__rest"), "mixing-ends")
+    edge = _with_plan(turns.select("__domain", "lang", "source", "__n", "__o", "__r"), ends, n_leaves).filter("__r = __end")
     so_far = Window.partitionBy(*leaf).orderBy("__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = edge.withColumn("__c", F.sum("__n").over(so_far) + F.col("used")).filter(F.col("__c") - F.col("__n") < F.col("rest"))
-    cut = last.groupBy(*leaf).agg(F.max("__o").alias("last")).withColumnsRenamed({"p_domain": "__domain", "p_lang": "lang", "p_source": "source"})
-    plan = staged(_with_plan(cut, plan, n_leaves, "right").select(*leaf, "whole", "last"), "mixing-last")
+    last = edge.withColumn("__c", F.sum("__n").over(so_far) + F.col("__used")).filter(F.col("__c") - F.col("__n") < F.col("__rest"))
+    cut = last.groupBy(*leaf).agg(F.max("__o").alias("__last")).withColumnsRenamed({"__p_domain": "__domain", "__p_lang": "lang", "__p_source": "source"})
+    plan = staged(_with_plan(cut, plan, n_leaves, "right").select(*leaf, "__whole", "__last"), "mixing-last")
 
     taken = _with_plan(rows, plan, n_leaves)
-    times = F.col("whole") + F.coalesce((order <= F.col("last")).cast("int"), F.lit(0))
+    times = F.col("__whole") + F.coalesce((order <= F.col("__last")).cast("int"), F.lit(0))
     out = taken.withColumn("__times", times.cast("int")).filter("__times > 0").withColumn("__e", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    own = [F.col(c) for c in docs.columns]
+    own = [F.col(c) for c in docs.columns if c not in ("domain", "n_tokens", "epoch")]
     return out.select(*own, F.col("__domain").alias("domain"), F.col("__n").alias("n_tokens"), F.col("__e").cast("int").alias("epoch"))

@@ -308,10 +308,17 @@ def _cut_rows(batches: Iterable[pa.RecordBatch], as_text: bool) -> Iterator[pa.R
         )
 
 
-def without_repeats(docs: DataFrame, keep: list[str], as_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns `keep` of each row with n_bytes, n_removed, n_spans and kept (the bytes left, as they stood).
-
-    With as_text kept is a string: bytes of a code point that was cut through are left out.
+def without_repeats(
+    docs: DataFrame,
+    keep: list[str],
+    as_text: bool = False,
+    names: tuple[str, str, str, str] = ("n_bytes", "n_removed", "n_spans", "kept"),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The columns `keep` of each row and, under `names`, its bytes, those removed, their runs, and the bytes left.
+
+    With as_text what is left is a string: bytes of a code point that was cut through are left out.
     """
     spans = repeated_spans(docs, id_col, text_col).groupBy(F.col("doc_key").alias("__k"), F.col("r").alias("__r")).agg(
         F.collect_set(F.struct("start", "end")).alias("__s")
@@ -323,5 +330,5 @@ def without_repeats(docs: DataFrame, keep: list[str], as_text: bool = False, id_
     cut = joined.select(*[f"__c{i}" for i in range(len(keep))], "__t", "__s").mapInArrow(lambda batches: _cut_rows(batches, as_text), schema)
     return cut.select(
         *[F.col(f"__c{i}").alias(c) for i, c in enumerate(keep)],
-        F.col("__n").alias("n_bytes"), F.col("__removed").alias("n_removed"), F.col("__runs").alias("n_spans"), F.col("__kept").alias("kept"),
+        *[F.col(c).alias(n) for c, n in zip(("__n", "__removed", "__runs", "__kept"), names, strict=True)],
     )
