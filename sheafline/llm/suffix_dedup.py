@@ -258,7 +258,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     rows = staged(rows, "repeats-anchors")
     groups = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("ctx").alias("x"), F.max("ctx").alias("y")).filter("n > 1")
-    found = staged(rows.join(groups.select("k1", "k2", (F.col("x") == F.col("y")).alias("one")).hint("merge"), ["k1", "k2"]), "repeats-found")
+    # written first, so that both sides of the join are plain shuffles, whose hot keys adaptive execution splits
+    groups = staged(groups.select("k1", "k2", (F.col("x") == F.col("y")).alias("one")), "repeats-groups")
+    found = staged(rows.join(groups.hint("merge"), ["k1", "k2"]), "repeats-found")
     alike = found.filter("one").withColumns({"lmin": F.col("lo"), "lmax": F.col("hi")})
     several = found.filter("not one")
     classes = several.groupBy("k1", "k2", "ctx").agg(
