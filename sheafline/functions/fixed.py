@@ -24,7 +24,7 @@ OCR_DIGITS = "000011111223455667899"
 # Page formats in millimetres.
 FORMATS = (("A3", 297, 420), ("A4", 210, 297), ("A5", 148, 210), ("Letter", 216, 279), ("Legal", 216, 356), ("Tabloid", 279, 432))
 
-# Patterns for markers, in the syntax that Java's and RE2's engines share.
+# Patterns for markers, headers and folios, in the syntax that Java's and RE2's engines share.
 STRONG = r"(?i)^\s*q(?:ues(?:tion)?)?[.\s]?\s*(?:no[.\s:]*)?\s*[-:]?\s*(\d{1,3})\b"
 WEAK_DOT = r"^\s*(\d{1,3})\s*[.](?:\s|$)"
 WEAK_PAREN = r"^\s*(\d{1,3})\s*[)](?:\s|$)"

@@ -1,8 +1,8 @@
 """Answer keys, page classes, fonts, sizes and other facts of a document."""
 
-from ..functions import fixed as fx
 from ..relations import relation
 
+# The patterns of key pairs, of block openers and of labelled answers stand in the next three operators.
 relation("d_answer_key", "Number and letter pairs of a key text, if there are four or more and they cover 70 per cent of their run; the first of a number wins.", "",
     spark=r"""
 WITH pairs AS (
