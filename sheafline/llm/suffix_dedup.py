@@ -257,13 +257,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _anchor_rows, "k1 long, k2 long, ctx long, doc_key long, r long, pos int, lo int, hi int"
     )
     rows = staged(rows, "repeats-anchors")
-    groups = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("ctx").alias("x"), F.max("ctx").alias("y")).filter("n > 1")
+    # per gram its occurrences, its classes, and the class that most of them are in
+    counted = rows.groupBy("k1", "k2", "ctx").agg(F.count("*").alias("n"))
+    groups = counted.groupBy("k1", "k2").agg(F.sum("n").alias("all"), F.count("*").alias("c"), F.max(F.struct("n", "ctx")).alias("m")).filter("all > 1")
     # written first, so that both sides of the join are plain shuffles, whose hot keys adaptive execution splits
-    groups = staged(groups.select("k1", "k2", (F.col("x") == F.col("y")).alias("one")), "repeats-groups")
+    groups = staged(groups.select("k1", "k2", "c", F.when(F.col("m.n") > 1, F.col("m.ctx")).alias("main")), "repeats-groups")
     found = staged(rows.join(groups.hint("merge"), ["k1", "k2"]), "repeats-found")
-    alike = found.filter("one").withColumns({"lmin": F.col("lo"), "lmax": F.col("hi")})
-    several = found.filter("not one")
-    classes = several.groupBy("k1", "k2", "ctx").agg(
+    # all windows of a class that occurs twice repeat; those of the largest need no other look-up
+    alike = found.filter(F.col("ctx").eqNullSafe(F.col("main"))).withColumns({"lmin": F.col("lo"), "lmax": F.col("hi")})
+    several = found.filter(~F.col("ctx").eqNullSafe(F.col("main")))
+    classes = found.filter("c > 1").groupBy("k1", "k2", "ctx").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_key", "r", "pos", "lo", "hi")).alias("o")
     )
     wanted = classes.groupBy(F.col("o.doc_key").alias("__k"), F.col("o.r").alias("__r")).agg(
