@@ -14,12 +14,16 @@ neighbours, and each gets the union of all its repeated windows.
 A group with more than GROUP classes is split until none is left: half of the window offsets need more bytes to the left,
 half more to the right, and each half is regrouped by the gram with those bytes; at a single offset a group is one class.
 
+In words: with `words` the same runs over texts in which each word is four bytes of its hash, so that a passage counts by
+its words, however short or long they are. Chance equality adds a word to a passage once in about 2 ** 32 ends.
+
 Defined cases: null texts are empty; texts under LENGTH bytes keep every byte; equal rows count as two occurrences;
 null doc_ids stay; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 LENGTH, GRAM, GROUP = 400, 100, 1024
-SPAN = LENGTH - GRAM
+#: A word is WIDE bytes of its hash where repeats are counted in words.
+WIDE, WORD_GRAM = 4, 13
 NO_ID = -(1 << 63)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -42,16 +47,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= _SIGNED else x
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the anchors of text, and the lowest and highest offset of the windows that each answers for."""
-    n = len(text) - GRAM + 1
+    n = len(text) - gram + 1
     at = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
     key = (at[:n] * _A) ^ (at[8 : n + 8] * _B)
     key ^= key >> np.uint64(29)
     key *= _C
     key &= _HIGH
     key |= np.arange(n, dtype=np.uint64)
-    width, left = 1, SPAN + 1
+    width, left = 1, length - gram + 1
     while 2 * width <= left:
         key = np.minimum(key[:-width], key[width:])
         width *= 2
@@ -64,27 +69,27 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pos, pos - last, pos - first
 
 
-def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterable[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     names = ["k1", "k2", "ctx", "doc_key", "r", "pos", "lo", "hi"]
     types = [pa.int64()] * 5 + [pa.int32()] * 3
 
     def packed(out: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
 
-    gram, whole = xxhash.xxh3_128_intdigest, xxhash.xxh3_64_intdigest
+    digest, whole = xxhash.xxh3_128_intdigest, xxhash.xxh3_64_intdigest
     for b in batches:
         out: list[list] = [[] for _ in names]
         for doc, r, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             text = text.as_buffer()
-            if text is None or len(text) < LENGTH:
+            if text is None or len(text) < length:
                 continue
             text = text.to_pybytes()
-            pos, lo, hi = (x.tolist() for x in anchors(text))
+            pos, lo, hi = (x.tolist() for x in anchors(text, length, gram))
             for p, a, z in zip(pos, lo, hi, strict=True):
-                k = gram(text[p : p + GRAM])
+                k = digest(text[p : p + gram])
                 out[0].append(_signed(k >> 64))
                 out[1].append(_signed(k & 0xFFFFFFFFFFFFFFFF))
-                out[2].append(_signed(whole(text[p - z : p - a + LENGTH], a * 512 + z)))
+                out[2].append(_signed(whole(text[p - z : p - a + length], a * 512 + z)))
             out[3] += [doc] * len(pos)
             out[4] += [r] * len(pos)
             out[5] += pos
@@ -96,12 +101,12 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed(out)
 
 
-def _context_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _context_rows(batches: Iterable[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Of each wanted anchor, what stands before the gram (reversed) and after it, as far as its windows reach."""
     kind = [("k1", pa.int64()), ("k2", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
     for b in batches:
         texts, lists = b.column(0).to_pylist(), b.column(1).to_pylist()
-        rows = [(w, t[w["pos"] - w["hi"] : w["pos"]][::-1], t[w["pos"] + GRAM : w["pos"] - w["lo"] + LENGTH]) for t, ws in zip(texts, lists, strict=True) for w in ws]
+        rows = [(w, t[w["pos"] - w["hi"] : w["pos"]][::-1], t[w["pos"] + gram : w["pos"] - w["lo"] + length]) for t, ws in zip(texts, lists, strict=True) for w in ws]
         for i in range(0, max(1, len(rows)), 20_000):
             part = rows[i : i + 20_000]
             cols = [pa.array([w[k] for w, _, _ in part], t) for k, t in kind]
@@ -138,7 +143,7 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
     # the root is popped by the closing -1
 
 
-def extents(group: list[tuple[bytes, bytes, int, int, int]]) -> list[tuple[int, int] | None]:
+def extents(group: list[tuple[bytes, bytes, int, int, int]], span: int = LENGTH - GRAM) -> list[tuple[int, int] | None]:
     """For each (left, right, n, lo, hi) of a gram's group the lowest and highest offset at which a window of it repeats."""
     best: list[tuple[int, int] | None] = [(lo, hi) if n > 1 else None for _, _, n, lo, hi in group]
 
@@ -150,7 +155,7 @@ def extents(group: list[tuple[bytes, bytes, int, int, int]]) -> list[tuple[int,
     lcp = [common(group[i][1], group[j][1]) for i, j in zip(order, order[1:], strict=False)]
     for value, first, last in intervals(lcp):
         members = sorted(order[first : last + 1], key=lambda i: group[i][0])
-        least = SPAN - value
+        least = span - value
         whole = common(group[members[0]][0], group[members[-1]][0])
         if whole >= least and whole == max(len(group[i][0]) for i in members):  # no diversity to the left
             for i in members:
@@ -162,7 +167,7 @@ def extents(group: list[tuple[bytes, bytes, int, int, int]]) -> list[tuple[int,
     return best
 
 
-def _extent_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extent_rows(batches: Iterable[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (k1, k2); a group has at most GROUP rows."""
     names = ["k1", "k2", "ctx", "lmin", "lmax"]
     types = [pa.int64()] * 3 + [pa.int32()] * 2
@@ -171,7 +176,7 @@ def _extent_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> None:
         if len(held) > 1 or held and held[0][3] > 1:
-            for row, e in zip(held, extents([(x[6], x[7], x[3], x[4], x[5]) for x in held]), strict=True):
+            for row, e in zip(held, extents([(x[6], x[7], x[3], x[4], x[5]) for x in held], span), strict=True):
                 if e:
                     out.append((*row[:3], *e))
         held.clear()
@@ -196,7 +201,7 @@ def _extent_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CLASS = "k1 long, k2 long, ctx long, n long, lo int, hi int, left binary, right binary"
 
 
-def _halves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _halves(batches: Iterable[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """The two halves of each row's range of offsets [a, b]: new group, new class, and the row's own part of the range."""
     names = ["o1", "o2", "octx", "k1", "k2", "ctx", "n", "lo", "hi", "left", "right", "a", "b"]
     types = [pa.int64()] * 7 + [pa.int32()] * 2 + [pa.binary()] * 2 + [pa.int32()] * 2
@@ -208,8 +213,8 @@ def _halves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low, high = max(lo, x), min(hi, y)
                 if low > high:
                     continue
-                k = xxhash.xxh3_128_intdigest(b"%d,%d,%d,%d,%d:%b%b" % (k1, k2, x, y, min(x, len(left)), left[:x], right[: SPAN - y]))
-                own_left, own_right = left[:high], right[: SPAN - low]
+                k = xxhash.xxh3_128_intdigest(b"%d,%d,%d,%d,%d:%b%b" % (k1, k2, x, y, min(x, len(left)), left[:x], right[: span - y]))
+                own_left, own_right = left[:high], right[: span - low]
                 c = xxhash.xxh3_64_intdigest(own_left + own_right, low * 512 + high)
                 row = (o1, o2, octx, _signed(k >> 64), _signed(k & 0xFFFFFFFFFFFFFFFF), _signed(c), n, low, high, own_left, own_right, x, y)
                 for col, v in zip(out, row, strict=True):
@@ -217,20 +222,20 @@ def _halves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
 
 
-def _resolved(classes: DataFrame) -> DataFrame:
+def _resolved(classes: DataFrame, span: int) -> DataFrame:
     """(k1, k2, ctx, lmin, lmax) of the classes that have a repeated window."""
     sizes = staged(classes.groupBy("k1", "k2").agg(F.count("*").alias("c")).filter(F.col("c") > GROUP), "repeats-large")
-    sorted_groups = lambda d: d.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "ctx").mapInArrow(_extent_rows, "k1 long, k2 long, ctx long, lmin int, lmax int")
+    sorted_groups = lambda d: d.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "ctx").mapInArrow(lambda batches: _extent_rows(batches, span), "k1 long, k2 long, ctx long, lmin int, lmax int")
     if sizes.isEmpty():
         return sorted_groups(classes.select(*[c.split()[0] for c in _CLASS.split(", ")]))
     own = [c.split()[0] for c in _CLASS.split(", ")]
     done = sorted_groups(classes.join(sizes.hint("merge"), ["k1", "k2"], "left_anti").select(*own))
     rows = classes.join(sizes.hint("merge"), ["k1", "k2"], "left_semi").select(
-        F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("ctx").alias("octx"), *own, F.lit(0).alias("a"), F.lit(SPAN).alias("b")
+        F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("ctx").alias("octx"), *own, F.lit(0).alias("a"), F.lit(span).alias("b")
     )
     schema = f"o1 long, o2 long, octx long, {_CLASS}, a int, b int"
     while True:
-        rows = staged(rows.mapInArrow(_halves, schema), "repeats-halves")
+        rows = staged(rows.mapInArrow(lambda batches: _halves(batches, span), schema), "repeats-halves")
         part = rows.groupBy("k1", "k2", "ctx").agg(F.sum("n").alias("n"), *[F.any_value(c).alias(c) for c in ("lo", "hi", "left", "right")])
         part = staged(part, "repeats-classes")
         sizes = staged(part.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.sum("n").alias("all")).filter("all > 1"), "repeats-sizes")
@@ -250,11 +255,25 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     })
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k1, k2, doc_key, r, start, end): a row for each occurrence in each group of repeats; (k1, k2) names the group."""
-    keyed = _keyed(docs, id_col, text_col)
-    rows = keyed.select("__k", "__r", "__t").mapInArrow(
-        _anchor_rows, "k1 long, k2 long, ctx long, doc_key long, r long, pos int, lo int, hi int"
+def _word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Column __t with each word replaced by WIDE bytes."""
+    digest = xxhash.xxh32_intdigest
+    for b in batches:
+        found = [np.array([digest(w) for w in t.split()], f"<u{WIDE}").tobytes() if t else t for t in b.column("__t").to_pylist()]
+        yield b.set_column(b.schema.get_field_index("__t"), "__t", pa.array(found, pa.binary()))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, in_words: bool = False) -> DataFrame:
+    """(k1, k2, doc_key, r, start, end): a row for each occurrence in each group of repeats; (k1, k2) names the group.
+
+    length, gram, start and end are bytes of the text or, with in_words, of its words' codes.
+    """
+    assert 16 <= gram <= length < gram + 512  # an anchor hashes 16 bytes; two offsets are packed by 512
+    keyed = _keyed(docs, id_col, text_col).select("__k", "__r", "__t")
+    if in_words:
+        keyed = keyed.mapInArrow(_word_rows, "__k long, __r long, __t binary")
+    rows = keyed.mapInArrow(
+        lambda batches: _anchor_rows(batches, length, gram), "k1 long, k2 long, ctx long, doc_key long, r long, pos int, lo int, hi int"
     )
     rows = staged(rows, "repeats-anchors")
     # per gram its occurrences, its classes, and the class that most of them are in
@@ -272,11 +291,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = classes.groupBy(F.col("o.doc_key").alias("__k"), F.col("o.r").alias("__r")).agg(
         F.collect_list(F.struct("k1", "k2", "ctx", "n", F.col("o.pos").alias("pos"), F.col("o.lo").alias("lo"), F.col("o.hi").alias("hi"))).alias("w")
     )
-    texts = keyed.select("__k", "__r", "__t")
-    contexts = staged(texts.hint("merge").join(wanted, ["__k", "__r"]).select("__t", "w").mapInArrow(_context_rows, _CLASS), "repeats-contexts")
-    reach = _resolved(contexts)
+    texts = keyed.hint("merge").join(wanted, ["__k", "__r"]).select("__t", "w")
+    contexts = staged(texts.mapInArrow(lambda batches: _context_rows(batches, length, gram), _CLASS), "repeats-contexts")
+    reach = _resolved(contexts, length - gram)
     spread = several.join(reach.hint("merge"), ["k1", "k2", "ctx"])
-    cols = ["k1", "k2", "doc_key", "r", (F.col("pos") - F.col("lmax")).alias("start"), (F.col("pos") - F.col("lmin") + LENGTH).alias("end")]
+    cols = ["k1", "k2", "doc_key", "r", (F.col("pos") - F.col("lmax")).alias("start"), (F.col("pos") - F.col("lmin") + length).alias("end")]
     return alike.select(*cols).unionByName(spread.select(*cols))
 
 
@@ -291,14 +310,21 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def in_text(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words' codes as spans of text: whole words, each with the white space behind it."""
+    starts = [m.start() for m in re.finditer(rb"\S+", text)] + [len(text)]
+    out = [(-(-a // WIDE), z // WIDE) for a, z in spans]
+    return [(starts[a], starts[z]) for a, z in out]
+
+
 def _cut_rows(batches: Iterable[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
-    """Adds what is left of column __t without the spans in column __s."""
+    """Adds what is left of column __t without the spans in column __s and those of words' codes in column __w."""
     for b in batches:
-        texts, spans = b.column("__t").to_pylist(), b.column("__s").to_pylist()
+        texts, spans, coded = (b.column(c).to_pylist() for c in ("__t", "__s", "__w"))
         n, removed, runs, kept = [], [], [], []
-        for t, s in zip(texts, spans, strict=True):
+        for t, s, w in zip(texts, spans, coded, strict=True):
             t = t or b""
-            cut = merged([(x["start"], x["end"]) for x in s]) if s else []
+            cut = merged([(x["start"], x["end"]) for x in s or ()] + in_text(t, [(x["start"], x["end"]) for x in w or ()]))
             ends = [0, *(e for _, e in cut)]
             starts = [*(a for a, _ in cut), len(t)]
             n.append(len(t))
@@ -306,7 +332,7 @@ def _cut_rows(batches: Iterable[pa.RecordBatch], as_text: bool) -> Iterator[pa.R
             runs.append(len(cut))
             left = b"".join(t[a:z] for a, z in zip(ends, starts, strict=True))
             kept.append(left.decode("utf-8", "ignore") if as_text else left)
-        own = [i for i, k in enumerate(b.schema.names) if k not in ("__t", "__s")]
+        own = [i for i, k in enumerate(b.schema.names) if k not in ("__t", "__s", "__w")]
         yield pa.RecordBatch.from_arrays(
             [*(b.column(i) for i in own), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())],
             [*(b.schema.names[i] for i in own), "__n", "__removed", "__runs", "__kept"],
@@ -320,19 +346,29 @@ def without_repeats(
     names: tuple[str, str, str, str] = ("n_bytes", "n_removed", "n_spans", "kept"),
     id_col: str = "doc_id",
     text_col: str = "text",
+    length: int = LENGTH,
+    gram: int = GRAM,
+    words: int | None = None,
 ) -> DataFrame:
     """The columns `keep` of each row and, under `names`, its bytes, those removed, their runs, and the bytes left.
 
+    Removed is what repeats over `length` bytes and, where `words` is given, what repeats over that many words (at least
+    WORD_GRAM), whatever their bytes; between words any white space is alike.
+
     With as_text what is left is a string: bytes of a code point that was cut through are left out.
     """
-    spans = repeated_spans(docs, id_col, text_col).groupBy(F.col("doc_key").alias("__k"), F.col("r").alias("__r")).agg(
-        F.collect_set(F.struct("start", "end")).alias("__s")
-    )
+    by_row = lambda d, name: d.groupBy(F.col("doc_key").alias("__k"), F.col("r").alias("__r")).agg(F.collect_set(F.struct("start", "end")).alias(name))
+    spans = by_row(repeated_spans(docs, id_col, text_col, length, gram), "__s")
+    if words is None:
+        spans = spans.withColumn("__w", F.lit(None).cast("array<struct<start:int,end:int>>"))
+    else:
+        coded = repeated_spans(docs, id_col, text_col, words * WIDE, WORD_GRAM * WIDE, in_words=True)
+        spans = spans.hint("merge").join(by_row(coded, "__w"), ["__k", "__r"], "full")
     keyed = _keyed(docs, id_col, text_col).select("__k", "__r", "__t", *[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)])
     joined = keyed.hint("merge").join(spans, ["__k", "__r"], "left").drop("__k", "__r")
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"__c{i} {types[c]}" for i, c in enumerate(keep)), f"__n long, __removed long, __runs long, __kept {'string' if as_text else 'binary'}"])
-    cut = joined.select(*[f"__c{i}" for i in range(len(keep))], "__t", "__s").mapInArrow(lambda batches: _cut_rows(batches, as_text), schema)
+    cut = joined.select(*[f"__c{i}" for i in range(len(keep))], "__t", "__s", "__w").mapInArrow(lambda batches: _cut_rows(batches, as_text), schema)
     return cut.select(
         *[F.col(f"__c{i}").alias(c) for i, c in enumerate(keep)],
         *[F.col(c).alias(n) for c, n in zip(("__n", "__removed", "__runs", "__kept"), names, strict=True)],
