@@ -10,7 +10,8 @@ budget. Whole epochs come first. In the last, order keys fall into 4096 hash ran
 in whole and which one holds the end, and only that one's rows are added up one by one.
 
 Defined cases: null and blank texts have no tokens and are never taken; a null language or source is a leaf of its own;
-siblings without a weight weigh 0 where `weights` names any of their level, else all weigh 1; repeated rows are rows of
+siblings without a weight, and a null one, weigh what `weights` gives None at their level, 0 where it names others only,
+and all weigh 1 where it names none; repeated rows are rows of
 their own; other columns are kept, but those called domain, n_tokens or epoch are replaced.
 """
 
@@ -24,10 +25,10 @@ from .common import staged
 RANGES_HEX = 3  # 16 ** 3 ranges
 BROADCAST = 10_000  # leaves; a line of the plan has under 1 KB
 LEVELS = ["domain", "lang", "source"]
-#: Production weights; sources of a language weigh the same.
+#: Production weights; sources of a language weigh the same. Every language not listed, and a null one, weighs that of None.
 WEIGHTS = {
     "domain": {"web": 0.5, "books": 0.3, "code": 0.2},
-    "lang": {"en": 0.55, "de": 0.2, "fr": 0.15, "es": 0.1},
+    "lang": {"en": 0.55, "de": 0.2, "fr": 0.15, "es": 0.1, None: 0.05},
 }
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,9 +44,11 @@ def domain_of(source: Column) -> Column:
     return F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("code")), F.pmod(number, F.lit(3)) + 1)
 
 
-def weight_of(level: Column, weights: dict[str, float] | None) -> Column:
-    out = F.lit(0.0 if weights else 1.0)
+def weight_of(level: Column, weights: dict[str | None, float] | None) -> Column:
+    out = F.lit(float(weights.get(None, 0.0)) if weights else 1.0)
     for name, w in (weights or {}).items():
+        if name is None:
+            continue
         out = F.when(level == name, F.lit(float(w))).otherwise(out)
     return out
 
@@ -70,7 +73,7 @@ def _shared(rows: DataFrame, over: list[str], total: str, weight: str, most: str
     return d.withColumn(name, given).drop("__fill", "__key", "__w", "__used", "__full", "__level")
 
 
-def budgets(leaves: DataFrame, budget: float, weights: dict[str, dict[str, float]], max_epochs: int) -> DataFrame:
+def budgets(leaves: DataFrame, budget: float, weights: dict[str, dict[str | None, float]], max_epochs: int) -> DataFrame:
     """leaves (domain, lang, source, n) with `budget`: tokens that each leaf is to give."""
     d = leaves.withColumn("m3", (F.col("n") * max_epochs).cast("double"))
     for level in LEVELS:
@@ -95,7 +98,7 @@ def _with_plan(rows: DataFrame, plan: DataFrame, n_leaves: int, how: str = "inne
 def mixed(
     docs: DataFrame,
     share: float = 0.5,
-    weights: dict[str, dict[str, float]] | None = None,
+    weights: dict[str, dict[str | None, float]] | None = None,
     max_epochs: int = 2,
     seed: int = 13,
     id_col: str = "doc_id",
