@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_run = ""  # the folder of the run within the shared one
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Only a local session without that setting gets a new one."""
@@ -22,6 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, sizes are known, lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{_run}{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.staged_path = path
+    return back
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads."""
+    for t in tables:
+        _deleted(t.sparkSession, t.staged_path)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """What is staged within goes to one new folder of the shared one, deleted at the end. Write results out before."""
+    global _run
+    outer, _run = _run, f"{_run}run-{uuid.uuid4().hex}/"
+    path = f"{shared_dir(spark)}/{_run}"
+    try:
+        yield path
+    finally:
+        _run = outer
+        _deleted(spark, path)
