@@ -16,18 +16,19 @@ every text; texts are read whole; repeated rows and other columns are kept.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heappop, heappush
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 MARK = "▁"
-CACHE = 200_000
+CACHE = 300_000
 _PARTS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -37,6 +38,25 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Paths(dict):
+    """Word: its ids, found by `path` where they are not held; of the words met last, `size` to twice as many are."""
+
+    def __init__(self, path: Callable[[str], list[int]], size: int = CACHE) -> None:
+        super().__init__()
+        self.path, self.size, self.older = path, size, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("i", self.path(word)).tobytes()
+        if len(word) <= 48:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Codec:
     def __init__(self, model: str) -> None:
         proto = sentencepiece_model_pb2.ModelProto()
@@ -58,10 +78,11 @@ class Codec:
                 self.piece[p.piece] = (p.score, i)
         self.automaton.make_automaton()
         self.fallback = min((x for x, _ in self.piece.values()), default=0.0) - 10.0
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}  # the cache before it was last full
+        self.paths = Paths(self.best_path)
         self.text_of = {i: x for x, (_, i) in self.piece.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.shown = pa.array(self.bytes_of, pa.large_binary())
+        self.is_byte = np.isin(np.arange(len(proto.pieces)), self.byte_id)
 
     def merges(self, text: str) -> list[str]:
         """text after merging, again and again, the neighbours that form the best piece, of equals the first."""
@@ -90,19 +111,46 @@ class Codec:
 
     def stands(self, a: int, b: int) -> bool:
         """Whether merging leaves pieces a and b side by side as they are; a path of such pairs is what merging makes."""
-        ok = self.pairs.get((a, b))
+        ok = self.pairs.get(a << 32 | b)
         if ok is None:
             ok = self.merges(self.text_of[a] + self.text_of[b]) == [self.text_of[a], self.text_of[b]]
             if len(self.pairs) >= 4 * CACHE:
                 self.pairs.clear()
-            self.pairs[a, b] = ok
+            self.pairs[a << 32 | b] = ok
         return ok
 
-    def best_path(self, text: str) -> tuple[int, ...]:
+    def merge_path(self, text: str) -> list[int]:
+        """Ids of the one path over marked text whose neighbours all stand; each position has one last piece at most."""
+        last: list[int | None] = [None] * (len(text) + 1)  # the piece that ends here; none where a character is in bytes
+        size = [1] * (len(text) + 1)
+        known, stands = self.pairs.get, self.stands
+        for end, (k, _, i) in self.automaton.iter(text):
+            end += 1
+            if last[end] is None:
+                a = last[end - k]
+                if a is not None:
+                    ok = known(a << 32 | i)
+                    if not (stands(a, i) if ok is None else ok):
+                        continue
+                last[end], size[end] = i, k
+        out: list[int] = []
+        j = len(text)
+        while j:
+            if last[j] is None:
+                out.extend(self.byte_id[b] for b in reversed(text[j - 1].encode()))
+            else:
+                out.append(last[j])
+            j -= size[j]
+        out.reverse()
+        return out
+
+    def best_path(self, text: str) -> list[int]:
         """Ids of the best path over marked text."""
         if self.by_merges and text.startswith(MARK * 2):  # pieces of marks alone all have one score, so pairs do not tell
-            return tuple(i for x in self.merges(text) for i in ([self.piece[x][1]] if x in self.piece else [self.byte_id[b] for b in x.encode()]))
-        n, merging = len(text), self.by_merges
+            return [i for x in self.merges(text) for i in ([self.piece[x][1]] if x in self.piece else [self.byte_id[b] for b in x.encode()])]
+        if self.by_merges:
+            return self.merge_path(text)
+        n = len(text)
         best = [0.0] + [float("-inf")] * n
         came: list[tuple[int, int]] = [(0, -1)] * (n + 1)  # start, id; -1 for a character in bytes
         done = 0  # positions up to here are final
@@ -114,7 +162,7 @@ class Codec:
                 done = end
             start = end - size
             s = best[start] + score
-            if s > best[end] and (not merging or not start or came[start][1] < 0 or self.stands(came[start][1], i)):
+            if s > best[end]:
                 best[end], came[end] = s, (start, i)
         for j in range(max(1, done), n + 1):
             self._bare(text, best, came, j)
@@ -127,7 +175,8 @@ class Codec:
             else:
                 out.append(i)
             j = start
-        return tuple(reversed(out))
+        out.reverse()
+        return out
 
     def _bare(self, text: str, best: list[float], came: list[tuple[int, int]], j: int) -> None:
         """Relax position j by its last character in bytes, if that is no piece."""
@@ -135,33 +184,29 @@ class Codec:
         if s > best[j] and text[j - 1] not in self.piece:
             best[j], came[j] = s, (j - 1, -1)
 
-    def _marked(self, text: str) -> Iterable[int]:
-        get = self.cache.get
-        words = _PARTS.findall(text)
-        found = [get(w) for w in words]
-        if None in found:
-            for k, w in enumerate(words):
-                if found[k] is None:
-                    ids = self.cache.get(w) or self.older.get(w) or self.best_path(w)
-                    found[k] = ids
-                    if len(w) <= 48:
-                        if len(self.cache) >= CACHE:
-                            self.older, self.cache = self.cache, {}
-                        self.cache[w] = ids
-        return chain.from_iterable(found)
+    def _marked(self, text: str) -> bytes:
+        return b"".join(map(self.paths.__getitem__, _PARTS.findall(text)))
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids of text, each as four bytes."""
         if not text:
-            return []
-        pieces = text.replace(" ", MARK) if MARK not in text else None
-        if pieces is not None:
-            return list(self._marked(MARK + pieces))
-        out: list[int] = []
-        literal = [self.byte_id[b] for b in MARK.encode()]
-        for k, part in enumerate(text.split(MARK)):
-            out += literal if k else []
-            out += self._marked((MARK if k == 0 else "") + part.replace(" ", MARK))
-        return out
+            return b""
+        if MARK not in text:
+            return self._marked(MARK + text.replace(" ", MARK))
+        literal = array("i", [self.byte_id[b] for b in MARK.encode()]).tobytes()
+        return literal.join(self._marked((MARK if k == 0 else "") + part.replace(" ", MARK)) for k, part in enumerate(text.split(MARK)))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def shown_bytes(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """What the ids of each text stand for, the space in front included; ends are those of the texts' ids."""
+        flat = self.shown.take(pa.array(ids))
+        at = np.frombuffer(flat.buffers()[1], np.int64) if len(ids) else np.zeros(1, np.int64)
+        data = flat.buffers()[2] if len(ids) else b""
+        cut = at[np.concatenate(([0], ends))].tolist()
+        view = memoryview(data) if data is not None else memoryview(b"")
+        return [bytes(view[a:z]) for a, z in zip(cut, cut[1:], strict=False)]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode("utf-8", "replace")
@@ -187,19 +232,23 @@ def encoded(docs: DataFrame, model: str | None = None, text_col: str = "text", v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        byte_ids = set(c.byte_id)
         for whole in batches:
             for i in range(0, max(1, whole.num_rows), slice_rows):
                 b = whole.slice(i, slice_rows)
                 texts = b.column(0).to_pylist()
-                ids = [None if t is None else c.encode(t) for t in texts]
+                found = [c.packed(t or "") for t in texts]
+                ids = np.frombuffer(b"".join(found), np.int32)
+                ends = np.cumsum([len(x) // 4 for x in found], dtype=np.int64)
+                starts = np.concatenate(([0], ends))
+                byte_pieces = np.concatenate(([0], np.cumsum(c.is_byte[ids])))
                 cols = [
-                    pa.array(ids, pa.list_(pa.int32())),
-                    pa.array([len(x or ()) for x in ids], pa.int64()),
-                    pa.array([0 if not x or byte_ids.isdisjoint(x) else sum(map(byte_ids.__contains__, x)) for x in ids], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids), mask=pa.array([t is None for t in texts], pa.bool_())),
+                    pa.array(np.diff(starts)),
+                    pa.array(np.diff(byte_pieces[starts])),
                 ]
                 if verify:
-                    cols.append(pa.array([t is None or c.decode(x) == t for t, x in zip(texts, ids, strict=True)]))
+                    shown = c.shown_bytes(ids, ends)
+                    cols.append(pa.array([(b" " + t.encode() if t else b"") == x for t, x in zip(texts, shown, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*(b.column(k + 1) for k in range(len(own))), *cols], names)
 
     names = [f"c{k}" for k in range(len(own))] + ["__ids", "__n", "__f"] + ["__ok"] * verify
