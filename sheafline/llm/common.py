@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..staging import shared_dir, staged
+from ..staging import released, shared_dir, staged
 
-__all__ = ["components", "ranked", "shared_dir", "staged", "table"]
+__all__ = ["bounded_batches", "components", "ranked", "released", "shared_dir", "staged", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of one Arrow batch between the JVM and Python where the session names no limits of its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("2147483647b", str(8 << 20))}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep batches of whole texts small. Plans read these settings when they run, so they stay set for the session."""
+    for name, (usual, own) in BATCH.items():
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, own)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, buckets: int = 1024) -> DataFrame:
     """A gapless rank from 0 within keys, without one task for a hot key.
 
@@ -39,21 +50,23 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     Alternating stars: every node hangs its larger neighbours on its smallest neighbour, then its smaller ones, until
     nothing moves; rounds grow with the logarithm of the longest chain. Minima are pre-aggregated before the shuffle and
-    joined back, so that a node with very many neighbours is split by adaptive execution, never held by one task.
+    written before they are joined back: both sides of that join are then plain shuffles, in which adaptive execution
+    splits a node with very many neighbours.
     """
     e = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), label)
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{label}-least")
         large = both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        large = large.distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = staged(large.distinct(), f"{label}-large")
+        down = staged(large.groupBy("a").agg(F.min("b").alias("m")), f"{label}-down")
         small = (
             large.join(down.hint("merge"), "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
             .select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).filter("a <> b").distinct()
         )
-        e = staged(small, label)
+        last, e = e, staged(small, label)
+        released(last, least, large, down)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             break

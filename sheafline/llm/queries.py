@@ -48,8 +48,9 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """Digests of what is left without repeats of 400 bytes; `text` is without those of 51 words too."""
+    left = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), ["doc_id"], words=51, apart="text")
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ In words: with `words` the same runs over texts in which each word is four bytes
 its words, however short or long they are. Chance equality adds a word to a passage once in about 2 ** 32 ends.
 
 Defined cases: null texts are empty; texts under LENGTH bytes keep every byte; equal rows count as two occurrences;
-null doc_ids stay; other columns are not read.
+null doc_ids stay (rows of a null id and of the lowest id there is share spans only if their texts are equal); other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import released, staged
 
 LENGTH, GRAM, GROUP = 400, 100, 1024
 #: A word is WIDE bytes of its hash where repeats are counted in words.
@@ -89,7 +90,7 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch], length: int, gram: int) -> I
                 k = digest(text[p : p + gram])
                 out[0].append(_signed(k >> 64))
                 out[1].append(_signed(k & 0xFFFFFFFFFFFFFFFF))
-                out[2].append(_signed(whole(text[p - z : p - a + length], a * 512 + z)))
+                out[2].append(_signed(whole(text[p - z : p - a + length], a << 16 | z)))
             out[3] += [doc] * len(pos)
             out[4] += [r] * len(pos)
             out[5] += pos
@@ -215,7 +216,7 @@ def _halves(batches: Iterable[pa.RecordBatch], span: int) -> Iterator[pa.RecordB
                     continue
                 k = xxhash.xxh3_128_intdigest(b"%d,%d,%d,%d,%d:%b%b" % (k1, k2, x, y, min(x, len(left)), left[:x], right[: span - y]))
                 own_left, own_right = left[:high], right[: span - low]
-                c = xxhash.xxh3_64_intdigest(own_left + own_right, low * 512 + high)
+                c = xxhash.xxh3_64_intdigest(own_left + own_right, low << 16 | high)
                 row = (o1, o2, octx, _signed(k >> 64), _signed(k & 0xFFFFFFFFFFFFFFFF), _signed(c), n, low, high, own_left, own_right, x, y)
                 for col, v in zip(out, row, strict=True):
                     col.append(v)
@@ -268,7 +269,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     length, gram, start and end are bytes of the text or, with in_words, of its words' codes.
     """
-    assert 16 <= gram <= length < gram + 512  # an anchor hashes 16 bytes; two offsets are packed by 512
+    assert 16 <= gram <= length < gram + (1 << 16)  # an anchor hashes 16 bytes; two offsets are packed by 16 bits
     keyed = _keyed(docs, id_col, text_col).select("__k", "__r", "__t")
     if in_words:
         keyed = keyed.mapInArrow(_word_rows, "__k long, __r long, __t binary")
@@ -282,6 +283,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # written first, so that both sides of the join are plain shuffles, whose hot keys adaptive execution splits
     groups = staged(groups.select("k1", "k2", "c", F.when(F.col("m.n") > 1, F.col("m.ctx")).alias("main")), "repeats-groups")
     found = staged(rows.join(groups.hint("merge"), ["k1", "k2"]), "repeats-found")
+    released(rows, groups)
     # all windows of a class that occurs twice repeat; those of the largest need no other look-up
     alike = found.filter(F.col("ctx").eqNullSafe(F.col("main"))).withColumns({"lmin": F.col("lo"), "lmax": F.col("hi")})
     several = found.filter(~F.col("ctx").eqNullSafe(F.col("main")))
@@ -317,25 +319,37 @@ def in_text(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(starts[a], starts[z]) for a, z in out]
 
 
-def _cut_rows(batches: Iterable[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
-    """Adds what is left of column __t without the spans in column __s and those of words' codes in column __w."""
+def left_of(text: bytes, cut: list[tuple[int, int]]) -> bytes:
+    """text without the runs in cut."""
+    ends, starts = [0, *(e for _, e in cut)], [*(a for a, _ in cut), len(text)]
+    return b"".join(text[a:z] for a, z in zip(ends, starts, strict=True))
+
+
+def _cut_rows(batches: Iterable[pa.RecordBatch], as_text: bool, apart: bool) -> Iterator[pa.RecordBatch]:
+    """Adds what is left of column __t without the spans in column __s and those of words' codes in column __w.
+
+    With apart the latter are only left out of one more column, __clean.
+    """
+    kind = pa.string() if as_text else pa.binary()
     for b in batches:
         texts, spans, coded = (b.column(c).to_pylist() for c in ("__t", "__s", "__w"))
-        n, removed, runs, kept = [], [], [], []
+        n, removed, runs, kept, clean = [], [], [], [], []
         for t, s, w in zip(texts, spans, coded, strict=True):
             t = t or b""
-            cut = merged([(x["start"], x["end"]) for x in s or ()] + in_text(t, [(x["start"], x["end"]) for x in w or ()]))
-            ends = [0, *(e for _, e in cut)]
-            starts = [*(a for a, _ in cut), len(t)]
+            own = [(x["start"], x["end"]) for x in s or ()]
+            whole = merged(own + in_text(t, [(x["start"], x["end"]) for x in w or ()]))
+            cut = merged(own) if apart else whole
             n.append(len(t))
             removed.append(sum(e - a for a, e in cut))
             runs.append(len(cut))
-            left = b"".join(t[a:z] for a, z in zip(ends, starts, strict=True))
+            left = left_of(t, cut)
             kept.append(left.decode("utf-8", "ignore") if as_text else left)
-        own = [i for i, k in enumerate(b.schema.names) if k not in ("__t", "__s", "__w")]
+            if apart:
+                clean.append(left_of(t, whole).decode("utf-8", "ignore"))
+        same = [i for i, k in enumerate(b.schema.names) if k not in ("__t", "__s", "__w")]
         yield pa.RecordBatch.from_arrays(
-            [*(b.column(i) for i in own), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())],
-            [*(b.schema.names[i] for i in own), "__n", "__removed", "__runs", "__kept"],
+            [*(b.column(i) for i in same), *(pa.array(x, pa.int64()) for x in (n, removed, runs)), pa.array(kept, kind), *([pa.array(clean, pa.string())] * apart)],
+            [*(b.schema.names[i] for i in same), "__n", "__removed", "__runs", "__kept", *(["__clean"] * apart)],
         )
 
 
@@ -349,11 +363,13 @@ def without_repeats(
     length: int = LENGTH,
     gram: int = GRAM,
     words: int | None = None,
+    apart: str | None = None,
 ) -> DataFrame:
     """The columns `keep` of each row and, under `names`, its bytes, those removed, their runs, and the bytes left.
 
     Removed is what repeats over `length` bytes and, where `words` is given, what repeats over that many words (at least
-    WORD_GRAM), whatever their bytes; between words any white space is alike.
+    WORD_GRAM), whatever their bytes; between words any white space is alike. If `apart` names a further column, a string,
+    repeats in words are missing from that column only.
 
     With as_text what is left is a string: bytes of a code point that was cut through are left out.
     """
@@ -367,9 +383,10 @@ def without_repeats(
     keyed = _keyed(docs, id_col, text_col).select("__k", "__r", "__t", *[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)])
     joined = keyed.hint("merge").join(spans, ["__k", "__r"], "left").drop("__k", "__r")
     types = dict(docs.dtypes)
-    schema = ", ".join([*(f"__c{i} {types[c]}" for i, c in enumerate(keep)), f"__n long, __removed long, __runs long, __kept {'string' if as_text else 'binary'}"])
-    cut = joined.select(*[f"__c{i}" for i in range(len(keep))], "__t", "__s", "__w").mapInArrow(lambda batches: _cut_rows(batches, as_text), schema)
+    schema = ", ".join([*(f"__c{i} {types[c]}" for i, c in enumerate(keep)), f"__n long, __removed long, __runs long, __kept {'string' if as_text else 'binary'}", *(["__clean string"] if apart else [])])
+    cut = joined.select(*[f"__c{i}" for i in range(len(keep))], "__t", "__s", "__w").mapInArrow(lambda batches: _cut_rows(batches, as_text, bool(apart)), schema)
     return cut.select(
         *[F.col(f"__c{i}").alias(c) for i, c in enumerate(keep)],
         *[F.col(c).alias(n) for c, n in zip(("__n", "__removed", "__runs", "__kept"), names, strict=True)],
+        *([F.col("__clean").alias(apart)] if apart else []),
     )
