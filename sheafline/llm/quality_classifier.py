@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -25,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 FEATURES, RIDGE, SEED, THRESHOLD = 256, 1.0, 7, 0.3
+#: `kept` learns from about so many labelled rows, drawn by a hash of their ids; their ids are broadcast (16 bytes each).
+FIT_ROWS = 200_000
 _SYMBOLS = np.frombuffer(b"#*$%&|<>{}[]~^_=+\\/@", dtype=np.uint8)
 _STOPS = np.frombuffer(b".,;:?", dtype=np.uint8)
 N_STATS = 22
@@ -41,6 +42,8 @@ def statistics(text: bytes | None) -> list[float]:
     n, nw = len(text), len(words)
     upper, lower = int(h[65:91].sum()), int(h[97:123].sum())
     counts = Counter(words)
+    number = dict(zip(counts, range(len(counts)), strict=True))
+    ids = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=nw)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=nw)
     lines = [x for x in text.split(b"\n") if x.strip()]
     share = h[h > 0] / n
@@ -48,8 +51,8 @@ def statistics(text: bytes | None) -> list[float]:
         float(np.log1p(n)), float(np.log1p(nw)), upper / max(1, upper + lower), float(h[48:58].sum()) / n,
         float(h[_SYMBOLS].sum()) / n, float(h[33]) / n, float(h[124]) / n, float(h[_STOPS].sum()) / n,
         float(h[[32, 9, 10, 11, 12, 13]].sum()) / n, float(h[128:].sum()) / n, len(counts) / nw,
-        float(np.log1p(len(counts)) / np.log1p(nw)), sum(map(eq, words, words[1:])) / nw, max(counts.values()) / nw,
-        len(set(zip(words, words[1:], strict=False))) / max(1, nw - 1), float(sizes.mean()), float(sizes.std()),
+        float(np.log1p(len(counts)) / np.log1p(nw)), int((ids[1:] == ids[:-1]).sum()) / nw, max(counts.values()) / nw,
+        len(np.unique(ids[:-1] * len(counts) + ids[1:])) / max(1, nw - 1), float(sizes.mean()), float(sizes.std()),
         float(np.log1p(sizes.max())), float(np.log1p(len(lines))), len(set(lines)) / len(lines),
         float(np.log1p(nw / len(lines))), float(-(share * np.log(share)).sum()),
     ]
@@ -159,7 +162,7 @@ class Undecided:
 def fitted(stats: DataFrame, labels: DataFrame) -> Model | Undecided:
     """The model of stats (doc_id, x) that labels (doc_id, quality) mark and that are not held out."""
     marked = labels.filter("quality in (0, 1)").select("doc_id", F.col("quality").cast("double").alias("y"))
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
+    half = F.pmod(F.xxhash64("x"), F.lit(2)).cast("int").alias("half")
     known = staged(stats.filter(~held_out()).join(marked.hint("merge"), "doc_id").select("x", "y", half), "quality-known")
     moments = known.agg(*[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(N_STATS) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if moments["m0"] is None:
@@ -196,9 +199,20 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return stats.withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not predicted to be of low quality. Rows are never moved: the last pass takes the statistics anew."""
-    model = fitted(staged(with_statistics(docs, id_col, text_col), "quality-statistics"), labels)
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs that are not predicted to be of low quality, judged by their whole texts.
+
+    Only the statistics of about fit_rows labelled rows are taken for the fit. Rows are never moved.
+    """
+    known = labels.filter("quality in (0, 1)").withColumn("doc_id", F.col("doc_id").cast("long")).filter(~held_out())
+    n = known.count()
+    if n > fit_rows:
+        parts = 1_000_000
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < parts * fit_rows // n)
+    known = staged(known.select("doc_id", "quality"), "quality-labels")
+    ids = known.select("doc_id").distinct().hint("broadcast")
+    learnt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
+    model = fitted(staged(with_statistics(learnt), "quality-statistics"), known)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
