@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,9 +20,9 @@ CEILING, IDLE, LATE = 2_000.0, "1800 seconds", "10 minutes"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, a file at a time."""
+    """The events table as a stream. All files there are make one trigger: watermark and order within a key then do not depend on files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -33,7 +33,7 @@ def _finished(stream: DataFrame, name: str, each: object = None) -> DataFrame:
     writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if each:
         writer.foreachBatch(each(f"{path}/table")).start().awaitTermination()
-        return spark.read.parquet(open_table(spark, f"{path}/table"))
+        return spark.read.parquet(f"{path}/table")
     writer.format("parquet").option("path", f"{path}/table").outputMode("append").start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
@@ -73,31 +73,33 @@ def i_job_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("job", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("began", "ended")], "n")
 
 
-def open_table(spark: SparkSession, path: str) -> str:
-    """The newest version of a versioned table: batch numbers name its folders."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = [int(s.getPath().getName()) for s in fs.listStatus(fs_path)]
-    return f"{path}/{max(versions)}"
+def _newest(rows: DataFrame) -> DataFrame:
+    """The row of each page that arrived last."""
+    others = [c for c in rows.columns if c not in ("doc_id", "page", "batch")]
+    last = F.max(F.struct("arrival", *[c for c in others if c != "arrival"])).alias("m")
+    return rows.groupBy("doc_id", "page").agg(last).select("doc_id", "page", *[f"m.{c}" for c in others])
 
 
 def upsert_pages(table: str):  # noqa: ANN201
-    """A foreachBatch sink: a page's newest rows replace what the table has of that page. A batch run again writes the same version."""
+    """A foreachBatch sink: each batch adds its pages' newest rows; `newest_pages` reads the last of each page.
+
+    A batch writes only what it brings, and one that runs again overwrites its own folder.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
-        newest = Window.partitionBy("doc_id", "page").orderBy(F.desc("arrival"))
-        new = batch.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")
-        if number:
-            old = batch.sparkSession.read.parquet(f"{table}/{number - 1}")
-            new = new.unionByName(old.join(new.select("doc_id", "page"), ["doc_id", "page"], "left_anti"))
-        new.write.mode("overwrite").parquet(f"{table}/{number}")
+        _newest(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return sink
 
 
+def newest_pages(log: DataFrame) -> DataFrame:
+    """The table that the batches written so far stand for."""
+    return _newest(log)
+
+
 def i_page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = events(spark, sf_dir).select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 5).alias("page"), F.col("event_id").alias("arrival"), F.col("value").alias("y0"))
-    return _finished(pages, "pages", upsert_pages)
+    return newest_pages(_finished(pages, "pages", upsert_pages))
 
 
 def edit_log(edits: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -128,6 +130,18 @@ def i_edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (i_upload_sessions, i_job_expiry, i_page_upsert, i_edit_log)}
 ORACLES = {
+    "i_upload_sessions": f"""
+WITH RECURSIVE o AS (SELECT user_id AS session, event_id AS file, value AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+s AS (SELECT session, rn, file, CASE WHEN bytes <= {CEILING} THEN 1 ELSE 0 END AS index, CASE WHEN bytes <= {CEILING} THEN bytes ELSE 0.0 END AS total, bytes <= {CEILING} AS accepted FROM o WHERE rn = 1
+  UNION ALL SELECT o.session, o.rn, o.file, CASE WHEN s.total + o.bytes <= {CEILING} THEN s.index + 1 ELSE s.index END, CASE WHEN s.total + o.bytes <= {CEILING} THEN s.total + o.bytes ELSE s.total END, s.total + o.bytes <= {CEILING}
+  FROM s JOIN o ON o.session = s.session AND o.rn = s.rn + 1)
+SELECT session, file, CAST(index AS BIGINT) AS index, CAST(total AS DOUBLE) AS total, accepted FROM s""",
+    "i_edit_log": """
+WITH RECURSIVE o AS (SELECT user_id AS doc_id, event_id AS edit, CAST(value - 90 * floor(value / 90) AS DOUBLE) AS y0, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+s AS (SELECT doc_id, rn, edit, CAST(1 AS BIGINT) AS item, false AS replaced, [y0] AS tops FROM o WHERE rn = 1
+  UNION ALL SELECT doc_id, rn, edit, coalesce(hit, len(tops) + 1), hit IS NOT NULL, CASE WHEN hit IS NULL THEN list_append(tops, y0) ELSE list_transform(tops, lambda t, i: CASE WHEN i = hit THEN y0 ELSE t END) END FROM (
+    SELECT o.doc_id, o.rn, o.edit, o.y0, s.tops, list_position(list_transform(s.tops, lambda t: greatest(0.0, 10 - abs(t - o.y0)) / (20 - greatest(0.0, 10 - abs(t - o.y0))) >= 0.6), true) AS hit FROM s JOIN o ON o.doc_id = s.doc_id AND o.rn = s.rn + 1) x)
+SELECT doc_id, edit, item, replaced FROM s""",
     "i_job_expiry": """
 WITH g AS (SELECT user_id AS job, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1800 SECOND - INTERVAL 1 MICROSECOND OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
 s AS (SELECT job, ts, sum(fresh) OVER (PARTITION BY job ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
