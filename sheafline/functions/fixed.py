@@ -33,6 +33,10 @@ SECTION = r"(?i)^\s*(?:part|section)\s*[-–—:.]?\s*([ivxlcdm]+|[a-z]|\d{1,2})
 FOLIO = r"(?i)^(?:\d{1,4}|\d{1,4}\s*/\s*\d{1,4}|page\s*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?|[-–—]\s*\d{1,4}\s*[-–—])$"
 OPTION_START = r"^\s*\(?\s*[A-Da-d]\s*[.)]"
 KEY_CELL = r"^\s*(\d{1,3})\s*[.)\-:]?\s*\(?\s*([A-Ea-e1-5])\s*\)?\s*$"
+# Key pairs, openers of numbered solutions, labelled answers.
+KEY_PAIR = r"(?i)(?:^|[\s,;|])(?:Q\.?\s*)?(\d{1,3})\s*[.)\-:]?\s*\(?\s*([A-D])\s*\)?(?=$|[\s,;|])"
+SOLUTION_OPENER = r"(?i)^\s*(?:(?:Q|Sol(?:ution)?|Ans(?:wer)?)\.?\s*(\d{1,3})|(\d{1,3})\s*[.)])"
+LABELLED_ANSWER = r"(?i)\b(?:ans(?:wer)?|correct\s*(?:option|answer|choice)?|sol(?:ution)?|key|option)\b\s*(?:is|:|-|=|\.|\))*\s*\(?\s*([A-D])\s*\)?(?:[^A-Za-z]|$)"
 
 
 def quoted(values: tuple[str, ...]) -> str:

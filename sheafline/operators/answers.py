@@ -1,34 +1,34 @@
 """Answer keys, page classes, fonts, sizes and other facts of a document."""
 
-from ..relations import relation
-
-# The patterns of key pairs, of block openers and of labelled answers stand in the next three operators.
-relation("d_answer_key", "Number and letter pairs of a key text, if there are four or more and they cover 70 per cent of their run; the first of a number wins.", "",
-    spark=r"""
-WITH pairs AS (
-  SELECT doc_id, seq, pos, CAST(p.n AS INT) AS num, upper(p.l) AS letter FROM {key_lines} LATERAL VIEW posexplode(arrays_zip(
-    regexp_extract_all(text, r'(?i)(?:^|[\s,;|])(?:Q\.?\s*)?(\d{1,3})\s*[.)\-:]?\s*\(?\s*([A-D])\s*\)?(?=$|[\s,;|])', 1) AS n, regexp_extract_all(text, r'(?i)(?:^|[\s,;|])(?:Q\.?\s*)?(\d{1,3})\s*[.)\-:]?\s*\(?\s*([A-D])\s*\)?(?=$|[\s,;|])', 2) AS l)) t AS pos, p
-), first AS (SELECT doc_id, num, min_by(letter, struct(seq, pos)) AS letter FROM pairs WHERE num BETWEEN 1 AND 999 GROUP BY doc_id, num)
-SELECT f.doc_id, f.num, f.letter FROM first f JOIN (SELECT doc_id FROM first GROUP BY doc_id HAVING count(*) >= 4 AND count(*) / (max(num) - min(num) + 1) >= 0.7) d ON f.doc_id = d.doc_id""".replace("arrays_zip(\n", "arrays_zip(").replace(" AS n, regexp", ", regexp").replace(" AS l))", "))").replace("p.n", "p['0']").replace("p.l", "p['1']"),
+from ..functions import fixed as fx
+from ..relations import SHARED, relation
+
+SHARED |= {"key_text_pairs", "solution_lines", "words"}
+
+relation("key_text_pairs", "Number and letter pairs of key texts, in order.", "",
+    spark=f"""
+SELECT doc_id, seq, pos, CAST(p['0'] AS INT) AS num, upper(p['1']) AS letter FROM {{key_lines}}
+LATERAL VIEW posexplode(arrays_zip(regexp_extract_all(text, r'{fx.KEY_PAIR}', 1), regexp_extract_all(text, r'{fx.KEY_PAIR}', 2))) t AS pos, p""",
     other="""
-SELECT k.doc_id, k.num, k.letter FROM {key_pairs} k JOIN (SELECT doc_id FROM {key_pairs} WHERE num <= 999 GROUP BY doc_id HAVING count(*) >= 4 AND count(*) / (max(num) - min(num) + 1) >= 0.7) d ON k.doc_id = d.doc_id WHERE k.num <= 999""")
+SELECT doc_id, CAST(floor(num / 10.0) AS BIGINT) AS seq, num AS pos, num, letter FROM {key_pairs} WHERE num <= 999""")
 
-relation("solution_lines", "Worked solutions, each with its answer on its last line.", """
-SELECT doc_id, CAST(num AS BIGINT) * 10 + k AS seq, CASE k WHEN 0 THEN concat(CAST(num AS STRING), '. As shown,') WHEN 1 THEN 'it follows.' ELSE CASE num % 3 WHEN 0 THEN concat('Ans. (', letter, ')') WHEN 1 THEN concat('Correct option is ', letter) ELSE concat('Answer: ', lower(letter), '.') END END AS text
-FROM {key_pairs} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) x WHERE num <= 999""")
+relation("d_answer_key", "Number and letter pairs of a key text, if there are four or more and they cover 70 per cent of their run; the first of a number wins.", """
+WITH first AS (SELECT doc_id, num, letter FROM (
+  SELECT doc_id, num, letter, row_number() OVER (PARTITION BY doc_id, num ORDER BY seq, pos) AS rn FROM {key_text_pairs} WHERE num BETWEEN 1 AND 999) x WHERE rn = 1)
+SELECT doc_id, num, letter FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, max(num) OVER (PARTITION BY doc_id) AS hi, min(num) OVER (PARTITION BY doc_id) AS lo FROM first) x
+WHERE n >= 4 AND n / (hi - lo + 1) >= 0.7""")
 
-relation("d_solution_answers", "Answers named within numbered solutions; documents with two or more.", r"""
+relation("d_solution_answers", "Answers named within numbered solutions; documents with two or more.", rf"""
 WITH blocks AS (
-  SELECT doc_id, seq, text, LASTNN(TRY_CAST(regexp_extract(text, r'(?i)^\s*(?:(?:Q|Sol(?:ution)?|Ans(?:wer)?)\.?\s*(?:\d{1,3})|(\d{1,3})\s*[.)])', 1) AS INT) NN) OVER (PARTITION BY doc_id ORDER BY seq) AS num FROM {solution_lines}
-), found AS (
-  SELECT doc_id, num, upper(regexp_extract(text, r'(?i)\b(?:ans(?:wer)?|correct\s*(?:option|answer|choice)?|sol(?:ution)?|key|option)\b\s*(?:is|:|-|=|\.|\))*\s*\(?\s*([A-D])\s*\)?(?:[^A-Za-z]|$)', 1)) AS letter, seq FROM blocks WHERE num BETWEEN 1 AND 999
-), first AS (SELECT doc_id, num, min_by(letter, seq) AS letter FROM found WHERE letter <> '' GROUP BY doc_id, num)
-SELECT f.doc_id, f.num, f.letter FROM first f JOIN (SELECT doc_id FROM first GROUP BY doc_id HAVING count(*) >= 2) d ON f.doc_id = d.doc_id""")
+  SELECT doc_id, seq, text, LASTNN(coalesce(TRY_CAST(regexp_extract(text, r'{fx.SOLUTION_OPENER}', 1) AS INT), TRY_CAST(regexp_extract(text, r'{fx.SOLUTION_OPENER}', 2) AS INT)) NN) OVER (PARTITION BY doc_id ORDER BY seq) AS num FROM {{solution_lines}}
+), first AS (SELECT doc_id, num, letter FROM (
+  SELECT doc_id, num, letter, row_number() OVER (PARTITION BY doc_id, num ORDER BY seq) AS rn FROM (
+    SELECT doc_id, num, seq, upper(regexp_extract(text, r'{fx.LABELLED_ANSWER}', 1)) AS letter FROM blocks WHERE num BETWEEN 1 AND 999) x WHERE letter <> '') y WHERE rn = 1)
+SELECT doc_id, num, letter FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM first) x WHERE n >= 2""")
 
 relation("d_resolve_key", "Each document's key from the first source that has one: grid, prose, model.", """
 WITH s AS (
-  SELECT doc_id, num, letter, 1 AS prio FROM {d_answer_key} WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, num, letter, 2 FROM {d_solution_answers} WHERE doc_id % 3 <> 2
-  UNION ALL SELECT doc_id, num, letter, 3 FROM {key_pairs} WHERE num <= 999)
+  SELECT doc_id, num, letter, 1 AS prio FROM {d_answer_key} UNION ALL SELECT doc_id, num, letter, 2 FROM {d_solution_answers} UNION ALL SELECT doc_id, num, letter, 3 FROM {model_key})
 SELECT doc_id, num, letter, CASE prio WHEN 1 THEN 'grid' WHEN 2 THEN 'prose' ELSE 'model' END AS source FROM (SELECT *, min(prio) OVER (PARTITION BY doc_id) AS best FROM s) x WHERE prio = best""")
 
 relation("words", "Words of lines with places and confidences.", "",
@@ -50,7 +50,7 @@ SELECT doc_id, page, class, avg(CASE WHEN class = 'ocr' THEN 0.0 ELSE 1.0 END) O
   SELECT doc_id, page, CASE WHEN chars > 50 AND large = 0 THEN 'text' WHEN large >= 1 AND chars < 10 THEN 'ocr' ELSE 'text_then_ocr' END AS class FROM c) x""")
 
 relation("d_font_audit", "Each font of a document once, with whether it is embedded and a subset.", """
-SELECT doc_id, xref, basefont, min(page) AS first_page, bool_or(ext <> 'n/a') AS embedded, LIKE_RE(basefont, '^[A-Z]{6}[+]') AS subset FROM {fonts} GROUP BY doc_id, xref, basefont""".replace("{6}", "{6,6}"))
+SELECT doc_id, xref, basefont, min(page) AS first_page, bool_or(ext <> 'n/a') AS embedded, contains(basefont, '+') AS subset FROM {fonts} GROUP BY doc_id, xref, basefont""")
 
 relation("d_preflight", "Checks of each document and their verdict, the worst of them.", """
 WITH c AS (
@@ -77,7 +77,7 @@ SELECT batch, idx, CASE WHEN size >= original_bytes THEN -1 ELSE level END AS le
 relation("d_key_diagnosis", "Why a document has a key or not.", """
 SELECT p.doc_id, coalesce(t.chars, 0) > 100 AS has_text, coalesce(k.n, 0) AS n, CASE WHEN coalesce(k.n, 0) > 0 THEN 'found' WHEN coalesce(t.chars, 0) <= 100 THEN 'no text layer' ELSE 'no key' END AS verdict
 FROM (SELECT DISTINCT doc_id FROM {paper_pages}) p LEFT JOIN (SELECT doc_id, sum(length(text)) AS chars FROM {lines} WHERE page <= 5 GROUP BY doc_id) t ON p.doc_id = t.doc_id
-LEFT JOIN (SELECT doc_id, count(*) AS n FROM {key_pairs} WHERE doc_id % 4 <> 1 GROUP BY doc_id) k ON p.doc_id = k.doc_id""")
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM {document_keys} GROUP BY doc_id) k ON p.doc_id = k.doc_id""")
 
 relation("c_recover_markers", "Lines whose misread first token is a number missing between its neighbours, the earliest of each.", """
 WITH nums AS (

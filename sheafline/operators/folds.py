@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..relations import built, relation
 
-_INTER = "greatest(0.0D, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0.0D, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0))"
+_INTER = "greatest(0E0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0E0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0))"
 _AREA = "({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0)"
 
 
@@ -23,37 +23,75 @@ def _iou(a: str, b: str) -> str:
     return f"({i}) / ({_AREA.format(a=a)} + {_AREA.format(a=b)} - ({i}))"
 
 
-relation("d_nms", "Boxes of a page and label without those that a better-scored kept one overlaps by half.", f"""
-SELECT doc_id, page, label, inline(aggregate(b, slice(b, 1, 0), (kept, r) -> CASE WHEN exists(kept, k -> {_iou("k", "r")} >= 0.5D) THEN kept ELSE array_append(kept, r) END))
-FROM (SELECT doc_id, page, label, array_sort(collect_list(struct(-score AS neg_score, box_id, x0, y0, x1, y1))) AS b FROM {{boxes}} GROUP BY doc_id, page, label) x""", exact=False)
-
-relation("c_iou_dedupe", "Items of a side without those that overlap a kept one by 0.6 of their union; a larger one takes the kept one's place.", f"""
-SELECT doc_id, is_solution, inline(aggregate(b, slice(b, 1, 0), (kept, r) -> CASE WHEN exists(kept, k -> k.page = r.page AND {_iou("k", "r")} >= 0.6D)
-  THEN transform(kept, (k, i) -> CASE WHEN i = array_position(transform(kept, z -> z.page = r.page AND {_iou("z", "r")} >= 0.6D), true) - 1 AND r.y1 - r.y0 > k.y1 - k.y0 THEN r ELSE k END)
+def _rows(fields: dict[str, str], i: int) -> str:
+    """The sorted array of a group's rows; its fields are the order. i: 0 Spark, 1 the other engine."""
+    if i:
+        return "list_sort(list(struct_pack(" + ", ".join(f"{n} := {e}" for n, e in fields.items()) + ")))"
+    return "array_sort(collect_list(struct(" + ", ".join(f"{e} AS {n}" for n, e in fields.items()) + ")))"
+
+
+def _greedy(name: str, doc: str, source: str, keys: str, fields: dict[str, str], hit: str) -> None:
+    """Register a fold that drops a row where `hit`, a test of a kept row {k} and the row {r}, holds for some kept row."""
+    groups = [f"(SELECT {keys}, {_rows(fields, i)} AS b FROM {{{source}}} GROUP BY {keys}) x" for i in (0, 1)]
+    cols = ", ".join(f"r.{n}" for n in fields)
+    relation(name, doc, "",
+        spark=f"""
+SELECT {keys}, inline(aggregate(b, slice(b, 1, 0), (kept, r) -> CASE WHEN exists(kept, k -> {hit.format(k="k", r="r")}) THEN kept ELSE array_append(kept, r) END)) FROM {groups[0]}""",
+        other=f"""
+SELECT {keys}, {cols} FROM (SELECT {keys}, unnest(list_reduce(list_transform(b, lambda r: [r]), lambda kept, r: CASE WHEN len(list_filter(kept, lambda k: {hit.format(k="k", r="r[1]")})) > 0 THEN kept ELSE list_concat(kept, r) END)) AS r
+FROM {groups[1]}) y""")
+
+
+_BOX = {c: c for c in ("x0", "y0", "x1", "y1")}
+_greedy("d_nms", "Boxes of a page and label without those that a better-scored kept one overlaps by half.", "boxes", "doc_id, page, label",
+    {"neg_score": "-score", "box_id": "box_id", **_BOX}, _iou("{k}", "{r}") + " >= 0.5E0")
+_greedy("c_drop_nested_rects", "Rectangles of a page that lie in no larger kept one, one unit of play.", "boxes", "doc_id, page",
+    {"neg_area": "-(x1 - x0) * (y1 - y0)", "box_id": "box_id", **_BOX}, "{r}.x0 >= {k}.x0 - 1 AND {r}.x1 <= {k}.x1 + 1 AND {r}.y0 >= {k}.y0 - 1 AND {r}.y1 <= {k}.y1 + 1")
+_greedy("d_merge_batches", "Segments of an item found by overlapping page batches, without those within three per cent of a kept one of the page.", "segments",
+    "doc_id, q_num, is_solution", {c: c for c in ("page", "y0", "y1", "item", "seg")}, "{k}.page = {r}.page AND abs({k}.y0 - {r}.y0) < 3 AND abs({k}.y1 - {r}.y1) < 3")
+
+_ITEM = {c: c for c in ("item", "page", "x0", "y0", "x1", "y1")}
+_ALIKE = "{k}.page = {r}.page AND " + _iou("{k}", "{r}") + " >= 0.6E0"
+relation("c_iou_dedupe", "Items of a side without those that overlap a kept one by 0.6 of their union; a larger one takes the kept one's place.", "",
+    spark=f"""
+SELECT doc_id, is_solution, inline(aggregate(b, slice(b, 1, 0), (kept, r) -> CASE WHEN exists(kept, k -> {_ALIKE.format(k="k", r="r")})
+  THEN transform(kept, (k, i) -> CASE WHEN i = array_position(transform(kept, z -> {_ALIKE.format(k="z", r="r")}), true) - 1 AND r.y1 - r.y0 > k.y1 - k.y0 THEN r ELSE k END)
   ELSE array_append(kept, r) END))
-FROM (SELECT doc_id, is_solution, array_sort(collect_list(struct(item, page, x0, y0, x1, y1))) AS b FROM {{segments}} WHERE seg = 0 GROUP BY doc_id, is_solution) x""", exact=False)
-
-relation("c_drop_nested_rects", "Rectangles of a page that lie in no larger kept one, one unit of play.", """
-SELECT doc_id, page, inline(aggregate(b, slice(b, 1, 0), (kept, r) -> CASE WHEN exists(kept, k -> r.x0 >= k.x0 - 1 AND r.x1 <= k.x1 + 1 AND r.y0 >= k.y0 - 1 AND r.y1 <= k.y1 + 1) THEN kept ELSE array_append(kept, r) END))
-FROM (SELECT doc_id, page, array_sort(collect_list(struct(-(x1 - x0) * (y1 - y0) AS neg_area, box_id, x0, y0, x1, y1))) AS b FROM {boxes} GROUP BY doc_id, page) x""", exact=False)
-
-relation("d_merge_batches", "Segments of an item found by overlapping page batches, without those within three per cent of a kept one of the page.", """
-SELECT doc_id, q_num, is_solution, inline(aggregate(b, slice(b, 1, 0), (kept, r) -> CASE WHEN exists(kept, k -> k.page = r.page AND abs(k.y0 - r.y0) < 3 AND abs(k.y1 - r.y1) < 3) THEN kept ELSE array_append(kept, r) END))
-FROM (SELECT doc_id, q_num, is_solution, array_sort(collect_list(struct(page, y0, y1, item, seg))) AS b FROM {segments} GROUP BY doc_id, q_num, is_solution) x""", exact=False)
-
-relation("e_recover_chain", "Missing numbers that a candidate line can fill, where a neighbour is present or was itself recovered.", """
-WITH p AS (SELECT doc_id, is_solution, collect_set(CAST(q_num AS INT)) AS present FROM {sparse_items} GROUP BY doc_id, is_solution),
-c AS (SELECT doc_id, is_solution, collect_set(CAST(q_num AS INT)) AS candidates FROM {items} WHERE item % 3 = 0 GROUP BY doc_id, is_solution),
-m AS (SELECT p.*, coalesce(c.candidates, array()) AS candidates, array_except(sequence(array_min(present), array_max(present)), present) AS missing FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.is_solution = c.is_solution WHERE size(present) >= 3)
+FROM (SELECT doc_id, is_solution, {_rows(_ITEM, 0)} AS b FROM {{segments}} WHERE seg = 0 GROUP BY doc_id, is_solution) x""",
+    other=f"""
+SELECT doc_id, is_solution, {", ".join(f"r.{c}" for c in _ITEM)} FROM (SELECT doc_id, is_solution, unnest(list_reduce(list_transform(b, lambda r: [r]), lambda kept, r:
+  CASE WHEN len(list_filter(kept, lambda k: {_ALIKE.format(k="k", r="r[1]")})) > 0
+  THEN list_transform(kept, lambda k, i: CASE WHEN i = list_position(list_transform(kept, lambda z: {_ALIKE.format(k="z", r="r[1]")}), true) AND r[1].y1 - r[1].y0 > k.y1 - k.y0 THEN r[1] ELSE k END)
+  ELSE list_concat(kept, r) END)) AS r
+FROM (SELECT doc_id, is_solution, {_rows(_ITEM, 1)} AS b FROM {{segments}} WHERE seg = 0 GROUP BY doc_id, is_solution) x) y""")
+
+_MISSING = """
+WITH p AS (SELECT doc_id, is_solution, COLLECT_SET(CAST(q_num AS INT)) AS present, min(CAST(q_num AS INT)) AS lo, max(CAST(q_num AS INT)) AS hi FROM {{items}} GROUP BY doc_id, is_solution),
+c AS (SELECT doc_id, is_solution, COLLECT_SET(CAST(num AS INT)) AS candidates FROM {{chain_candidates}} GROUP BY doc_id, is_solution),
+m AS (SELECT p.doc_id, p.is_solution, p.present, c.candidates, {missing} AS missing FROM p JOIN c ON p.doc_id = c.doc_id AND p.is_solution = c.is_solution WHERE SIZE(p.present) >= 3)"""
+relation("e_recover_chain", "Missing numbers that a candidate line can fill, where a neighbour is present or was itself recovered.", "",
+    spark=_MISSING.format(missing="array_except(sequence(lo, hi), present)") + """
 SELECT doc_id, is_solution, explode(array_except(aggregate(array_sort(missing), present, (kept, n) -> CASE WHEN array_contains(candidates, n) AND (array_contains(kept, n - 1) OR array_contains(kept, n + 1)) THEN array_append(kept, n) ELSE kept END), present)) AS num
-FROM m""", exact=False)
-
-relation("d_baseline_lines", "Lines of a page from words: a word joins the line whose middle it is within 45 per cent of its height of, and widens it.", """
+FROM m""",
+    other=_MISSING.format(missing="list_filter(list_transform(generate_series(lo, hi), lambda n: CAST(n AS INT)), lambda n: NOT list_contains(present, n))") + """
+SELECT doc_id, is_solution, unnest(list_filter(list_reduce(list_concat([present], list_transform(missing, lambda n: [n])), lambda kept, n:
+  CASE WHEN list_contains(candidates, n[1]) AND (list_contains(kept, n[1] - 1) OR list_contains(kept, n[1] + 1)) THEN list_concat(kept, n) ELSE kept END), lambda n: NOT list_contains(present, n))) AS num
+FROM m""")
+
+_WORD = {c: c for c in ("y0", "x0", "y1", "seq", "pos")}
+relation("d_baseline_lines", "Lines of a page from words: a word joins the line whose middle it is within 45 per cent of its height of, and widens it.", "",
+    spark=f"""
 SELECT doc_id, page, inline(aggregate(b, transform(slice(b, 1, 0), r -> named_struct('y0', r.y0, 'y1', r.y1, 'n', 0L)), (kept, r) -> CASE
-  WHEN size(kept) > 0 AND abs((r.y0 + r.y1) / 2 - (element_at(kept, -1).y0 + element_at(kept, -1).y1) / 2) <= 0.45D * greatest(r.y1 - r.y0, element_at(kept, -1).y1 - element_at(kept, -1).y0)
+  WHEN size(kept) > 0 AND abs((r.y0 + r.y1) / 2 - (element_at(kept, -1).y0 + element_at(kept, -1).y1) / 2) <= 0.45E0 * greatest(r.y1 - r.y0, element_at(kept, -1).y1 - element_at(kept, -1).y0)
   THEN array_append(slice(kept, 1, size(kept) - 1), named_struct('y0', least(r.y0, element_at(kept, -1).y0), 'y1', greatest(r.y1, element_at(kept, -1).y1), 'n', element_at(kept, -1).n + 1L))
   ELSE array_append(kept, named_struct('y0', r.y0, 'y1', r.y1, 'n', 1L)) END))
-FROM (SELECT doc_id, page, array_sort(collect_list(struct(y0, x0, y1, seq, pos))) AS b FROM {words} GROUP BY doc_id, page) x""", exact=False)
+FROM (SELECT doc_id, page, {_rows(_WORD, 0)} AS b FROM {{words}} GROUP BY doc_id, page) x""",
+    other=f"""
+SELECT doc_id, page, r.y0, r.y1, r.n FROM (SELECT doc_id, page, unnest(list_reduce(list_transform(b, lambda r: [struct_pack(y0 := r.y0, y1 := r.y1, n := CAST(1 AS BIGINT))]), lambda kept, r:
+  CASE WHEN abs((r[1].y0 + r[1].y1) / 2 - (kept[-1].y0 + kept[-1].y1) / 2) <= 0.45E0 * greatest(r[1].y1 - r[1].y0, kept[-1].y1 - kept[-1].y0)
+  THEN list_concat(kept[1:len(kept) - 1], [struct_pack(y0 := least(r[1].y0, kept[-1].y0), y1 := greatest(r[1].y1, kept[-1].y1), n := kept[-1].n + 1)])
+  ELSE list_concat(kept, r) END)) AS r
+FROM (SELECT doc_id, page, {_rows(_WORD, 1)} AS b FROM {{words}} GROUP BY doc_id, page) x) y""")
 
 relation("d_words_to_lines", "Lines from words, those of a block, paragraph and line joined in order.", "",
     spark="""SELECT doc_id, page, seq, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, array_join(transform(array_sort(collect_list(struct(pos, word))), x -> x.word), ' ') AS text FROM {words} WHERE trim(word) <> '' GROUP BY doc_id, page, seq""",
@@ -123,8 +161,18 @@ def bilingual_boxes(boxes: DataFrame) -> DataFrame:
 
 
 built("d_cluster_rects", "Clusters of figures no further apart than three per cent of the page.", ["figures"], cluster_rects)
-built("c_bilingual_nearest", "Items paired with the nearest across the page's middle.", ["segments"], bilingual_nearest)
-built("c_bilingual_boxes", "Boxes paired across the page's middle.", ["boxes"], bilingual_boxes)
+#: Each left row in order takes the nearest free right one; the fold's state is the pairs made so far.
+_PAIRS = """
+WITH rows AS (SELECT {keys}, {id} AS id, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM {{{source}}} {where}),
+sides AS (SELECT {keys}, list_sort(list(struct_pack(y := y, id := id)) FILTER (WHERE x < 50 - {play})) AS lefts, list(struct_pack(y := y, id := id)) FILTER (WHERE x > 50 + {play}) AS rights FROM rows GROUP BY {keys}),
+made AS (SELECT {keys}, list_reduce(list_concat([[struct_pack(y := CAST(0 AS DOUBLE), id := CAST(-1 AS BIGINT), other := CAST(-1 AS BIGINT))]], list_transform(lefts, lambda l: [struct_pack(y := l.y, id := CAST(l.id AS BIGINT), other := CAST(-1 AS BIGINT))])),
+  lambda kept, l: list_append(kept, struct_pack(y := l[1].y, id := l[1].id, other := coalesce(list_sort(list_transform(list_filter(rights, lambda r: NOT list_contains(list_transform(kept, lambda q: q.other), r.id)), lambda r: struct_pack(d := abs(r.y - l[1].y), y := r.y, id := CAST(r.id AS BIGINT))))[1], struct_pack(d := CAST(1e9 AS DOUBLE), y := CAST(0 AS DOUBLE), id := CAST(-1 AS BIGINT))).id * CAST(coalesce(list_min(list_transform(list_filter(rights, lambda r: NOT list_contains(list_transform(kept, lambda q: q.other), r.id)), lambda r: abs(r.y - l[1].y))) <= {tolerance}, false) AS INT) - CAST(NOT coalesce(list_min(list_transform(list_filter(rights, lambda r: NOT list_contains(list_transform(kept, lambda q: q.other), r.id)), lambda r: abs(r.y - l[1].y))) <= {tolerance}, false) AS INT)))) AS pairs
+  FROM sides WHERE lefts IS NOT NULL AND rights IS NOT NULL)
+SELECT {keys}, p.id AS first, p.other AS second FROM (SELECT {keys}, unnest(pairs) AS p FROM made) z WHERE p.other >= 0"""
+built("c_bilingual_nearest", "Items paired with the nearest across the page's middle.", ["segments"], bilingual_nearest,
+    other=_PAIRS.format(keys="doc_id, page, is_solution", id="item", source="segments", where="WHERE seg = 0", play=2, tolerance="6.0"))
+built("c_bilingual_boxes", "Boxes paired across the page's middle.", ["boxes"], bilingual_boxes,
+    other=_PAIRS.format(keys="doc_id, page, label", id="box_id", source="boxes", where="", play=0, tolerance="10.0"))
 
 
 def score_pages(pages: DataFrame, score: callable, schema: str = "doc_id long, page int, raw string") -> DataFrame:

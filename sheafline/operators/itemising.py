@@ -5,7 +5,7 @@ from ..relations import SHARED, relation
 
 SHARED |= {
     "lines", "paper_pages", "page_lines", "b_tag_markers", "b_tag_headers", "e_section_state", "c_column_of", "sided_markers", "e_reading_order",
-    "e_dedupe_close", "e_row_top", "item_bounds", "d_find_furniture", "column_lines", "c_assign_lines", "indented_markers",
+    "e_dedupe_close", "e_row_top", "item_bounds", "d_find_furniture", "column_lines", "c_assign_lines", "indented_markers", "d_columns_fixed",
 }
 
 W, H = 640, 800  # the fixtures' page

@@ -3,7 +3,7 @@
 from ..functions import fixed as fx
 from ..relations import SHARED, relation
 
-SHARED |= {"strokes"}
+SHARED |= {"strokes", "figures", "placed_figures"}
 
 relation("brand_bands", "Heights of branding links.", f"""
 SELECT doc_id, page, y0, y1 FROM {{links}} WHERE {" OR ".join(f"contains(lower(uri), '{h}')" for h in fx.BRANDING_HOSTS)}""")
@@ -38,12 +38,17 @@ k AS (SELECT f.doc_id, f.page, f.fig_id, count(*) AS n, count_if(s.x1 - s.x0 < 0
 SELECT f.doc_id, f.page, f.fig_id FROM {figures} f LEFT JOIN t ON t.doc_id = f.doc_id AND t.page = f.page AND t.fig_id = f.fig_id LEFT JOIN k ON k.doc_id = f.doc_id AND k.page = f.page AND k.fig_id = f.fig_id
 WHERE NOT (coalesce(t.n, 0) > 3 OR coalesce(t.area, 0) > 0.18 * (f.x1 - f.x0) * (f.y1 - f.y0)) OR (coalesce(k.n, 0) >= 8 AND k.short >= 0.6 * k.n)""")
 
+relation("placed_figures", "Each figure's place as shares of the page, in its cell of 2 per cent and those beside it; figures at one place are compared as one.", """
+SELECT *, EXPLODE(SEQ(cell - 1, cell + 1)) AS near FROM (
+  SELECT doc_id, page, fig_id, x0 / 640 AS a, x1 / 640 AS b, y0 / 800 AS c, y1 / 800 AS d, CAST(floor(x0 / 640 / 0.02) AS INT) AS cell FROM {figures}) x""")
+
 relation("c_watermarks", "Figures that do not stand at one place on at least half of a document's pages, or three.", """
 WITH n AS (SELECT doc_id, greatest(3, BROUND(max(page) / 2.0, 0)) AS least_pages FROM {figures} GROUP BY doc_id),
-g AS (SELECT *, x0 / 640 AS a, x1 / 640 AS b, y0 / 800 AS c, y1 / 800 AS d, CAST(floor(x0 / 640 / 0.02) AS INT) AS cell FROM {figures}),
-m AS (SELECT doc_id, page, fig_id, count(DISTINCT other) AS pages FROM (
-  SELECT f.doc_id, f.page, f.fig_id, o.page AS other FROM (SELECT *, EXPLODE(SEQ(cell - 1, cell + 1)) AS near FROM g) f JOIN g o ON o.doc_id = f.doc_id AND o.cell = f.near
-    AND abs(o.a - f.a) <= 0.02 AND abs(o.b - f.b) <= 0.02 AND abs(o.c - f.c) <= 0.02 AND abs(o.d - f.d) <= 0.02) x GROUP BY doc_id, page, fig_id)
+g AS (SELECT doc_id, a, b, c, d, cell, COLLECT_SET(page) AS on_pages FROM {placed_figures} WHERE near = cell GROUP BY doc_id, a, b, c, d, cell),
+p AS (SELECT DISTINCT doc_id, a, b, c, d, near FROM {placed_figures}),
+k AS (SELECT f.doc_id, f.a, f.b, f.c, f.d, SIZE(ADISTINCT(flatten(COLLECT(o.on_pages)))) AS pages FROM p f JOIN g o ON o.doc_id = f.doc_id AND o.cell = f.near
+    AND abs(o.a - f.a) <= 0.02 AND abs(o.b - f.b) <= 0.02 AND abs(o.c - f.c) <= 0.02 AND abs(o.d - f.d) <= 0.02 GROUP BY f.doc_id, f.a, f.b, f.c, f.d),
+m AS (SELECT f.doc_id, f.page, f.fig_id, k.pages FROM {placed_figures} f JOIN k ON f.doc_id = k.doc_id AND f.a = k.a AND f.b = k.b AND f.c = k.c AND f.d = k.d WHERE f.near = f.cell)
 SELECT m.doc_id, m.page, m.fig_id FROM m JOIN n ON m.doc_id = n.doc_id WHERE m.pages < n.least_pages""")
 
 relation("c_bilingual_exact", "Pairs of items alike in side and number, on one page, side by side; a document needs two pairs, or one among four numbers.", """

@@ -2,16 +2,17 @@
 
 from ..relations import SHARED, relation
 
-SHARED |= {"segments", "items", "d_extent_stats", "c_overlaps", "cover", "boxes"}
-
-relation("c_overlaps", "Items whose segments overlap a sibling's on a page by 6 per cent of its height.", """
-SELECT DISTINCT doc_id, item FROM (
+SHARED |= {"segments", "items", "d_extent_stats", "c_overlaps", "cover", "boxes", "free_room", "d_expected_numbers", "number_runs"}
+
+relation("c_overlaps", "Items whose segments overlap a sibling's on a page by 6 per cent of its height.", "",
+    spark="""
+SELECT DISTINCT doc_id, EXPLODE(both) AS item FROM (
+  SELECT a.doc_id, array(a.item, b.item) AS both FROM {segments} a JOIN {segments} b ON a.doc_id = b.doc_id AND a.page = b.page AND a.is_solution = b.is_solution AND a.item < b.item
+    AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 6) p""",
+    other="""
+SELECT DISTINCT doc_id, unnest([i, j]) AS item FROM (
   SELECT a.doc_id, a.item AS i, b.item AS j FROM {segments} a JOIN {segments} b ON a.doc_id = b.doc_id AND a.page = b.page AND a.is_solution = b.is_solution AND a.item < b.item
-    AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 6) p
-JOIN (SELECT DISTINCT doc_id AS d, item FROM {segments}) s ON p.doc_id = s.d AND s.item = p.i
-UNION
-SELECT DISTINCT b.doc_id, b.item FROM {segments} a JOIN {segments} b ON a.doc_id = b.doc_id AND a.page = b.page AND a.is_solution = b.is_solution AND a.item < b.item
-    AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 6""")
+    AND least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 6) p""")
 
 relation("d_extent_stats", "Vertical extent of each item and the median of its side.", """
 SELECT doc_id, item, is_solution, extent, median(extent) OVER (PARTITION BY doc_id, is_solution) AS median_extent
@@ -19,12 +20,12 @@ FROM (SELECT doc_id, item, bool_or(is_solution) AS is_solution, sum(greatest(0.0
 
 relation("d_confidence", "A score from 0 to 1 for each item: the product of its signals.", """
 SELECT doc_id, item, BROUND(greatest(0.0, least(1.0, tiny * tall * over * opts * bottom)), 2) AS confidence FROM (
-  SELECT i.doc_id, i.item, CASE WHEN e.extent < 4 THEN 0.2D0 WHEN e.median_extent > 0 AND e.extent < 0.35D0 * e.median_extent AND e.extent < 10 THEN 0.5D0 ELSE 1.0D0 END AS tiny,
-    CASE WHEN i.n_segments = 1 AND e.median_extent > 0 AND e.extent > 2.5D0 * e.median_extent AND e.extent >= 45 THEN 0.6D0 ELSE 1.0D0 END AS tall,
-    CASE WHEN o.item IS NULL THEN 1.0D0 ELSE 0.4D0 END AS over, CASE WHEN length(i.option_labels) BETWEEN 2 AND 3 THEN 0.6D0 ELSE 1.0D0 END AS opts,
-    CASE WHEN i.n_segments = 1 AND b.y1 >= 80 AND e.extent <= 12 THEN 0.3D0 ELSE 1.0D0 END AS bottom
+  SELECT i.doc_id, i.item, CASE WHEN e.extent < 4 THEN 0.2E0 WHEN e.median_extent > 0 AND e.extent < 0.35E0 * e.median_extent AND e.extent < 10 THEN 0.5E0 ELSE 1.0E0 END AS tiny,
+    CASE WHEN i.n_segments = 1 AND e.median_extent > 0 AND e.extent > 2.5E0 * e.median_extent AND e.extent >= 45 THEN 0.6E0 ELSE 1.0E0 END AS tall,
+    CASE WHEN o.item IS NULL THEN 1.0E0 ELSE 0.4E0 END AS over, CASE WHEN length(i.option_labels) BETWEEN 2 AND 3 THEN 0.6E0 ELSE 1.0E0 END AS opts,
+    CASE WHEN i.n_segments = 1 AND b.y1 >= 80 AND e.extent <= 12 THEN 0.3E0 ELSE 1.0E0 END AS bottom
   FROM {items} i JOIN {d_extent_stats} e ON i.doc_id = e.doc_id AND i.item = e.item LEFT JOIN {c_overlaps} o ON i.doc_id = o.doc_id AND i.item = o.item
-  JOIN (SELECT doc_id, item, max(y1) AS y1 FROM {segments} GROUP BY doc_id, item) b ON i.doc_id = b.doc_id AND i.item = b.item) x""".replace("D0", "E0"))
+  JOIN (SELECT doc_id, item, max(y1) AS y1 FROM {segments} GROUP BY doc_id, item) b ON i.doc_id = b.doc_id AND i.item = b.item) x""")
 
 relation("cover", "Each line in per cent with whether some segment holds it: its centre across, its middle within 1.5 per cent.", """
 SELECT l.doc_id, l.page, l.seq, l.y0, l.y1, l.x0, l.x1, EXISTS (SELECT 1 FROM {segments} s WHERE s.doc_id = l.doc_id AND s.page = l.page
@@ -32,15 +33,14 @@ SELECT l.doc_id, l.page, l.seq, l.y0, l.y1, l.x0, l.x1, EXISTS (SELECT 1 FROM {s
 
 relation("c_cover_lines", "Lines that no segment holds.", "SELECT doc_id, page, seq FROM {cover} WHERE NOT covered")
 
+relation("free_room", "How far the page is free below and above each segment, within its width.", """
+SELECT o.doc_id, o.item, o.seg, o.page, o.x0, o.x1, o.y0, o.y1, coalesce(min(CASE WHEN s.y0 >= o.y1 THEN s.y0 END), 96.0) AS bottom, coalesce(max(CASE WHEN s.y1 <= o.y0 THEN s.y1 END), 0.0) AS top
+FROM {segments} o LEFT JOIN {segments} s ON s.doc_id = o.doc_id AND s.page = o.page AND s.item <> o.item AND (s.x0 + s.x1) / 2 BETWEEN o.x0 AND o.x1 AND (s.y0 >= o.y1 OR s.y1 <= o.y0)
+GROUP BY o.doc_id, o.item, o.seg, o.page, o.x0, o.x1, o.y0, o.y1""")
+
 _TAIL = """
-WITH region AS (
-  SELECT o.doc_id, o.item, o.seg, o.page, o.x0, o.x1, o.y0, o.y1, coalesce(min(s.y0), 96.0) AS bottom, coalesce(max(u.y1), 0.0) AS top
-  FROM {{segments}} o LEFT JOIN {{segments}} s ON s.doc_id = o.doc_id AND s.page = o.page AND s.item <> o.item AND (s.x0 + s.x1) / 2 BETWEEN o.x0 AND o.x1 AND s.y0 >= o.y1
-  LEFT JOIN {{segments}} u ON u.doc_id = o.doc_id AND u.page = o.page AND u.item <> o.item AND (u.x0 + u.x1) / 2 BETWEEN o.x0 AND o.x1 AND u.y1 <= o.y0
-  GROUP BY o.doc_id, o.item, o.seg, o.page, o.x0, o.x1, o.y0, o.y1
-)
 SELECT r.doc_id, r.item, r.seg, r.page, min(l.y0) AS y0, max(l.y1) AS y1, sum(l.y1 - l.y0) AS band
-FROM region r JOIN {{cover}} l ON l.doc_id = r.doc_id AND l.page = r.page AND NOT l.covered AND (l.x0 + l.x1) / 2 BETWEEN r.x0 AND r.x1 AND {place}
+FROM {{free_room}} r JOIN (SELECT * FROM {{cover}} WHERE NOT covered) l ON l.doc_id = r.doc_id AND l.page = r.page AND (l.x0 + l.x1) / 2 BETWEEN r.x0 AND r.x1 AND {place}
 GROUP BY r.doc_id, r.item, r.seg, r.page, r.y0, r.y1 HAVING {keep}"""
 relation("d_undercovered", "Segments with uncovered text close below them, and where that stands.",
     _TAIL.format(place="(l.y0 + l.y1) / 2 > r.y1 AND (l.y0 + l.y1) / 2 >= 4 AND (l.y0 + l.y1) / 2 <= r.bottom", keep="min(l.y0) - r.y1 <= 14 AND sum(l.y1 - l.y0) >= 3"))
@@ -49,11 +49,9 @@ relation("d_uncovered_head", "Topmost segments with uncovered text close above t
 
 relation("d_orphan_pages", "Pages with six per cent of text or more far from every segment.", """
 SELECT l.doc_id, l.page, sum(l.y1 - l.y0) AS band FROM {lines_pct} l
-WHERE NOT EXISTS (SELECT 1 FROM {few_segments} s WHERE s.doc_id = l.doc_id AND s.page = l.page AND l.y0 <= s.y1 + 14 AND l.y1 >= s.y0 - 14)
+WHERE NOT EXISTS (SELECT 1 FROM {segments} s WHERE s.doc_id = l.doc_id AND s.page = l.page AND l.y0 <= s.y1 + 14 AND l.y1 >= s.y0 - 14)
 GROUP BY l.doc_id, l.page HAVING sum(l.y1 - l.y0) >= 6""")
 
-relation("few_segments", "Segments of every fortieth item.", "SELECT * FROM {segments} WHERE item % 40 = 0")
-
 relation("e_duplicates", "Items whose number and side an earlier item has.", """
 SELECT doc_id, item, q_num, is_solution FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, is_solution, q_num ORDER BY item) AS rn FROM {items}) x WHERE rn > 1""")
@@ -69,11 +67,11 @@ SELECT i.doc_id, i.item, reason IS NOT NULL AS flagged, reason FROM (
   LEFT JOIN (SELECT DISTINCT doc_id, item FROM {d_uncovered_head}) h ON i.doc_id = h.doc_id AND i.item = h.item) i""")
 
 relation("g_number_gaps", "Numbers missing between a side's lowest and highest.", """
-SELECT r.doc_id, r.is_solution, CAST(r.n AS BIGINT) AS num FROM (
-  SELECT doc_id, is_solution, EXPLODE(SEQ(lo, hi)) AS n FROM (SELECT doc_id, is_solution, min(CAST(q_num AS INT)) AS lo, max(CAST(q_num AS INT)) AS hi FROM {sparse_items} GROUP BY doc_id, is_solution) x) r
-WHERE NOT EXISTS (SELECT 1 FROM {sparse_items} i WHERE i.doc_id = r.doc_id AND i.is_solution = r.is_solution AND CAST(i.q_num AS INT) = r.n)""")
+SELECT r.doc_id, r.is_solution, CAST(r.n AS BIGINT) AS num FROM {number_runs} r
+WHERE NOT EXISTS (SELECT 1 FROM {items} i WHERE i.doc_id = r.doc_id AND i.is_solution = r.is_solution AND CAST(i.q_num AS INT) = r.n)""")
 
-relation("sparse_items", "Every seventh item.", "SELECT * FROM {items} WHERE item % 7 = 3")
+relation("number_runs", "Every number between a side's lowest and highest.", """
+SELECT doc_id, is_solution, EXPLODE(SEQ(lo, hi)) AS n FROM (SELECT doc_id, is_solution, min(CAST(q_num AS INT)) AS lo, max(CAST(q_num AS INT)) AS hi FROM {items} GROUP BY doc_id, is_solution) x""")
 
 relation("d_expected_numbers", "The run of numbers that a key implies.", """
 SELECT doc_id, CAST(n AS BIGINT) AS num FROM (SELECT doc_id, EXPLODE(SEQ(lo, hi)) AS n FROM (SELECT doc_id, min(num) AS lo, max(num) AS hi FROM {key_pairs} GROUP BY doc_id) x) y""")
@@ -121,7 +119,7 @@ SELECT doc_id, page, box_id, label, CAST(row_number() OVER (PARTITION BY doc_id,
 
 relation("e_name_collisions", "File names made different: the second of a name gets _2, the third _3.", """
 SELECT batch, idx, CASE WHEN rn = 1 THEN name ELSE concat(name, '_', CAST(rn AS STRING)) END AS name FROM (
-  SELECT batch, idx, name, row_number() OVER (PARTITION BY batch, lower(name) ORDER BY idx) AS rn FROM (SELECT batch, idx, concat('item', CAST(width % 70 AS STRING)) AS name FROM {files}) x) y""")
+  SELECT batch, idx, name, row_number() OVER (PARTITION BY batch, lower(name) ORDER BY idx) AS rn FROM {named_files}) y""")
 
 relation("e_page_batches", "Pages in windows of four, three apart.", """
 SELECT doc_id, CAST(b AS BIGINT) AS batch, page FROM (SELECT doc_id, page, EXPLODE(SEQ(greatest(0, CAST(ceil((page - 4) / 3.0) AS INT)), CAST(floor((page - 1) / 3.0) AS INT))) AS b FROM {paper_pages} WHERE ceil((page - 4) / 3.0) <= floor((page - 1) / 3.0)) x""")
@@ -141,9 +139,9 @@ UNION ALL
 SELECT doc_id, 'size', concat(CAST(CAST(width AS INT) AS STRING), 'x', CAST(CAST(height AS INT) AS STRING)) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS rn FROM {page_geom}) c WHERE rn <= 20""")
 
 relation("g_scope_pages", "Pages of either scope without the skipped ones; an empty scope stands for all pages.", """
-WITH q AS (SELECT doc_id, page FROM {paper_pages} WHERE page <= last_page / 2), a AS (SELECT doc_id, page FROM {paper_pages} WHERE page > last_page - 2 AND doc_id % 2 = 0),
-all_a AS (SELECT * FROM a UNION SELECT doc_id, page FROM {paper_pages} p WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = p.doc_id))
-SELECT * FROM (SELECT * FROM q UNION SELECT * FROM all_a) s EXCEPT SELECT doc_id, page FROM {paper_pages} WHERE page % 5 = 0""")
+WITH s AS (SELECT doc_id, page FROM {question_scope} UNION SELECT doc_id, page FROM {answer_scope}
+  UNION SELECT doc_id, page FROM {paper_pages} p WHERE NOT EXISTS (SELECT 1 FROM {question_scope} q WHERE q.doc_id = p.doc_id) OR NOT EXISTS (SELECT 1 FROM {answer_scope} a WHERE a.doc_id = p.doc_id))
+SELECT * FROM s EXCEPT SELECT doc_id, page FROM {skipped_pages}""")
 
 relation("d_best_per_output", "For each side and number the item of the largest extent, the first of equals.", """
 SELECT doc_id, is_solution, q_num, item FROM (
@@ -158,19 +156,19 @@ SELECT doc_id, is_solution, CAST(max(CAST(q_num AS INT)) + 1 AS BIGINT) AS next_
 
 relation("d_merge_items", "Selected items of a document made one: the first keeps its number and gets all segments.", """
 SELECT s.doc_id, m.first AS item, CAST(row_number() OVER (PARTITION BY s.doc_id ORDER BY s.page, s.y0, s.x0, s.item, s.seg) AS BIGINT) AS ord, s.page, s.y0, s.y1, s.x0, s.x1
-FROM {segments} s JOIN (SELECT doc_id, min(item) AS first FROM {items} WHERE item % 4 = 1 GROUP BY doc_id) m ON s.doc_id = m.doc_id WHERE s.item % 4 = 1""")
+FROM {segments} s JOIN {selected_items} i ON s.doc_id = i.doc_id AND s.item = i.item JOIN (SELECT doc_id, min(item) AS first FROM {selected_items} GROUP BY doc_id) m ON s.doc_id = m.doc_id""")
 
 relation("c_hit_test", "The topmost segment at each point.", """
 SELECT doc_id, page, px, py, item, seg FROM (
   SELECT p.doc_id, p.page, p.px, p.py, s.item, s.seg, row_number() OVER (PARTITION BY p.doc_id, p.page, p.px, p.py ORDER BY s.item DESC, s.seg DESC) AS rn
-  FROM (SELECT DISTINCT doc_id, page, x0 + 4 AS px, y0 + 3 AS py FROM {segments} WHERE item % 7 = 0) p JOIN {segments} s ON s.doc_id = p.doc_id AND s.page = p.page AND p.px BETWEEN s.x0 AND s.x1 AND p.py BETWEEN s.y0 AND s.y1) x WHERE rn = 1""")
+  FROM {points} p JOIN {segments} s ON s.doc_id = p.doc_id AND s.page = p.page AND p.px BETWEEN s.x0 AND s.x1 AND p.py BETWEEN s.y0 AND s.y1) x WHERE rn = 1""")
 
-relation("c_page_scope", "Items kept by page scope: odd pages ask, even pages answer; segments outside go, items need one.", """
-SELECT doc_id, item, seg, page, CASE WHEN page % 2 = 0 THEN true ELSE is_solution END AS is_solution FROM {segments} WHERE page <= 4""")
+relation("c_page_scope", "Items kept by page scope: what stands on an answers page is a solution; segments outside go, items need one.", """
+SELECT s.doc_id, s.item, s.seg, s.page, p.answers OR s.is_solution AS is_solution FROM {segments} s JOIN {page_scope} p ON s.doc_id = p.doc_id AND s.page = p.page""")
 
 relation("c_select_entries", "Requested pages matched with rendered ones and names by place; a page that was not rendered is rejected.", """
 SELECT r.batch, r.pos, r.page, CASE WHEN p.page IS NULL THEN 'missing' ELSE 'ok' END AS status, concat('page_', lpad(CAST(r.pos AS STRING), 2, '0')) AS stem
-FROM (SELECT batch, CAST(idx % 100 AS INT) AS pos, CAST(width % 13 AS INT) + 1 AS page FROM {files}) r
+FROM {requested_pages} r
 LEFT JOIN (SELECT DISTINCT doc_id, page FROM {paper_pages}) p ON p.doc_id = r.batch AND p.page = r.page""")
 
 relation("c_label_pairs", "Pictures and label files with the same stem.", """
@@ -205,18 +203,18 @@ SELECT s.doc_id, s.item, s.seg, f.link_id, (greatest(s.x0, f.x0 / 6.4 - 0.3125)
 FROM {segments} s JOIN {links} f ON f.doc_id = s.doc_id AND f.page = s.page AND f.x0 / 6.4 - 0.3125 < s.x1 AND f.x1 / 6.4 + 0.3125 > s.x0 AND f.y0 / 8 - 0.25 < s.y1 AND f.y1 / 8 + 0.25 > s.y0""")
 
 relation("c_repair_pages", "Items of a first pass outside weak pages, with a second pass's items on them.", """
-SELECT doc_id, item, 'first' AS pass FROM {segments} s GROUP BY doc_id, item HAVING bool_and((doc_id + page) % 4 <> 0)
-UNION ALL SELECT doc_id, item, 'second' FROM {segments} GROUP BY doc_id, item HAVING bool_or((doc_id + page) % 4 = 0)""")
+SELECT s.doc_id, s.item, 'first' AS pass FROM {segments} s LEFT JOIN {repair_pages} r ON s.doc_id = r.doc_id AND s.page = r.page GROUP BY s.doc_id, s.item HAVING count(r.page) = 0
+UNION ALL SELECT s.doc_id, s.item, 'second' FROM {second_pass} s JOIN {repair_pages} r ON s.doc_id = r.doc_id AND s.page = r.page GROUP BY s.doc_id, s.item""")
 
 relation("c_line_fallback", "Text-layer lines, and OCR lines on pages that have none.", """
-SELECT doc_id, page, seq, 'text' AS origin FROM {lines} WHERE page % 3 <> 0
-UNION ALL SELECT o.doc_id, o.page, o.seq, 'ocr' FROM {lines} o WHERE o.seq % 2 = 0 AND NOT EXISTS (SELECT 1 FROM {lines} t WHERE t.page % 3 <> 0 AND t.doc_id = o.doc_id AND t.page = o.page)""")
+SELECT doc_id, page, seq, 'text' AS origin FROM {text_lines}
+UNION ALL SELECT o.doc_id, o.page, o.seq, 'ocr' FROM {ocr_lines} o WHERE NOT EXISTS (SELECT 1 FROM {text_lines} t WHERE t.doc_id = o.doc_id AND t.page = o.page)""")
 
 relation("c_page_router", "For each page the tier whose items are used: OCR where the page is scanned, or has more items or columns by OCR.", """
-WITH t AS (SELECT doc_id, page, count(*) AS n, count(DISTINCT CASE WHEN (x0 + x1) / 2 >= 50 THEN 1 ELSE 0 END) AS cols FROM {segments} WHERE item % 3 <> 0 GROUP BY doc_id, page),
-o AS (SELECT doc_id, page, count(*) AS n, count(DISTINCT CASE WHEN (x0 + x1) / 2 >= 50 THEN 1 ELSE 0 END) AS cols FROM {segments} WHERE item % 2 = 0 GROUP BY doc_id, page)
-SELECT coalesce(t.doc_id, o.doc_id) AS doc_id, coalesce(t.page, o.page) AS page, CASE WHEN t.page IS NULL OR o.page % 5 = 0 OR o.n > t.n OR o.cols > t.cols THEN 'ocr' ELSE 'text' END AS tier
-FROM t FULL OUTER JOIN o ON t.doc_id = o.doc_id AND t.page = o.page""")
+WITH t AS (SELECT doc_id, page, count(*) AS n, count(DISTINCT CASE WHEN (x0 + x1) / 2 >= 50 THEN 1 ELSE 0 END) AS cols FROM {text_segments} GROUP BY doc_id, page),
+o AS (SELECT doc_id, page, count(*) AS n, count(DISTINCT CASE WHEN (x0 + x1) / 2 >= 50 THEN 1 ELSE 0 END) AS cols FROM {ocr_segments} GROUP BY doc_id, page)
+SELECT coalesce(t.doc_id, o.doc_id) AS doc_id, coalesce(t.page, o.page) AS page, CASE WHEN t.page IS NULL OR o.page IS NOT NULL AND s.page IS NOT NULL OR o.n > t.n OR o.cols > t.cols THEN 'ocr' ELSE 'text' END AS tier
+FROM t FULL OUTER JOIN o ON t.doc_id = o.doc_id AND t.page = o.page LEFT JOIN {scanned_pages} s ON s.doc_id = coalesce(t.doc_id, o.doc_id) AND s.page = coalesce(t.page, o.page)""")
 
 relation("d_gates", "Whether a document's items suffice, and whether they can be trusted without another look.", """
 SELECT doc_id, items / pages >= 0.5 AS sufficient, items / pages >= 0.75 AND (nums < 3 OR coverage >= 0.8) AS confident FROM (
@@ -225,9 +223,7 @@ SELECT doc_id, items / pages >= 0.5 AS sufficient, items / pages >= 0.75 AND (nu
 
 relation("d_pick_method", "For each document the cheapest tier that passes its gates, else the one with most items.", """
 SELECT doc_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN ok THEN 0 ELSE 1 END, CASE WHEN ok THEN prio ELSE -n END, prio) AS rn FROM (
-  SELECT doc_id, 'text' AS tier, 1 AS prio, count(*) AS n, count(*) >= 2 * count(DISTINCT page) AS ok FROM {items} WHERE item % 4 = 0 GROUP BY doc_id
-  UNION ALL SELECT doc_id, 'ocr', 2, count(*), count(*) >= 3 * count(DISTINCT page) FROM {items} WHERE item % 2 = 0 GROUP BY doc_id
-  UNION ALL SELECT doc_id, 'model', 3, count(*), count(*) >= 5 * count(DISTINCT page) FROM {items} GROUP BY doc_id) x) y WHERE rn = 1""")
+  SELECT doc_id, tier, prio, count(*) AS n, count(*) >= enough * count(DISTINCT page) AS ok FROM {tier_items} GROUP BY doc_id, tier, prio, enough) x) y WHERE rn = 1""")
 
 relation("d_language_partition", "Items with a language: the left of a pair first, unpaired ones by side of the page.", """
 SELECT doc_id, item, CASE WHEN n >= 2 AND rn > 1 OR n = 1 AND x0 > 50 THEN 'second' ELSE 'first' END AS lang FROM (
@@ -235,7 +231,7 @@ SELECT doc_id, item, CASE WHEN n >= 2 AND rn > 1 OR n = 1 AND x0 > 50 THEN 'seco
   FROM {items} i JOIN (SELECT doc_id, item, min(x0) AS x0 FROM {segments} GROUP BY doc_id, item) s ON i.doc_id = s.doc_id AND i.item = s.item) x""")
 
 relation("d_queue_status", "Files in a queue counted by status, each path once.", """
-SELECT batch, status, count(*) AS n FROM (SELECT DISTINCT batch, original, CASE WHEN idx%4=0 THEN 'pending' WHEN idx%4=1 THEN 'processing' WHEN idx%4=2 THEN 'done' ELSE 'error' END AS status FROM {files}) x GROUP BY batch, status""")
+SELECT batch, status, count(*) AS n FROM (SELECT DISTINCT batch, original, status FROM {queue}) x GROUP BY batch, status""")
 
 relation("d_snap_boxes", "Boxes drawn in to the lines they hold: right, top and bottom, never the left; boxes without lines stay.", """
 SELECT b.doc_id, b.page, b.box_id, b.x0, least(b.x1, coalesce(max(l.x1) + 0.8, b.x1)) AS x1, greatest(b.y0, coalesce(min(l.y0) - 0.8, b.y0)) AS y0, least(b.y1, coalesce(max(l.y1) + 0.8, b.y1)) AS y1

@@ -2,7 +2,10 @@
 
 from ..functions import fixed as fx
 from ..functions import markers
-from ..relations import built, relation
+from ..relations import SETTINGS, SHARED, built, relation
+
+SHARED |= {"page_parts"}
+SETTINGS |= {"probe": r"^(\d+)[.] (\w+)", "term": "s1", "question_prefix": "Q", "solution_prefix": "S", "first_number": 5, "number_digits": 3, "name_pattern": "(name)_(width)x(sizekb)-#", "name_start": 11, "name_digits": 4}
 
 relation("b_tag_markers", "Item markers: strong (a Q word and number) or weak (a leading number), with the number.", rf"""
 SELECT doc_id, page, seq, y_top, y_bottom, x_left, x_right, CAST(CAST(n AS INT) AS STRING) AS q_num, is_strong
@@ -62,7 +65,7 @@ SELECT spec_id, CAST(page AS INT) AS page, CAST(NULL AS STRING) AS error FROM (
     SELECT spec_id, greatest(least(a, b), 1) AS lo, least(greatest(a, b), max_page) AS hi FROM (
       SELECT spec_id, max_page, TRY_CAST(regexp_extract(part, r'^(\d+)', 1) AS BIGINT) AS a, TRY_CAST(regexp_extract(part, r'(\d+)$', 1) AS BIGINT) AS b FROM {page_parts}
       WHERE ok AND part <> '') p) q WHERE lo <= hi) r
-WHERE spec_id NOT IN (SELECT spec_id FROM {page_parts} WHERE NOT ok)
+WHERE NOT EXISTS (SELECT 1 FROM {page_parts} bad WHERE bad.spec_id = r.spec_id AND NOT bad.ok)
 UNION ALL
 SELECT spec_id, CAST(NULL AS INT), concat('Invalid page range: ', min(part)) FROM {page_parts} WHERE NOT ok GROUP BY spec_id""")
 
@@ -71,13 +74,13 @@ SELECT spec_id, max_page, trim(part) AS part, LIKE_RE(trim(part), r'^(\d+(\s*-\s
 FROM (SELECT spec_id, max_page, EXPLODE(SPLIT(regexp_replace(spec, r'(?i)\bto\b', '-'/*G*/), ',')) AS part FROM {page_specs}) x""")
 
 relation("b_regex_probe", "What a user's pattern matches on each line, and its groups.", r"""
-SELECT doc_id, page, seq, LIKE_RE(text, r'^(\d+)[.] (\w+)') AS matched, regexp_extract(text, r'^(\d+)[.] (\w+)', 1) AS q_num, regexp_extract(text, r'^(\d+)[.] (\w+)', 2) AS second_group
+SELECT doc_id, page, seq, LIKE_RE(text, $(probe)) AS matched, regexp_extract(text, $(probe), 1) AS q_num, regexp_extract(text, $(probe), 2) AS second_group
 FROM {page_lines}""")
 
 relation("b_item_search", "Items whose label, kind or place contains a text, without regard to case.", """
 SELECT doc_id, item, label FROM (SELECT doc_id, item, concat(CASE WHEN is_solution THEN 'S' ELSE 'Q' END, q_num) AS label,
   CASE WHEN is_solution THEN 'Solution' ELSE 'Question' END AS kind, concat('page ', CAST(page AS STRING), ', ', CAST(n_segments AS STRING), ' part(s)') AS sub FROM {items}) x
-WHERE contains(lower(label), 's1') OR contains(lower(kind), 's1') OR contains(lower(sub), 's1')""")
+WHERE contains(lower(label), lower($(term))) OR contains(lower(kind), lower($(term))) OR contains(lower(sub), lower($(term)))""")
 
 relation("b_min_box", "Boxes at least 1.5 per cent wide and high.", """
 SELECT doc_id, page, box_id, x0, x1, y0, y1 FROM {tiny_boxes} WHERE x1 - x0 >= 1.5 AND y1 - y0 >= 1.5""")
@@ -104,12 +107,17 @@ relation("b_image_dpi", "Resolution of each placed image: the lower of its axes.
 SELECT doc_id, page, image_id, BROUND(least(w_px / (w_pt / 72), h_px / (h_pt / 72)), 1) AS dpi FROM {page_images} WHERE w_pt > 0 AND h_pt > 0""")
 
 relation("b_output_name", "File name of each item's picture.", """
-SELECT doc_id, item, concat(CASE WHEN is_solution THEN 'S' ELSE 'Q' END, lpad(CAST(greatest(0, CAST(q_num AS INT) + 5 - 1) AS STRING), 3, '0'), '.png') AS name FROM {items}""")
-
-relation("b_expand_name_tokens", "New stems from a pattern with tokens, unsafe characters replaced.", r"""
-SELECT idx, regexp_replace(replace(replace(replace(replace('(name)_(n)_(width)x(sizekb)', '(name)', stem), '(n)', lpad(CAST(pos AS STRING), 4, '0')), '(width)', CAST(width AS STRING)),
-  '(sizekb)', CAST(CAST(floor(bytes / 1024.0) AS BIGINT) AS STRING)), r'[\\/:*?"<>|]', '_'/*G*/) AS stem, lower(ext) AS ext
-FROM (SELECT *, regexp_replace(original, r'\.[^.]*$', '') AS stem, regexp_extract(original, r'\.([^.]*)$', 1) AS ext, row_number() OVER (PARTITION BY batch ORDER BY idx) + 10 AS pos FROM {files}) x""")
+SELECT doc_id, item, concat(CASE WHEN is_solution THEN $(solution_prefix) ELSE $(question_prefix) END, lpad(CAST(greatest(0, CAST(q_num AS INT) + $(first_number) - 1) AS STRING), $(number_digits), '0'), '.png') AS name FROM {items}""")
+
+relation("b_expand_name_tokens", "New stems from a pattern: each # is the padded number, which is put at the end where there is none; tokens filled in; unsafe characters replaced.", r"""
+SELECT idx, CASE WHEN trim(made) = '' THEN number ELSE trim(made) END AS stem, ext FROM (
+  SELECT idx, number, ext, regexp_replace(replace(replace(replace(CASE WHEN contains(pattern, '#') THEN replace(pattern, '#', number) ELSE concat(pattern, number) END,
+    '(name)', stem), '(width)', CAST(width AS STRING)), '(sizekb)', CAST(CAST(floor(bytes / 1024.0) AS BIGINT) AS STRING)), r'[\\/:*?"<>|]+', '_'/*G*/) AS made FROM (
+    SELECT idx, width, bytes, CASE WHEN LIKE_RE(original, r'[^.].*\.') THEN regexp_replace(original, r'\.[^.]*$', '') ELSE original END AS stem,
+      CASE WHEN LIKE_RE(original, r'[^.].*\.') THEN lower(regexp_extract(original, r'\.([^.]*)$', 1)) ELSE '' END AS ext,
+      CASE WHEN trim($(name_pattern)) = '' THEN '#' ELSE trim($(name_pattern)) END AS pattern,
+      CASE WHEN length(n) < $(name_digits) THEN lpad(n, $(name_digits), '0') ELSE n END AS number
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY batch ORDER BY idx) - 1 + $(name_start) AS STRING) AS n FROM {files}) f) g) h""")
 
 relation("b_gate_figures", "Figures that are neither too small, nor the whole page, nor in a margin.", """
 SELECT doc_id, page, fig_id, x0, x1, y0, y1 FROM {figures}

@@ -63,9 +63,9 @@ SELECT CAST(floor(l_orderkey/50.0) AS BIGINT) AS doc_id, l_linenumber AS page,
   CAST((l_suppkey%10)*8 AS DOUBLE) AS y0, CAST((l_suppkey%10)*8 + 8 + (l_partkey%3)*4 AS DOUBLE) AS y1
 FROM {lineitem}""")
 
-relation("segments", "Boxes as the segments of numbered items; two boxes make an item.", """
+relation("segments", "Boxes as the segments of numbered items; two boxes make an item, and about half of the numbers up to 31 occur.", """
 SELECT doc_id, CAST(floor((box_id+1)/2.0) AS BIGINT) AS item, CAST((box_id+1)%2 AS INT) AS seg,
-  CAST(CAST(floor((box_id+1)/2.0) AS BIGINT)%23 + 1 AS STRING) AS q_num, CAST(floor((box_id+1)/2.0) AS BIGINT)%3 = 0 AS is_solution,
+  CAST((CAST(floor((box_id+1)/2.0) AS BIGINT)%31)*(CAST(floor((box_id+1)/2.0) AS BIGINT)%31)%31 + 1 AS STRING) AS q_num, CAST(floor((box_id+1)/2.0) AS BIGINT)%3 = 0 AS is_solution,
   page, y0, y1, x0, x1 FROM {boxes}""")
 
 relation("items", "One row per item.", """
@@ -112,3 +112,36 @@ SELECT doc_id, box_id AS answer_id, page AS first_page, page + 3 AS last_page,
        WHEN box_id%5=3 THEN concat('```json', chr(10), '{"questions":[', body, ']}', chr(10), '```') ELSE concat('no answer ', body, ' {') END AS raw
 FROM (SELECT *, concat('{"q_num":"', CAST(box_id%50 AS STRING), '","page":', CAST(page + CAST(box_id%6 AS INT) AS STRING),
   ',"y0":', CAST(CAST(y0 AS INT) AS STRING), ',"y1":', CAST(CAST(y1 AS INT) - CAST(box_id%11=0 AS INT)*40 AS STRING), '}') AS body FROM {boxes}) b""")
+
+# Inputs of single operators: what a user selects, other sources and tiers. A caller passes its own.
+_INPUTS = {
+    "solution_lines": ("Worked solutions, each with its answer on its last line.", """
+SELECT doc_id, CAST(num AS BIGINT) * 10 + k AS seq, CASE k WHEN 0 THEN concat(CASE num % 4 WHEN 1 THEN 'Sol. ' WHEN 2 THEN 'Q ' ELSE '' END, CAST(num AS STRING), CASE num % 4 WHEN 1 THEN ' As shown,' ELSE '. As shown,' END) WHEN 1 THEN 'it follows.'
+  ELSE CASE num % 3 WHEN 0 THEN concat('Ans. (', letter, ')') WHEN 1 THEN concat('Correct option is ', letter) ELSE concat('Answer: ', lower(letter), '.') END END AS text
+FROM {key_pairs} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) x WHERE num <= 999"""),
+    "model_key": ("A key as a model read it.", "SELECT doc_id, num, letter FROM {key_pairs} WHERE num <= 999"),
+    "document_keys": ("Keys found, in three of four documents.", "SELECT doc_id, num, letter FROM {key_pairs} WHERE doc_id % 4 <> 1"),
+    "chain_candidates": ("Numbers that some line could be.", "SELECT DISTINCT doc_id, is_solution, CAST(q_num AS INT) + 1 AS num FROM {items} WHERE item % 3 = 0"),
+    "selected_items": ("Items a user has selected.", "SELECT doc_id, item FROM {items} WHERE item % 4 = 1"),
+    "points": ("Points a user has clicked.", "SELECT DISTINCT doc_id, page, x0 + 4 AS px, y0 + 3 AS py FROM {segments} WHERE item % 7 = 0"),
+    "page_scope": ("Pages in scope, and whether they hold answers.", "SELECT DISTINCT doc_id, page, page % 2 = 0 AS answers FROM {segments} WHERE page <= 4"),
+    "question_scope": ("Pages that may hold questions.", "SELECT doc_id, page FROM {paper_pages} WHERE page <= last_page / 2"),
+    "answer_scope": ("Pages that may hold answers; some documents name none.", "SELECT doc_id, page FROM {paper_pages} WHERE page > last_page - 2 AND doc_id % 2 = 0"),
+    "skipped_pages": ("Pages a user leaves out.", "SELECT doc_id, page FROM {paper_pages} WHERE page % 5 = 0"),
+    "requested_pages": ("Pages asked for, in order.", "SELECT batch, CAST(idx % 100 AS INT) AS pos, CAST(width % 13 AS INT) + 1 AS page FROM {files}"),
+    "repair_pages": ("Pages that a second pass read again.", "SELECT DISTINCT doc_id, page FROM {segments} WHERE (doc_id + page) % 4 = 0"),
+    "second_pass": ("Segments of the second pass.", "SELECT * FROM {segments}"),
+    "text_lines": ("Lines of the text layer, which some pages lack.", "SELECT doc_id, page, seq FROM {lines} WHERE page % 3 <> 0"),
+    "ocr_lines": ("Lines that OCR read.", "SELECT doc_id, page, seq FROM {lines} WHERE seq % 2 = 0"),
+    "text_segments": ("Segments of the text tier.", "SELECT * FROM {segments} WHERE item % 3 <> 0"),
+    "ocr_segments": ("Segments of the OCR tier.", "SELECT * FROM {segments} WHERE item % 2 = 0"),
+    "scanned_pages": ("Pages that are pictures.", "SELECT DISTINCT doc_id, page FROM {segments} WHERE page % 5 = 0"),
+    "tier_items": ("Items of each tier, and how many to a page suffice.", """
+SELECT doc_id, 'text' AS tier, 1 AS prio, 2 AS enough, item, page FROM {items} WHERE item % 4 = 0
+UNION ALL SELECT doc_id, 'ocr', 2, 3, item, page FROM {items} WHERE item % 2 = 0 UNION ALL SELECT doc_id, 'model', 3, 5, item, page FROM {items}"""),
+    "queue": ("Files in a queue with their status.", """
+SELECT batch, original, CASE WHEN idx%4=0 THEN 'pending' WHEN idx%4=1 THEN 'processing' WHEN idx%4=2 THEN 'done' ELSE 'error' END AS status FROM {files}"""),
+    "named_files": ("Names given to files.", "SELECT batch, idx, concat('item', CAST(width % 70 AS STRING)) AS name FROM {files}"),
+}
+for _name, (_doc, _sql) in _INPUTS.items():
+    relation(_name, _doc, _sql)

@@ -58,6 +58,22 @@ RELATIONS: dict[str, Relation] = {}
 SHARED: set[str] = set()
 
 
+#: Values that a caller may set, with their defaults; an operator's text names them as $(name).
+SETTINGS: dict[str, str | int | float] = {}
+
+
+def _set(text: str, i: int, own: dict[str, str | int | float]) -> str:
+    """text with its settings as literals of engine i."""
+
+    def literal(m: re.Match) -> str:
+        v = own.get(m[1], SETTINGS[m[1]])
+        if not isinstance(v, str):
+            return repr(v)
+        return "'" + (v.replace("\\", "\\\\").replace("'", "\\'") if i == 0 else v.replace("'", "''")) + "'"
+
+    return re.sub(r"\$\((\w+)\)", literal, text)
+
+
 def _spelled(text: str, i: int) -> str:
     for word, forms in DIALECT.items():
         text = text.replace(word, forms[i])
@@ -87,14 +103,16 @@ def _run(spark: SparkSession, text: str, args: dict[str, DataFrame]) -> DataFram
             spark.catalog.dropTempView(v)
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+def frame(
+    spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None, settings: dict[str, str | int | float] | None = None
+) -> DataFrame:
     """The relation `name` over the tables of sf_dir, with the frames in `given` in place of relations of their names."""
     made = {} if given is None else given
     if name not in made:
         if name in RELATIONS:
             r = RELATIONS[name]
-            args = {x: frame(spark, sf_dir, x, made) for x in r.inputs()}
-            made[name] = r.build(*args.values()) if r.build else _run(spark, r.spark, args)
+            args = {x: frame(spark, sf_dir, x, made, settings) for x in r.inputs()}
+            made[name] = r.build(*args.values()) if r.build else _run(spark, _set(r.spark, 0, settings or {}), args)
             if name in SHARED:
                 made[name] = staged(made[name], name)
         elif name in TABLES:
@@ -104,10 +122,10 @@ def frame(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFram
     return made[name]
 
 
-def apply(name: str, **inputs: DataFrame) -> DataFrame:
+def apply(name: str, settings: dict[str, str | int | float] | None = None, **inputs: DataFrame) -> DataFrame:
     """The operator `name` on the caller's own tables; every table it needs, directly or not, must follow from `inputs`."""
     spark = next(iter(inputs.values())).sparkSession
-    return frame(spark, "", name, dict(inputs))
+    return frame(spark, "", name, dict(inputs), settings)
 
 
 def oracle(name: str) -> str | None:
@@ -125,6 +143,6 @@ def oracle(name: str) -> str | None:
 
     if not visit(name):
         return None
-    text = lambda n: re.sub(r"\{([a-z]\w*)\}", r"\1", RELATIONS[n].other)
+    text = lambda n: re.sub(r"\{([a-z]\w*)\}", r"\1", _set(RELATIONS[n].other, 1, {}))
     ctes = ",\n".join(f"{n} AS MATERIALIZED (\n{text(n)}\n)" for n in order[:-1])
     return f"WITH {ctes}\nSELECT * FROM (\n{text(name)}\n) q" if ctes else text(name)

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def tables(spark):
     made = {}
-    for name in ("boxes", "segments", "items", "sparse_items", "words", "lines"):
+    for name in ("boxes", "segments", "items", "chain_candidates", "words", "lines"):
         frame(spark, SF, name, made)
     return made
 
@@ -49,16 +49,16 @@ def test_merged_batches(tables):
 
 def test_recovered_chains(tables):
     want = set()
-    found = grouped(tables["items"].filter("item % 3 = 0"), "doc_id", "is_solution")
-    for key, g in grouped(tables["sparse_items"], "doc_id", "is_solution").items():
+    found = grouped(tables["chain_candidates"], "doc_id", "is_solution")
+    for key, g in grouped(tables["items"], "doc_id", "is_solution").items():
         have = {int(r["q_num"]) for r in g}
-        candidates = {int(r["q_num"]) for r in found.get(key, [])}
+        candidates = {r["num"] for r in found.get(key, [])}
         if len(have) >= 3:
             for n in range(min(have), max(have)):
                 if n not in have and n in candidates and (n - 1 in have or n + 1 in have):
                     have.add(n)
                     want.add((*key, n))
-    got = apply("e_recover_chain", items=tables["items"], sparse_items=tables["sparse_items"])
+    got = apply("e_recover_chain", items=tables["items"], chain_candidates=tables["chain_candidates"])
     assert want and {(r["doc_id"], r["is_solution"], r["num"]) for r in got.collect()} == want
 
 
