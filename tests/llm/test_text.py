@@ -171,6 +171,53 @@ def test_pages(spark):
     assert page_text.extracted(df.filter("false")).count() == 0
 
 
+def test_differencing_alone(spark):
+    """Pages of one template without article, main, class or id: what the pages share goes, whatever stands in their articles stays."""
+    menu = "".join(f"<li>entry {k}" for k in range(5))
+    page = "<html><body><div><ul>{m}</ul></div><p>{v} readers so far</p><h1>About {t}</h1>{b}<div>All rights reserved</div><p>Page {v}</p></body></html>"
+    body = lambda i: "".join(f"<p>{w} of {'abcdefghijkl'[i]}x</p>" for w in ("beginning", "middle", "end"))
+    pages = [(i, f"http://h/{i:02}", page.format(m=menu, v=i * 7, t="abcdefghijkl"[i] * 3, b=body(i))) for i in range(12)]
+    pages += [(50 + i, "http://h/05", pages[5][2]) for i in range(3)]  # copies are no evidence against each other
+    want = {i: "\n".join([f"About {'abcdefghijkl'[i] * 3}", *(f"{w} of {'abcdefghijkl'[i]}x" for w in ("beginning", "middle", "end"))]) for i in range(12)}
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_text.extracted(df, hints=False).collect()}
+    assert {i: got[i] for i in want if i != 5} == {i: t for i, t in want.items() if i != 5}
+
+
+def simple_pages(pages, near=page_text.NEAR):
+    """(page_id, text) by plain loops over all pages of a host in order."""
+    rows = sorted(pages, key=lambda r: (r[1], r[0], r[2]))
+    lines = [page_text.lines_of(r[2]) for r in rows]
+    common = [set() for _ in rows]
+    for i in range(len(rows)):
+        for j in range(i + 1, min(len(rows), i + 1 + near)):
+            if rows[i][1].split("/")[2] == rows[j][1].split("/")[2]:
+                one, two = page_text.paired([x for x, _ in lines[i]], [x for x, _ in lines[j]])
+                common[i] |= one
+                common[j] |= two
+    return {r[0]: "\n".join(x for k, (x, _) in enumerate(own) if k not in c) for r, own, c in zip(rows, lines, common, strict=True)}
+
+
+@pytest.mark.parametrize("parts", [1, 7, 211])
+def test_ranges_do_not_change_the_text(spark, parts):
+    pages = [(i, f"http://h{i % 4}/{i:03}", f"<div>top {i % 3}</div><p>own {'xyzw'[i % 4] * (1 + i % 5)}</p><div>{'foot' if i % 6 else 'feet'}</div><p>{chr(97 + i % 26)}</p>") for i in range(90)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = page_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string"), hints=False).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["page_id"]: r["text"] for r in got} == simple_pages(pages)
+
+
+@pytest.mark.parametrize("script", ["for(i=0;i<n;i++){}", "a='it\"s <b", "<!-- x", "if(a<b){c='</p>'}"])
+def test_scripts_end_at_their_end_tag(script):
+    lines = page_text.lines_of(f"<body><p>one</p><script>{script}</script><p>two</p><style>a<b{{}}</style>three</body>")
+    assert [x for x, _ in lines] == ["one", "two", "three"]
+
+
 def simple_lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
@@ -187,6 +234,11 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert [a[i] for i in sorted(x)] == [b[i] for i in sorted(y)] and len(x) == simple_lcs(a, b)
 
 
+def test_alignment_in_halves(monkeypatch):
+    monkeypatch.setattr(page_text, "TABLE", 16)
+    test_shared_lines_are_a_longest_common_subsequence()
+
+
 def test_pages_of_the_test_data(spark):
     import html
     import re
