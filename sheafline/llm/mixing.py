@@ -6,8 +6,9 @@ cannot use goes to its siblings in proportion to their weights, filled up one af
 cannot use goes back to their parent's siblings. Leaf budgets come from a table with a row per leaf.
 
 A leaf is read in epochs, each in its own seeded order; it gives the shortest prefix of that sequence which reaches its
-budget. Whole epochs come first. In the last, order keys fall into 4096 hash ranges: sums by range show which ranges are
-in whole and which one holds the end, and only that one's rows are added up one by one.
+budget. Whole epochs come first. In the last, order keys fall into hash ranges, 4096 to a level: sums by range show which
+ranges are in whole and which one holds the end; that one is divided in the same way until it has few keys, and only
+those are added up one by one. Rows equal in id and text are one key with a count, so the end can fall between them.
 
 Defined cases: null and blank texts have no tokens and are never taken; a null language or source is a leaf of its own;
 siblings without a weight, and a null one, weigh what `weights` gives None at their level, 0 where it names others only,
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-RANGES_HEX = 3  # 16 ** 3 ranges
+RANGES_HEX = 3  # 16 ** 3 ranges to a level
+EDGE_ROWS = 4096  # keys that one task may add up
 BROADCAST = 10_000  # leaves; a line of the plan has under 1 KB
 LEVELS = ["domain", "lang", "source"]
 #: Production weights; sources of a language weigh the same. Every language not listed, and a null one, weighs that of None.
@@ -103,12 +105,13 @@ def mixed(
     seed: int = 13,
     id_col: str = "doc_id",
     text_col: str = "text",
+    n_tokens: Column | None = None,
 ) -> DataFrame:
     """The rows of docs that are taken, once for each epoch that takes them, with domain, n_tokens and epoch (from 0).
 
-    The budget is `share` of all tokens.
+    The budget is `share` of all tokens, counted by `n_tokens` if given (a count that op6 or op8 has made), else by words.
     """
-    added = {"__n": tokens(text_col), "__domain": domain_of(F.col("source"))}
+    added = {"__n": tokens(text_col) if n_tokens is None else F.coalesce(n_tokens.cast("long"), F.lit(0)), "__domain": domain_of(F.col("source"))}
     rows = docs.withColumns({**added, "__h": F.hex(F.xxhash64(text_col)), "__i": F.coalesce(F.col(id_col).cast("string"), F.lit("-"))}).filter("__n > 0")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), "__i", "__h"))
     keyed = staged(rows.select("__i", "__h", "__domain", "lang", "source", "__n"), "mixing-keys")
@@ -122,20 +125,46 @@ def mixed(
     ), "mixing-plan")
     leaf = ["__p_domain", "__p_lang", "__p_source"]
 
-    # the hash range in which the last epoch's prefix ends, then its last row
-    turns = _with_plan(keyed, plan, n_leaves).withColumn("__o", order).withColumn("__r", F.substring("__o", 1, RANGES_HEX))
-    ranges = turns.groupBy(*leaf, "__rest", "__r").agg(F.sum("__n").alias("s"))
-    before = Window.partitionBy(*leaf).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ranges.withColumn("__used", F.coalesce(F.sum("s").over(before), F.lit(0))).filter("__used < __rest and __used + s >= __rest")
-    ends = staged(ends.select(*leaf, F.col("__r").alias("__end"), "__used", "__rest"), "mixing-ends")
-    edge = _with_plan(turns.select("__domain", "lang", "source", "__n", "__o", "__r"), ends, n_leaves).filter("__r = __end")
-    so_far = Window.partitionBy(*leaf).orderBy("__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = edge.withColumn("__c", F.sum("__n").over(so_far) + F.col("__used")).filter(F.col("__c") - F.col("__n") < F.col("__rest"))
-    cut = last.groupBy(*leaf).agg(F.max("__o").alias("__last")).withColumnsRenamed({"__p_domain": "__domain", "__p_lang": "lang", "__p_source": "source"})
-    plan = staged(_with_plan(cut, plan, n_leaves, "right").select(*leaf, "__whole", "__last"), "mixing-last")
-
-    taken = _with_plan(rows, plan, n_leaves)
-    times = F.col("__whole") + F.coalesce((order <= F.col("__last")).cast("int"), F.lit(0))
+    # the hash range in which the last epoch's prefix ends, level by level, then its last key
+    counted = keyed.groupBy("__i", "__h", "__domain", "lang", "source", "__n").agg(F.count("*").alias("__c"))
+    turns = staged(_with_plan(counted, plan, n_leaves).withColumn("__o", order).select(*leaf, "__rest", "__n", "__c", "__o"), "mixing-turns")
+    ends = turns.select(*leaf, "__rest").distinct().withColumns({"__end": F.lit(""), "__used": F.lit(0).cast("long")})
+    edge, level = turns.withColumns({"__used": F.lit(0).cast("long")}), 0
+    while True:
+        level += 1
+        place = F.substring("__o", 1, RANGES_HEX * level)
+        ranges = edge.groupBy(*leaf, "__rest", "__used", place.alias("__r")).agg(F.sum(F.col("__n") * F.col("__c")).alias("s"), F.count("*").alias("k"))
+        before = Window.partitionBy(*leaf).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ranges.withColumn("__used", F.col("__used") + F.coalesce(F.sum("s").over(before), F.lit(0))).filter("__used < __rest and __used + s >= __rest")
+        ends = staged(ends.select(*[F.col(c).alias(f"e{i}") for i, c in enumerate(leaf)], F.col("__r").alias("__end"), "__used", "k"), "mixing-ends")
+        same = [F.col(c).eqNullSafe(F.col(f"e{i}")) for i, c in enumerate(leaf)]
+        inside = edge.drop("__used").join(ends.hint("broadcast" if n_leaves <= BROADCAST else "merge"), same[0] & same[1] & same[2])
+        edge = staged(inside.filter(place == F.col("__end")).select(*leaf, "__rest", "__n", "__c", "__o", "__used"), "mixing-edge")
+        if level == 10 or (ends.agg(F.max("k")).first()[0] or 0) <= EDGE_ROWS:
+            break
+    so_far = Window.partitionBy(*leaf).orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)
+    last = edge.withColumn("__left", F.col("__rest") - F.col("__used") - F.coalesce(F.sum(F.col("__n") * F.col("__c")).over(so_far), F.lit(0)))
+    last = last.filter("__left > 0").withColumn("__take", F.least("__c", F.ceil(F.col("__left") / F.col("__n"))))
+    cut = last.groupBy(*leaf).agg(F.max(F.struct("__o", "__take", "__c")).alias("m")).select(
+        *leaf, F.col("m.__o").alias("__last"), F.when(F.col("m.__take") < F.col("m.__c"), F.col("m.__take")).alias("__take")
+    )
+    cut = cut.withColumnsRenamed({"__p_domain": "__domain", "__p_lang": "lang", "__p_source": "source"})
+    plan = staged(_with_plan(cut, plan, n_leaves, "right").select(*leaf, "__whole", "__last", "__take"), "mixing-last")
+
+    taken = _with_plan(rows, plan, n_leaves).withColumn("__o", order)
+    fits = F.col("__o") <= F.col("__last")
+    if not plan.filter("__take is not null").isEmpty():
+        # of the equal rows at the end only some fit; which, is settled by counts of each input partition
+        tie = (F.col("__o") == F.col("__last")) & F.col("__take").isNotNull()
+        ties = staged(taken.filter(tie).withColumn("__b", F.spark_partition_id()), "mixing-ties")
+        offset = Window.partitionBy("__o").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        counts = ties.groupBy("__o", "__b").agg(F.count("*").alias("__seen")).withColumn("__seen", F.coalesce(F.sum("__seen").over(offset), F.lit(0)))
+        number = F.row_number().over(Window.partitionBy("__o", "__b").orderBy(F.lit(0)))
+        numbered = ties.withColumn("__k", number).join(counts.hint("merge"), ["__o", "__b"])
+        numbered = numbered.withColumn("__fits", F.col("__k") + F.col("__seen") <= F.col("__take")).select(*taken.columns, "__fits")
+        taken = taken.filter(~F.coalesce(tie, F.lit(False))).withColumn("__fits", fits).unionByName(numbered)
+        fits = F.col("__fits")
+    times = F.col("__whole") + F.coalesce(fits.cast("int"), F.lit(0))
     out = taken.withColumn("__times", times.cast("int")).filter("__times > 0").withColumn("__e", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
     own = [F.col(c) for c in docs.columns if c not in ("domain", "n_tokens", "epoch")]
     return out.select(*own, F.col("__domain").alias("domain"), F.col("__n").alias("n_tokens"), F.col("__e").cast("int").alias("epoch"))
