@@ -52,6 +52,19 @@ def test_forest_edges(spark):
     assert hash_forest.nearest(df.filter("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    x = np.random.default_rng(3).normal(size=(120, 6))
+    ids = [i % 100 for i in range(120)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = hash_forest.nearest(df, F.col("vec_id") < 5, k=4, visit=50.0, block_rows=40, query_rows=3).collect()
+    want = Counter()
+    for q in (q for q in range(120) if ids[q] < 5):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        for rank, i in enumerate([i for i in np.lexsort((ids, d)) if i != q][:4], 1):
+            want[ids[q], rank, ids[i], round(float(d[i]), 9)] += 1
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == want
+
+
 def filled(total, siblings):
     """Shares of total by weight, none over its most."""
     got, active, left = [0.0] * len(siblings), {i for i, (w, _) in enumerate(siblings) if w > 0}, total
@@ -111,6 +124,23 @@ def test_mixing_edges(spark):
     assert mixing.mixed(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 40])
+def test_equal_rows_at_the_end_of_a_budget(spark, copies, monkeypatch):
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 1)
+    rows = [(7, "one two three", "en", "src0", k) for k in range(copies)] + [(i, f"w{i} x", "en", "src0", 0) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, k int").repartition(5)
+    total = 3 * copies + 24
+    for share in (0.1, 0.5):
+        n = [r["n_tokens"] for r in mixing.mixed(df, share, {}, 1).collect()]
+        assert share * total - 1e-6 <= sum(n) < share * total + 3  # the shortest prefix that reaches the budget
+
+
+def test_mixing_by_a_count_of_tokens(spark):
+    df = spark.createDataFrame([(i, "a b", "en", "src0", i) for i in range(10)], "doc_id long, text string, lang string, source string, n long")
+    got = mixing.mixed(df, 1.0, {}, 1, n_tokens=F.col("n")).collect()
+    assert {(r["doc_id"], r["n_tokens"]) for r in got} == {(i, i) for i in range(1, 10)}
+
+
 def checked_shards(spark, rows, n=8):
     got = sharding.shards(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, g int, number int"), n).collect()
     assert len(got) == len(rows)
@@ -134,6 +164,25 @@ def test_groups_stay_together_under_quotas(spark):
     assert cut == {"hot"} and len(where[zlib.crc32(b"hot")]) <= 5  # a third of all rows cannot be in one of eight shards
 
 
+def test_circulation_keeps_loads():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        asked = {(s, t): int(rng.integers(1, 9)) for s in range(6) for t in range(6) if s != t and rng.random() < 0.3}
+        got = sharding.circulation(asked)
+        assert all(0 < n <= asked[x] for x, n in got.items())
+        assert all(sum(n for (s, _), n in got.items() if s == k) == sum(n for (_, t), n in got.items() if t == k) for k in range(6))
+        left = {x for x in asked if asked[x] > got.get(x, 0)}
+        while drop := {x for x in left if all(s != x[1] for s, _ in left)}:
+            left -= drop
+        assert not left  # what is left has no circle
+
+
+def test_full_shards_exchange_members(spark):
+    rows = [(i, f"pair {i // 2}") for i in range(800)]  # every text has a copy: no shard ever has room
+    where = checked_shards(spark, rows)
+    assert sum(len(s) > 1 for s in where.values()) <= 8  # at first seven in eight pairs are cut
+
+
 def test_sharding_edges(spark):
     checked_shards(spark, [(None, None), (None, None), (1, ""), (1, ""), (2, "x" * 300_000), (3, "y")])
     checked_shards(spark, [(i, "same") for i in range(50)])
