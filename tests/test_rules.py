@@ -174,3 +174,45 @@ def test_entry(spark):
     df = e.entry(spark)
     assert df.count() > 0 and rows(df)
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_answers_of_numbered_solutions(spark):
+    texts = ["1. As shown", "Ans. (A)", "Sol 2 we find", "the answer is B", "Q 3. here", "correct option is c", "4) so", "Answer: D", "no label", "5. Ans: A"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(2, 0, "1. Ans: A")], "doc_id long, seq long, text string")
+    got = apply("d_solution_answers", solution_lines=df).collect()
+    assert {(r["doc_id"], r["num"], r["letter"]) for r in got} == {(1, 1, "A"), (1, 2, "B"), (1, 3, "C"), (1, 4, "D"), (1, 5, "A")}
+
+
+def test_the_first_source_with_a_key_wins(spark):
+    key = lambda *d: spark.createDataFrame([(x, n, "A") for x in d for n in (1, 2)], "doc_id long, num int, letter string")
+    got = apply("d_resolve_key", d_answer_key=key(1), d_solution_answers=key(1, 2), model_key=key(1, 2, 3)).collect()
+    assert {(r["doc_id"], r["source"]) for r in got} == {(1, "grid"), (2, "prose"), (3, "model")} and len(got) == 6
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [("Q#", ["Q005", "Q006", "Q007"]), ("cover", ["cover005", "cover006", "cover007"]), ("", ["005", "006", "007"]), ("a:#?b#", ["a_005_b005", "a_006_b006", "a_007_b007"])],
+)
+def test_names_from_a_pattern(spark, pattern, want):
+    names = ["Photo.JPG", "no_ext", ".env"]
+    df = spark.createDataFrame([(i, 0, n, 10, 5, 5) for i, n in enumerate(names)], "idx long, batch long, original string, bytes long, width int, height int")
+    got = apply("b_expand_name_tokens", {"name_pattern": pattern, "name_start": 5, "name_digits": 3}, files=df).orderBy("idx").collect()
+    assert [r["stem"] for r in got] == want and [r["ext"] for r in got] == ["jpg", "", ""]
+
+
+def test_selections_are_inputs(spark):
+    seg = spark.createDataFrame([(1, i, 0, str(i), False, p, 10.0, 20.0, 5.0, 45.0) for i, p in ((1, 1), (2, 1), (3, 2))], "doc_id long, item long, seg int, q_num string, is_solution boolean, page int, y0 double, y1 double, x0 double, x1 double")
+    scope = spark.createDataFrame([(1, 2, True)], "doc_id long, page int, answers boolean")
+    assert rows(apply("c_page_scope", segments=seg, page_scope=scope), "item", "is_solution") == {(3, True): 1}
+    points = spark.createDataFrame([(1, 1, 6.0, 11.0), (1, 1, 90.0, 11.0)], "doc_id long, page int, px double, py double")
+    assert rows(apply("c_hit_test", segments=seg, points=points), "px", "item") == {(6.0, 2): 1}
+    chosen = spark.createDataFrame([(1, 2), (1, 3)], "doc_id long, item long")
+    assert rows(apply("d_merge_items", segments=seg, selected_items=chosen), "item", "page") == {(2, 1): 1, (2, 2): 1}
+    repair = spark.createDataFrame([(1, 2)], "doc_id long, page int")
+    assert rows(apply("c_repair_pages", segments=seg, second_pass=seg, repair_pages=repair), "item", "pass") == {(1, "first"): 1, (2, "first"): 1, (3, "second"): 1}
+
+
+def test_a_user_s_pattern_and_term(spark):
+    df = lines(spark, "12. word", "it's")
+    got = apply("b_regex_probe", {"probe": r"(it's|\d+)[.]? ?(\w*)"}, page_lines=df).orderBy("seq").collect()
+    assert [(r["matched"], r["q_num"], r["second_group"]) for r in got] == [(True, "12", "word"), (True, "it's", "")]
