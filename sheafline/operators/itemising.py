@@ -1,32 +1,51 @@
 """From lines and markers to items: columns, reading order, bounds, assignment and segments."""
 
 from ..functions import fixed as fx
-from ..relations import SHARED, relation
+from ..relations import SETTINGS, SHARED, relation
+from .tagging import EXACT_KEY
 
 SHARED |= {
     "lines", "paper_pages", "page_lines", "b_tag_markers", "b_tag_headers", "e_section_state", "c_column_of", "sided_markers", "e_reading_order",
     "e_dedupe_close", "e_row_top", "item_bounds", "d_find_furniture", "column_lines", "c_assign_lines", "indented_markers", "d_columns_fixed",
+    "d_detect_columns", "detected_column_of", "d_strong_filter", "d_validate_columns", "page_columns", "b_gate_figures",
 }
 
-W, H = 640, 800  # the fixtures' page
+#: The page's size in the lines' own units, and columns as "found" on each page or "equal" in number to layout_columns.
+SETTINGS |= {"page_width": 640, "page_height": 800, "columns": "found", "layout_columns": 2}
+W, H = "$(page_width)", "$(page_height)"
 
-relation("d_columns_fixed", "Equal columns where a caller sets their number (here two).", f"""
-SELECT doc_id, page, CAST(col AS INT) AS col, CAST(col * {W} / 2.0 AS DOUBLE) AS x0, CAST((col + 1) * {W} / 2.0 AS DOUBLE) AS x1
-FROM (SELECT doc_id, page, EXPLODE(SEQ(0, 1)) AS col FROM {{paper_pages}}) x""")
+relation("d_columns_fixed", "Equal columns where a caller sets their number.", f"""
+SELECT doc_id, page, CAST(col AS INT) AS col, CAST(col * {W} / ($(layout_columns) * 1.0) AS DOUBLE) AS x0, CAST((col + 1) * {W} / ($(layout_columns) * 1.0) AS DOUBLE) AS x1
+FROM (SELECT doc_id, page, EXPLODE(SEQ(0, $(layout_columns) - 1)) AS col FROM {{paper_pages}}) x""")
 
-relation("c_column_of", "The column of each line: the one that holds its centre, else the nearest.", """
-SELECT doc_id, page, seq, col FROM (
-  SELECT doc_id, page, seq, col, row_number() OVER (PARTITION BY doc_id, page, seq ORDER BY dist, col) AS rn FROM (
-    SELECT l.doc_id, l.page, l.seq, c.col, CASE WHEN (l.x_left + l.x_right) / 2 >= c.x0 AND (l.x_left + l.x_right) / 2 < c.x1 THEN 0.0
-      ELSE least(abs((l.x_left + l.x_right) / 2 - c.x0), abs((l.x_left + l.x_right) / 2 - c.x1)) END AS dist
-    FROM {page_lines} l JOIN {d_columns_fixed} c ON l.doc_id = c.doc_id AND l.page = c.page) x) y WHERE rn = 1""")
+#: The column of each row of a table: the one that holds its centre, else the nearest.
+_COLUMN_OF = """
+SELECT {keys}, col FROM (
+  SELECT {keys}, col, row_number() OVER (PARTITION BY {keys} ORDER BY dist, col) AS rn FROM (
+    SELECT {own}, c.col, CASE WHEN ({x0} + {x1}) / 2 >= c.x0 AND ({x0} + {x1}) / 2 < c.x1 THEN -1.0
+      ELSE least(abs(({x0} + {x1}) / 2 - c.x0), abs(({x0} + {x1}) / 2 - c.x1)) END AS dist
+    FROM {{{rows}}} l JOIN {{{columns}}} c ON l.doc_id = c.doc_id AND l.page = c.page) x) y WHERE rn = 1"""
+_LINE = {"keys": "doc_id, page, seq", "own": "l.doc_id, l.page, l.seq", "x0": "l.x_left", "x1": "l.x_right", "rows": "page_lines"}
+relation("c_column_of", "The column of each line.", _COLUMN_OF.format(**_LINE, columns="page_columns"))
+relation("detected_column_of", "The column of each line by the density of lines alone.", _COLUMN_OF.format(**_LINE, columns="d_detect_columns"))
+relation("figure_column_of", "The column of each figure.", _COLUMN_OF.format(
+    keys="doc_id, page, fig_id", own="l.doc_id, l.page, l.fig_id", x0="l.x0", x1="l.x1", rows="b_gate_figures", columns="page_columns"))
+
+relation("page_columns", "Columns of each page: the validated ones, where that is a single one those that markers show, or a caller's number of equal ones.", """
+WITH marked AS (
+  SELECT m.doc_id, m.page, m.col, m.x0, m.x1 FROM {d_columns_from_markers} m JOIN (SELECT doc_id, page FROM {d_validate_columns} GROUP BY doc_id, page HAVING count(*) = 1) s ON m.doc_id = s.doc_id AND m.page = s.page
+)
+SELECT doc_id, page, col, x0, x1 FROM {d_columns_fixed} WHERE $(columns) = 'equal'
+UNION ALL SELECT doc_id, page, col, x0, x1 FROM marked WHERE $(columns) <> 'equal'
+UNION ALL SELECT v.doc_id, v.page, v.col, v.x0, v.x1 FROM {d_validate_columns} v
+WHERE $(columns) <> 'equal' AND NOT EXISTS (SELECT 1 FROM marked m WHERE m.doc_id = v.doc_id AND m.page = v.page)""")
 
 relation("e_section_state", "Lines without section-opening headers, with the side and answer-key state they stand in.", """
 SELECT doc_id, page, seq, y_top, y_bottom, x_left, x_right, text, is_section_header, in_solutions, in_answer_key FROM (
-  SELECT l.*, h.is_solution_header, h.is_section_header,
-    coalesce(LASTNN(CASE WHEN h.is_key_header THEN 0 WHEN h.is_solution_header THEN 1 END NN) OVER (PARTITION BY l.doc_id ORDER BY l.page, l.y_top, l.x_left, l.seq), 0) = 1 AS in_solutions,
-    coalesce(LASTNN(CASE WHEN h.is_key_header THEN 1 WHEN h.is_solution_header THEN 0 END NN) OVER (PARTITION BY l.doc_id, l.page ORDER BY l.y_top, l.x_left, l.seq), 0) = 1 AS in_answer_key
-  FROM {page_lines} l JOIN {b_tag_headers} h ON l.doc_id = h.doc_id AND l.page = h.page AND l.seq = h.seq) x
+  SELECT *,
+    coalesce(LASTNN(CASE WHEN is_key_header THEN 0 WHEN is_solution_header THEN 1 END NN) OVER (PARTITION BY doc_id ORDER BY page, y_top, x_left, seq), 0) = 1 AS in_solutions,
+    coalesce(LASTNN(CASE WHEN is_key_header THEN 1 WHEN is_solution_header THEN 0 END NN) OVER (PARTITION BY doc_id, page ORDER BY y_top, x_left, seq), 0) = 1 AS in_answer_key
+  FROM {b_tag_headers}) x
 WHERE NOT is_solution_header""")
 
 relation("sided_markers", "Markers outside answer keys, with their side; some found twice.", """
@@ -102,11 +121,12 @@ ON m.doc_id = d.doc_id AND m.ord = d.item""")
 
 relation("c_assign_figures", "The item of each figure, by the same bounds, no further than a divider.", f"""
 SELECT l.doc_id, m.ord AS item, l.page, l.col, l.fig_id, l.x0, l.x1, l.y_top, l.y1
-FROM {{item_ends}} m JOIN (SELECT *, CASE WHEN (x0 + x1) / 2 >= {W / 2} THEN 1 ELSE 0 END AS col, y0 AS y_top FROM {{b_gate_figures}}) l ON l.doc_id = m.doc_id AND {_AFTER} AND {_BEFORE}""")
+FROM {{item_ends}} m JOIN (SELECT g.*, coalesce(c.col, 0) AS col, g.y0 AS y_top FROM {{b_gate_figures}} g LEFT JOIN {{figure_column_of}} c ON g.doc_id = c.doc_id AND g.page = c.page AND g.fig_id = c.fig_id) l ON l.doc_id = m.doc_id AND {_AFTER} AND {_BEFORE}""")
 
-relation("d_column_bounds", "Extent of the text in each column, half a per cent to spare inside its share of the page.", f"""
-SELECT l.doc_id, l.page, l.col, greatest(min(l.x_left) - 0.005 * {W}, min(c.x0)) AS x0, least(max(l.x_right) + 0.005 * {W}, min(c.x1)) AS x1
-FROM {{column_lines}} l JOIN {{d_columns_fixed}} c ON l.doc_id = c.doc_id AND l.page = c.page AND l.col = c.col GROUP BY l.doc_id, l.page, l.col""")
+relation("d_column_bounds", "Extent of the text in each column; where there are several, half a per cent to spare inside its share of the page.", f"""
+SELECT l.doc_id, l.page, l.col, CASE WHEN min(c.k) > 1 THEN greatest(min(l.x_left) - 0.005 * {W}, min(c.x0)) ELSE min(l.x_left) END AS x0, CASE WHEN min(c.k) > 1 THEN least(max(l.x_right) + 0.005 * {W}, min(c.x1)) ELSE max(l.x_right) END AS x1
+FROM {{column_lines}} l JOIN (SELECT *, count(*) OVER (PARTITION BY doc_id, page) AS k FROM {{page_columns}}) c ON l.doc_id = c.doc_id AND l.page = c.page AND l.col = c.col
+WHERE l.x_right > l.x_left GROUP BY l.doc_id, l.page, l.col""")
 
 relation("d_segments", "Segments of each item in per cent of the page: lines and figures by page and column; an item with neither reaches to the page's end.", f"""
 WITH text AS (
@@ -118,25 +138,24 @@ WITH text AS (
     least(coalesce(y0, fy0), coalesce(fy0, y0)) AS y0, greatest(coalesce(y1, fy1), coalesce(fy1, y1)) AS y1, fx0, fx1, coalesce(n_lines, 0) AS n_lines
   FROM text t FULL OUTER JOIN figs f ON t.doc_id = f.doc_id AND t.item = f.item AND t.page = f.page AND t.col = f.col
   UNION ALL
-  SELECT m.doc_id, m.ord, m.page, m.col, m.y_top, {H}.0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0 FROM {{e_row_top}} m
+  SELECT m.doc_id, m.ord, m.page, m.col, m.y_top, CAST({H} AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 0 FROM {{e_row_top}} m
   WHERE NOT EXISTS (SELECT 1 FROM text t WHERE t.doc_id = m.doc_id AND t.item = m.ord) AND NOT EXISTS (SELECT 1 FROM figs f WHERE f.doc_id = m.doc_id AND f.item = m.ord)
 )
 SELECT s.doc_id, s.item, m.q_num, m.is_solution, s.page, s.col, CAST(s.n_lines AS BIGINT) AS n_lines,
   greatest(0, least(100, s.y0 / {H} * 100)) AS y0, greatest(0, least(100, s.y1 / {H} * 100)) AS y1,
-  greatest(0, least(100, least(coalesce(b.x0, c.x0), coalesce(s.fx0, b.x0, c.x0)) / {W} * 100)) AS x0,
-  greatest(0, least(100, greatest(coalesce(b.x1, c.x1), coalesce(s.fx1, b.x1, c.x1)) / {W} * 100)) AS x1
+  greatest(0, least(100, least(coalesce(b.x0, c.x0, 0), coalesce(s.fx0, b.x0, c.x0, 0)) / {W} * 100)) AS x0,
+  greatest(0, least(100, greatest(coalesce(b.x1, c.x1, {W}), coalesce(s.fx1, b.x1, c.x1, {W})) / {W} * 100)) AS x1
 FROM found s JOIN {{e_row_top}} m ON s.doc_id = m.doc_id AND s.item = m.ord
-JOIN {{d_columns_fixed}} c ON s.doc_id = c.doc_id AND s.page = c.page AND s.col = c.col
+LEFT JOIN {{page_columns}} c ON s.doc_id = c.doc_id AND s.page = c.page AND s.col = c.col
 LEFT JOIN {{d_column_bounds}} b ON s.doc_id = b.doc_id AND s.page = b.page AND s.col = b.col
 WHERE greatest(0, least(100, s.y1 / {H} * 100)) > greatest(0, least(100, s.y0 / {H} * 100))""")
 
 relation("d_find_furniture", "Running titles, footers and folios: lines that repeat at one height on enough pages, or page numbers in a margin.", f"""
 WITH keyed AS (
-  SELECT l.doc_id, l.page, l.seq, l.y_top, l.y_bottom, l.y_top / {H} * 100 AS top, l.y_bottom / {H} * 100 AS bottom, k.exact_key, k.loose_key,
-    length(trim(l.text)) <= 20 AND LIKE_RE(trim(l.text), r'{fx.FOLIO}') AS folio, (m.seq IS NOT NULL OR h.is_solution_header) AS marker
-  FROM {{page_lines}} l JOIN {{b_normalize_keys}} k ON l.doc_id = k.doc_id AND l.page = k.page AND l.seq = k.seq
-  JOIN {{b_tag_headers}} h ON l.doc_id = h.doc_id AND l.page = h.page AND l.seq = h.seq
-  LEFT JOIN {{b_tag_markers}} m ON l.doc_id = m.doc_id AND l.page = m.page AND l.seq = m.seq
+  SELECT l.doc_id, l.page, l.seq, l.y_top, l.y_bottom, l.y_top / {H} * 100 AS top, l.y_bottom / {H} * 100 AS bottom, l.exact_key, regexp_replace(l.exact_key, '[0-9]', ''/*G*/) AS loose_key,
+    length(trim(l.text)) <= 20 AND LIKE_RE(trim(l.text), r'{fx.FOLIO}') AS folio, (m.seq IS NOT NULL OR l.is_solution_header) AS marker
+  FROM (SELECT *, {EXACT_KEY} AS exact_key FROM {{b_tag_headers}}) l
+  LEFT JOIN (SELECT doc_id, page, seq FROM {{b_tag_markers}}) m ON l.doc_id = m.doc_id AND l.page = m.page AND l.seq = m.seq
 ), pages AS (
   SELECT doc_id, max(page) AS n, greatest(2, BROUND(max(page) * 0.5, 0)) AS strong FROM {{page_lines}} GROUP BY doc_id
 ), first_marker AS (
@@ -171,10 +190,10 @@ WITH bands AS (
 )
 SELECT m.doc_id, m.page, m.seq, m.q_num FROM {{b_tag_markers}} m WHERE NOT EXISTS (SELECT 1 FROM bands b WHERE b.doc_id = m.doc_id AND b.page = m.page AND m.y_top BETWEEN b.y0 AND b.y1)""")
 
-relation("d_detect_columns", "Columns of each page from the density of its lines over 200 bins.", "",
+relation("d_detect_columns", "Columns of each page from the density of its lines over 200 bins; one where no two lines share a bin.", "",
     spark=f"""
 WITH deltas AS (
-  SELECT doc_id, page, inline(array(struct(CAST(greatest(0, floor(x_left / ({W} / 200.0))) AS INT) AS bin, 1 AS d), struct(CAST(least(199, floor(x_right / ({W} / 200.0))) AS INT) + 1 AS bin, -1 AS d))) FROM {{lines}}
+  SELECT doc_id, page, inline(array(struct(CAST(greatest(0, floor(x_left / ({W} / 200.0))) AS INT) AS bin, 1 AS d), struct(CAST(least(199, floor(x_right / ({W} / 200.0))) AS INT) + 1 AS bin, -1 AS d))) FROM {{page_lines}} WHERE x_right > x_left
 ), bins AS (
   SELECT doc_id, page, bin, sum(sum(d)) OVER (PARTITION BY doc_id, page ORDER BY bin) AS n, lead(bin, 1, 200) OVER (PARTITION BY doc_id, page ORDER BY bin) AS nxt FROM deltas GROUP BY doc_id, page, bin
 ), inside AS (
@@ -191,29 +210,60 @@ WITH deltas AS (
       transform(array(CASE WHEN k = 1 THEN 1 WHEN k = size(a) THEN k - 1 WHEN element_at(a, CAST(k AS INT)).s - element_at(a, CAST(k AS INT) - 1).e <= element_at(a, CAST(k AS INT) + 1).s - element_at(a, CAST(k AS INT)).e THEN k - 1 ELSE k END), j ->
         concat(slice(a, 1, CAST(j AS INT) - 1), array(named_struct('s', element_at(a, CAST(j AS INT)).s, 'e', element_at(a, CAST(j AS INT) + 1).e)), slice(a, CAST(j AS INT) + 2, size(a))))[0])[0] END) AS c FROM cores
 )
-SELECT doc_id, page, CAST(i AS INT) AS col, CASE WHEN i = 0 THEN 0.0D ELSE (c[i - 1].e + 1 + c[i].s) / 2.0D * ({W} / 200.0D) END AS x0,
-  CASE WHEN i = size(c) - 1 THEN {W}.0D ELSE (c[i].e + 1 + c[i + 1].s) / 2.0D * ({W} / 200.0D) END AS x1
-FROM wide LATERAL VIEW explode(sequence(0, size(c) - 1)) t AS i""", exact=False)
+SELECT doc_id, page, CAST(i AS INT) AS col, CASE WHEN i = 0 THEN 0.0D ELSE (c[i - 1].e + 1 + c[i].s) / 2.0D * (CAST({W} AS DOUBLE) / 200.0D) END AS x0,
+  CASE WHEN i = size(c) - 1 THEN CAST({W} AS DOUBLE) ELSE (c[i].e + 1 + c[i + 1].s) / 2.0D * (CAST({W} AS DOUBLE) / 200.0D) END AS x1
+FROM wide LATERAL VIEW explode(sequence(0, size(c) - 1)) t AS i
+UNION ALL SELECT p.doc_id, p.page, 0, 0.0D, CAST({W} AS DOUBLE) FROM (SELECT DISTINCT doc_id, page FROM {{page_lines}}) p LEFT ANTI JOIN cores c ON p.doc_id = c.doc_id AND p.page = c.page""",
+    other=f"""
+WITH RECURSIVE deltas AS (
+  SELECT doc_id, page, CAST(greatest(0, floor(x_left / ({W} / 200.0))) AS INT) AS bin, 1 AS d FROM {{page_lines}} WHERE x_right > x_left
+  UNION ALL SELECT doc_id, page, CAST(least(199, floor(x_right / ({W} / 200.0))) AS INT) + 1, -1 FROM {{page_lines}} WHERE x_right > x_left
+), bins AS (
+  SELECT doc_id, page, bin, sum(sum(d)) OVER (PARTITION BY doc_id, page ORDER BY bin) AS n, lead(bin, 1, 200) OVER (PARTITION BY doc_id, page ORDER BY bin) AS nxt FROM deltas GROUP BY doc_id, page, bin
+), inside AS (
+  SELECT *, n > greatest(1.0, 0.18 * max(n) OVER (PARTITION BY doc_id, page)) AS dense FROM bins WHERE nxt > bin
+), runs AS (
+  SELECT doc_id, page, min(bin) AS s, max(nxt) - 1 AS e FROM (
+    SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id, page ORDER BY bin) AS g FROM (
+      SELECT *, coalesce(bin - lag(nxt) OVER (PARTITION BY doc_id, page ORDER BY bin) >= 6, true) AS fresh FROM inside WHERE dense) x) y GROUP BY doc_id, page, g
+), cores AS (
+  SELECT doc_id, page, list(struct_pack(s := s, e := e) ORDER BY s) AS c FROM runs GROUP BY doc_id, page
+), merging AS (
+  SELECT doc_id, page, c FROM cores
+  UNION ALL
+  SELECT doc_id, page, list_concat(list_concat(c[1:j - 1], [struct_pack(s := c[j].s, e := c[j + 1].e)]), c[j + 2:len(c)]) AS c FROM (
+    SELECT doc_id, page, c, CASE WHEN k = 1 THEN 1 WHEN k = len(c) THEN k - 1 WHEN c[k].s - c[k - 1].e <= c[k + 1].s - c[k].e THEN k - 1 ELSE k END AS j FROM (
+      SELECT doc_id, page, c, list_position(list_transform(c, lambda x: x.e - x.s + 1), list_min(list_transform(c, lambda x: x.e - x.s + 1))) AS k FROM merging
+      WHERE len(c) > 1 AND list_min(list_transform(c, lambda x: x.e - x.s + 1)) < 24) a) b
+), wide AS (
+  SELECT doc_id, page, c FROM merging WHERE len(c) = 1 OR list_min(list_transform(c, lambda x: x.e - x.s + 1)) >= 24
+)
+SELECT doc_id, page, CAST(i AS INT) AS col, CASE WHEN i = 0 THEN CAST(0 AS DOUBLE) ELSE (c[i].e + 1 + c[i + 1].s) / 2.0 * ({W} / 200.0) END AS x0,
+  CASE WHEN i = len(c) - 1 THEN CAST({W} AS DOUBLE) ELSE (c[i + 1].e + 1 + c[i + 2].s) / 2.0 * ({W} / 200.0) END AS x1
+FROM (SELECT *, unnest(range(len(c))) AS i FROM wide) w
+UNION ALL SELECT p.doc_id, p.page, 0, CAST(0 AS DOUBLE), CAST({W} AS DOUBLE) FROM (SELECT DISTINCT doc_id, page FROM {{page_lines}}) p WHERE NOT EXISTS (SELECT 1 FROM cores c WHERE p.doc_id = c.doc_id AND p.page = c.page)""")
 
-relation("d_validate_columns", "Columns of each page, made one where all of two or more markers stand in one column and the others hold only options.", rf"""
+relation("d_validate_columns", "Detected columns of each page, made one where all of two or more markers stand in one column and the others hold only options.", rf"""
 WITH marks AS (
-  SELECT doc_id, page, count(*) AS n, count(DISTINCT col) AS cols, max(col) AS col FROM {{e_reading_order}} GROUP BY doc_id, page
+  SELECT s.doc_id, s.page, count(*) AS n, count(DISTINCT c.col) AS cols, max(c.col) AS col FROM {{d_strong_filter}} s JOIN {{detected_column_of}} c ON s.doc_id = c.doc_id AND s.page = c.page AND s.seq = c.seq GROUP BY s.doc_id, s.page
 ), others AS (
-  SELECT l.doc_id, l.page, count(*) AS n, count_if(NOT LIKE_RE(trim(l.text), r'{fx.OPTION_START}')) AS prose FROM {{column_lines}} l JOIN marks m ON l.doc_id = m.doc_id AND l.page = m.page AND l.col <> m.col GROUP BY l.doc_id, l.page
+  SELECT l.doc_id, l.page, count(*) AS n, count_if(NOT LIKE_RE(trim(l.text), r'{fx.OPTION_START}')) AS prose
+  FROM {{e_section_state}} l JOIN {{detected_column_of}} c ON l.doc_id = c.doc_id AND l.page = c.page AND l.seq = c.seq JOIN marks m ON l.doc_id = m.doc_id AND l.page = m.page AND c.col <> m.col
+  WHERE l.x_right > l.x_left AND NOT EXISTS (SELECT 1 FROM {{d_find_furniture}} f WHERE f.doc_id = l.doc_id AND f.page = l.page AND f.y_top = l.y_top AND f.y_bottom = l.y_bottom) GROUP BY l.doc_id, l.page
 ), single AS (
   SELECT m.doc_id, m.page FROM marks m LEFT JOIN others o ON m.doc_id = o.doc_id AND m.page = o.page
   WHERE m.n >= 2 AND m.cols = 1 AND NOT coalesce(o.n >= 4 AND o.prose >= greatest(4, CAST(floor(o.n * 0.5) AS INT)), false)
 )
-SELECT c.doc_id, c.page, c.col, CASE WHEN s.doc_id IS NULL THEN c.x0 ELSE 0.0 END AS x0, CASE WHEN s.doc_id IS NULL THEN c.x1 ELSE {W}.0 END AS x1
-FROM {{d_columns_fixed}} c LEFT JOIN single s ON c.doc_id = s.doc_id AND c.page = s.page WHERE s.doc_id IS NULL OR c.col = 0""")
+SELECT c.doc_id, c.page, c.col, CASE WHEN s.doc_id IS NULL THEN c.x0 ELSE CAST(0 AS DOUBLE) END AS x0, CASE WHEN s.doc_id IS NULL THEN c.x1 ELSE CAST({W} AS DOUBLE) END AS x1
+FROM {{d_detect_columns}} c LEFT JOIN single s ON c.doc_id = s.doc_id AND c.page = s.page WHERE s.doc_id IS NULL OR c.col = 0""")
 
 relation("d_columns_from_markers", "Columns from clusters of markers' left edges.", f"""
 WITH gaps AS (
-  SELECT doc_id, page, x_left, CASE WHEN x_left - lag(x_left) OVER (PARTITION BY doc_id, page ORDER BY x_left, ord) > 0.12 * {W} THEN 1 ELSE 0 END AS fresh, ord FROM {{e_reading_order}}
+  SELECT doc_id, page, x_left, CASE WHEN x_left - lag(x_left) OVER (PARTITION BY doc_id, page ORDER BY x_left, seq, copy) > 0.12 * {W} THEN 1 ELSE 0 END AS fresh, seq, copy FROM {{d_strong_filter}}
 ), clusters AS (
-  SELECT doc_id, page, g, min(x_left) AS margin FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY x_left, ord) AS g FROM gaps) x GROUP BY doc_id, page, g HAVING count(*) >= 2
+  SELECT doc_id, page, g, min(x_left) AS margin FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY x_left, seq, copy) AS g FROM gaps) x GROUP BY doc_id, page, g HAVING count(*) >= 2
 )
-SELECT doc_id, page, CAST(i - 1 AS INT) AS col, CASE WHEN i = 1 THEN 0.0 ELSE greatest(0.0, margin - 6) END AS x0, coalesce(greatest(0.0, nxt - 6), {W}.0) AS x1 FROM (
+SELECT doc_id, page, CAST(i - 1 AS INT) AS col, CASE WHEN i = 1 THEN CAST(0 AS DOUBLE) ELSE greatest(0.0, margin - 6) END AS x0, coalesce(greatest(0.0, nxt - 6), CAST({W} AS DOUBLE)) AS x1 FROM (
   SELECT doc_id, page, margin, row_number() OVER (PARTITION BY doc_id, page ORDER BY g) AS i, lead(margin) OVER (PARTITION BY doc_id, page ORDER BY g) AS nxt, count(*) OVER (PARTITION BY doc_id, page) AS n FROM clusters) x WHERE n >= 2""")
 
 relation("d_drop_numbered_options", "Weak markers that hang at a margin of numbers too high for options; indented ones are options and go.", """

@@ -7,6 +7,9 @@ from ..relations import SETTINGS, SHARED, built, relation
 SHARED |= {"page_parts"}
 SETTINGS |= {"probe": r"^(\d+)[.] (\w+)", "term": "s1", "question_prefix": "Q", "solution_prefix": "S", "first_number": 5, "number_digits": 3, "name_pattern": "(name)_(width)x(sizekb)-#", "name_start": 11, "name_digits": 4}
 
+#: The key under which repeated lines agree.
+EXACT_KEY = "regexp_replace(lower(text), '[^a-z0-9]', ''/*G*/)"
+
 relation("b_tag_markers", "Item markers: strong (a Q word and number) or weak (a leading number), with the number.", rf"""
 SELECT doc_id, page, seq, y_top, y_bottom, x_left, x_right, CAST(CAST(n AS INT) AS STRING) AS q_num, is_strong
 FROM (SELECT *, CASE WHEN strong <> '' AND NOT formula THEN strong
@@ -19,17 +22,17 @@ FROM (SELECT *, CASE WHEN strong <> '' AND NOT formula THEN strong
 WHERE n <> ''""")
 
 relation("b_tag_headers", "Lines that are solution, answer-key or section headers.", rf"""
-SELECT doc_id, page, seq, text,
+SELECT doc_id, page, seq, y_top, y_bottom, x_left, x_right, text,
   length(t) <= 40 AND k IN ({fx.quoted(fx.SOLUTION_HEADERS)}) AS is_solution_header,
   length(t) <= 40 AND k IN ({fx.quoted(fx.KEY_HEADERS)}) AS is_key_header,
   length(t) <= 60 AND LIKE_RE(t, r'{fx.SECTION}') AS is_section_header
 FROM (SELECT *, trim(text) AS t, regexp_replace(lower(trim(text)), '[^a-z0-9]', ''/*G*/) AS k FROM {{page_lines}}) x""")
 
 relation("b_tag_folio", "Page numbers that stand in a margin.", rf"""
-SELECT doc_id, page, seq, text, y_top / 8.0 AS top_pct, y_bottom / 8.0 AS bottom_pct,
-  length(trim(text)) <= 20 AND LIKE_RE(trim(text), r'{fx.FOLIO}') AND (y_top / 8.0 <= 15 OR y_bottom / 8.0 >= 85) AS is_folio,
-  LIKE_RE(trim(text), r'(?i)^\s*(?:page\s*)?\d{{1,3}}\s*(?:/|of)\s*\d{{1,3}}\s*$') AND (y_top / 8.0 <= 8 OR y_bottom / 8.0 >= 80) AS is_margin_number
-FROM {{page_lines}}""")
+SELECT doc_id, page, seq, text, top_pct, bottom_pct,
+  length(trim(text)) <= 20 AND LIKE_RE(trim(text), r'{fx.FOLIO}') AND (top_pct <= 15 OR bottom_pct >= 85) AS is_folio,
+  LIKE_RE(trim(text), r'(?i)^\s*(?:page\s*)?\d{{1,3}}\s*(?:/|of)\s*\d{{1,3}}\s*$') AND (top_pct <= 8 OR bottom_pct >= 80) AS is_margin_number
+FROM (SELECT *, y_top / $(page_height) * 100 AS top_pct, y_bottom / $(page_height) * 100 AS bottom_pct FROM {{page_lines}}) x""")
 
 _HOST = " OR ".join(f"contains(lower(uri), '{h}')" for h in fx.BRANDING_HOSTS)
 relation("b_tag_branding", "Lines and links that advertise rather than say.", rf"""
@@ -41,9 +44,9 @@ relation("b_option_letters", "Option letters (A to D with their punctuation) of
     spark=r"""SELECT doc_id, page, seq, array_sort(array_distinct(transform(regexp_extract_all(text, r'(?<![A-Za-z0-9])\(?\s*([A-Da-d])\s*[.)]', 1), x -> upper(x)))) AS letters FROM {page_lines}""",
     other=r"""SELECT doc_id, page, seq, list_sort(list_distinct(list_transform(regexp_extract_all(concat(' ', text), r'(?:^|[^A-Za-z0-9])\(?\s*([A-Da-d])\s*[.)]', 1), lambda x: upper(x)))) AS letters FROM {page_lines}""")
 
-relation("b_normalize_keys", "Keys under which repeated lines agree, with and without digits.", """
+relation("b_normalize_keys", "Keys under which repeated lines agree, with and without digits.", f"""
 SELECT doc_id, page, seq, k AS exact_key, regexp_replace(k, '[0-9]', ''/*G*/) AS loose_key
-FROM (SELECT doc_id, page, seq, regexp_replace(lower(text), '[^a-z0-9]', ''/*G*/) AS k FROM {page_lines}) x""")
+FROM (SELECT doc_id, page, seq, {EXACT_KEY} AS k FROM {{page_lines}}) x""")
 
 relation("b_ocr_number_repair", "Leading tokens read as numbers of up to three digits, with OCR's letters for digits undone.", rf"""
 SELECT doc_id, page, seq, token, CASE WHEN LIKE_RE(fixed, r'^\d{{1,3}}$') THEN CAST(fixed AS INT) END AS num
@@ -121,8 +124,8 @@ SELECT idx, CASE WHEN trim(made) = '' THEN number ELSE trim(made) END AS stem, e
 
 relation("b_gate_figures", "Figures that are neither too small, nor the whole page, nor in a margin.", """
 SELECT doc_id, page, fig_id, x0, x1, y0, y1 FROM {figures}
-WHERE (x1 - x0) * (y1 - y0) >= 0.01 * 640 * 800 AND (x1 - x0) >= 0.05 * 640 AND (y1 - y0) >= 0.02 * 800
-  AND NOT ((x1 - x0) >= 0.9 * 640 AND (y1 - y0) >= 0.9 * 800) AND y1 > 0.06 * 800 AND y0 < 0.94 * 800""")
+WHERE (x1 - x0) * (y1 - y0) >= 0.01 * $(page_width) * $(page_height) AND (x1 - x0) >= 0.05 * $(page_width) AND (y1 - y0) >= 0.02 * $(page_height)
+  AND NOT ((x1 - x0) >= 0.9 * $(page_width) AND (y1 - y0) >= 0.9 * $(page_height)) AND y1 > 0.06 * $(page_height) AND y0 < 0.94 * $(page_height)""")
 
 built("j_custom_marker", "Markers by a user's pattern (here an option letter), by the default rules where it does not match.", ["page_lines"],
     lambda lines: markers.tag_markers(lines.select("doc_id", "page", "seq", "text"), pattern=r"\(([AB])\)").drop("text"),

@@ -65,7 +65,7 @@ def export_split(items: DataFrame) -> DataFrame:
 def rename_sheet(files: DataFrame) -> DataFrame:
     path = _place(files, "renames")
     files.select(F.expr("row_number() over (partition by batch order by idx)").alias("Serial Number"), F.format_string("slide_%03d", F.col("idx").cast("int")).alias("Slide Name"),
-        F.lit("").alias("Solution URL"), F.lit("").alias("Custom Message"), "batch").write.partitionBy("batch").option("header", True).csv(path)
+        F.lit("").alias("Solution URL"), F.lit("").alias("Custom Message"), "batch").write.option("header", True).csv(path)
     rows = files.sparkSession.read.option("header", True).csv(path)
     return rows.select(F.col("batch").cast("long").alias("batch"), F.col("Serial Number").cast("long").alias("serial"), F.col("Slide Name").alias("slide"))
 
@@ -79,12 +79,13 @@ def training_records(segments: DataFrame) -> DataFrame:
 
 
 def label_export(segments: DataFrame) -> DataFrame:
+    """One line for each box after its document and page, which are columns of the files: no folder for a document."""
     path = _place(segments, "labels")
     part = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / 100))
     x0, x1, y0, y1 = (part(c) for c in ("x0", "x1", "y0", "y1"))
     line = F.format_string("%d %.6f %.6f %.6f %.6f", F.col("is_solution").cast("int"), (x0 + x1) / 2, (y0 + y1) / 2, x1 - x0, y1 - y0)
-    segments.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).select("doc_id", line.alias("value")).write.partitionBy("doc_id").text(path)
-    return segments.sparkSession.read.text(path).select(F.col("doc_id").cast("long").alias("doc_id"), "value")
+    segments.filter((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).select("doc_id", "page", line.alias("value")).write.option("sep", "\t").csv(path)
+    return segments.sparkSession.read.option("sep", "\t").schema("doc_id long, page int, value string").csv(path)
 
 
 built("a_manifest", "Pictures of a JSON-lines manifest in order of arrival.", ["files"], manifest,
@@ -97,6 +98,5 @@ built("a_rename_sheet_sink", "Sheets of new names with serial numbers.", ["files
     other="SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY idx) AS serial, printf('slide_%03d', idx) AS slide FROM {files}")
 built("a_training_sink", "Training records as nested JSON.", ["segments"], training_records,
     other="SELECT doc_id, item, CASE WHEN bool_or(is_solution) THEN 'solution' ELSE 'question' END AS label, count(*) AS n, sum(y1 - y0) AS extent FROM {segments} GROUP BY doc_id, item")
-built("a_label_export", "Detector labels as text, one line for each box, a folder for each document.", ["label_segments"], label_export,
-    other="SELECT doc_id, printf('%d %.6f %.6f %.6f %.6f', is_solution::INT, (x0 + x1) / 200, (y0 + y1) / 200, (x1 - x0) / 100, (y1 - y0) / 100) AS value FROM {label_segments}")
-relation("label_segments", "Segments to export.", "SELECT doc_id % 40 AS doc_id, item, is_solution, x0, x1, y0, y1 FROM {segments} WHERE seg = 0")
+built("a_label_export", "Detector labels as text, one line for each box with its document and page.", ["segments"], label_export,
+    other="SELECT doc_id, page, printf('%d %.6f %.6f %.6f %.6f', is_solution::INT, (a0 + a1) / 2, (b0 + b1) / 2, a1 - a0, b1 - b0) AS value FROM (SELECT *, greatest(0, least(1, x0 / 100)) AS a0, greatest(0, least(1, x1 / 100)) AS a1, greatest(0, least(1, y0 / 100)) AS b0, greatest(0, least(1, y1 / 100)) AS b1 FROM {segments} WHERE x1 > x0 AND y1 > y0) s")

@@ -114,6 +114,6 @@ def test_detected_columns(spark):
     rows = [(1, p, i, 10.0 * i, 10.0 * i + 8, float(a), float(b), "x") for p, spans in pages.items() for i, (a, b) in enumerate(spans)]
     df = spark.createDataFrame(rows, "doc_id long, page int, seq long, y_top double, y_bottom double, x_left double, x_right double, text string")
     got = defaultdict(list)
-    for r in apply("d_detect_columns", lines=df).orderBy("page", "col").collect():
+    for r in apply("d_detect_columns", page_lines=df).orderBy("page", "col").collect():
         got[r["page"]].append((r["x0"], r["x1"]))
     assert {p: [tuple(round(x, 6) for x in c) for c in v] for p, v in got.items()} == {p: [tuple(round(x, 6) for x in c) for c in columns(s)] for p, s in pages.items()}
