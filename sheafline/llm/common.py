@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..staging import released, shared_dir, staged
 
-__all__ = ["bounded_batches", "components", "ranked", "released", "shared_dir", "staged", "table"]
+__all__ = ["BROADCAST_ROWS", "bounded_batches", "components", "ranked", "released", "shared_dir", "staged", "table"]
+
+
+#: A table of so few narrow rows, counted before, may be broadcast.
+BROADCAST_ROWS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

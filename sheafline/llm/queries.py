@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    bottom_k,
     hash_forest,
+    merkle_manifest,
     mixing,
     page_text,
     quality_classifier,
@@ -16,6 +18,7 @@ from . import (
     simhash_dedup,
     suffix_dedup,
     token_counts,
+    vector_codes,
 )
 from .common import table
 
@@ -66,6 +69,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op11_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, least=(85, 100))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document by the CRC of its id is checked with a text whose A-Z are lower-cased."""
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"), altered=altered).drop("proof")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +96,9 @@ QUERIES = {
         op8_token_counts,
         op9_mixing,
         op10_sharding,
+        op11_bottom_k,
+        op12_vector_codes,
+        op13_merkle_manifest,
     )
 }
 ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
