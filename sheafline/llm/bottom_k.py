@@ -9,10 +9,12 @@ documents that consist of little else.
 
 A list's nodes (sets, copies count once) are compared with its smallest node only. Where nodes of a list are still in
 different components afterwards, a short list's pairs between components are compared too; nodes of long lists get new
-lists from their whole sets, where the first `n - ceil(t n) + 1` rarest values suffice without any doubt, and the pairs of
-those lists that are still in different components are compared. Each pair is first judged by the union's sketch (unshared
-values over the limit: not alike), then by both whole sets. So a group of n copies or near copies costs n comparisons a
-list. Documents that share a frequent passage meet only if it makes up nearly all of them.
+lists from their whole sets, where the first `n - ceil(t n) + 1` rarest values suffice without any doubt, of the smaller
+set of a pair even the first `n - ceil(2 t n / (1 + t)) + 1`. The pairs of those lists that are still in different
+components are compared, if as many values as similarity t asks for can follow the value they meet at. Each pair is first
+judged by the union's sketch (unshared values over the limit: not alike), then by both whole sets. So a group of n copies
+or near copies costs n comparisons a list. Documents that share a frequent passage meet only if it makes up nearly all of
+them.
 
 Defined cases: only A-Z are lower-cased; null, empty and blank texts have no shingles and are linked with nothing; a text of
 fewer words than a shingle is one shingle; a null doc_id stays a row, is linked, and is a component's id only where all its
@@ -138,12 +140,16 @@ def sketches(keyed: DataFrame, shingle_words: int, k: int) -> DataFrame:
 
 
 def _lists(nodes: DataFrame, wanted: Column, label: str) -> DataFrame:
-    """Inverted lists (v, node, n, size, m): of each node (node, n, sketch) its `wanted` rarest values, m a list's smallest node."""
+    """Inverted lists (v, node, n, at, size, m): of each node (node, n, sketch) its `wanted` rarest values.
+
+    `at` is the value's place among the node's, from 1; m is the list's smallest node.
+    """
     posted = nodes.select("node", "n", F.size("sketch").alias("k"), wanted.alias("wanted"), F.explode("sketch").alias("v"))
     often = staged(posted.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), f"{label}-often")
     per_node = posted.hint("merge").join(often, "v").groupBy("node", "n", "k", "wanted").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("a"))
     left = F.col("wanted") - (F.col("k") - F.size("a"))  # values that one node alone holds are the rarest
-    chosen = staged(per_node.filter(left > 0).select("node", "n", F.explode(F.slice("a", F.lit(1), left)).alias("x")).select("x.v", "node", "n"), f"{label}-chosen")
+    kept = per_node.filter(left > 0).select("node", "n", "k", F.size("a").alias("s"), F.posexplode(F.slice("a", F.lit(1), left)).alias("i", "x"))
+    chosen = staged(kept.select("x.v", "node", "n", (F.col("k") - F.col("s") + F.col("i") + 1).alias("at")), f"{label}-chosen")
     sizes = staged(chosen.groupBy("v").agg(F.count("*").alias("size"), F.min("node").alias("m")).filter("size > 1"), f"{label}-sizes")
     lists = staged(chosen.hint("merge").join(sizes, "v"), f"{label}-lists")
     released(often, chosen, sizes)
@@ -189,7 +195,7 @@ def _stars(lists: DataFrame) -> DataFrame:
 
 
 def _apart(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """The lists whose nodes are in different components: (v, node, n, size, root, main), main the component of most."""
+    """The lists whose nodes are in different components: (v, node, n, at, size, root, main), main the component of most."""
     placed = lists.hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = staged(placed.groupBy("v", "root").agg(F.count("*").alias("c")), "bottomk-roots")
     main = sizes.groupBy("v").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root"))["root"].alias("main")).filter("roots > 1")
@@ -204,6 +210,21 @@ def _pairs(apart: DataFrame, least: tuple[int, int]) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _following(apart: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs of one list of whole sets and different components that can be alike if they first meet at this value."""
+    num, den = least
+    index = F.col("n") - F.ceil(2 * num * F.col("n") / (num + den)) + 1
+    sides = {"i": apart.filter(F.col("at") <= index), "p": apart}
+    own = {c: d.select("v", *[F.col(f).alias(f"{f}_{c}") for f in ("node", "root", "n", "at")]) for c, d in sides.items()}
+    few = {c: d.filter("root <> main").select("v", *[F.col(f).alias(f"{f}_{c}") for f in ("node", "root", "n", "at")]) for c, d in sides.items()}
+    smaller = (F.col("n_i") < F.col("n_p")) | ((F.col("n_i") == F.col("n_p")) & (F.col("node_i") < F.col("node_p")))
+    room = F.least(F.col("n_i") - F.col("at_i"), F.col("n_p") - F.col("at_p")) + 1
+    fits = smaller & _sizes_fit("n_i", "n_p", least) & (room * (num + den) >= num * (F.col("n_i") + F.col("n_p")))
+    both = few["i"].hint("merge").join(own["p"], "v").unionByName(few["p"].hint("merge").join(own["i"], "v"))
+    met = both.filter("root_i <> root_p").filter(fits)
+    return met.select(F.least("node_i", "node_p").alias("a"), F.greatest("node_i", "node_p").alias("b")).distinct()
+
+
 def _whole_sketches(texts: DataFrame, shingle_words: int) -> DataFrame:
     """(node, n, sketch) of texts (node, t), the sketch the whole set."""
 
@@ -242,7 +263,7 @@ def _linked(found: DataFrame, keyed: DataFrame, shingle_words: int, k: int, leas
         whole = staged(_whole_sketches(texts.hint("merge").join(staged(crowded, "bottomk-crowded"), "node", "left_semi"), shingle_words), "bottomk-whole")
         finer = _lists(whole, exact, "bottomk-finer")
         links = links.unionByName(_confirmed(_stars(finer), nodes, texts, shingle_words, k, least))
-        rest = _pairs(_apart(finer, components(links, "bottomk-components")), least)
+        rest = _following(_apart(finer, components(links, "bottomk-components")), least)
         links = links.unionByName(_confirmed(rest, nodes, texts, shingle_words, k, least))
     return nodes, components(links, "bottomk-components")
 
