@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash_dedup
 from .common import components, released, staged
 
 K = 64
@@ -122,21 +123,36 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("k"), F.xxhash64(text_col).alias("r"), F.col(text_col).cast("binary").alias("t"))
 
 
-def sketches(keyed: DataFrame, shingle_words: int, k: int) -> DataFrame:
-    """(k, r, n, h1, h2, sketch) of each row: its set's size, 128 bits that tell sets apart (null if empty), its sketch."""
+def sketches(keyed: DataFrame, shingle_words: int, k: int, simhash: bool = False) -> DataFrame:
+    """(k, r, n, h1, h2, f, sketch) of each row: its set's size, 128 bits that tell sets apart (null if empty), its sketch.
+
+    f is the SimHash fingerprint if that is asked for, else null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for t in b.column(2):
-                v = values(t.as_py(), shingle_words)
+                text = t.as_py()
+                v = values(text, shingle_words)
                 h = np.frombuffer(xxhash.xxh3_128_digest(v), np.int64) if len(v) else (None, None)
-                for column, x in zip(out, (len(v), h[0], h[1], v[:k]), strict=True):
+                f = simhash_dedup.fingerprint(text, shingle_words) if simhash else None
+                for column, x in zip(out, (len(v), h[0], h[1], f if f is None or f < 1 << 63 else f - (1 << 64), v[:k]), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, out, kinds)], ["k", "r", "n", "h1", "h2", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, out, kinds)], ["k", "r", "n", "h1", "h2", "f", "sketch"])
+
+    return keyed.mapInArrow(run, "k long, r long, n long, h1 long, h2 long, f long, sketch array<long>")
 
-    return keyed.mapInArrow(run, "k long, r long, n long, h1 long, h2 long, sketch array<long>")
+
+def _by_simhash(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints (f) are equal or linked: each class of equal ones goes by its smallest node."""
+    least = staged(nodes.groupBy("f").agg(F.min("node").alias("m")), "bottomk-fingerprints")
+    equal = nodes.select("node", "f").hint("merge").join(least, "f").filter("node <> m").select(F.col("m").alias("a"), F.col("node").alias("b"))
+    linked = staged(simhash_dedup.links(least.select("f")), "bottomk-simhash")
+    own = lambda c: least.select(F.col("f").alias(c), F.col("m").alias(f"m{c}"))
+    other = linked.hint("merge").join(own("a"), "a").hint("merge").join(own("b"), "b")
+    return equal.unionByName(other.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")))
 
 
 def _lists(nodes: DataFrame, wanted: Column, label: str) -> DataFrame:
@@ -194,8 +210,17 @@ def _stars(lists: DataFrame) -> DataFrame:
     return lists.filter("node <> m").select(F.col("m").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, root) of linked nodes: the smallest node within two links. Equal roots show that nodes are in one component."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "bottomk-labels")
+    own = near.select(F.col("a").alias("node"), F.col("m").alias("root"))
+    nearest = both.hint("merge").join(near.select(F.col("a").alias("b"), "m"), "b").select(F.col("a").alias("node"), F.col("m").alias("root"))
+    return staged(own.unionByName(nearest).groupBy("node").agg(F.min("root").alias("root")), "bottomk-labels")
+
+
 def _apart(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """The lists whose nodes are in different components: (v, node, n, at, size, root, main), main the component of most."""
+    """The lists whose nodes are in different components, by roots: (v, node, n, at, size, root, main), main the component of most."""
     placed = lists.hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = staged(placed.groupBy("v", "root").agg(F.count("*").alias("c")), "bottomk-roots")
     main = sizes.groupBy("v").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root"))["root"].alias("main")).filter("roots > 1")
@@ -238,32 +263,37 @@ def _whole_sketches(texts: DataFrame, shingle_words: int) -> DataFrame:
     return texts.select("node", "t").mapInArrow(run, "node long, n long, sketch array<long>")
 
 
-def _linked(found: DataFrame, keyed: DataFrame, shingle_words: int, k: int, least: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+def _linked(
+    found: DataFrame, keyed: DataFrame, shingle_words: int, k: int, least: tuple[int, int], simhash: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, k, r, h1, h2), one for each set of found, and (node, root) of those that are linked."""
-    sets = found.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("k", "r")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = staged(sets.select(F.monotonically_increasing_id().alias("node"), "first.k", "first.r", "h1", "h2", "n", "sketch"), "bottomk-nodes")
+    values_of = [F.first(c).alias(c) for c in ("n", "f", "sketch")]
+    sets = found.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("k", "r")).alias("first"), *values_of)
+    nodes = staged(sets.select(F.monotonically_increasing_id().alias("node"), "first.k", "first.r", "h1", "h2", "n", "f", "sketch"), "bottomk-nodes")
     exact = (F.col("n") - F.ceil(F.col("n") * least[0] / least[1]) + 1).cast("int")
     # Partners of a set of so few values have whole sketches as well.
     wanted = F.when(F.col("n") * least[1] <= k * least[0], exact).otherwise(most(k, least) + 1)
     lists = _lists(nodes, wanted, "bottomk")
 
-    def texts_of(wanted_nodes: DataFrame, label: str) -> DataFrame:
-        placed = wanted_nodes.distinct().hint("merge").join(nodes.select("node", "k", "r"), "node")
-        rows = keyed.hint("merge").join(staged(placed, f"{label}-keys"), ["k", "r"])  # rows that agree on both are alike
-        return staged(rows.groupBy("node").agg(F.first("t").alias("t")), label)
-
-    texts = texts_of(lists.select("node"), "bottomk-texts")
-    links = _confirmed(_stars(lists), nodes, texts, shingle_words, k, least)
-    roots = components(links, "bottomk-components")
-    apart = _apart(lists, roots)
-    short = _confirmed(_pairs(apart.filter(F.col("size") <= SHORT), least), nodes, texts, shingle_words, k, least)
-    links = links.unionByName(short)
-    crowded = apart.filter(F.col("size") > SHORT).select("node").distinct()
-    if not crowded.isEmpty():
-        whole = staged(_whole_sketches(texts.hint("merge").join(staged(crowded, "bottomk-crowded"), "node", "left_semi"), shingle_words), "bottomk-whole")
+    pairs, wanted_nodes = _stars(lists), lists.select("node")
+    if simhash:
+        near = staged(_by_simhash(nodes), "bottomk-near")
+        pairs = pairs.unionByName(near).distinct()
+        wanted_nodes = wanted_nodes.unionByName(near.select(F.explode(F.array("a", "b")).alias("node")))
+    placed = staged(wanted_nodes.distinct().hint("merge").join(nodes.select("node", "k", "r"), "node"), "bottomk-keys")
+    texts = keyed.hint("merge").join(placed, ["k", "r"]).groupBy("node").agg(F.first("t").alias("t"))  # rows that agree on both are alike
+    texts = staged(texts, "bottomk-texts")
+    links = _confirmed(pairs, nodes, texts, shingle_words, k, least)
+    apart = _apart(lists, _labels(links))
+    more = _pairs(apart.filter(F.col("size") <= SHORT), least)
+    crowded = staged(apart.filter(F.col("size") > SHORT).select("node").distinct(), "bottomk-crowded")
+    if crowded.isEmpty():
+        links = links.unionByName(_confirmed(more, nodes, texts, shingle_words, k, least))
+    else:
+        whole = staged(_whole_sketches(texts.hint("merge").join(crowded, "node", "left_semi"), shingle_words), "bottomk-whole")
         finer = _lists(whole, exact, "bottomk-finer")
-        links = links.unionByName(_confirmed(_stars(finer), nodes, texts, shingle_words, k, least))
-        rest = _following(_apart(finer, components(links, "bottomk-components")), least)
+        links = links.unionByName(_confirmed(more.unionByName(_stars(finer)).distinct(), nodes, texts, shingle_words, k, least))
+        rest = _following(_apart(finer, _labels(links)), least)
         links = links.unionByName(_confirmed(rest, nodes, texts, shingle_words, k, least))
     return nodes, components(links, "bottomk-components")
 
@@ -285,15 +315,15 @@ def near_duplicates(
 
 
 def representatives(
-    docs: DataFrame, shingle_words: int = 5, least: tuple[int, int] = (4, 5), k: int = K, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle_words: int = 5, least: tuple[int, int] = (4, 5), k: int = K, simhash: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row of docs from each group: that of the smallest id (null ids last), of equal ids that of the lower text hash.
 
-    Rows without words are one group here.
+    Rows without words are one group here. With `simhash` pairs come from SimHash fingerprints too.
     """
     keyed = _keyed(docs, id_col, text_col)
-    found = staged(sketches(keyed, shingle_words, k), "bottomk-sketches")
-    nodes, roots = _linked(found, keyed, shingle_words, k, least)
+    found = staged(sketches(keyed, shingle_words, k, simhash), "bottomk-sketches")
+    nodes, roots = _linked(found, keyed, shingle_words, k, least, simhash)
     placed = nodes.hint("merge").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("k", "r")).alias("first"))
     blank = found.filter("n = 0").groupBy("n").agg(F.min(F.struct("k", "r")).alias("first"))
     winners = staged(placed.select("first.*").unionByName(blank.select("first.*")), "bottomk-winners")
@@ -301,3 +331,24 @@ def representatives(
     first = docs.withColumns(own).hint("merge").join(winners.toDF("__k", "__r"), ["__k", "__r"], "left_semi")
     one = F.row_number().over(Window.partitionBy("__k", "__r").orderBy(F.lit(0)))
     return first.withColumn("__i", one).filter("__i = 1").select(*docs.columns)
+
+
+#: The near-duplicates of op11 by all pairs that share a shingle, for another engine.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT id, doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+), keyed AS MATERIALIZED (
+  SELECT id, doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS k, s FROM sets
+), nodes AS MATERIALIZED (
+  SELECT k, min(doc_id) AS least, any_value(n) AS n, any_value(s) AS s FROM keyed WHERE n > 0 GROUP BY k
+), posted AS MATERIALIZED (SELECT k, n, unnest(s) AS v FROM nodes
+), links AS MATERIALIZED (
+  SELECT a.k AS a, b.k AS b FROM posted a JOIN posted b ON a.v = b.v AND a.k <> b.k AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached AS (SELECT k AS a, k AS b FROM nodes UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), lowest AS (SELECT r.a, min(n.least) AS c FROM reached r JOIN nodes n ON r.b = n.k GROUP BY r.a
+)
+SELECT d.doc_id, d.n AS n_shingles, CASE WHEN d.n = 0 THEN d.doc_id ELSE l.c END AS component_id, d.doc_id IS NOT DISTINCT FROM CASE WHEN d.n = 0 THEN d.doc_id ELSE l.c END AS kept
+FROM keyed d LEFT JOIN lowest l ON d.n > 0 AND l.a = d.k"""

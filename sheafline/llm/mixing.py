@@ -13,7 +13,8 @@ those are added up one by one. Rows equal in id and text are one key with a coun
 Defined cases: null and blank texts have no tokens and are never taken; a null language or source is a leaf of its own;
 siblings without a weight, and a null one, weigh what `weights` gives None at their level, 0 where it names others only,
 and all weigh 1 where it names none; repeated rows are rows of
-their own; other columns are kept, but those called domain, n_tokens or epoch are replaced.
+their own; other columns are kept, but those called domain, n_tokens or epoch are replaced. Of rows equal in id and text whose
+other columns differ, which ones a prefix takes is left open.
 """
 
 from __future__ import annotations
@@ -40,12 +41,6 @@ def tokens(text_col: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def domain_of(source: Column) -> Column:
-    """The test tables name sources only: web, books or code by the source's number."""
-    number = F.coalesce(F.regexp_extract(source, r"(\d+)$", 1).try_cast("int"), F.lit(0))
-    return F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("code")), F.pmod(number, F.lit(3)) + 1)
-
-
 def weight_of(level: Column, weights: dict[str | None, float] | None) -> Column:
     out = F.lit(float(weights.get(None, 0.0)) if weights else 1.0)
     for name, w in (weights or {}).items():
@@ -91,6 +86,17 @@ def budgets(leaves: DataFrame, budget: float, weights: dict[str, dict[str | None
     return out.select(*LEVELS, "n", "budget")
 
 
+def binding_budget(leaves: DataFrame, weights: dict[str, dict[str | None, float]], max_epochs: int) -> float:
+    """The largest budget of which every domain that has tokens can give its share by weight, and not over the tokens there are."""
+    d = leaves
+    for level in LEVELS:
+        d = d.withColumn(f"w_{level}", weight_of(F.col(level), weights.get(level)))
+    usable = d.withColumn("m", F.when((F.col("w_lang") > 0) & (F.col("w_source") > 0), F.col("n") * max_epochs).otherwise(0))
+    domains = usable.groupBy("domain", "w_domain").agg(F.sum("m").alias("m"), F.sum("n").alias("n")).filter("m > 0 and w_domain > 0")
+    least, all_weights, all_tokens = domains.agg(F.min(F.col("m") / F.col("w_domain")), F.sum("w_domain"), F.sum("n")).first()
+    return min(least * all_weights, float(all_tokens)) if least else 0.0
+
+
 def _with_plan(rows: DataFrame, plan: DataFrame, n_leaves: int, how: str = "inner") -> DataFrame:
     """rows joined with their leaf's line of plan (__p_domain, __p_lang, __p_source); broadcast only up to BROADCAST leaves."""
     same = [F.col("__domain") == F.col("__p_domain"), F.col("lang").eqNullSafe(F.col("__p_lang")), F.col("source").eqNullSafe(F.col("__p_source"))]
@@ -99,25 +105,29 @@ def _with_plan(rows: DataFrame, plan: DataFrame, n_leaves: int, how: str = "inne
 
 def mixed(
     docs: DataFrame,
-    share: float = 0.5,
+    share: float | None = 0.5,
     weights: dict[str, dict[str | None, float]] | None = None,
     max_epochs: int = 2,
     seed: int = 13,
     id_col: str = "doc_id",
     text_col: str = "text",
     n_tokens: Column | None = None,
+    domain: Column | None = None,
 ) -> DataFrame:
     """The rows of docs that are taken, once for each epoch that takes them, with domain, n_tokens and epoch (from 0).
 
-    The budget is `share` of all tokens, counted by `n_tokens` if given (a count that op6 or op8 has made), else by words.
+    The budget is `share` of all tokens, or where that is None as many as let every domain give its share by weight. Tokens
+    are counted by `n_tokens` if given (a count that op6 or op8 has made), else by words; `domain` names each row's domain,
+    by default one for all.
     """
-    added = {"__n": tokens(text_col) if n_tokens is None else F.coalesce(n_tokens.cast("long"), F.lit(0)), "__domain": domain_of(F.col("source"))}
+    added = {"__n": tokens(text_col) if n_tokens is None else F.coalesce(n_tokens.cast("long"), F.lit(0)), "__domain": F.lit("all") if domain is None else domain}
     rows = docs.withColumns({**added, "__h": F.hex(F.xxhash64(text_col)), "__i": F.coalesce(F.col(id_col).cast("string"), F.lit("-"))}).filter("__n > 0")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), "__i", "__h"))
     keyed = staged(rows.select("__i", "__h", "__domain", "lang", "source", "__n"), "mixing-keys")
     leaves = staged(keyed.groupBy(F.col("__domain").alias("domain"), "lang", "source").agg(F.sum("__n").alias("n")), "mixing-leaves")
     total, n_leaves = leaves.agg(F.sum("n"), F.count("*")).first()
-    plan = budgets(leaves, share * (total or 0), weights or {}, max_epochs).filter("budget > 0")
+    budget = share * (total or 0) if share is not None else binding_budget(leaves, weights or {}, max_epochs)
+    plan = budgets(leaves, budget, weights or {}, max_epochs).filter("budget > 0")
     plan = plan.withColumn("__whole", F.least(F.floor(F.col("budget") / F.col("n")), F.lit(max_epochs)))
     plan = staged(plan.select(
         F.col("domain").alias("__p_domain"), F.col("lang").alias("__p_lang"), F.col("source").alias("__p_source"),

@@ -190,3 +190,33 @@ def coded(rows: DataFrame, **options) -> DataFrame:
     at = F.col("label").eqNullSafe(F.col("__l")) & (F.pmod(F.hash("vec_id", "code"), F.lit(salts)) == F.col("__s"))
     text = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
     return found.join(salted, at).select("vec_id", text.alias("code"), "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+def _sql() -> str:
+    best = lambda books: f"""
+SELECT id, p, x, m % {ENTRIES} AS e, m // {ENTRIES} AS d FROM (
+  SELECT q.id, q.p, any_value(q.x) AS x, min(CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - b.c[i]) * (q.x[i] - b.c[i]))) AS BIGINT) * {ENTRIES} + b.e) AS m
+  FROM parts q JOIN {books} b ON q.p = b.p GROUP BY q.id, q.p) n"""
+    ctes, books = [], "b0"
+    for k in range(1, ROUNDS + 1):
+        ctes.append(f"a{k} AS MATERIALIZED ({best(books)})")
+        mean = f"SELECT p, e, list(v ORDER BY i) AS c FROM (SELECT p, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS v FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a{k}) u GROUP BY p, e, i) s GROUP BY p, e"
+        ctes.append(f"b{k} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM {books} b LEFT JOIN ({mean}) m ON b.p = m.p AND b.e = m.e)")
+        books = f"b{k}"
+    steps = ",\n".join(ctes)
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+wide AS (SELECT greatest(1, CAST(ceil(max(len(v)) / {PARTS}.0) AS BIGINT)) AS n FROM kept),
+parts AS MATERIALIZED (SELECT id, p, list_resize(v, n * {PARTS}, 0)[p * n + 1:(p + 1) * n] AS x FROM (SELECT *, unnest(range({PARTS})) AS p FROM kept) k, wide),
+b0 AS (SELECT p, id AS e, x AS c FROM parts WHERE id < {ENTRIES}),
+{steps},
+found AS ({best(books)}),
+coded AS (SELECT k.vec_id, k.label, c.code, c.error FROM kept k JOIN (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM found GROUP BY id) c ON k.id = c.id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c[i] AS VARCHAR), ',' ORDER BY p, e, i)) FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM {books}) u) AS codebooks_sha256 FROM coded"""
+
+
+#: The same codes of `embeddings` for another engine.
+SQL = _sql()

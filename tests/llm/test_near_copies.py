@@ -2,7 +2,7 @@
 
 import random
 
-from sheafline.llm import near_copies, pipeline_stages
+from sheafline.llm import bottom_k, pipeline_stages
 
 
 def similarity(a, b):
@@ -68,5 +68,5 @@ def test_a_large_group_and_its_neighbours(spark):
     rows += [(1000 + i, " ".join([*far, f"z{rng.random()}"])) for i in range(5)]
     rows += [(7, rows[7][1]), (None, "lone words")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"] for r in near_copies.representatives(df).collect()} == {0, 1000, None}
-    assert near_copies.representatives(df.filter("false")).count() == 0
+    assert {r["doc_id"] for r in bottom_k.representatives(df).collect()} == {0, 1000, None}
+    assert bottom_k.representatives(df.filter("false")).count() == 0

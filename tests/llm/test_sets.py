@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sheafline.llm import hash_forest, mixing, sharding
+from sheafline.llm.queries import domain_of
 
 SF = "/root/testdata/sf0.01"
 
@@ -110,7 +111,7 @@ def simple_mix(rows, share, weights, epochs, seed=13):
 def test_mixing_is_brute_force(spark, share, weights, epochs):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(400)
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
-    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), share, weights, epochs)
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), share, weights, epochs, domain=domain_of(F.col("source")))
     assert Counter((r["doc_id"], r["epoch"]) for r in got.collect()) == simple_mix(rows, share, weights, epochs)
 
 
