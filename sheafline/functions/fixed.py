@@ -31,6 +31,7 @@ WEAK_PAREN = r"^\s*(\d{1,3})\s*[)](?:\s|$)"
 WEAK_OPEN = r"^\s*(\d{1,3})\s*[.]\s*\("
 SECTION = r"(?i)^\s*(?:part|section)\s*[-–—:.]?\s*([ivxlcdm]+|[a-z]|\d{1,2})\b|^this\s+section\s+contains\b"
 FOLIO = r"(?i)^(?:\d{1,4}|\d{1,4}\s*/\s*\d{1,4}|page\s*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?|[-–—]\s*\d{1,4}\s*[-–—])$"
+PAGE_OF = r"(?i)^\s*(?:page\s*)?\d{1,3}\s*(?:/|of)\s*\d{1,3}\s*$"
 OPTION_START = r"^\s*\(?\s*[A-Da-d]\s*[.)]"
 KEY_CELL = r"^\s*(\d{1,3})\s*[.)\-:]?\s*\(?\s*([A-Ea-e1-5])\s*\)?\s*$"
 # Key pairs, openers of numbered solutions, labelled answers.

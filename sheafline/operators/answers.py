@@ -5,12 +5,19 @@ from ..relations import SHARED, relation
 
 SHARED |= {"key_text_pairs", "solution_lines", "words"}
 
+relation("key_lines", "A document's lines in order, as the text an answer key is looked for in.", """
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, y_top, x_left, seq) AS BIGINT) AS seq, text FROM {e_section_state}""")
+
+#: Separators are doubled for an engine without look-ahead, so that one serves as the end of a pair and the start of the next.
+_TWICE = r"regexp_replace(text, '([\s,;|])', '\1\1', 'g')"
+_PAIR = fx.KEY_PAIR.replace("(?=$|", "(?:$|")
 relation("key_text_pairs", "Number and letter pairs of key texts, in order.", "",
     spark=f"""
-SELECT doc_id, seq, pos, CAST(p['0'] AS INT) AS num, upper(p['1']) AS letter FROM {{key_lines}}
+SELECT doc_id, seq, CAST(pos AS BIGINT) AS pos, CAST(p['0'] AS INT) AS num, upper(p['1']) AS letter FROM {{key_lines}}
 LATERAL VIEW posexplode(arrays_zip(regexp_extract_all(text, r'{fx.KEY_PAIR}', 1), regexp_extract_all(text, r'{fx.KEY_PAIR}', 2))) t AS pos, p""",
-    other="""
-SELECT doc_id, CAST(floor(num / 10.0) AS BIGINT) AS seq, num AS pos, num, letter FROM {key_pairs} WHERE num <= 999""")
+    other=f"""
+SELECT doc_id, seq, pos, CAST(a[pos + 1] AS INT) AS num, upper(b[pos + 1]) AS letter FROM (
+  SELECT *, unnest(range(len(a))) AS pos FROM (SELECT doc_id, seq, regexp_extract_all({_TWICE}, r'{_PAIR}', 1) AS a, regexp_extract_all({_TWICE}, r'{_PAIR}', 2) AS b FROM {{key_lines}}) x) y""")
 
 relation("d_answer_key", "Number and letter pairs of a key text, if there are four or more and they cover 70 per cent of their run; the first of a number wins.", """
 WITH first AS (SELECT doc_id, num, letter FROM (
@@ -18,28 +25,30 @@ WITH first AS (SELECT doc_id, num, letter FROM (
 SELECT doc_id, num, letter FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, max(num) OVER (PARTITION BY doc_id) AS hi, min(num) OVER (PARTITION BY doc_id) AS lo FROM first) x
 WHERE n >= 4 AND n / (hi - lo + 1) >= 0.7""")
 
-relation("d_solution_answers", "Answers named within numbered solutions; documents with two or more.", rf"""
-WITH blocks AS (
-  SELECT doc_id, seq, text, LASTNN(coalesce(TRY_CAST(regexp_extract(text, r'{fx.SOLUTION_OPENER}', 1) AS INT), TRY_CAST(regexp_extract(text, r'{fx.SOLUTION_OPENER}', 2) AS INT)) NN) OVER (PARTITION BY doc_id ORDER BY seq) AS num FROM {{solution_lines}}
+#: A block runs from one opener to the next; its lines are joined, since a label and its letter may stand on two of them.
+_BLOCKS = rf"""
+WITH opened AS (
+  SELECT doc_id, seq, text, coalesce(TRY_CAST(regexp_extract(text, r'{fx.SOLUTION_OPENER}', 1) AS INT), TRY_CAST(regexp_extract(text, r'{fx.SOLUTION_OPENER}', 2) AS INT)) AS num FROM {{solution_lines}}
+), numbered AS (
+  SELECT *, sum(CASE WHEN num IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY seq) AS block FROM opened
+), blocks AS (
+  SELECT doc_id, block, max(num) AS num, @ AS text FROM numbered WHERE block > 0 GROUP BY doc_id, block
 ), first AS (SELECT doc_id, num, letter FROM (
-  SELECT doc_id, num, letter, row_number() OVER (PARTITION BY doc_id, num ORDER BY seq) AS rn FROM (
-    SELECT doc_id, num, seq, upper(regexp_extract(text, r'{fx.LABELLED_ANSWER}', 1)) AS letter FROM blocks WHERE num BETWEEN 1 AND 999) x WHERE letter <> '') y WHERE rn = 1)
-SELECT doc_id, num, letter FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM first) x WHERE n >= 2""")
+  SELECT doc_id, num, letter, row_number() OVER (PARTITION BY doc_id, num ORDER BY block) AS rn FROM (
+    SELECT doc_id, block, num, upper(regexp_extract(text, r'{fx.LABELLED_ANSWER}', 1)) AS letter FROM blocks WHERE num BETWEEN 1 AND 999) x WHERE letter <> '') y WHERE rn = 1)
+SELECT doc_id, num, letter FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM first) x WHERE n >= 2"""
+relation("d_solution_answers", "Answers named within numbered solutions, label and letter on one line or several; documents with two or more.", "",
+    spark=_BLOCKS.replace("@", "array_join(transform(array_sort(collect_list(struct(seq, text))), x -> x.text), '\\n')"), other=_BLOCKS.replace("@", "string_agg(text, chr(10) ORDER BY seq)"))
 
 relation("d_resolve_key", "Each document's key from the first source that has one: grid, prose, model.", """
 WITH s AS (
   SELECT doc_id, num, letter, 1 AS prio FROM {d_answer_key} UNION ALL SELECT doc_id, num, letter, 2 FROM {d_solution_answers} UNION ALL SELECT doc_id, num, letter, 3 FROM {model_key})
 SELECT doc_id, num, letter, CASE prio WHEN 1 THEN 'grid' WHEN 2 THEN 'prose' ELSE 'model' END AS source FROM (SELECT *, min(prio) OVER (PARTITION BY doc_id) AS best FROM s) x WHERE prio = best""")
 
-relation("words", "Words of lines with places and confidences.", "",
-    spark="""SELECT doc_id, page, seq, CAST(pos AS BIGINT) AS pos, word, CAST((seq * 7 + pos) % 103 - 2 AS DOUBLE) AS conf, x_left + 6 * pos AS x0, x_left + 6 * pos + 5 AS x1, y_top AS y0, y_bottom AS y1 FROM {lines} LATERAL VIEW posexplode(split(text, ' ')) t AS pos, word""",
-    other="""SELECT doc_id, page, seq, pos, word, CAST((seq * 7 + pos) % 103 - 2 AS DOUBLE) AS conf, x_left + 6 * pos AS x0, x_left + 6 * pos + 5 AS x1, y_top AS y0, y_bottom AS y1 FROM (
-  SELECT *, unnest(range(len(a))) AS pos, unnest(a) AS word FROM (SELECT *, string_split(text, ' ') AS a FROM {lines}) x) y""")
-
 relation("d_ocr_confidence", "Mean confidence of each page's words; blanks and negative values do not count.", """
 SELECT p.doc_id, p.page, coalesce(w.conf, 0.0) AS conf FROM {paper_pages} p LEFT JOIN (SELECT doc_id, page, avg(conf) AS conf FROM {words} WHERE conf >= 0 AND trim(word) <> '' GROUP BY doc_id, page) w ON p.doc_id = w.doc_id AND p.page = w.page""")
 
-relation("d_weak_pages", "Pages whose confidence is above 0 and below a threshold.", "SELECT doc_id, page, conf FROM {d_ocr_confidence} WHERE conf > 0 AND conf < 50")
+relation("d_weak_pages", "Pages whose confidence is above 0 and below a threshold.", "SELECT doc_id, page, conf FROM {d_ocr_confidence} WHERE conf > 0 AND conf < $(ocr_confidence)")
 
 relation("d_page_class", "Pages by source of text (text, OCR, or text then OCR), and whether the document can be searched.", """
 WITH c AS (
@@ -78,15 +87,3 @@ relation("d_key_diagnosis", "Why a document has a key or not.", """
 SELECT p.doc_id, coalesce(t.chars, 0) > 100 AS has_text, coalesce(k.n, 0) AS n, CASE WHEN coalesce(k.n, 0) > 0 THEN 'found' WHEN coalesce(t.chars, 0) <= 100 THEN 'no text layer' ELSE 'no key' END AS verdict
 FROM (SELECT DISTINCT doc_id FROM {paper_pages}) p LEFT JOIN (SELECT doc_id, sum(length(text)) AS chars FROM {lines} WHERE page <= 5 GROUP BY doc_id) t ON p.doc_id = t.doc_id
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM {document_keys} GROUP BY doc_id) k ON p.doc_id = k.doc_id""")
-
-relation("c_recover_markers", "Lines whose misread first token is a number missing between its neighbours, the earliest of each.", """
-WITH nums AS (
-  SELECT doc_id, is_solution, CAST(q_num AS INT) AS n, min(page * 100000 + y_top) AS pos FROM {sided_markers} WHERE copy = 0 GROUP BY doc_id, is_solution, CAST(q_num AS INT)
-), span AS (SELECT doc_id, is_solution, min(n) AS lo, max(n) AS hi, count(*) AS k FROM nums GROUP BY doc_id, is_solution HAVING count(*) >= 3),
-gaps AS (SELECT a.doc_id, a.is_solution, a.n + 1 AS n, a.pos AS lower, b.pos AS upper FROM nums a JOIN nums b ON a.doc_id = b.doc_id AND a.is_solution = b.is_solution AND b.n = a.n + 2
-  WHERE NOT EXISTS (SELECT 1 FROM nums m WHERE m.doc_id = a.doc_id AND m.is_solution = a.is_solution AND m.n = a.n + 1))
-SELECT doc_id, is_solution, n, page, seq FROM (
-  SELECT g.doc_id, g.is_solution, g.n, t.page, t.seq, row_number() OVER (PARTITION BY g.doc_id, g.is_solution, g.n ORDER BY l.page, l.y_top, l.x_left, l.seq) AS rn
-  FROM gaps g JOIN span s ON g.doc_id = s.doc_id AND g.is_solution = s.is_solution AND s.hi - s.lo + 1 - s.k <= greatest(3, floor((s.hi - s.lo) / 3.0))
-  JOIN {b_ocr_number_repair} t ON t.doc_id = g.doc_id AND t.num = g.n JOIN {page_lines} l ON l.doc_id = t.doc_id AND l.page = t.page AND l.seq = t.seq
-    AND l.page * 100000 + l.y_top > g.lower AND l.page * 100000 + l.y_top < g.upper) x WHERE rn = 1""")

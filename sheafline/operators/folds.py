@@ -12,7 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..relations import built, relation
+from ..relations import SETTINGS, SHARED, built, relation
+from .itemising import detect
+
+SHARED |= {"read_words", "word_extents", "word_columns"}
 
 _INTER = "greatest(0E0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0E0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0))"
 _AREA = "({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0)"
@@ -30,7 +33,7 @@ def _rows(fields: dict[str, str], i: int) -> str:
     return "array_sort(collect_list(struct(" + ", ".join(f"{e} AS {n}" for n, e in fields.items()) + ")))"
 
 
-def _greedy(name: str, doc: str, source: str, keys: str, fields: dict[str, str], hit: str) -> None:
+def greedy(name: str, doc: str, source: str, keys: str, fields: dict[str, str], hit: str) -> None:
     """Register a fold that drops a row where `hit`, a test of a kept row {k} and the row {r}, holds for some kept row."""
     groups = [f"(SELECT {keys}, {_rows(fields, i)} AS b FROM {{{source}}} GROUP BY {keys}) x" for i in (0, 1)]
     cols = ", ".join(f"r.{n}" for n in fields)
@@ -43,11 +46,11 @@ FROM {groups[1]}) y""")
 
 
 _BOX = {c: c for c in ("x0", "y0", "x1", "y1")}
-_greedy("d_nms", "Boxes of a page and label without those that a better-scored kept one overlaps by half.", "boxes", "doc_id, page, label",
+greedy("d_nms", "Boxes of a page and label without those that a better-scored kept one overlaps by half.", "boxes", "doc_id, page, label",
     {"neg_score": "-score", "box_id": "box_id", **_BOX}, _iou("{k}", "{r}") + " >= 0.5E0")
-_greedy("c_drop_nested_rects", "Rectangles of a page that lie in no larger kept one, one unit of play.", "boxes", "doc_id, page",
+greedy("c_drop_nested_rects", "Rectangles of a page that lie in no larger kept one, one unit of play.", "boxes", "doc_id, page",
     {"neg_area": "-(x1 - x0) * (y1 - y0)", "box_id": "box_id", **_BOX}, "{r}.x0 >= {k}.x0 - 1 AND {r}.x1 <= {k}.x1 + 1 AND {r}.y0 >= {k}.y0 - 1 AND {r}.y1 <= {k}.y1 + 1")
-_greedy("d_merge_batches", "Segments of an item found by overlapping page batches, without those within three per cent of a kept one of the page.", "segments",
+greedy("d_merge_batches", "Segments of an item found by overlapping page batches, without those within three per cent of a kept one of the page.", "segments",
     "doc_id, q_num, is_solution", {c: c for c in ("page", "y0", "y1", "item", "seg")}, "{k}.page = {r}.page AND abs({k}.y0 - {r}.y0) < 3 AND abs({k}.y1 - {r}.y1) < 3")
 
 _ITEM = {c: c for c in ("item", "page", "x0", "y0", "x1", "y1")}
@@ -93,9 +96,26 @@ SELECT doc_id, page, r.y0, r.y1, r.n FROM (SELECT doc_id, page, unnest(list_redu
   ELSE list_concat(kept, r) END)) AS r
 FROM (SELECT doc_id, page, {_rows(_WORD, 1)} AS b FROM {{words}} GROUP BY doc_id, page) x) y""")
 
-relation("d_words_to_lines", "Lines from words, those of a block, paragraph and line joined in order.", "",
-    spark="""SELECT doc_id, page, seq, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, array_join(transform(array_sort(collect_list(struct(pos, word))), x -> x.word), ' ') AS text FROM {words} WHERE trim(word) <> '' GROUP BY doc_id, page, seq""",
-    other="""SELECT doc_id, page, seq, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, string_agg(word, ' ' ORDER BY pos) AS text FROM {words} WHERE trim(word) <> '' GROUP BY doc_id, page, seq""")
+SETTINGS |= {"words_for_columns": 12}
+#: Word boxes of a page, scaled so that its rightmost word ends at 200; a page of few words counts as one column.
+relation("read_words", "Words that say something and were read with some confidence.", """
+SELECT doc_id, page, block, par, line, pos, word, x0, greatest(x1, x0) AS x1, y0, greatest(y1, y0) AS y1 FROM {words} WHERE trim(word) <> '' AND conf >= 0""")
+relation("word_extents", "Extents of words as shares of 200 of a page's text, on pages of twelve words or more.", """
+SELECT doc_id, page, x0 * 200.0 / reach AS x_left, x1 * 200.0 / reach AS x_right FROM (
+  SELECT *, max(x1) OVER (PARTITION BY doc_id, page) AS reach, count(*) OVER (PARTITION BY doc_id, page) AS n FROM {read_words}) x WHERE n >= $(words_for_columns) AND reach > 0 AND x1 > x0""")
+relation("word_columns", "Columns of a page by the density of its words.", "", **detect("word_extents", "200"))
+relation("word_column_of", "Words with their column: the one that holds their centre, else the nearest; the last has no right end.", """
+SELECT doc_id, page, block, par, line, pos, word, x0, x1, y0, y1, coalesce(col, 0) AS col FROM (
+  SELECT w.*, c.col, row_number() OVER (PARTITION BY w.doc_id, w.page, w.block, w.par, w.line, w.pos, w.x0, w.y0 ORDER BY
+    CASE WHEN w.mid >= c.x0 AND (w.mid <= c.x1 OR c.col = c.last) THEN -1.0 ELSE least(abs(w.mid - c.x0), abs(w.mid - c.x1)) END, c.col) AS rn
+  FROM (SELECT *, (x0 + x1) / 2 * 200.0 / max(x1) OVER (PARTITION BY doc_id, page) AS mid FROM {read_words}) w
+  LEFT JOIN (SELECT *, max(col) OVER (PARTITION BY doc_id, page) AS last FROM {word_columns}) c ON w.doc_id = c.doc_id AND w.page = c.page) x WHERE rn = 1""")
+
+_LINES = """
+SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, col, block, par, line) AS BIGINT) AS seq, col, block, par, line, x0, greatest(x1, x0 + 1) AS x1, y0, greatest(y1, y0 + 1) AS y1, text FROM (
+  SELECT doc_id, page, col, block, par, line, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, {text} AS text FROM {{word_column_of}} GROUP BY doc_id, page, col, block, par, line) x"""
+relation("d_words_to_lines", "Lines from words: those of a column, block, paragraph and line, in order. Columns come from the words themselves, so a row that an engine read across the gutter is cut into two lines.", "",
+    spark=_LINES.format(text="array_join(transform(array_sort(collect_list(struct(pos, x0, word))), x -> x.word), ' ')"), other=_LINES.format(text="string_agg(word, ' ' ORDER BY pos, x0, word)"))
 
 
 def merged_clusters(rects: list[tuple[float, float, float, float]], gap: float) -> list[tuple[float, float, float, float]]:

@@ -6,8 +6,9 @@ from .tagging import EXACT_KEY
 
 SHARED |= {
     "lines", "paper_pages", "page_lines", "b_tag_markers", "b_tag_headers", "e_section_state", "c_column_of", "sided_markers", "e_reading_order",
-    "e_dedupe_close", "e_row_top", "item_bounds", "d_find_furniture", "column_lines", "c_assign_lines", "indented_markers", "d_columns_fixed",
-    "d_detect_columns", "detected_column_of", "d_strong_filter", "d_validate_columns", "page_columns", "b_gate_figures",
+    "detectable_lines", "e_dedupe_close", "e_row_top", "item_bounds", "all_pages", "d_find_furniture", "content_lines", "column_lines", "c_assign_lines", "d_columns_fixed",
+    "d_detect_columns", "detected_column_of", "d_strong_filter", "d_drop_numbered_options", "c_drop_key_cells", "number_places", "missing_numbers",
+    "line_numbers", "e_recover_chain", "c_recover_markers", "d_validate_columns", "page_columns", "d_banner_headers", "b_gate_figures",
 }
 
 #: The page's size in the lines' own units, and columns as "found" on each page or "equal" in number to layout_columns.
@@ -16,7 +17,8 @@ W, H = "$(page_width)", "$(page_height)"
 
 relation("d_columns_fixed", "Equal columns where a caller sets their number.", f"""
 SELECT doc_id, page, CAST(col AS INT) AS col, CAST(col * {W} / ($(layout_columns) * 1.0) AS DOUBLE) AS x0, CAST((col + 1) * {W} / ($(layout_columns) * 1.0) AS DOUBLE) AS x1
-FROM (SELECT doc_id, page, EXPLODE(SEQ(0, $(layout_columns) - 1)) AS col FROM {{paper_pages}}) x""")
+FROM (SELECT doc_id, page, EXPLODE(SEQ(0, $(layout_columns) - 1)) AS col FROM {{all_pages}}) x""")
+relation("all_pages", "Pages that have lines.", "SELECT DISTINCT doc_id, page FROM {page_lines}")
 
 #: The column of each row of a table: the one that holds its centre, else the nearest.
 _COLUMN_OF = """
@@ -48,31 +50,34 @@ SELECT doc_id, page, seq, y_top, y_bottom, x_left, x_right, text, is_section_hea
   FROM {b_tag_headers}) x
 WHERE NOT is_solution_header""")
 
-relation("sided_markers", "Markers outside answer keys, with their side; some found twice.", """
-SELECT m.doc_id, m.page, m.seq, m.y_top + d.dy AS y_top, m.y_bottom + d.dy AS y_bottom, m.x_left, m.x_right, m.q_num, m.is_strong, s.in_solutions AS is_solution, d.copy
-FROM {b_tag_markers} m JOIN {e_section_state} s ON m.doc_id = s.doc_id AND m.page = s.page AND m.seq = s.seq
-CROSS JOIN (SELECT 0 AS copy, 0.0 AS dy UNION ALL SELECT 1, 1.0) d WHERE NOT s.in_answer_key AND (d.copy = 0 OR m.seq % 15 = 0)""")
+relation("sided_markers", "Markers outside answer keys, with their side.", """
+SELECT m.doc_id, m.page, m.seq, m.y_top, m.y_bottom, m.x_left, m.x_right, m.q_num, m.is_strong, s.in_solutions AS is_solution
+FROM {b_tag_markers} m JOIN {e_section_state} s ON m.doc_id = s.doc_id AND m.page = s.page AND m.seq = s.seq WHERE NOT s.in_answer_key""")
 
 relation("d_strong_filter", "Markers of a side; where strong ones are common the weak are dropped.", """
-SELECT doc_id, page, seq, y_top, y_bottom, x_left, x_right, q_num, is_strong, is_solution, copy FROM (
+SELECT doc_id, page, seq, y_top, y_bottom, x_left, x_right, q_num, is_strong, is_solution FROM (
   SELECT *, count_if(is_strong) OVER (PARTITION BY doc_id, is_solution) AS s, count(*) OVER (PARTITION BY doc_id, is_solution) AS n FROM {sided_markers}) x
 WHERE is_strong OR NOT ((s >= 2 AND s > 0.15 * n) OR s > 0.5 * n)""")
 
 relation("e_reading_order", "Markers numbered by page, column and height.", """
-SELECT m.doc_id, m.page, c.col, m.seq, m.copy, m.y_top, m.x_left, m.x_right, m.q_num, m.is_strong, m.is_solution,
-  CAST(row_number() OVER (PARTITION BY m.doc_id ORDER BY m.page, c.col, m.y_top, m.x_left, m.seq, m.copy) AS BIGINT) AS ord
-FROM {d_strong_filter} m JOIN {c_column_of} c ON m.doc_id = c.doc_id AND m.page = c.page AND m.seq = c.seq""")
+SELECT m.doc_id, m.page, c.col, m.seq, m.y_top, m.x_left, m.x_right, m.q_num, m.is_strong, m.is_solution,
+  CAST(row_number() OVER (PARTITION BY m.doc_id ORDER BY m.page, c.col, m.y_top, m.x_left, m.seq, m.q_num, m.is_solution) AS BIGINT) AS ord
+FROM {c_recover_markers} m JOIN {c_column_of} c ON m.doc_id = c.doc_id AND m.page = c.page AND m.seq = c.seq""")
 
-_SAME = "{b}.page = {a}.page AND {b}.q_num = {a}.q_num AND {b}.is_solution = {a}.is_solution AND abs({b}.y_top - {a}.y_top) < 2"
-_LAST = "element_at(kept, -1)"
+#: Markers in a row that agree in page, number and side are one run; only within a run is one compared with the last kept.
+_RUNS = """
+WITH runs AS (
+  SELECT *, sum(CASE WHEN page = p AND q_num = q AND is_solution = s THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM (
+    SELECT *, lag(page) OVER w AS p, lag(q_num) OVER w AS q, lag(is_solution) OVER w AS s FROM {e_reading_order} WINDOW w AS (PARTITION BY doc_id ORDER BY ord)) x
+)"""
 relation("e_dedupe_close", "Markers without those within 2 pixels of the one kept before them, alike in number and side.", "",
-    spark=f"""
-SELECT doc_id, inline(aggregate(rows, slice(rows, 1, 0), (kept, r) -> CASE WHEN size(kept) > 0 AND {_SAME.format(a=_LAST, b="r")} THEN kept ELSE array_append(kept, r) END))
-FROM (SELECT doc_id, array_sort(collect_list(struct(ord, page, col, seq, y_top, x_left, x_right, q_num, is_solution))) AS rows FROM {{e_reading_order}} GROUP BY doc_id) x""",
-    other=f"""
-SELECT doc_id, ord, page, col, seq, y_top, x_left, x_right, q_num, is_solution FROM (
-  SELECT *, lag(page) OVER w AS p, lag(q_num) OVER w AS q, lag(is_solution) OVER w AS s, lag(y_top) OVER w AS y FROM {{e_reading_order}} WINDOW w AS (PARTITION BY doc_id ORDER BY ord)) x
-WHERE NOT coalesce(p = page AND q = q_num AND s = is_solution AND abs(y_top - y) < 2, false)""")
+    spark=_RUNS + """
+SELECT doc_id, inline(aggregate(rows, slice(rows, 1, 0), (kept, r) -> CASE WHEN size(kept) > 0 AND abs(element_at(kept, -1).y_top - r.y_top) < 2 THEN kept ELSE array_append(kept, r) END))
+FROM (SELECT doc_id, array_sort(collect_list(struct(ord, page, col, seq, y_top, x_left, x_right, q_num, is_solution))) AS rows FROM runs GROUP BY doc_id, run) y""",
+    other=_RUNS + """
+SELECT doc_id, r.ord, r.page, r.col, r.seq, r.y_top, r.x_left, r.x_right, r.q_num, r.is_solution FROM (
+  SELECT doc_id, unnest(list_reduce(list_transform(rows, lambda r: [r]), lambda kept, r: CASE WHEN abs(kept[-1].y_top - r[1].y_top) < 2 THEN kept ELSE list_concat(kept, r) END)) AS r
+  FROM (SELECT doc_id, list(struct_pack(ord := ord, page := page, col := col, seq := seq, y_top := y_top, x_left := x_left, x_right := x_right, q_num := q_num, is_solution := is_solution) ORDER BY ord) AS rows FROM runs GROUP BY doc_id, run) y) z""")
 
 relation("e_row_top", "Each marker's top, pulled up to a stem in the same row.", f"""
 SELECT m.doc_id, m.ord, m.page, m.col, m.seq, m.q_num, m.is_solution, m.x_left, m.x_right, m.y_top, least(m.y_top, coalesce(min(l.y_top), m.y_top)) AS row_top
@@ -83,12 +88,15 @@ GROUP BY m.doc_id, m.ord, m.page, m.col, m.seq, m.q_num, m.is_solution, m.x_left
 relation("item_bounds", "Where each item begins and the next one does.", """
 SELECT *, lead(page) OVER w AS n_page, lead(col) OVER w AS n_col, lead(row_top) OVER w AS n_top FROM {e_row_top} WINDOW w AS (PARTITION BY doc_id ORDER BY ord)""")
 
-relation("column_lines", "Content lines with their columns, without furniture.", """
-SELECT s.doc_id, s.page, c.col, s.seq, s.y_top, s.y_bottom, s.x_left, s.x_right, s.text, s.is_section_header
-FROM {e_section_state} s JOIN {c_column_of} c ON s.doc_id = c.doc_id AND s.page = c.page AND s.seq = c.seq
+relation("content_lines", "Lines that are neither section-opening headers nor furniture.", """
+SELECT s.doc_id, s.page, s.seq, s.y_top, s.y_bottom, s.x_left, s.x_right, s.text, s.is_section_header FROM {e_section_state} s
 WHERE NOT EXISTS (SELECT 1 FROM {d_find_furniture} f WHERE f.doc_id = s.doc_id AND f.page = s.page AND f.y_top = s.y_top AND f.y_bottom = s.y_bottom)""")
 
-_FROM = "(l.page, l.col, l.y_top) {op} ({m})"
+relation("column_lines", "Content lines with their columns, without banners.", """
+SELECT s.doc_id, s.page, c.col, s.seq, s.y_top, s.y_bottom, s.x_left, s.x_right, s.text, s.is_section_header
+FROM {content_lines} s JOIN {c_column_of} c ON s.doc_id = c.doc_id AND s.page = c.page AND s.seq = c.seq
+WHERE NOT EXISTS (SELECT 1 FROM {d_banner_headers} f WHERE f.doc_id = s.doc_id AND f.page = s.page AND f.y_top = s.y_top AND f.y_bottom = s.y_bottom)""")
+
 _AFTER = "(l.page > m.page OR (l.page = m.page AND (l.col > m.col OR (l.col = m.col AND l.y_top >= m.row_top))))"
 _BEFORE = "(m.n_page IS NULL OR l.page < m.n_page OR (l.page = m.n_page AND (l.col < m.n_col OR (l.col = m.n_col AND l.y_top < m.n_top))))"
 relation("c_assign_lines", "The item of each line: the one whose bounds hold it. Bounds that rise within a paper need one ordered pass; only papers whose bounds cross are range-joined.", "",
@@ -178,22 +186,106 @@ relation("c_strip_furniture", "Lines that do not share page and height with furn
 SELECT l.doc_id, l.page, l.seq, l.y_top, l.y_bottom, l.text FROM {page_lines} l
 WHERE NOT EXISTS (SELECT 1 FROM {d_find_furniture} f WHERE f.doc_id = l.doc_id AND f.page = l.page AND f.y_top = l.y_top AND f.y_bottom = l.y_bottom)""")
 
-relation("key_grid", "Lines with some answer-key rows of ten cells.", """
-SELECT doc_id, page, seq, y_top, y_bottom, x_left, x_right, text FROM {page_lines}
-UNION ALL
-SELECT doc_id, CAST(num % 3 AS INT) + 1, CAST(3000000000 + num AS BIGINT), CAST(64 + floor(num / 10.0) * 32 AS DOUBLE), CAST(76 + floor(num / 10.0) * 32 AS DOUBLE), CAST(num % 10 * 60 AS DOUBLE),
-  CAST(num % 10 * 60 + 40 AS DOUBLE), concat(CAST(num AS STRING), '. (', letter, ')') FROM {key_pairs} WHERE num < 60""")
-
 relation("c_drop_key_cells", "Markers that do not stand in a row of four or more answer-key cells.", f"""
 WITH bands AS (
-  SELECT doc_id, page, min(y_top) - 1 AS y0, max(y_bottom) + 1 AS y1 FROM {{key_grid}} WHERE LIKE_RE(trim(text), r'{fx.KEY_CELL}') GROUP BY doc_id, page, BROUND(y_top / 4, 0) HAVING count(*) >= 4
+  SELECT doc_id, page, min(y_top) - 1 AS y0, max(y_bottom) + 1 AS y1 FROM {{e_section_state}} WHERE LIKE_RE(trim(text), r'{fx.KEY_CELL}') GROUP BY doc_id, page, BROUND(y_top / 4, 0) HAVING count(*) >= 4
 )
-SELECT m.doc_id, m.page, m.seq, m.q_num FROM {{b_tag_markers}} m WHERE NOT EXISTS (SELECT 1 FROM bands b WHERE b.doc_id = m.doc_id AND b.page = m.page AND m.y_top BETWEEN b.y0 AND b.y1)""")
+SELECT m.* FROM {{d_drop_numbered_options}} m WHERE NOT EXISTS (SELECT 1 FROM bands b WHERE b.doc_id = m.doc_id AND b.page = m.page AND m.y_top BETWEEN b.y0 AND b.y1)""")
 
-relation("d_detect_columns", "Columns of each page from the density of its lines over 200 bins; one where no two lines share a bin.", "",
-    spark=f"""
+#: The first digits of a marker's number; markers by a user's pattern may have none.
+_NUMBER = "TRY_CAST(regexp_extract(q_num, '([0-9]+)', 1) AS INT)"
+relation("number_places", "The first place of each number of a side.", f"""
+SELECT doc_id, is_solution, num, page, y_top FROM (
+  SELECT doc_id, is_solution, num, page, y_top, row_number() OVER (PARTITION BY doc_id, is_solution, num ORDER BY page, y_top, x_left, seq) AS rn
+  FROM (SELECT *, {_NUMBER} AS num FROM {{c_drop_key_cells}}) x WHERE num IS NOT NULL) y WHERE rn = 1""")
+
+relation("expected_numbers", "The run of numbers that the answer key within a document's own lines implies.", """
+SELECT doc_id, CAST(n AS INT) AS num FROM (SELECT doc_id, EXPLODE(SEQ(lo, hi)) AS n FROM (SELECT doc_id, min(num) AS lo, max(num) AS hi FROM {d_answer_key} GROUP BY doc_id) x) y""")
+
+relation("missing_numbers", "Numbers to look for, with the places of their nearest neighbours: those of the key that no question has; without a key the holes of a side with three numbers or more, if they are few.", """
+WITH runs AS (
+  SELECT doc_id, is_solution, min(num) AS lo, max(num) AS hi, count(*) AS n FROM {number_places} GROUP BY doc_id, is_solution
+), keyed AS (SELECT DISTINCT doc_id FROM {expected_numbers}), sought AS (
+  SELECT e.doc_id, false AS is_solution, e.num FROM {expected_numbers} e JOIN runs r ON r.doc_id = e.doc_id AND NOT r.is_solution
+  UNION ALL
+  SELECT doc_id, is_solution, CAST(k AS INT) FROM (
+    SELECT r.doc_id, r.is_solution, EXPLODE(SEQ(r.lo, r.hi)) AS k FROM runs r WHERE r.n >= 3 AND r.hi - r.lo + 1 - r.n <= greatest(3, CAST(floor((r.hi - r.lo) / 3.0) AS INT))
+      AND (r.is_solution OR NOT EXISTS (SELECT 1 FROM keyed q WHERE q.doc_id = r.doc_id))) x
+), placed AS (
+  SELECT doc_id, is_solution, num, page, y_top, false AS sought FROM {number_places}
+  UNION ALL
+  SELECT s.doc_id, s.is_solution, s.num, CAST(NULL AS INT), CAST(NULL AS DOUBLE), true FROM sought s
+  WHERE NOT EXISTS (SELECT 1 FROM {number_places} p WHERE p.doc_id = s.doc_id AND p.is_solution = s.is_solution AND p.num = s.num)
+)
+SELECT doc_id, is_solution, num, low_num, low_page, low_y, up_num, up_page, up_y FROM (
+  SELECT doc_id, is_solution, num, sought,
+    LASTNN(CASE WHEN sought THEN NULL ELSE num END NN) OVER b AS low_num, LASTNN(page NN) OVER b AS low_page, LASTNN(y_top NN) OVER b AS low_y,
+    LASTNN(CASE WHEN sought THEN NULL ELSE num END NN) OVER a AS up_num, LASTNN(page NN) OVER a AS up_page, LASTNN(y_top NN) OVER a AS up_y
+  FROM placed WINDOW b AS (PARTITION BY doc_id, is_solution ORDER BY num), a AS (PARTITION BY doc_id, is_solution ORDER BY num DESC)) x WHERE sought""")
+
+_HEADS = [r"^(\S+)", r"^([^\s.]*)[.]", r"^([^\s)]*)[)]"]
+_HEAD = r"""
+SELECT doc_id, page, seq, y_top, x_left, x_right, regexp_replace(regexp_replace(regexp_extract(trim(text), r'{head}', 1), r'^[.)\-:]+', ''), r'[.)\-:]+$', '') AS bare FROM {{e_section_state}}"""
+relation("line_numbers", "Numbers that a line's first word can be read as: the whole of it, or what stands before a full stop or bracket.", rf"""
+SELECT DISTINCT doc_id, page, seq, y_top, x_left, x_right, CAST(fixed AS INT) AS num FROM (
+  SELECT *, translate(bare, '{fx.OCR_LETTERS}', '{fx.OCR_DIGITS}') AS fixed FROM ({" UNION ALL ".join(_HEAD.format(head=h) for h in _HEADS)}) a WHERE length(bare) BETWEEN 1 AND 3) b
+WHERE LIKE_RE(fixed, r'^[0-9]{{1,3}}$')""")
+
+#: The lower and upper bound of a missing number m: the neighbour next to it on either side; if only one of the two is known
+#: the other end is open; if neither is, the nearest known numbers. What was last recovered (l_) counts as known.
+_LOW = "({l_num} > coalesce({m}low_num, -1))"
+_BOUNDS = (
+    "(CASE WHEN {low} THEN {l_num} ELSE {m}low_num END = {m}num - 1 OR coalesce({m}up_num <> {m}num + 1, true))",
+    "(coalesce({m}up_num = {m}num + 1, false) OR coalesce(CASE WHEN {low} THEN {l_num} ELSE {m}low_num END <> {m}num - 1, true))",
+)
+_FITS = (
+    "({m}low_num IS NOT NULL OR {l_num} IS NOT NULL OR {m}up_num IS NOT NULL)"
+    " AND (NOT coalesce({lower}, true) OR CASE WHEN {low} THEN {l_page} ELSE {m}low_page END IS NULL OR {c}page > CASE WHEN {low} THEN {l_page} ELSE {m}low_page END"
+    " OR ({c}page = CASE WHEN {low} THEN {l_page} ELSE {m}low_page END AND {c}y_top > CASE WHEN {low} THEN {l_y} ELSE {m}low_y END))"
+    " AND (NOT coalesce({upper}, true) OR {m}up_page IS NULL OR {c}page < {m}up_page OR ({c}page = {m}up_page AND {c}y_top < {m}up_y))"
+)
+
+
+def _fits(m: str, c: str, last: str) -> str:
+    names = {"m": m, "c": c, "l_num": f"{last}num", "l_page": f"{last}page", "l_y": f"{last}y_top"}
+    names["low"] = f"coalesce({_LOW.format(**names)}, false)"
+    lower, upper = (b.format(**names) for b in _BOUNDS)
+    return _FITS.format(**names, lower=lower, upper=upper)
+
+
+_FOUND = ("num", "page", "y_top", "x_left", "seq", "x_right")
+_TODO = """
+WITH found AS (
+  SELECT m.doc_id, m.is_solution, m.num, {lines} AS places FROM {{missing_numbers}} m JOIN {{line_numbers}} l ON l.doc_id = m.doc_id AND l.num = m.num GROUP BY m.doc_id, m.is_solution, m.num
+), todo AS (
+  SELECT m.*, f.places, CAST(row_number() OVER (PARTITION BY m.doc_id, m.is_solution ORDER BY m.num) AS INT) AS i
+  FROM {{missing_numbers}} m JOIN found f ON m.doc_id = f.doc_id AND m.is_solution = f.is_solution AND m.num = f.num
+)"""
+_ORDER = "l.page, l.y_top, l.x_left, l.seq, l.x_right"
+relation("e_recover_chain", "Lines whose first word reads as a missing number and that stand between its neighbours, the earliest of each; in order of the numbers, so that what is found bounds the next.", "",
+    spark=_TODO.format(lines=f"array_sort(collect_list(named_struct('page', l.page, 'y_top', l.y_top, 'x_left', l.x_left, 'seq', l.seq, 'x_right', l.x_right)))") + f"""
+SELECT doc_id, is_solution, inline(aggregate(todo, CAST(array() AS array<struct<num: int, page: int, y_top: double, x_left: double, seq: bigint, x_right: double>>), (found, m) ->
+  concat(found, transform(slice(filter(m.places, c -> {_fits("m.", "c.", "try_element_at(found, -1).")}), 1, 1), c -> named_struct('num', m.num, 'page', c.page, 'y_top', c.y_top, 'x_left', c.x_left, 'seq', c.seq, 'x_right', c.x_right)))))
+FROM (SELECT doc_id, is_solution, array_sort(collect_list(struct(num, low_num, low_page, low_y, up_num, up_page, up_y, places))) AS todo FROM todo GROUP BY doc_id, is_solution) x""",
+    other=_TODO.format(lines=f"list(struct_pack(page := l.page, y_top := l.y_top, x_left := l.x_left, seq := l.seq, x_right := l.x_right) ORDER BY {_ORDER})").replace("WITH found", "WITH RECURSIVE found") + f""", walk AS (
+  SELECT DISTINCT doc_id, is_solution, 0 AS i, CAST(NULL AS INT) AS num, CAST(NULL AS INT) AS page, CAST(NULL AS DOUBLE) AS y_top, CAST(NULL AS STRUCT(page INTEGER, y_top DOUBLE, x_left DOUBLE, seq BIGINT, x_right DOUBLE)) AS place FROM todo
+  UNION ALL
+  SELECT doc_id, is_solution, i, CASE WHEN p IS NULL THEN l_num ELSE num END, CASE WHEN p IS NULL THEN l_page ELSE p.page END, CASE WHEN p IS NULL THEN l_y ELSE p.y_top END, p FROM (
+    SELECT t.doc_id, t.is_solution, t.i, t.num, w.num AS l_num, w.page AS l_page, w.y_top AS l_y, list_filter(t.places, lambda c: {_fits("t.", "c.", "w.")})[1] AS p
+    FROM walk w JOIN todo t ON t.doc_id = w.doc_id AND t.is_solution = w.is_solution AND t.i = w.i + 1) x
+)
+SELECT doc_id, is_solution, num, place.page AS page, place.y_top AS y_top, place.x_left AS x_left, place.seq AS seq, place.x_right AS x_right FROM walk WHERE place IS NOT NULL""")
+
+relation("c_recover_markers", "Markers with those recovered from misread numbers, which are weak.", """
+SELECT doc_id, page, seq, y_top, x_left, x_right, q_num, is_strong, is_solution, false AS recovered FROM {c_drop_key_cells}
+UNION ALL SELECT doc_id, page, seq, y_top, x_left, x_right, CAST(num AS STRING), false, is_solution, true FROM {e_recover_chain}""")
+
+def detect(source: str, width: str) -> dict[str, str]:
+    """SQL for columns by the density of boxes (x_left, x_right) of `source` over 200 bins of a page of that width."""
+    return {
+        "spark": f"""
 WITH deltas AS (
-  SELECT doc_id, page, inline(array(struct(CAST(greatest(0, floor(x_left / ({W} / 200.0))) AS INT) AS bin, 1 AS d), struct(CAST(least(199, floor(x_right / ({W} / 200.0))) AS INT) + 1 AS bin, -1 AS d))) FROM {{page_lines}} WHERE x_right > x_left
+  SELECT doc_id, page, inline(array(struct(CAST(greatest(0, floor(x_left / ({width} / 200.0))) AS INT) AS bin, 1 AS d), struct(CAST(least(199, floor(x_right / ({width} / 200.0))) AS INT) + 1 AS bin, -1 AS d))) FROM {{{source}}} WHERE x_right > x_left
 ), bins AS (
   SELECT doc_id, page, bin, sum(sum(d)) OVER (PARTITION BY doc_id, page ORDER BY bin) AS n, lead(bin, 1, 200) OVER (PARTITION BY doc_id, page ORDER BY bin) AS nxt FROM deltas GROUP BY doc_id, page, bin
 ), inside AS (
@@ -210,14 +302,14 @@ WITH deltas AS (
       transform(array(CASE WHEN k = 1 THEN 1 WHEN k = size(a) THEN k - 1 WHEN element_at(a, CAST(k AS INT)).s - element_at(a, CAST(k AS INT) - 1).e <= element_at(a, CAST(k AS INT) + 1).s - element_at(a, CAST(k AS INT)).e THEN k - 1 ELSE k END), j ->
         concat(slice(a, 1, CAST(j AS INT) - 1), array(named_struct('s', element_at(a, CAST(j AS INT)).s, 'e', element_at(a, CAST(j AS INT) + 1).e)), slice(a, CAST(j AS INT) + 2, size(a))))[0])[0] END) AS c FROM cores
 )
-SELECT doc_id, page, CAST(i AS INT) AS col, CASE WHEN i = 0 THEN 0.0D ELSE (c[i - 1].e + 1 + c[i].s) / 2.0D * (CAST({W} AS DOUBLE) / 200.0D) END AS x0,
-  CASE WHEN i = size(c) - 1 THEN CAST({W} AS DOUBLE) ELSE (c[i].e + 1 + c[i + 1].s) / 2.0D * (CAST({W} AS DOUBLE) / 200.0D) END AS x1
+SELECT doc_id, page, CAST(i AS INT) AS col, CASE WHEN i = 0 THEN 0.0D ELSE (c[i - 1].e + 1 + c[i].s) / 2.0D * (CAST({width} AS DOUBLE) / 200.0D) END AS x0,
+  CASE WHEN i = size(c) - 1 THEN CAST({width} AS DOUBLE) ELSE (c[i].e + 1 + c[i + 1].s) / 2.0D * (CAST({width} AS DOUBLE) / 200.0D) END AS x1
 FROM wide LATERAL VIEW explode(sequence(0, size(c) - 1)) t AS i
-UNION ALL SELECT p.doc_id, p.page, 0, 0.0D, CAST({W} AS DOUBLE) FROM (SELECT DISTINCT doc_id, page FROM {{page_lines}}) p LEFT ANTI JOIN cores c ON p.doc_id = c.doc_id AND p.page = c.page""",
-    other=f"""
+UNION ALL SELECT p.doc_id, p.page, 0, 0.0D, CAST({width} AS DOUBLE) FROM (SELECT DISTINCT doc_id, page FROM {{{source}}}) p LEFT ANTI JOIN cores c ON p.doc_id = c.doc_id AND p.page = c.page""",
+        "other": f"""
 WITH RECURSIVE deltas AS (
-  SELECT doc_id, page, CAST(greatest(0, floor(x_left / ({W} / 200.0))) AS INT) AS bin, 1 AS d FROM {{page_lines}} WHERE x_right > x_left
-  UNION ALL SELECT doc_id, page, CAST(least(199, floor(x_right / ({W} / 200.0))) AS INT) + 1, -1 FROM {{page_lines}} WHERE x_right > x_left
+  SELECT doc_id, page, CAST(greatest(0, floor(x_left / ({width} / 200.0))) AS INT) AS bin, 1 AS d FROM {{{source}}} WHERE x_right > x_left
+  UNION ALL SELECT doc_id, page, CAST(least(199, floor(x_right / ({width} / 200.0))) AS INT) + 1, -1 FROM {{{source}}} WHERE x_right > x_left
 ), bins AS (
   SELECT doc_id, page, bin, sum(sum(d)) OVER (PARTITION BY doc_id, page ORDER BY bin) AS n, lead(bin, 1, 200) OVER (PARTITION BY doc_id, page ORDER BY bin) AS nxt FROM deltas GROUP BY doc_id, page, bin
 ), inside AS (
@@ -238,18 +330,25 @@ WITH RECURSIVE deltas AS (
 ), wide AS (
   SELECT doc_id, page, c FROM merging WHERE len(c) = 1 OR list_min(list_transform(c, lambda x: x.e - x.s + 1)) >= 24
 )
-SELECT doc_id, page, CAST(i AS INT) AS col, CASE WHEN i = 0 THEN CAST(0 AS DOUBLE) ELSE (c[i].e + 1 + c[i + 1].s) / 2.0 * ({W} / 200.0) END AS x0,
-  CASE WHEN i = len(c) - 1 THEN CAST({W} AS DOUBLE) ELSE (c[i + 1].e + 1 + c[i + 2].s) / 2.0 * ({W} / 200.0) END AS x1
+SELECT doc_id, page, CAST(i AS INT) AS col, CASE WHEN i = 0 THEN CAST(0 AS DOUBLE) ELSE (c[i].e + 1 + c[i + 1].s) / 2.0 * ({width} / 200.0) END AS x0,
+  CASE WHEN i = len(c) - 1 THEN CAST({width} AS DOUBLE) ELSE (c[i + 1].e + 1 + c[i + 2].s) / 2.0 * ({width} / 200.0) END AS x1
 FROM (SELECT *, unnest(range(len(c))) AS i FROM wide) w
-UNION ALL SELECT p.doc_id, p.page, 0, CAST(0 AS DOUBLE), CAST({W} AS DOUBLE) FROM (SELECT DISTINCT doc_id, page FROM {{page_lines}}) p WHERE NOT EXISTS (SELECT 1 FROM cores c WHERE p.doc_id = c.doc_id AND p.page = c.page)""")
+UNION ALL SELECT p.doc_id, p.page, 0, CAST(0 AS DOUBLE), CAST({width} AS DOUBLE) FROM (SELECT DISTINCT doc_id, page FROM {{{source}}}) p WHERE NOT EXISTS (SELECT 1 FROM cores c WHERE p.doc_id = c.doc_id AND p.page = c.page)""",
+    }
+
+
+relation("d_detect_columns", "Columns of each page from the density of its lines over 200 bins; one where no two lines share a bin.", "", **detect("detectable_lines", W))
+relation("detectable_lines", "Content lines; on pages that have none, all lines.", """
+SELECT doc_id, page, x_left, x_right FROM {content_lines}
+UNION ALL SELECT l.doc_id, l.page, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM {all_pages} l WHERE NOT EXISTS (SELECT 1 FROM {content_lines} c WHERE c.doc_id = l.doc_id AND c.page = l.page)""")
 
 relation("d_validate_columns", "Detected columns of each page, made one where all of two or more markers stand in one column and the others hold only options.", rf"""
 WITH marks AS (
-  SELECT s.doc_id, s.page, count(*) AS n, count(DISTINCT c.col) AS cols, max(c.col) AS col FROM {{d_strong_filter}} s JOIN {{detected_column_of}} c ON s.doc_id = c.doc_id AND s.page = c.page AND s.seq = c.seq GROUP BY s.doc_id, s.page
+  SELECT s.doc_id, s.page, count(*) AS n, count(DISTINCT c.col) AS cols, max(c.col) AS col FROM {{c_recover_markers}} s JOIN {{detected_column_of}} c ON s.doc_id = c.doc_id AND s.page = c.page AND s.seq = c.seq GROUP BY s.doc_id, s.page
 ), others AS (
   SELECT l.doc_id, l.page, count(*) AS n, count_if(NOT LIKE_RE(trim(l.text), r'{fx.OPTION_START}')) AS prose
-  FROM {{e_section_state}} l JOIN {{detected_column_of}} c ON l.doc_id = c.doc_id AND l.page = c.page AND l.seq = c.seq JOIN marks m ON l.doc_id = m.doc_id AND l.page = m.page AND c.col <> m.col
-  WHERE l.x_right > l.x_left AND NOT EXISTS (SELECT 1 FROM {{d_find_furniture}} f WHERE f.doc_id = l.doc_id AND f.page = l.page AND f.y_top = l.y_top AND f.y_bottom = l.y_bottom) GROUP BY l.doc_id, l.page
+  FROM {{content_lines}} l JOIN {{detected_column_of}} c ON l.doc_id = c.doc_id AND l.page = c.page AND l.seq = c.seq JOIN marks m ON l.doc_id = m.doc_id AND l.page = m.page AND c.col <> m.col
+  WHERE l.x_right > l.x_left GROUP BY l.doc_id, l.page
 ), single AS (
   SELECT m.doc_id, m.page FROM marks m LEFT JOIN others o ON m.doc_id = o.doc_id AND m.page = o.page
   WHERE m.n >= 2 AND m.cols = 1 AND NOT coalesce(o.n >= 4 AND o.prose >= greatest(4, CAST(floor(o.n * 0.5) AS INT)), false)
@@ -257,18 +356,18 @@ WITH marks AS (
 SELECT c.doc_id, c.page, c.col, CASE WHEN s.doc_id IS NULL THEN c.x0 ELSE CAST(0 AS DOUBLE) END AS x0, CASE WHEN s.doc_id IS NULL THEN c.x1 ELSE CAST({W} AS DOUBLE) END AS x1
 FROM {{d_detect_columns}} c LEFT JOIN single s ON c.doc_id = s.doc_id AND c.page = s.page WHERE s.doc_id IS NULL OR c.col = 0""")
 
-relation("d_columns_from_markers", "Columns from clusters of markers' left edges.", f"""
+relation("d_columns_from_markers", "Columns from clusters of two or more markers' left edges, further apart than 12 per cent of the page; each ends where the next begins.", f"""
 WITH gaps AS (
-  SELECT doc_id, page, x_left, CASE WHEN x_left - lag(x_left) OVER (PARTITION BY doc_id, page ORDER BY x_left, seq, copy) > 0.12 * {W} THEN 1 ELSE 0 END AS fresh, seq, copy FROM {{d_strong_filter}}
+  SELECT doc_id, page, x_left, seq, q_num, is_solution, CASE WHEN x_left - lag(x_left) OVER (PARTITION BY doc_id, page ORDER BY x_left, seq, q_num, is_solution) > 0.12 * {W} THEN 1 ELSE 0 END AS fresh FROM {{c_recover_markers}}
 ), clusters AS (
-  SELECT doc_id, page, g, min(x_left) AS margin FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY x_left, seq, copy) AS g FROM gaps) x GROUP BY doc_id, page, g HAVING count(*) >= 2
+  SELECT doc_id, page, g, min(x_left) AS margin FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY x_left, seq, q_num, is_solution) AS g FROM gaps) x GROUP BY doc_id, page, g HAVING count(*) >= 2
 )
-SELECT doc_id, page, CAST(i - 1 AS INT) AS col, CASE WHEN i = 1 THEN CAST(0 AS DOUBLE) ELSE greatest(0.0, margin - 6) END AS x0, coalesce(greatest(0.0, nxt - 6), CAST({W} AS DOUBLE)) AS x1 FROM (
+SELECT doc_id, page, CAST(i - 1 AS INT) AS col, CASE WHEN i = 1 THEN CAST(0 AS DOUBLE) ELSE greatest(0.0, margin - 6) END AS x0, CASE WHEN nxt IS NULL THEN CAST({W} AS DOUBLE) ELSE greatest(0.0, nxt - 6) END AS x1 FROM (
   SELECT doc_id, page, margin, row_number() OVER (PARTITION BY doc_id, page ORDER BY g) AS i, lead(margin) OVER (PARTITION BY doc_id, page ORDER BY g) AS nxt, count(*) OVER (PARTITION BY doc_id, page) AS n FROM clusters) x WHERE n >= 2""")
 
 relation("d_drop_numbered_options", "Weak markers that hang at a margin of numbers too high for options; indented ones are options and go.", """
 WITH anchors AS (
-  SELECT doc_id, page, is_solution, x_left FROM {indented_markers} WHERE NOT is_strong AND CAST(q_num AS INT) >= 6
+  SELECT doc_id, page, is_solution, x_left FROM {d_strong_filter} WHERE NOT is_strong AND TRY_CAST(regexp_extract(q_num, '([0-9]+)', 1) AS INT) >= 6
 ), page_margins AS (
   SELECT doc_id, page, is_solution, min(x_left) AS m FROM (
     SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page, is_solution ORDER BY x_left) AS g FROM (
@@ -279,23 +378,35 @@ WITH anchors AS (
       SELECT *, CASE WHEN x_left - lag(x_left) OVER (PARTITION BY doc_id, is_solution ORDER BY x_left) > 6 THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT doc_id, is_solution, x_left FROM anchors) a) b) c GROUP BY doc_id, is_solution, g
 ), projected AS (
   SELECT p.doc_id, p.page, p.is_solution, coalesce(min(w.x_left), p.m) AS m FROM (
-    SELECT DISTINCT k.doc_id, k.page, k.is_solution, g.m FROM {indented_markers} k JOIN doc_margins g ON k.doc_id = g.doc_id AND k.is_solution = g.is_solution
+    SELECT DISTINCT k.doc_id, k.page, k.is_solution, g.m FROM {d_strong_filter} k JOIN doc_margins g ON k.doc_id = g.doc_id AND k.is_solution = g.is_solution
     WHERE NOT EXISTS (SELECT 1 FROM page_margins q WHERE q.doc_id = k.doc_id AND q.page = k.page AND q.is_solution = k.is_solution)) p
-  LEFT JOIN {indented_markers} w ON p.doc_id = w.doc_id AND p.page = w.page AND p.is_solution = w.is_solution AND NOT w.is_strong AND abs(w.x_left - p.m) < 50
+  LEFT JOIN {d_strong_filter} w ON p.doc_id = w.doc_id AND p.page = w.page AND p.is_solution = w.is_solution AND NOT w.is_strong AND abs(w.x_left - p.m) < 50
   GROUP BY p.doc_id, p.page, p.is_solution, p.m
 ), margins AS (SELECT * FROM page_margins UNION ALL SELECT * FROM projected), homes AS (
-  SELECT k.doc_id, k.page, k.seq, k.copy, coalesce(max(CASE WHEN k.x_left >= m.m - 9 THEN m.m END), min(m.m)) AS own
-  FROM {indented_markers} k JOIN margins m ON k.doc_id = m.doc_id AND k.page = m.page AND k.is_solution = m.is_solution GROUP BY k.doc_id, k.page, k.seq, k.copy
+  SELECT k.doc_id, k.page, k.seq, coalesce(max(CASE WHEN k.x_left >= m.m - 9 THEN m.m END), min(m.m)) AS own
+  FROM {d_strong_filter} k JOIN margins m ON k.doc_id = m.doc_id AND k.page = m.page AND k.is_solution = m.is_solution GROUP BY k.doc_id, k.page, k.seq
 )
-SELECT k.doc_id, k.page, k.seq, k.copy, k.q_num, k.is_solution FROM {indented_markers} k LEFT JOIN homes h ON k.doc_id = h.doc_id AND k.page = h.page AND k.seq = h.seq AND k.copy = h.copy
+SELECT k.* FROM {d_strong_filter} k LEFT JOIN homes h ON k.doc_id = h.doc_id AND k.page = h.page AND k.seq = h.seq
 WHERE k.is_strong OR h.own IS NULL OR k.x_left <= h.own + 9""")
 
-relation("indented_markers", "Markers with numbered options under some of them.", """
-SELECT doc_id, page, seq, 0 AS copy, x_left, q_num, is_solution, is_strong FROM {sided_markers} WHERE copy = 0
-UNION ALL SELECT doc_id, page, seq, o, x_left + 20, CAST(o AS STRING), is_solution, false FROM (SELECT *, EXPLODE(SEQ(1, 4)) AS o FROM {sided_markers} WHERE copy = 0 AND seq % 3 = 0) x""")
+relation("first_markers", "Pages with markers: whether one is strong, and where each column's first one stands.", """
+SELECT m.doc_id, m.page, c.col, min(m.y_top) AS y, bool_or(bool_or(m.is_strong)) OVER (PARTITION BY m.doc_id, m.page) AS strong, min(CASE WHEN m.is_strong THEN m.y_top END) AS strong_y,
+  min(c.col) OVER (PARTITION BY m.doc_id, m.page) AS leftmost, min(m.page) OVER (PARTITION BY m.doc_id) AS first_page
+FROM {c_recover_markers} m JOIN {c_column_of} c ON m.doc_id = c.doc_id AND m.page = c.page AND m.seq = c.seq GROUP BY m.doc_id, m.page, c.col""")
 
-relation("d_banner_headers", "Up to four lines in the top 15 per cent above the first marker of a page, none of them a question's.", f"""
-WITH first AS (SELECT doc_id, page, min(y_top) AS y, bool_or(is_strong) AS strong FROM {{sided_markers}} GROUP BY doc_id, page HAVING min(y_top) <= 0.25 * {H}), above AS (
-  SELECT l.doc_id, l.page, l.y_top, l.y_bottom, count(*) OVER (PARTITION BY l.doc_id, l.page) AS n, bool_or(l.y_top > 0.15 * {H} OR m.seq IS NOT NULL OR LIKE_RE(trim(l.text), r'{fx.OPTION_START}')) OVER (PARTITION BY l.doc_id, l.page) AS bad
-  FROM {{page_lines}} l JOIN first f ON l.doc_id = f.doc_id AND l.page = f.page AND l.y_bottom <= f.y LEFT JOIN {{b_tag_markers}} m ON l.doc_id = m.doc_id AND l.page = m.page AND l.seq = m.seq)
-SELECT DISTINCT doc_id, page, y_top, y_bottom FROM above WHERE n <= 4 AND NOT bad""")
+_QUESTION = " OR ".join(f"LIKE_RE(trim(l.text), r'{p}')" for p in (fx.OPTION_START, fx.WEAK_DOT, fx.WEAK_PAREN, fx.WEAK_OPEN, fx.STRONG))
+relation("d_banner_headers", "Banners: up to four lines in the top 15 per cent above a first marker that stands in the top quarter, none of them a question's. Where a page has strong markers, those above the first; else those of a column above its own first marker, in the leftmost column only if they cross a gutter or no earlier page has markers.", f"""
+WITH crossing AS (
+  SELECT DISTINCT l.doc_id, l.page, l.seq FROM {{content_lines}} l JOIN {{page_columns}} c ON l.doc_id = c.doc_id AND l.page = c.page AND l.x_left < c.x1 AND c.x1 < l.x_right AND c.x1 < {W}
+), anchors AS (
+  SELECT doc_id, page, CAST(NULL AS INT) AS col, min(strong_y) AS y, CAST(NULL AS BOOLEAN) AS whole FROM {{first_markers}} WHERE strong GROUP BY doc_id, page
+  UNION ALL SELECT doc_id, page, col, y, col <> leftmost OR page = first_page FROM {{first_markers}} WHERE NOT strong
+), above AS (
+  SELECT a.doc_id, a.page, a.col AS own, a.whole, l.seq, l.y_top, l.y_bottom, count(*) OVER w AS n,
+    bool_or({_QUESTION}) OVER w AS bad
+  FROM anchors a JOIN {{content_lines}} l ON l.doc_id = a.doc_id AND l.page = a.page AND l.y_top < a.y AND l.y_top <= 0.15 * {H} AND a.y <= 0.25 * {H}
+  WINDOW w AS (PARTITION BY a.doc_id, a.page, a.col)
+)
+SELECT DISTINCT b.doc_id, b.page, b.y_top, b.y_bottom FROM above b JOIN {{c_column_of}} c ON b.doc_id = c.doc_id AND b.page = c.page AND b.seq = c.seq
+LEFT JOIN crossing x ON b.doc_id = x.doc_id AND b.page = x.page AND b.seq = x.seq
+WHERE b.n <= 4 AND NOT b.bad AND (b.own IS NULL OR (c.col = b.own AND (b.whole OR x.seq IS NOT NULL)))""")

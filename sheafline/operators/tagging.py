@@ -58,10 +58,6 @@ relation("b_script_class", "Devanagari, Latin or mixed, by the share of letters.
 SELECT doc_id, page, seq, CASE WHEN dev + lat = 0 THEN 'none' WHEN dev > 0.5 * (dev + lat) THEN 'devanagari' WHEN lat > 0.5 * (dev + lat) THEN 'latin' ELSE 'mixed' END AS script
 FROM (SELECT doc_id, page, seq, length(regexp_replace(text, r'[^\x{0900}-\x{097F}]', ''/*G*/)) AS dev, length(regexp_replace(text, '[^A-Za-z]', ''/*G*/)) AS lat FROM {page_lines}) x""")
 
-relation("page_specs", "Page-range texts, some malformed.", """
-SELECT p_partkey AS spec_id, CASE WHEN p_size%7=0 THEN 'x-3' WHEN p_size%7=1 THEN concat(CAST(p_size AS STRING), ' to ', CAST(p_size%9+1 AS STRING))
-  WHEN p_size%7=2 THEN '' WHEN p_size%7=3 THEN concat('1-3, ', CAST(p_size AS STRING)) ELSE concat(CAST(p_size%5+1 AS STRING), '-', CAST(p_size AS STRING), ',8') END AS spec, 30 AS max_page FROM {part}""")
-
 relation("b_parse_page_ranges", "Pages that each text names, clipped to the document; a malformed text gives one row with its error.", r"""
 SELECT spec_id, CAST(page AS INT) AS page, CAST(NULL AS STRING) AS error FROM (
   SELECT DISTINCT spec_id, EXPLODE(SEQ(lo, hi)) AS page FROM (
@@ -88,13 +84,6 @@ WHERE contains(lower(label), lower($(term))) OR contains(lower(kind), lower($(te
 relation("b_min_box", "Boxes at least 1.5 per cent wide and high.", """
 SELECT doc_id, page, box_id, x0, x1, y0, y1 FROM {tiny_boxes} WHERE x1 - x0 >= 1.5 AND y1 - y0 >= 1.5""")
 
-relation("tiny_boxes", "Boxes, some shrunk.", """
-SELECT doc_id, page, box_id, x0, CASE WHEN box_id%7=0 THEN x0 + 1.25 WHEN box_id%7=1 THEN x0 + 1.5 ELSE x1 END AS x1, y0, CASE WHEN box_id%5=0 THEN y0 + 1.0 ELSE y1 END AS y1 FROM {boxes}""")
-
-relation("tensor_rows", "Detector output: centre, size, objectness and two class scores, in a letterbox of 640.", """
-SELECT doc_id, page, box_id, (x0 + x1) * 2 AS cx, (y0 + y1) * 4 + 32 AS cy, (x1 - x0) * 4 AS w, (y1 - y0) * 8 AS h, score AS obj,
-  CASE WHEN label = 'question' THEN 0.75 ELSE 0.25 END AS c0, CASE WHEN label = 'solution' THEN 0.75 ELSE 0.125 END AS c1 FROM {boxes}""")
-
 relation("b_decode_detections", "Boxes in page pixels from rows [xywh, objectness, classes]: best class, padding undone, clipped, cut by score.", """
 SELECT doc_id, page, box_id, label, score, greatest(0, least(400, x0)) AS x0, greatest(0, least(400, x1)) AS x1, greatest(0, least(800, y0)) AS y0, greatest(0, least(800, y1)) AS y1
 FROM (SELECT doc_id, page, box_id, CASE WHEN c0 >= c1 THEN 'question' ELSE 'solution' END AS label, obj * greatest(c0, c1) AS score,
@@ -122,10 +111,18 @@ SELECT idx, CASE WHEN trim(made) = '' THEN number ELSE trim(made) END AS stem, e
       CASE WHEN length(n) < $(name_digits) THEN lpad(n, $(name_digits), '0') ELSE n END AS number
     FROM (SELECT *, CAST(row_number() OVER (PARTITION BY batch ORDER BY idx) - 1 + $(name_start) AS STRING) AS n FROM {files}) f) g) h""")
 
-relation("b_gate_figures", "Figures that are neither too small, nor the whole page, nor in a margin.", """
-SELECT doc_id, page, fig_id, x0, x1, y0, y1 FROM {figures}
-WHERE (x1 - x0) * (y1 - y0) >= 0.01 * $(page_width) * $(page_height) AND (x1 - x0) >= 0.05 * $(page_width) AND (y1 - y0) >= 0.02 * $(page_height)
-  AND NOT ((x1 - x0) >= 0.9 * $(page_width) AND (y1 - y0) >= 0.9 * $(page_height)) AND y1 > 0.06 * $(page_height) AND y0 < 0.94 * $(page_height)""")
+# Gates of figures as shares of the page: pictures by area, drawings and tables by size, and margins.
+SETTINGS |= {
+    "image_area": 0.0008, "drawing_width": 0.04, "drawing_height": 0.03, "border_width": 0.96, "border_height": 0.92, "figure_top": 0.07, "figure_bottom": 0.93,
+    "table_width": 0.06, "table_height": 0.02, "sheet_width": 0.98, "sheet_height": 0.97, "table_top": 0.05, "table_bottom": 0.95, "table_rows": 2, "table_columns": 2,
+}
+_W, _H = "(x1 - x0) / $(page_width)", "(y1 - y0) / $(page_height)"
+relation("b_gate_figures", "Pictures that are not too small, drawings and tables that are neither too small nor a border of the whole page, none of them within a margin; tables have two rows and columns.", f"""
+SELECT doc_id, page, fig_id, x0, x1, y0, y1 FROM {{figures}}
+WHERE CASE kind
+  WHEN 'image' THEN {_W} * {_H} >= $(image_area) AND y1 / $(page_height) > $(figure_top) AND y0 / $(page_height) < $(figure_bottom)
+  WHEN 'table' THEN n_rows >= $(table_rows) AND n_columns >= $(table_columns) AND {_W} >= $(table_width) AND {_H} >= $(table_height) AND NOT ({_W} >= $(sheet_width) AND {_H} >= $(sheet_height)) AND y1 / $(page_height) > $(table_top) AND y0 / $(page_height) < $(table_bottom)
+  ELSE {_W} >= $(drawing_width) AND {_H} >= $(drawing_height) AND NOT ({_W} >= $(border_width) AND {_H} >= $(border_height)) AND y1 / $(page_height) > $(figure_top) AND y0 / $(page_height) < $(figure_bottom) END""")
 
 built("j_custom_marker", "Markers by a user's pattern (here an option letter), by the default rules where it does not match.", ["page_lines"],
     lambda lines: markers.tag_markers(lines.select("doc_id", "page", "seq", "text"), pattern=r"\(([AB])\)").drop("text"),

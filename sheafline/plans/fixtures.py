@@ -39,16 +39,43 @@ SELECT doc_id, page, CAST(1000000000 + page AS BIGINT) AS seq, CAST(44 AS DOUBLE
   CASE WHEN page = CAST(floor(last_page/2.0) AS INT) + 1 THEN 'Hints & Solutions' WHEN page%11=7 THEN 'Answer Key:' ELSE 'SECTION-II (Maximum Marks: 12)' END AS text
 FROM {paper_pages} WHERE page = CAST(floor(last_page/2.0) AS INT) + 1 OR page%11=7 OR page%9=4""")
 
+relation("twin_lines", "Some markers' lines again, a pixel lower, as a second text layer has them.", """
+SELECT doc_id, page, CAST(4000000000 + seq AS BIGINT) AS seq, y_top + 1 AS y_top, y_bottom + 1 AS y_bottom, x_left, x_right, text FROM {lines} WHERE seq % 15 = 0""")
+
+relation("numbered_options", "Four numbered options, indented, under some markers.", """
+SELECT doc_id, page, CAST(5000000000 + seq * 10 + o AS BIGINT) AS seq, y_top + 12 + o * 4 AS y_top, y_top + 15 + o * 4 AS y_bottom, x_left + 20 AS x_left, x_right, concat(CAST(o AS STRING), '. choice ', CAST(o AS STRING)) AS text
+FROM (SELECT *, EXPLODE(SEQ(1, 4)) AS o FROM {lines} WHERE seq % 35 = 5) x""")
+
+relation("key_cells", "Some answer-key rows of ten cells each, between the lines of the first pages.", """
+SELECT doc_id, CAST(num % 3 AS INT) + 1 AS page, CAST(3000000000 + num AS BIGINT) AS seq, CAST(82 + floor(num / 10.0) * 32 AS DOUBLE) AS y_top, CAST(90 + floor(num / 10.0) * 32 AS DOUBLE) AS y_bottom, CAST(num % 10 * 60 AS DOUBLE) AS x_left,
+  CAST(num % 10 * 60 + 40 AS DOUBLE) AS x_right, concat(CAST(num AS STRING), '. (', letter, ')') AS text FROM {key_pairs} WHERE num < 60""")
+
+relation("key_rows", "The answer key as text, ten pairs to a line, on pages after the last.", "",
+    spark="""
+SELECT k.doc_id, p.last_page + 1 + CAST(floor(k.i / 20.0) AS INT) AS page, CAST(6000000000 + k.i AS BIGINT) AS seq, CAST(64 + k.i % 20 * 32 AS DOUBLE) AS y_top, CAST(76 + k.i % 20 * 32 AS DOUBLE) AS y_bottom, CAST(32 AS DOUBLE) AS x_left, CAST(608 AS DOUBLE) AS x_right, k.text
+FROM (SELECT doc_id, CAST(floor(num / 10.0) AS BIGINT) AS i, array_join(transform(array_sort(collect_list(struct(num, letter))), x -> concat(x.num, '-', x.letter)), '  ') AS text FROM {key_pairs} WHERE num <= 999 GROUP BY doc_id, floor(num / 10.0)) k
+JOIN (SELECT DISTINCT doc_id, last_page FROM {paper_pages}) p ON k.doc_id = p.doc_id""",
+    other="""
+SELECT k.doc_id, CAST(p.last_page + 1 + floor(k.i / 20.0) AS INT) AS page, CAST(6000000000 + k.i AS BIGINT) AS seq, CAST(64 + k.i % 20 * 32 AS DOUBLE) AS y_top, CAST(76 + k.i % 20 * 32 AS DOUBLE) AS y_bottom, CAST(32 AS DOUBLE) AS x_left, CAST(608 AS DOUBLE) AS x_right, k.text
+FROM (SELECT doc_id, CAST(floor(num / 10.0) AS BIGINT) AS i, string_agg(num || '-' || letter, '  ' ORDER BY num) AS text FROM {key_pairs} WHERE num <= 999 GROUP BY doc_id, floor(num / 10.0)) k
+JOIN (SELECT DISTINCT doc_id, last_page FROM {paper_pages}) p ON k.doc_id = p.doc_id""")
+
+relation("banner_lines", "A title of its own above the right column of some pages.", """
+SELECT doc_id, page, CAST(7000000000 + page AS BIGINT) AS seq, CAST(36 AS DOUBLE) AS y_top, CAST(42 AS DOUBLE) AS y_bottom, CAST(352 AS DOUBLE) AS x_left, CAST(608 AS DOUBLE) AS x_right,
+  concat('Chapter on ', translate(md5(concat(CAST(doc_id AS STRING), ':', CAST(page AS STRING))), '0123456789', 'ghijklmnop')) AS text FROM {paper_pages} WHERE page % 4 = 2""")
+
 relation("page_lines", "All lines of a paper.", """
-SELECT * FROM {lines} UNION ALL SELECT * FROM {section_lines} UNION ALL SELECT * FROM {margin_lines}""")
+SELECT * FROM {lines} UNION ALL SELECT * FROM {section_lines} UNION ALL SELECT * FROM {margin_lines}
+UNION ALL SELECT * FROM {twin_lines} UNION ALL SELECT * FROM {numbered_options} UNION ALL SELECT * FROM {key_cells} UNION ALL SELECT * FROM {key_rows} UNION ALL SELECT * FROM {banner_lines}""")
 
-relation("key_pairs", "An answer key with holes.", """
-SELECT DISTINCT doc_id, CAST(floor(seq/5.0) AS INT)+1 AS num, substring('ABCD', CAST((floor(seq/5.0)*7)%4 AS INT)+1, 1) AS letter
-FROM {lines} WHERE (CAST(floor(seq/5.0) AS INT)+1)%9 <> 0""")
+relation("key_pairs", "An answer key of the questions, with holes.", """
+SELECT DISTINCT l.doc_id, CAST(floor(l.seq/5.0) AS INT)+1 AS num, substring('ABCD', CAST((floor(l.seq/5.0)*7)%4 AS INT)+1, 1) AS letter
+FROM {lines} l JOIN {paper_pages} p ON l.doc_id = p.doc_id AND l.page = p.page WHERE (CAST(floor(l.seq/5.0) AS INT)+1)%9 <> 0 AND p.page <= floor(p.last_page/2.0)""")
 
-relation("key_lines", "The answer key as text, ten pairs to a line.", "",
-    spark="""SELECT doc_id, CAST(floor(num/10.0) AS BIGINT) AS seq, array_join(transform(array_sort(collect_list(struct(num, letter))), x -> concat(x.num, '-', x.letter)), '  ') AS text FROM {key_pairs} WHERE num <= 999 GROUP BY doc_id, floor(num/10.0)""",
-    other="""SELECT doc_id, CAST(floor(num/10.0) AS BIGINT) AS seq, string_agg(num || '-' || letter, '  ' ORDER BY num) AS text FROM {key_pairs} WHERE num <= 999 GROUP BY doc_id, floor(num/10.0)""")
+_WORD = "doc_id, page, seq, CAST(pos AS BIGINT) AS pos, word, CAST((seq * 7 + pos) % 103 - 2 AS DOUBLE) AS conf, x_left + 6 * pos % 240 AS x0, x_left + 6 * pos % 240 + 5 AS x1, y_top AS y0, y_bottom AS y1, 1 AS block, CAST(floor(seq / 40.0) AS INT) % 2 AS par, CAST(seq % 20 AS INT) AS line"
+relation("words", "Words of lines with places and confidences; an engine read the two columns' rows as one.", "",
+    spark=f"SELECT {_WORD} FROM {{lines}} LATERAL VIEW posexplode(split(text, ' ')) t AS pos, word",
+    other=f"SELECT {_WORD} FROM (SELECT *, unnest(range(len(a))) AS pos, unnest(a) AS word FROM (SELECT *, string_split(text, ' ') AS a FROM {{lines}}) x) y")
 
 relation("page_geom", "Page sizes in points.", """
 SELECT CAST(floor(p_partkey/10.0) AS BIGINT) AS doc_id, CAST(p_partkey%10 AS INT)+1 AS page,
@@ -60,17 +87,18 @@ SELECT CAST(floor(l_orderkey/50.0) AS BIGINT) AS doc_id, l_linenumber AS page,
   row_number() OVER (PARTITION BY CAST(floor(l_orderkey/50.0) AS BIGINT) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS box_id,
   CASE WHEN l_returnflag='R' THEN 'solution' ELSE 'question' END AS label, round(l_discount + l_tax, 2) AS score,
   CAST((l_partkey%5)*16 AS DOUBLE) AS x0, CAST((l_partkey%5)*16 + 24 AS DOUBLE) AS x1,
-  CAST((l_suppkey%10)*8 AS DOUBLE) AS y0, CAST((l_suppkey%10)*8 + 8 + (l_partkey%3)*4 AS DOUBLE) AS y1
+  CAST((l_suppkey%10)*9 AS DOUBLE) AS y0, CAST(CASE WHEN l_suppkey%10 < 4 AND l_orderkey%13 = 0 THEN (l_suppkey%10)*9 + 64 ELSE (l_suppkey%10)*9 + CASE WHEN l_orderkey%17 = 0 THEN 2 ELSE 8 + (l_partkey%3)*4 END END AS DOUBLE) AS y1
 FROM {lineitem}""")
 
 relation("segments", "Boxes as the segments of numbered items; two boxes make an item, and about half of the numbers up to 31 occur.", """
 SELECT doc_id, CAST(floor((box_id+1)/2.0) AS BIGINT) AS item, CAST((box_id+1)%2 AS INT) AS seg,
-  CAST((CAST(floor((box_id+1)/2.0) AS BIGINT)%31)*(CAST(floor((box_id+1)/2.0) AS BIGINT)%31)%31 + 1 AS STRING) AS q_num, CAST(floor((box_id+1)/2.0) AS BIGINT)%3 = 0 AS is_solution,
+  CAST((CAST(floor((box_id+1)/2.0) AS BIGINT)%31)*(CAST(floor((box_id+1)/2.0) AS BIGINT)%31)%31 + 1 + CASE WHEN CAST(floor((box_id+1)/2.0) AS BIGINT)%97 = 0 THEN 60 ELSE 0 END AS STRING) AS q_num, CAST(floor((box_id+1)/2.0) AS BIGINT)%3 = 0 AS is_solution,
   page, y0, y1, x0, x1 FROM {boxes}""")
 
 relation("items", "One row per item.", """
 SELECT doc_id, item, min(q_num) AS q_num, bool_or(is_solution) AS is_solution, min(page) AS page,
-  CASE WHEN item%5=0 THEN 'BCD' WHEN item%5=1 THEN 'CD' WHEN item%5=2 THEN '' ELSE 'ABCD' END AS option_labels, count(*) AS n_segments
+  CASE WHEN item%5=0 THEN 'BCD' WHEN item%5=1 THEN 'CD' WHEN item%5=2 THEN '' ELSE 'ABCD' END AS option_labels, count(*) AS n_segments,
+  CASE item%16 WHEN 0 THEN true WHEN 1 THEN false END AS is_hindi
 FROM {segments} GROUP BY doc_id, item""")
 
 relation("files", "File names with sizes, in batches.", """
@@ -81,7 +109,11 @@ relation("lines_pct", "Lines in per cent of the page, with papers spread over th
 SELECT doc_id, page, seq, y_top/8.0 AS y0, y_bottom/8.0 AS y1, x_left/6.4 AS x0, x_right/6.4 AS x1, text FROM {lines}""")
 
 relation("figures", "Figure boxes in pixels of a 640 by 800 page.", """
-SELECT doc_id, page, box_id AS fig_id, x0*6 AS x0, x1*6 AS x1, y0*8 AS y0, y1*8 AS y1 FROM {boxes} WHERE box_id%4=0""")
+SELECT doc_id, page, box_id AS fig_id, x0*6 AS x0, x1*6 AS x1, y0*8 AS y0, CASE WHEN box_id%44=0 THEN y0*8 + 16 ELSE y1*8 END AS y1,
+  CASE WHEN box_id%12=0 THEN 'image' WHEN box_id%20=0 THEN 'table' ELSE 'drawing' END AS kind, CAST(box_id%5 AS INT) AS n_rows, CAST(box_id%7 AS INT) AS n_columns FROM {boxes} WHERE box_id%4=0""")
+
+relation("placed_images", "Pictures placed on pages: icons beside some lines, and a background now and then.", """
+SELECT doc_id, page, seq AS image_id, x_left + 8 AS x0, CASE WHEN seq%13=0 THEN 0 ELSE y_top - 20 END AS y0, x_left + 24 AS x1, CASE WHEN seq%13=0 THEN 640 ELSE y_top - 6 END AS y1 FROM {lines} WHERE seq%6=4""")
 
 relation("strokes", "Thin strokes: rules, fraction bars, underlines and frame sides.", """
 SELECT CAST(floor(l_orderkey/400.0) AS BIGINT) AS doc_id, CAST(l_linenumber%3 AS INT)+1 AS page,
@@ -89,7 +121,7 @@ SELECT CAST(floor(l_orderkey/400.0) AS BIGINT) AS doc_id, CAST(l_linenumber%3 AS
   CAST(32 + (l_partkey%4)*64 AS DOUBLE) AS x0,
   CAST(32 + (l_partkey%4)*64 + CASE WHEN l_suppkey%4=0 THEN 1 WHEN l_suppkey%4=1 THEN 30 ELSE 256 END AS DOUBLE) AS x1,
   CAST(64 + (l_orderkey%20)*32 AS DOUBLE) AS y0,
-  CAST(64 + (l_orderkey%20)*32 + CASE WHEN l_suppkey%4=0 THEN 96 ELSE 1 END AS DOUBLE) AS y1
+  CAST(64 + (l_orderkey%20)*32 + CASE WHEN l_suppkey%4=0 THEN 96 WHEN l_suppkey%28=3 THEN 64 ELSE 1 END AS DOUBLE) AS y1, l_suppkey%28=3 AS is_rect
 FROM {lineitem}""")
 
 relation("links", "Hyperlinks on some pages.", """
@@ -110,8 +142,19 @@ relation("model_json", "Raw answers of a page model: wrapped, bare, single, fenc
 SELECT doc_id, box_id AS answer_id, page AS first_page, page + 3 AS last_page,
   CASE WHEN box_id%5=0 THEN concat('{"questions":[', body, ']}') WHEN box_id%5=1 THEN concat('[', body, ']') WHEN box_id%5=2 THEN body
        WHEN box_id%5=3 THEN concat('```json', chr(10), '{"questions":[', body, ']}', chr(10), '```') ELSE concat('no answer ', body, ' {') END AS raw
-FROM (SELECT *, concat('{"q_num":"', CAST(box_id%50 AS STRING), '","page":', CAST(page + CAST(box_id%6 AS INT) AS STRING),
-  ',"y0":', CAST(CAST(y0 AS INT) AS STRING), ',"y1":', CAST(CAST(y1 AS INT) - CAST(box_id%11=0 AS INT)*40 AS STRING), '}') AS body FROM {boxes}) b""")
+FROM (SELECT *, concat('{"q_num":"', CASE WHEN box_id%23=0 THEN ' ' ELSE CAST(box_id%50 AS STRING) END, '","is_solution":', CASE WHEN label = 'solution' THEN 'true' ELSE 'false' END, ',"segments":[{"page":', CAST(page + CAST(box_id%6 AS INT) AS STRING),
+  ',"y_start_pct":', CAST(CAST(y0 AS INT) AS STRING), ',"y_end_pct":', CAST(CAST(y1 AS INT) - CAST(box_id%11=0 AS INT)*40 AS STRING), '},{"page":', CAST(page AS STRING), ',"y_start_pct":2,"y_end_pct":"3.5"},{"page":null,"y_start_pct":1,"y_end_pct":2}]}') AS body FROM {boxes}) b""")
+
+relation("page_specs", "Page-range texts, some malformed.", """
+SELECT p_partkey AS spec_id, CASE WHEN p_size%7=0 THEN 'x-3' WHEN p_size%7=1 THEN concat(CAST(p_size AS STRING), ' to ', CAST(p_size%9+1 AS STRING))
+  WHEN p_size%7=2 THEN '' WHEN p_size%7=3 THEN concat('1-3, ', CAST(p_size AS STRING)) ELSE concat(CAST(p_size%5+1 AS STRING), '-', CAST(p_size AS STRING), ',8') END AS spec, 30 AS max_page FROM {part}""")
+
+relation("tiny_boxes", "Boxes, some shrunk.", """
+SELECT doc_id, page, box_id, x0, CASE WHEN box_id%7=0 THEN x0 + 1.25 WHEN box_id%7=1 THEN x0 + 1.5 ELSE x1 END AS x1, y0, CASE WHEN box_id%5=0 THEN y0 + 1.0 ELSE y1 END AS y1 FROM {boxes}""")
+
+relation("tensor_rows", "Detector output: centre, size, objectness and two class scores, in a letterbox of 640.", """
+SELECT doc_id, page, box_id, (x0 + x1) * 2 AS cx, (y0 + y1) * 4 + 32 AS cy, (x1 - x0) * 4 AS w, (y1 - y0) * 8 AS h, score AS obj,
+  CASE WHEN label = 'question' THEN 0.75 ELSE 0.25 END AS c0, CASE WHEN label = 'solution' THEN 0.75 ELSE 0.125 END AS c1 FROM {boxes}""")
 
 # Inputs of single operators: what a user selects, other sources and tiers. A caller passes its own.
 _INPUTS = {
@@ -119,6 +162,7 @@ _INPUTS = {
 SELECT doc_id, CAST(num AS BIGINT) * 10 + k AS seq, CASE k WHEN 0 THEN concat(CASE num % 4 WHEN 1 THEN 'Sol. ' WHEN 2 THEN 'Q ' ELSE '' END, CAST(num AS STRING), CASE num % 4 WHEN 1 THEN ' As shown,' ELSE '. As shown,' END) WHEN 1 THEN 'it follows.'
   ELSE CASE num % 3 WHEN 0 THEN concat('Ans. (', letter, ')') WHEN 1 THEN concat('Correct option is ', letter) ELSE concat('Answer: ', lower(letter), '.') END END AS text
 FROM {key_pairs} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) x WHERE num <= 999"""),
+    "other_segments": ("Segments in a second language of items that hold both.", "SELECT doc_id, item, seg, page, y0, y1, x0 + 4 AS x0, x1 + 4 AS x1 FROM {segments} WHERE item % 4 = 3"),
     "model_key": ("A key as a model read it.", "SELECT doc_id, num, letter FROM {key_pairs} WHERE num <= 999"),
     "document_keys": ("Keys found, in three of four documents.", "SELECT doc_id, num, letter FROM {key_pairs} WHERE doc_id % 4 <> 1"),
     "chain_candidates": ("Numbers that some line could be.", "SELECT DISTINCT doc_id, is_solution, CAST(q_num AS INT) + 1 AS num FROM {items} WHERE item % 3 = 0"),
@@ -129,16 +173,15 @@ FROM {key_pairs} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2
     "answer_scope": ("Pages that may hold answers; some documents name none.", "SELECT doc_id, page FROM {paper_pages} WHERE page > last_page - 2 AND doc_id % 2 = 0"),
     "skipped_pages": ("Pages a user leaves out.", "SELECT doc_id, page FROM {paper_pages} WHERE page % 5 = 0"),
     "requested_pages": ("Pages asked for, in order.", "SELECT batch, CAST(idx % 100 AS INT) AS pos, CAST(width % 13 AS INT) + 1 AS page FROM {files}"),
-    "repair_pages": ("Pages that a second pass read again.", "SELECT DISTINCT doc_id, page FROM {segments} WHERE (doc_id + page) % 4 = 0"),
-    "second_pass": ("Segments of the second pass.", "SELECT * FROM {segments}"),
     "text_lines": ("Lines of the text layer, which some pages lack.", "SELECT doc_id, page, seq FROM {lines} WHERE page % 3 <> 0"),
     "ocr_lines": ("Lines that OCR read.", "SELECT doc_id, page, seq FROM {lines} WHERE seq % 2 = 0"),
-    "text_segments": ("Segments of the text tier.", "SELECT * FROM {segments} WHERE item % 3 <> 0"),
-    "ocr_segments": ("Segments of the OCR tier.", "SELECT * FROM {segments} WHERE item % 2 = 0"),
-    "scanned_pages": ("Pages that are pictures.", "SELECT DISTINCT doc_id, page FROM {segments} WHERE page % 5 = 0"),
-    "tier_items": ("Items of each tier, and how many to a page suffice.", """
-SELECT doc_id, 'text' AS tier, 1 AS prio, 2 AS enough, item, page FROM {items} WHERE item % 4 = 0
-UNION ALL SELECT doc_id, 'ocr', 2, 3, item, page FROM {items} WHERE item % 2 = 0 UNION ALL SELECT doc_id, 'model', 3, 5, item, page FROM {items}"""),
+    "tier_pages": ("Pages of each document with their class and OCR's confidence.", """
+SELECT doc_id, page, CASE WHEN (doc_id + page) % 5 = 0 OR doc_id % 7 = 3 AND page % 3 > 0 THEN 'ocr' WHEN page % 3 = 0 THEN 'text_then_ocr' ELSE 'text' END AS class, CAST(CASE WHEN page = 2 THEN 40 WHEN page = 5 THEN 0 ELSE 90 END AS DOUBLE) AS conf
+FROM (SELECT DISTINCT doc_id, page FROM {segments}) p"""),
+    "tier_text": ("Segments by the text layer: few in some documents.", "SELECT * FROM {segments} WHERE item % 3 = 0 AND (doc_id % 3 > 0 OR item % 60 = 0)"),
+    "tier_ocr": ("Segments by OCR.", "SELECT * FROM {segments} WHERE item % 2 = 0 AND (doc_id % 4 > 0 OR item % 40 = 0)"),
+    "tier_local": ("Segments by a local model.", "SELECT * FROM {segments} WHERE item % 5 = 0 AND doc_id % 5 = 0"),
+    "tier_model": ("Segments by a page model.", "SELECT * FROM {segments} WHERE doc_id % 6 < 5"),
     "queue": ("Files in a queue with their status.", """
 SELECT batch, original, CASE WHEN idx%4=0 THEN 'pending' WHEN idx%4=1 THEN 'processing' WHEN idx%4=2 THEN 'done' ELSE 'error' END AS status FROM {files}"""),
     "named_files": ("Names given to files.", "SELECT batch, idx, concat('item', CAST(width % 70 AS STRING)) AS name FROM {files}"),

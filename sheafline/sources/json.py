@@ -37,17 +37,24 @@ SELECT doc_id, page, i.text, array_min(transform(i.poly, p -> p[0])) AS x_left,
     transform(arrays_zip(from_json(raw, 'rec_texts array<string>, rec_polys array<array<array<double>>>').rec_polys, from_json(raw, 'rec_texts array<string>, rec_polys array<array<array<double>>>').rec_texts), z -> named_struct('poly', z.rec_polys, 'text', z.rec_texts)))) AS i FROM {poly_json}) x""",
     other="SELECT doc_id, page, text, x_left, x_right, y_top, y_bottom FROM {lines}")
 
-_ITEM = "struct<q_num:string,page:int,y0:double,y1:double>"
-relation("a_items_from_model_json", "Items of raw model answers: code fences off, from the first bracket to the last; wrapped, bare or single; bad pages and extents dropped.", "",
+_ITEM = "struct<q_num:string,is_solution:string,segments:array<struct<page:string,y_start_pct:string,y_end_pct:string>>>"
+relation("a_items_from_model_json", "Segments of raw model answers: code fences off, from the first bracket to the last; questions wrapped, bare or single; items without a number, pages outside those asked for, and extents outside the page or upside down dropped; in order of page and height.", "",
     spark=rf"""
 WITH cut AS (
   SELECT *, CASE WHEN regexp_like(raw, r'^[^{{]*\[') THEN regexp_extract(raw, r'(?s)(\[.*\])', 1) ELSE regexp_extract(raw, r'(?s)(\{{.*\}})', 1) END AS body FROM {{model_json}}
 ), parsed AS (
   SELECT *, coalesce(CASE WHEN body LIKE '[%' THEN from_json(body, 'array<{_ITEM}>') END, from_json(body, 'questions array<{_ITEM}>').questions, array(from_json(body, '{_ITEM}'))) AS items FROM cut
-)
-SELECT doc_id, answer_id, i.q_num, i.page, i.y0, i.y1 FROM (SELECT *, explode(items) AS i FROM parsed) x
-WHERE i.page BETWEEN first_page AND last_page AND i.y0 >= 0 AND i.y1 <= 100 AND i.y1 > i.y0""",
-    other="""SELECT doc_id, box_id AS answer_id, CAST(box_id%50 AS STRING) AS q_num, CAST(page + box_id%6 AS INT) AS page, y0, y1 - (box_id%11=0)::INT*40 AS y1 FROM {boxes} WHERE box_id%6 <= 3 AND y1 - (box_id%11=0)::INT*40 > y0""")
+), parts AS (
+  SELECT doc_id, answer_id, first_page, last_page, pos, trim(i.q_num) AS q_num, coalesce(lower(i.is_solution) NOT IN ('false', '0', ''), false) AS is_solution, s
+  FROM (SELECT doc_id, answer_id, first_page, last_page, posexplode(items) AS (pos, i) FROM parsed) x LATERAL VIEW explode(i.segments) t AS s WHERE trim(i.q_num) <> ''
+), typed AS (SELECT *, CAST(try_cast(s.page AS DOUBLE) AS INT) AS page, try_cast(s.y_start_pct AS DOUBLE) AS y0, try_cast(s.y_end_pct AS DOUBLE) AS y1 FROM parts)
+SELECT doc_id, answer_id, CAST(pos AS BIGINT) AS pos, q_num, is_solution, CAST(row_number() OVER (PARTITION BY doc_id, answer_id, pos ORDER BY page, y0, y1) AS BIGINT) AS seg, page, y0, y1 FROM typed
+WHERE page BETWEEN first_page AND last_page AND y0 BETWEEN 0 AND 100 AND y1 BETWEEN 0 AND 100 AND y1 > y0""",
+    other="""
+WITH typed AS (
+  SELECT doc_id, box_id AS answer_id, CAST(box_id%50 AS STRING) AS q_num, label = 'solution' AS is_solution, CAST(page + box_id%6 AS INT) AS page, page AS first_page, y0, y1 - (box_id%11=0)::INT*40 AS y1 FROM {boxes} WHERE box_id%23 <> 0
+  UNION ALL SELECT doc_id, box_id, CAST(box_id%50 AS STRING), label = 'solution', page, page, 2, 3.5 FROM {boxes} WHERE box_id%23 <> 0)
+SELECT doc_id, answer_id, CAST(0 AS BIGINT) AS pos, q_num, is_solution, row_number() OVER (PARTITION BY doc_id, answer_id ORDER BY page, y0, y1) AS seg, page, y0, y1 FROM typed WHERE page <= first_page + 3 AND y1 > y0 AND y1 BETWEEN 0 AND 100""")
 
 relation("box_json", "Raw detector answers: boxes in per cent, or in shares of one.", """
 SELECT doc_id, page, box_id, concat('{"boxes":[{"label":"', CASE WHEN box_id%9=0 THEN 'logo' ELSE label END, '","score":', CAST(score AS STRING), ',"box":[', CAST(CASE WHEN box_id%2=0 THEN x0 / 100 ELSE x0 END AS STRING), ',', CAST(CASE WHEN box_id%2=0 THEN y0 / 100 ELSE y0 END AS STRING), ',', CAST(CASE WHEN box_id%2=0 THEN x1 / 100 ELSE x1 END AS STRING), ',', CAST(CASE WHEN box_id%2=0 THEN y1 / 100 ELSE y1 END AS STRING), ']}]}') AS raw

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..staging import shared_dir
 
 CEILING, IDLE, LATE = 2_000.0, "1800 seconds", "10 minutes"
+#: The events table has a few events a user and day, so its sessions and documents are forgotten after a day, not half an hour.
+DAY = 86_400
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,27 +41,49 @@ def _finished(stream: DataFrame, name: str, each: object = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
-def upload_sessions(uploads: DataFrame, ceiling: float = CEILING) -> DataFrame:
-    """(session, file, index, total, accepted): files of a session in order; one that would pass the ceiling is rejected and not counted."""
+def kept_until_idle(state: GroupState, value: tuple, last: int, idle: int) -> None:
+    """Keep value until the watermark passes `idle` seconds after `last` (microseconds); state that is idle already ends now."""
+    end = last // 1000 + idle * 1000
+    if end <= state.getCurrentWatermarkMs():
+        if state.exists:
+            state.remove()
+        return
+    state.update(value)
+    state.setTimeoutTimestamp(end)
+
+
+def upload_sessions(uploads: DataFrame, ceiling: float = CEILING, idle: int = 1800, late: str = LATE) -> DataFrame:
+    """(session, file, index, total, accepted): files of a session by time; one that would pass the ceiling is rejected and not counted.
+
+    uploads: (session, file, bytes, ts). After `idle` seconds without a file a session begins anew; its state is dropped
+    once the watermark shows that no earlier file can come.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        index, total = state.get if state.exists else (0, 0.0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        index, total, last = state.get if state.exists else (0, 0.0, None)
         out = []
-        for r in pd.concat(list(frames)).sort_values("file").itertuples(index=False):
+        for r in pd.concat(list(frames)).sort_values(["us", "file"]).itertuples(index=False):
+            if last is not None and r.us - last > idle * 1_000_000:
+                index, total = 0, 0.0
+            last = r.us if last is None else max(last, r.us)
             ok = total + r.bytes <= ceiling
             index, total = (index + 1, total + r.bytes) if ok else (index, total)
             out.append((key[0], r.file, index, total, ok))
-        state.update((index, total))
+        kept_until_idle(state, (index, total, int(last)), int(last), idle)
         yield pd.DataFrame(out, columns=["session", "file", "index", "total", "accepted"])
 
-    return uploads.groupBy("session").applyInPandasWithState(
-        run, "session long, file long, index long, total double, accepted boolean", "index long, total double", "append", GroupStateTimeout.NoTimeout
+    timed = uploads.withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
+    return timed.groupBy("session").applyInPandasWithState(
+        run, "session long, file long, index long, total double, accepted boolean", "index long, total double, last long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def i_upload_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uploads = events(spark, sf_dir).select(F.col("user_id").alias("session"), F.col("event_id").alias("file"), F.col("value").alias("bytes"))
-    return _finished(upload_sessions(uploads), "uploads")
+    uploads = events(spark, sf_dir).select(F.col("user_id").alias("session"), F.col("event_id").alias("file"), F.col("value").alias("bytes"), "ts")
+    return _finished(upload_sessions(uploads, idle=DAY), "uploads")
 
 
 def expired_jobs(activity: DataFrame) -> DataFrame:
@@ -92,9 +117,9 @@ def upsert_pages(table: str):  # noqa: ANN201
     return sink
 
 
-def newest_pages(log: DataFrame) -> DataFrame:
-    """The table that the batches written so far stand for."""
-    return _newest(log)
+def newest_pages(*logs: DataFrame) -> DataFrame:
+    """The table that the batches written so far stand for, and a compacted part of them."""
+    return _newest(reduce(DataFrame.unionByName, logs))
 
 
 def i_page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,46 +127,115 @@ def i_page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest_pages(_finished(pages, "pages", upsert_pages))
 
 
-def edit_log(edits: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(doc_id, edit, item, replaced): a drawn box that a box of the document overlaps by the threshold takes its place and number, else it gets the next number."""
+Box = tuple[int, float, float, float, float]  # page, x0, y0, x1, y1 in per cent
+
+
+def overlap(a: Box, b: Box) -> float:
+    """Shared area by united area; none on different pages."""
+    w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
+    if a[0] != b[0] or w <= 0 or h <= 0:
+        return 0.0
+    return w * h / ((a[3] - a[1]) * (a[4] - a[2]) + (b[3] - b[1]) * (b[4] - b[2]) - w * h)
+
+
+def edited(items: list[tuple[int, list[Box]]], box: Box, target: int | None, number: int | None, threshold: float, least: float) -> tuple[int | None, str]:
+    """The number that a drawn box gets and what it did; items (number, boxes) are changed in place."""
+    if box[3] - box[1] < least or box[4] - box[2] < least:
+        return None, "ignored"
+    if target is not None:
+        for n, boxes in items:
+            if n == target:
+                boxes.append(box)
+                return n, "appended"
+    hit = next((i for i, (_, boxes) in enumerate(items) if any(overlap(b, box) >= threshold for b in boxes)), None)
+    if hit is not None:
+        items[hit] = (items[hit][0] if number is None else number, [box])
+        return items[hit][0], "replaced"
+    items.append((max((n for n, _ in items), default=0) + 1 if number is None else number, [box]))
+    return items[-1][0], "added"
+
+
+def edit_log(edits: DataFrame, threshold: float = 0.6, least: float = 1.5, idle: int = 1800, late: str = LATE) -> DataFrame:
+    """(doc_id, is_solution, edit, item, action, clears_note) of boxes drawn on a document, by time.
+
+    edits: (doc_id, is_solution, edit, ts, page, x0, y0, x1, y1, target, number). A box under `least` per cent wide or high
+    is ignored. One drawn for the item `target` is added to its boxes. Else, if a box of an item of the same side overlaps
+    it by the threshold, it takes the place of all that item's boxes and keeps its number, unless `number` is given; else
+    it is a new item with that number or the next. What is appended or replaced clears the item's note. A document without
+    edits for `idle` seconds begins anew, and its state ends.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tops = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        numbers, flat, last = state.get if state.exists else ([], [], None)
+        items: list[tuple[int, list[Box]]] = []
+        for i, n in enumerate(numbers):
+            if not items or items[-1][0] != n or flat[6 * i] == 0:
+                items.append((n, []))
+            items[-1][1].append((int(flat[6 * i + 1]), *flat[6 * i + 2 : 6 * i + 6]))
         out = []
-        for r in pd.concat(list(frames)).sort_values("edit").itertuples(index=False):
-            hit = next((i for i, top in enumerate(tops) if (o := max(0.0, 10 - abs(top - r.y0))) / (20 - o) >= threshold), None)
-            out.append((key[0], r.edit, len(tops) + 1 if hit is None else hit + 1, hit is not None))
-            if hit is None:
-                tops.append(r.y0)
-            else:
-                tops[hit] = r.y0
-        state.update((tops,))
-        yield pd.DataFrame(out, columns=["doc_id", "edit", "item", "replaced"])
-
-    return edits.groupBy("doc_id").applyInPandasWithState(
-        run, "doc_id long, edit long, item long, replaced boolean", "tops array<double>", "append", GroupStateTimeout.NoTimeout
-    )
+        for r in pd.concat(list(frames)).sort_values(["us", "edit"]).itertuples(index=False):
+            if last is not None and r.us - last > idle * 1_000_000:
+                items = []
+            last = r.us if last is None else max(last, r.us)
+            given = [None if pd.isna(v) else int(v) for v in (r.target, r.number)]
+            n, action = edited(items, (r.page, r.x0, r.y0, r.x1, r.y1), *given, threshold, least)
+            out.append((key[0], key[1], r.edit, n, action, action in ("appended", "replaced")))
+        rows = [(n, i, b) for n, boxes in items for i, b in enumerate(boxes)]
+        kept = ([n for n, _, _ in rows], [float(v) for _, i, b in rows for v in (i, *b)], int(last))
+        kept_until_idle(state, kept, int(last), idle)
+        yield pd.DataFrame(out, columns=["doc_id", "is_solution", "edit", "item", "action", "clears_note"]).astype({"item": "Int64"})
+
+    timed = edits.withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
+    return timed.groupBy("doc_id", "is_solution").applyInPandasWithState(
+        run, "doc_id long, is_solution boolean, edit long, item long, action string, clears_note boolean",
+        "numbers array<long>, flat array<double>, last long", "append", GroupStateTimeout.EventTimeTimeout,
+    )
+
+
+#: Boxes drawn, made from events: some tiny, some for an item, some with a number.
+_EDIT = {
+    "doc_id": "user_id", "is_solution": "event_id % 3 = 0", "edit": "event_id", "ts": "ts", "page": "CAST(event_id % 2 AS INT) + 1", "x0": "CAST(event_id % 4 * 10 AS DOUBLE)", "y0": "CAST(floor(value) AS DOUBLE)",
+    "x1": "CAST(event_id % 4 * 10 + 40 AS DOUBLE)", "y1": "CAST(floor(value) + CASE WHEN event_id % 29 = 0 THEN 1 ELSE 24 END AS DOUBLE)", "target": "CASE WHEN event_id % 7 = 0 THEN 1 END", "number": "CASE WHEN event_id % 19 = 0 THEN CAST(event_id % 50 AS INT) END",
+}
 
 
 def i_edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edits = events(spark, sf_dir).select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("edit"), F.pmod(F.col("value"), F.lit(90.0)).alias("y0"))
-    return _finished(edit_log(edits), "edits")
+    edits = events(spark, sf_dir).selectExpr(*[f"{e} AS {c}" for c, e in _EDIT.items()])
+    return _finished(edit_log(edits, idle=DAY), "edits")
+
+
+def compacted(log: DataFrame, path: str) -> DataFrame:
+    """The newest row of each page, written to path: later reads merge it with the batches after it instead of all batches."""
+    _newest(log).withColumn("batch", F.lit(-1)).write.mode("overwrite").parquet(path)
+    return log.sparkSession.read.parquet(path)
 
 
 QUERIES = {f.__name__: f for f in (i_upload_sessions, i_job_expiry, i_page_upsert, i_edit_log)}
 ORACLES = {
     "i_upload_sessions": f"""
-WITH RECURSIVE o AS (SELECT user_id AS session, event_id AS file, value AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+WITH RECURSIVE o AS (SELECT user_id AS session, event_id AS file, value AS bytes, epoch_us(ts) - lag(epoch_us(ts)) OVER w > {DAY} * 1000000 AS anew, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT session, rn, file, CASE WHEN bytes <= {CEILING} THEN 1 ELSE 0 END AS index, CASE WHEN bytes <= {CEILING} THEN bytes ELSE 0.0 END AS total, bytes <= {CEILING} AS accepted FROM o WHERE rn = 1
-  UNION ALL SELECT o.session, o.rn, o.file, CASE WHEN s.total + o.bytes <= {CEILING} THEN s.index + 1 ELSE s.index END, CASE WHEN s.total + o.bytes <= {CEILING} THEN s.total + o.bytes ELSE s.total END, s.total + o.bytes <= {CEILING}
-  FROM s JOIN o ON o.session = s.session AND o.rn = s.rn + 1)
+  UNION ALL SELECT session, rn, file, CASE WHEN total + bytes <= {CEILING} THEN index + 1 ELSE index END, CASE WHEN total + bytes <= {CEILING} THEN total + bytes ELSE total END, total + bytes <= {CEILING}
+  FROM (SELECT o.session, o.rn, o.file, o.bytes, CASE WHEN o.anew THEN 0 ELSE s.index END AS index, CASE WHEN o.anew THEN 0.0 ELSE s.total END AS total FROM s JOIN o ON o.session = s.session AND o.rn = s.rn + 1) x)
 SELECT session, file, CAST(index AS BIGINT) AS index, CAST(total AS DOUBLE) AS total, accepted FROM s""",
-    "i_edit_log": """
-WITH RECURSIVE o AS (SELECT user_id AS doc_id, event_id AS edit, CAST(value - 90 * floor(value / 90) AS DOUBLE) AS y0, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
-s AS (SELECT doc_id, rn, edit, CAST(1 AS BIGINT) AS item, false AS replaced, [y0] AS tops FROM o WHERE rn = 1
-  UNION ALL SELECT doc_id, rn, edit, coalesce(hit, len(tops) + 1), hit IS NOT NULL, CASE WHEN hit IS NULL THEN list_append(tops, y0) ELSE list_transform(tops, lambda t, i: CASE WHEN i = hit THEN y0 ELSE t END) END FROM (
-    SELECT o.doc_id, o.rn, o.edit, o.y0, s.tops, list_position(list_transform(s.tops, lambda t: greatest(0.0, 10 - abs(t - o.y0)) / (20 - greatest(0.0, 10 - abs(t - o.y0))) >= 0.6), true) AS hit FROM s JOIN o ON o.doc_id = s.doc_id AND o.rn = s.rn + 1) x)
-SELECT doc_id, edit, item, replaced FROM s""",
+    "i_edit_log": f"""
+WITH RECURSIVE e AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _EDIT.items())} FROM events),
+o AS (SELECT *, struct_pack(page := page, x0 := x0, y0 := y0, x1 := x1, y1 := y1) AS box, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > {DAY} * 1000000, false) AS anew, row_number() OVER w AS rn FROM e WINDOW w AS (PARTITION BY doc_id, is_solution ORDER BY ts, edit)),
+s AS (
+  SELECT DISTINCT doc_id, is_solution, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS edit, CAST(NULL AS BIGINT) AS item, '' AS action, CAST([] AS STRUCT(num BIGINT, boxes STRUCT(page INTEGER, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[])[]) AS items FROM o
+  UNION ALL
+  SELECT doc_id, is_solution, rn, edit, CASE action WHEN 'appended' THEN items[aimed].num WHEN 'replaced' THEN coalesce(number, items[hit].num) WHEN 'added' THEN coalesce(number, coalesce(list_max(list_transform(items, lambda t: t.num)), 0) + 1) END, action,
+    CASE action WHEN 'appended' THEN list_transform(items, lambda t, i: CASE WHEN i = aimed THEN struct_pack(num := t.num, boxes := list_append(t.boxes, box)) ELSE t END)
+      WHEN 'replaced' THEN list_transform(items, lambda t, i: CASE WHEN i = hit THEN struct_pack(num := coalesce(CAST(number AS BIGINT), t.num), boxes := [box]) ELSE t END)
+      WHEN 'added' THEN list_append(items, struct_pack(num := CAST(coalesce(number, coalesce(list_max(list_transform(items, lambda t: t.num)), 0) + 1) AS BIGINT), boxes := [box])) ELSE items END
+  FROM (SELECT *, CASE WHEN box.x1 - box.x0 < 1.5 OR box.y1 - box.y0 < 1.5 THEN 'ignored' WHEN aimed IS NOT NULL THEN 'appended' WHEN hit IS NOT NULL THEN 'replaced' ELSE 'added' END AS action FROM (
+    SELECT *, list_position(list_transform(items, lambda t: t.num), CAST(target AS BIGINT)) AS aimed, list_position(list_transform(items, lambda t: len(list_filter(t.boxes, lambda b: b.page = box.page AND least(b.x1, box.x1) > greatest(b.x0, box.x0) AND least(b.y1, box.y1) > greatest(b.y0, box.y0)
+      AND (least(b.x1, box.x1) - greatest(b.x0, box.x0)) * (least(b.y1, box.y1) - greatest(b.y0, box.y0)) / ((b.x1 - b.x0) * (b.y1 - b.y0) + (box.x1 - box.x0) * (box.y1 - box.y0) - (least(b.x1, box.x1) - greatest(b.x0, box.x0)) * (least(b.y1, box.y1) - greatest(b.y0, box.y0))) >= 0.6)) > 0), true) AS hit
+    FROM (SELECT o.doc_id, o.is_solution, o.rn, o.edit, o.box, o.target, o.number, CASE WHEN o.anew THEN s.items[1:0] ELSE s.items END AS items FROM s JOIN o ON o.doc_id = s.doc_id AND o.is_solution = s.is_solution AND o.rn = s.rn + 1) x) y) z)
+SELECT doc_id, is_solution, edit, item, action, action IN ('appended', 'replaced') AS clears_note FROM s WHERE rn > 0""",
     "i_job_expiry": """
 WITH g AS (SELECT user_id AS job, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1800 SECOND - INTERVAL 1 MICROSECOND OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
 s AS (SELECT job, ts, sum(fresh) OVER (PARTITION BY job ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)

@@ -3,7 +3,7 @@
 from sheafline.catalog import apply
 
 LINE = "doc_id long, page int, seq long, y_top double, y_bottom double, x_left double, x_right double, text string"
-FIGURE = "doc_id long, page int, fig_id long, x0 double, x1 double, y0 double, y1 double"
+FIGURE = "doc_id long, page int, fig_id long, x0 double, x1 double, y0 double, y1 double, kind string, n_rows int, n_columns int"
 
 
 def columned(n, scale=1.0, doc_id=1):
@@ -49,7 +49,7 @@ def option_grid(doc_id):
 def test_columns_are_found(spark):
     """Documents 1 to 3 have as many columns, 4 has options in a grid, 5 a figure in the middle column of three."""
     lines = [x for n in (1, 2, 3) for x in columned(n, doc_id=n)] + option_grid(4) + columned(3, doc_id=5)
-    got = segments(spark, lines, [(5, 1, 7, 240.0, 420.0, 150.0, 215.0)])
+    got = segments(spark, lines, [(5, 1, 7, 240.0, 420.0, 150.0, 215.0, "drawing", 0, 0)])
     assert {n: got[n] for n in (1, 2, 3)} == {n: wanted(n) for n in (1, 2, 3)}
     assert [(s[0], s[1]) for s in got[4]] == [(1, 0), (2, 0), (3, 0)]
     assert {(s[2], s[3]) for s in got[4]} == {(2.5, round(602 / 6.4, 3))}
