@@ -8,13 +8,13 @@ one of them is shared. Rare values come first because a passage that very many d
 documents that consist of little else.
 
 A list's nodes (sets, copies count once) are compared with its smallest node only. Where nodes of a list are still in
-different components afterwards, a short list's pairs between components are compared too; nodes of long lists get new
+different components afterwards, a short list's pairs between components are compared too. Nodes of long lists get new
 lists from their whole sets, where the first `n - ceil(t n) + 1` rarest values suffice without any doubt, of the smaller
-set of a pair even the first `n - ceil(2 t n / (1 + t)) + 1`. The pairs of those lists that are still in different
-components are compared, if as many values as similarity t asks for can follow the value they meet at. Each pair is first
-judged by the union's sketch (unshared values over the limit: not alike), then by both whole sets. So a group of n copies
-or near copies costs n comparisons a list. Documents that share a frequent passage meet only if it makes up nearly all of
-them.
+set of a pair even the first `n - ceil(2 t n / (1 + t)) + 1`. There nodes are compared with a few more of the list, and
+then the pairs that are still in different components, if as many values as t asks for can follow the value they meet at,
+and if few of 256 parities of the two sets differ. Each pair is first judged by the union's sketch (unshared values over
+the limit: not alike), then by both whole sets. So a group of n copies or near copies costs n comparisons a list. Documents
+that share a frequent passage meet only if it makes up nearly all of them.
 
 Defined cases: only A-Z are lower-cased; null, empty and blank texts have no shingles and are linked with nothing; a text of
 fewer words than a shingle is one shingle; a null doc_id stays a row, is linked, and is a component's id only where all its
@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,7 @@ LEAST = (85, 100)
 SHORT = 64
 #: Bytes of a text that are split into words at once.
 PIECE = 1 << 20
+PARITIES = ("odd0", "odd1", "odd2", "odd3")
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = (1 << 63) - 1
@@ -155,17 +156,17 @@ def _by_simhash(nodes: DataFrame) -> DataFrame:
     return equal.unionByName(other.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")))
 
 
-def _lists(nodes: DataFrame, wanted: Column, label: str) -> DataFrame:
-    """Inverted lists (v, node, n, at, size, m): of each node (node, n, sketch) its `wanted` rarest values.
+def _lists(nodes: DataFrame, wanted: Column, label: str, carried: list[str] = []) -> DataFrame:  # noqa: B006
+    """Inverted lists (v, node, n, at, size, m) of nodes (node, n, sketch): of each its `wanted` rarest values.
 
-    `at` is the value's place among the node's, from 1; m is the list's smallest node.
+    `at` is the value's place among the node's, from 1; m is the list's smallest node; `carried` columns of nodes come along.
     """
-    posted = nodes.select("node", "n", F.size("sketch").alias("k"), wanted.alias("wanted"), F.explode("sketch").alias("v"))
+    posted = nodes.select("node", "n", *carried, F.size("sketch").alias("k"), wanted.alias("wanted"), F.explode("sketch").alias("v"))
     often = staged(posted.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), f"{label}-often")
-    per_node = posted.hint("merge").join(often, "v").groupBy("node", "n", "k", "wanted").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("a"))
+    per_node = posted.hint("merge").join(often, "v").groupBy("node", "n", *carried, "k", "wanted").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("a"))
     left = F.col("wanted") - (F.col("k") - F.size("a"))  # values that one node alone holds are the rarest
-    kept = per_node.filter(left > 0).select("node", "n", "k", F.size("a").alias("s"), F.posexplode(F.slice("a", F.lit(1), left)).alias("i", "x"))
-    chosen = staged(kept.select("x.v", "node", "n", (F.col("k") - F.col("s") + F.col("i") + 1).alias("at")), f"{label}-chosen")
+    kept = per_node.filter(left > 0).select("node", "n", *carried, "k", F.size("a").alias("s"), F.posexplode(F.slice("a", F.lit(1), left)).alias("i", "x"))
+    chosen = staged(kept.select("x.v", "node", "n", *carried, (F.col("k") - F.col("s") + F.col("i") + 1).alias("at")), f"{label}-chosen")
     sizes = staged(chosen.groupBy("v").agg(F.count("*").alias("size"), F.min("node").alias("m")).filter("size > 1"), f"{label}-sizes")
     lists = staged(chosen.hint("merge").join(sizes, "v"), f"{label}-lists")
     released(often, chosen, sizes)
@@ -210,13 +211,23 @@ def _stars(lists: DataFrame) -> DataFrame:
     return lists.filter("node <> m").select(F.col("m").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(node, root) of linked nodes: the smallest node within two links. Equal roots show that nodes are in one component."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "bottomk-labels")
-    own = near.select(F.col("a").alias("node"), F.col("m").alias("root"))
-    nearest = both.hint("merge").join(near.select(F.col("a").alias("b"), "m"), "b").select(F.col("a").alias("node"), F.col("m").alias("root"))
-    return staged(own.unionByName(nearest).groupBy("node").agg(F.min("root").alias("root")), "bottomk-labels")
+def _more_stars(lists: DataFrame, centres: int = 4) -> DataFrame:
+    """Pairs of each list's nodes with some of them, drawn by hashes: nodes that the smallest one misses may meet at another."""
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node"))["node"] for i in range(centres)]
+    centre = staged(lists.groupBy("v").agg(F.array_distinct(F.array(*drawn)).alias("c")), "bottomk-centres")
+    met = lists.select("v", "node").hint("merge").join(centre, "v").select("node", F.explode("c").alias("c")).filter("node <> c")
+    return met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+
+
+def _labels(links: DataFrame, hops: int = 4) -> DataFrame:
+    """(node, root) of linked nodes: the smallest node within `hops` links. Equal roots show that nodes are in one component."""
+    both = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "bottomk-both")
+    near = both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node")
+    for _ in range(hops - 1):
+        near = staged(near, "bottomk-labels")
+        reached = both.hint("merge").join(near.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
+        near = near.unionByName(reached).groupBy("node").agg(F.min("root").alias("root"))
+    return staged(near, "bottomk-labels")
 
 
 def _apart(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -236,31 +247,41 @@ def _pairs(apart: DataFrame, least: tuple[int, int]) -> DataFrame:
 
 
 def _following(apart: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Pairs of one list of whole sets and different components that can be alike if they first meet at this value."""
+    """Pairs of one list of whole sets and different components that can be alike if they first meet at this value.
+
+    Sets differ in at least as many values as their parities differ in bits.
+    """
     num, den = least
     index = F.col("n") - F.ceil(2 * num * F.col("n") / (num + den)) + 1
     sides = {"i": apart.filter(F.col("at") <= index), "p": apart}
-    own = {c: d.select("v", *[F.col(f).alias(f"{f}_{c}") for f in ("node", "root", "n", "at")]) for c, d in sides.items()}
-    few = {c: d.filter("root <> main").select("v", *[F.col(f).alias(f"{f}_{c}") for f in ("node", "root", "n", "at")]) for c, d in sides.items()}
+    columns = ("node", "root", "n", "at", *PARITIES)
+    own = {c: d.select("v", *[F.col(f).alias(f"{f}_{c}") for f in columns]) for c, d in sides.items()}
+    few = {c: d.filter("root <> main").select("v", *[F.col(f).alias(f"{f}_{c}") for f in columns]) for c, d in sides.items()}
     smaller = (F.col("n_i") < F.col("n_p")) | ((F.col("n_i") == F.col("n_p")) & (F.col("node_i") < F.col("node_p")))
     room = F.least(F.col("n_i") - F.col("at_i"), F.col("n_p") - F.col("at_p")) + 1
-    fits = smaller & _sizes_fit("n_i", "n_p", least) & (room * (num + den) >= num * (F.col("n_i") + F.col("n_p")))
+    odd = reduce(Column.__add__, [F.bit_count(F.col(f"{x}_i").bitwiseXOR(F.col(f"{x}_p"))) for x in PARITIES])
+    both_sizes = F.col("n_i") + F.col("n_p")
+    fits = smaller & _sizes_fit("n_i", "n_p", least) & (room * (num + den) >= num * both_sizes) & (odd * (num + den) <= (den - num) * both_sizes)
     both = few["i"].hint("merge").join(own["p"], "v").unionByName(few["p"].hint("merge").join(own["i"], "v"))
     met = both.filter("root_i <> root_p").filter(fits)
     return met.select(F.least("node_i", "node_p").alias("a"), F.greatest("node_i", "node_p").alias("b")).distinct()
 
 
 def _whole_sketches(texts: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, n, sketch) of texts (node, t), the sketch the whole set."""
+    """(node, n, sketch, parities) of texts (node, t), the sketch the whole set.
+
+    The parities are 256 bits: whether an odd number of values ends in each of 256 ways.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):  # one text's set at a time
                 v = values(b.column(1)[i].as_py(), shingle_words)
-                arrays = [b.column(0).slice(i, 1), pa.array([len(v)], pa.int64()), pa.array([v], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["node", "n", "sketch"])
+                odd = np.packbits(np.bincount(v & 255, minlength=256) & 1).view(np.int64)
+                arrays = [b.column(0).slice(i, 1), pa.array([len(v)], pa.int64()), pa.array([v], pa.list_(pa.int64())), *(pa.array([x], pa.int64()) for x in odd)]
+                yield pa.RecordBatch.from_arrays(arrays, ["node", "n", "sketch", *PARITIES])
 
-    return texts.select("node", "t").mapInArrow(run, "node long, n long, sketch array<long>")
+    return texts.select("node", "t").mapInArrow(run, "node long, n long, sketch array<long>, " + ", ".join(f"{x} long" for x in PARITIES))
 
 
 def _linked(
@@ -291,8 +312,8 @@ def _linked(
         links = links.unionByName(_confirmed(more, nodes, texts, shingle_words, k, least))
     else:
         whole = staged(_whole_sketches(texts.hint("merge").join(crowded, "node", "left_semi"), shingle_words), "bottomk-whole")
-        finer = _lists(whole, exact, "bottomk-finer")
-        links = links.unionByName(_confirmed(more.unionByName(_stars(finer)).distinct(), nodes, texts, shingle_words, k, least))
+        finer = _lists(whole, exact, "bottomk-finer", [*PARITIES])
+        links = links.unionByName(_confirmed(more.unionByName(_stars(finer)).unionByName(_more_stars(finer)).distinct(), nodes, texts, shingle_words, k, least))
         rest = _following(_apart(finer, _labels(links)), least)
         links = links.unionByName(_confirmed(rest, nodes, texts, shingle_words, k, least))
     return nodes, components(links, "bottomk-components")
