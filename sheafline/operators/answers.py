@@ -1,7 +1,7 @@
 """Answer keys, page classes, fonts, sizes and other facts of a document."""
 
 from ..functions import fixed as fx
-from ..relations import SHARED, relation
+from ..relations import SETTINGS, SHARED, relation
 
 SHARED |= {"key_text_pairs", "solution_lines", "words"}
 
@@ -61,27 +61,50 @@ SELECT doc_id, page, class, avg(CASE WHEN class = 'ocr' THEN 0.0 ELSE 1.0 END) O
 relation("d_font_audit", "Each font of a document once, with whether it is embedded and a subset.", """
 SELECT doc_id, xref, basefont, min(page) AS first_page, bool_or(ext <> 'n/a') AS embedded, contains(basefont, '+') AS subset FROM {fonts} GROUP BY doc_id, xref, basefont""")
 
-relation("d_preflight", "Checks of each document and their verdict, the worst of them.", """
-WITH c AS (
-  SELECT doc_id, 'page_size' AS chk, CASE WHEN count(DISTINCT concat(CAST(width AS STRING), 'x', CAST(height AS STRING))) > 1 THEN 1 ELSE 0 END AS severity FROM {page_geom} GROUP BY doc_id
-  UNION ALL SELECT doc_id, 'fonts', CASE WHEN bool_or(NOT embedded) THEN 2 ELSE 0 END FROM {d_font_audit} GROUP BY doc_id
-  UNION ALL SELECT doc_id, 'images', CASE WHEN min(dpi) < 72 THEN 2 WHEN min(dpi) < 150 THEN 1 ELSE 0 END FROM {b_image_dpi} GROUP BY doc_id
-  UNION ALL SELECT doc_id, 'text', CASE WHEN bool_or(NOT searchable) THEN 1 ELSE 0 END FROM {d_page_class} GROUP BY doc_id)
-SELECT doc_id, chk, severity, CASE max(severity) OVER (PARTITION BY doc_id) WHEN 0 THEN 'pass' WHEN 1 THEN 'warn' ELSE 'fail' END AS verdict FROM c""")
-
-relation("d_target_size", "The size most of a document's pages have; of equals the larger.", """
-SELECT doc_id, w, h FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w * h DESC, w) AS rn FROM (
-  SELECT doc_id, BROUND(width, 0) AS w, BROUND(height, 0) AS h, count(*) AS n FROM {page_geom} GROUP BY doc_id, BROUND(width, 0), BROUND(height, 0)) x) y WHERE rn = 1""")
-
-relation("d_normalize_plan", "How each page is placed on the target size: left as it is within a point, else scaled to fit and centred.", """
-SELECT doc_id, page, changed, CASE WHEN changed THEN k ELSE 1.0 END AS scale, CASE WHEN changed THEN (w - width * k) / 2 ELSE 0.0 END AS dx, CASE WHEN changed THEN (h - height * k) / 2 ELSE 0.0 END AS dy FROM (
-  SELECT g.doc_id, g.page, g.width, g.height, t.w, t.h, abs(g.width - t.w) > 1 OR abs(g.height - t.h) > 1 AS changed, least(t.w / g.width, t.h / g.height) AS k FROM {page_geom} g JOIN {d_target_size} t ON g.doc_id = t.doc_id) x""")
-
-relation("variants", "Sizes of each file by strength of compression.", """
-SELECT batch, idx, bytes AS original_bytes, level, CAST(floor(bytes * (1.1 - 0.2 * level)) AS BIGINT) AS size FROM {files} CROSS JOIN (SELECT 0 AS level UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) x""")
+# Resolutions of print, characters of a text layer, its first pages, and sizes in points (portrait).
+SETTINGS |= {"critical_dpi": 72, "low_dpi": 150, "text_layer": 50, "text_pages": 5, "target": "auto", "fill": "fit", "size_play": 1.0, "target_bytes": 20000}
+SIZES = {"a3": (841.89, 1190.55), "a4": (595.28, 841.89), "a5": (419.53, 595.28), "letter": (612.0, 792.0), "legal": (612.0, 1008.0), "square": (612.0, 612.0), "pptx": (960.0, 540.0)}
+TURNED = ("a3", "a4", "a5", "letter", "legal")
+
+relation("d_preflight", "Six checks of each document (encryption, fonts, resolution, colours, page sizes, text layer) as ok, info, warn or fail, and their verdict, the worst of them.", """
+WITH docs AS (SELECT doc_id, count(DISTINCT concat(CAST(BROUND(width, 0) AS STRING), 'x', CAST(BROUND(height, 0) AS STRING))) AS sizes FROM {page_geom} GROUP BY doc_id),
+f AS (SELECT doc_id, count_if(NOT embedded) AS missing FROM {d_font_audit} GROUP BY doc_id),
+i AS (SELECT doc_id, count_if(dpi > 0 AND dpi < $(critical_dpi)) AS critical, count_if(dpi >= $(critical_dpi) AND dpi < $(low_dpi)) AS low FROM {b_image_dpi} GROUP BY doc_id),
+k AS (SELECT doc_id, count_if(contains(lower(colorspace), 'rgb')) AS rgb FROM {page_images} GROUP BY doc_id),
+t AS (SELECT doc_id, sum(length(trim(text))) AS chars FROM {lines} WHERE page <= $(text_pages) GROUP BY doc_id),
+c AS (
+  SELECT d.doc_id, 'encryption' AS chk, CASE WHEN e.doc_id IS NOT NULL THEN 'fail' ELSE 'ok' END AS status FROM docs d LEFT JOIN (SELECT DISTINCT doc_id FROM {encrypted_documents}) e ON d.doc_id = e.doc_id
+  UNION ALL SELECT d.doc_id, 'fonts_embedded', CASE WHEN f.doc_id IS NULL THEN 'info' WHEN f.missing > 0 THEN 'fail' ELSE 'ok' END FROM docs d LEFT JOIN f ON d.doc_id = f.doc_id
+  UNION ALL SELECT d.doc_id, 'image_dpi', CASE WHEN i.doc_id IS NULL THEN 'info' WHEN i.critical > 0 THEN 'fail' WHEN i.low > 0 THEN 'warn' ELSE 'ok' END FROM docs d LEFT JOIN i ON d.doc_id = i.doc_id
+  UNION ALL SELECT d.doc_id, 'colorspace', CASE WHEN coalesce(k.rgb, 0) > 0 THEN 'warn' ELSE 'ok' END FROM docs d LEFT JOIN k ON d.doc_id = k.doc_id
+  UNION ALL SELECT doc_id, 'page_sizes', CASE WHEN sizes > 1 THEN 'warn' ELSE 'ok' END FROM docs
+  UNION ALL SELECT d.doc_id, 'text_layer', CASE WHEN coalesce(t.chars, 0) > $(text_layer) THEN 'ok' ELSE 'info' END FROM docs d LEFT JOIN t ON d.doc_id = t.doc_id
+)
+SELECT doc_id, chk, status, CASE max(CASE status WHEN 'fail' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) WHEN 0 THEN 'pass' WHEN 1 THEN 'warn' ELSE 'fail' END AS verdict FROM c""")
+
+_CUSTOM = [f"TRY_CAST(regexp_extract(lower(trim($(target))), r'^custom:\\s*([0-9.]+)\\s*x\\s*([0-9.]+)\\s*$', {i}) AS DOUBLE) * 72.0 / 25.4" for i in (1, 2)]
+_NAMES = " UNION ALL ".join(f"SELECT '{n}' AS name, {w} AS w, {h} AS h, {str(n in TURNED).lower()} AS turned" for n, (w, h) in SIZES.items())
+relation("named_sizes", "Named sizes in points, and whether they are turned to a document's usual orientation.", f"SELECT name, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h, turned FROM ({_NAMES}) x")
+relation("d_target_size", "The size a document's pages are to have. auto: the one most pages have, of equals the larger, as its first page has it; max: the largest page's; a name: that size, turned if over half of the pages are landscape; custom:WxH in millimetres. What is none of these counts as auto.", f"""
+WITH pages AS (SELECT *, BROUND(width, 0) AS rw, BROUND(height, 0) AS rh FROM {{page_geom}}),
+most AS (SELECT doc_id, rw, rh FROM (SELECT doc_id, rw, rh, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, rw * rh DESC, min(page)) AS rn FROM pages GROUP BY doc_id, rw, rh) x WHERE rn = 1),
+usual AS (SELECT doc_id, width AS w, height AS h FROM (SELECT p.doc_id, p.width, p.height, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.page) AS rn FROM pages p JOIN most m ON p.doc_id = m.doc_id AND p.rw = m.rw AND p.rh = m.rh) x WHERE rn = 1),
+largest AS (SELECT doc_id, width AS w, height AS h, row_number() OVER (PARTITION BY doc_id ORDER BY width * height DESC, page) AS rn FROM pages),
+votes AS (SELECT doc_id, count_if(width > height) > count(*) / 2.0 AS landscape FROM pages GROUP BY doc_id),
+custom AS (SELECT {_CUSTOM[0]} AS w, {_CUSTOM[1]} AS h)
+SELECT u.doc_id, CASE WHEN lower(trim($(target))) = 'max' THEN l.w WHEN n.name IS NOT NULL THEN CASE WHEN n.turned AND v.landscape THEN n.h ELSE n.w END WHEN c.w > 0 AND c.h > 0 THEN c.w ELSE u.w END AS w,
+  CASE WHEN lower(trim($(target))) = 'max' THEN l.h WHEN n.name IS NOT NULL THEN CASE WHEN n.turned AND v.landscape THEN n.w ELSE n.h END WHEN c.w > 0 AND c.h > 0 THEN c.h ELSE u.h END AS h
+FROM usual u JOIN largest l ON u.doc_id = l.doc_id AND l.rn = 1 JOIN votes v ON u.doc_id = v.doc_id LEFT JOIN {{named_sizes}} n ON n.name = lower(trim($(target))) LEFT JOIN custom c ON u.doc_id IS NOT NULL""")
+
+relation("d_normalize_plan", "How each page is placed on the target size: left as it is if it is excluded or within a point; else scaled to fit and centred, or stretched to fill.", """
+SELECT doc_id, page, changed, CASE WHEN changed THEN kx ELSE 1.0 END AS scale_x, CASE WHEN changed THEN ky ELSE 1.0 END AS scale_y, CASE WHEN changed THEN (w - width * kx) / 2 ELSE 0.0 END AS dx, CASE WHEN changed THEN (h - height * ky) / 2 ELSE 0.0 END AS dy FROM (
+  SELECT *, CASE WHEN $(fill) = 'stretch' THEN w / width ELSE least(w / width, h / height) END AS kx, CASE WHEN $(fill) = 'stretch' THEN h / height ELSE least(w / width, h / height) END AS ky FROM (
+    SELECT g.doc_id, g.page, g.width, g.height, t.w, t.h, (abs(g.width - t.w) > $(size_play) OR abs(g.height - t.h) > $(size_play)) AND s.page IS NULL AS changed FROM {page_geom} g JOIN {d_target_size} t ON g.doc_id = t.doc_id
+    LEFT JOIN (SELECT DISTINCT doc_id, page FROM {kept_pages}) s ON g.doc_id = s.doc_id AND g.page = s.page) x) y""")
+
 relation("d_pick_variant", "The gentlest variant of a file that fits a target, else the smallest, never over the original.", """
 SELECT batch, idx, CASE WHEN size >= original_bytes THEN -1 ELSE level END AS level, least(size, original_bytes) AS size, 1 - least(size, original_bytes) / CAST(original_bytes AS DOUBLE) AS saved FROM (
-  SELECT *, row_number() OVER (PARTITION BY batch, idx ORDER BY CASE WHEN size <= 20000 THEN level ELSE 100 END, size, level) AS rn FROM {variants}) x WHERE rn = 1""")
+  SELECT *, row_number() OVER (PARTITION BY batch, idx ORDER BY CASE WHEN size <= $(target_bytes) THEN level ELSE 100 END, size, level) AS rn FROM {variants}) x WHERE rn = 1""")
 
 relation("d_key_diagnosis", "Why a document has a key or not.", """
 SELECT p.doc_id, coalesce(t.chars, 0) > 100 AS has_text, coalesce(k.n, 0) AS n, CASE WHEN coalesce(k.n, 0) > 0 THEN 'found' WHEN coalesce(t.chars, 0) <= 100 THEN 'no text layer' ELSE 'no key' END AS verdict

@@ -68,19 +68,6 @@ SELECT doc_id, is_solution, {", ".join(f"r.{c}" for c in _ITEM)} FROM (SELECT do
   ELSE list_concat(kept, r) END)) AS r
 FROM (SELECT doc_id, is_solution, {_rows(_ITEM, 1)} AS b FROM {{segments}} WHERE seg = 0 GROUP BY doc_id, is_solution) x) y""")
 
-_MISSING = """
-WITH p AS (SELECT doc_id, is_solution, COLLECT_SET(CAST(q_num AS INT)) AS present, min(CAST(q_num AS INT)) AS lo, max(CAST(q_num AS INT)) AS hi FROM {{items}} GROUP BY doc_id, is_solution),
-c AS (SELECT doc_id, is_solution, COLLECT_SET(CAST(num AS INT)) AS candidates FROM {{chain_candidates}} GROUP BY doc_id, is_solution),
-m AS (SELECT p.doc_id, p.is_solution, p.present, c.candidates, {missing} AS missing FROM p JOIN c ON p.doc_id = c.doc_id AND p.is_solution = c.is_solution WHERE SIZE(p.present) >= 3)"""
-relation("e_recover_chain", "Missing numbers that a candidate line can fill, where a neighbour is present or was itself recovered.", "",
-    spark=_MISSING.format(missing="array_except(sequence(lo, hi), present)") + """
-SELECT doc_id, is_solution, explode(array_except(aggregate(array_sort(missing), present, (kept, n) -> CASE WHEN array_contains(candidates, n) AND (array_contains(kept, n - 1) OR array_contains(kept, n + 1)) THEN array_append(kept, n) ELSE kept END), present)) AS num
-FROM m""",
-    other=_MISSING.format(missing="list_filter(list_transform(generate_series(lo, hi), lambda n: CAST(n AS INT)), lambda n: NOT list_contains(present, n))") + """
-SELECT doc_id, is_solution, unnest(list_filter(list_reduce(list_concat([present], list_transform(missing, lambda n: [n])), lambda kept, n:
-  CASE WHEN list_contains(candidates, n[1]) AND (list_contains(kept, n[1] - 1) OR list_contains(kept, n[1] + 1)) THEN list_concat(kept, n) ELSE kept END), lambda n: NOT list_contains(present, n))) AS num
-FROM m""")
-
 _WORD = {c: c for c in ("y0", "x0", "y1", "seq", "pos")}
 relation("d_baseline_lines", "Lines of a page from words: a word joins the line whose middle it is within 45 per cent of its height of, and widens it.", "",
     spark=f"""

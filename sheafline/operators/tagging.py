@@ -5,7 +5,7 @@ from ..functions import markers
 from ..relations import SETTINGS, SHARED, built, relation
 
 SHARED |= {"page_parts"}
-SETTINGS |= {"probe": r"^(\d+)[.] (\w+)", "term": "s1", "question_prefix": "Q", "solution_prefix": "S", "first_number": 5, "number_digits": 3, "name_pattern": "(name)_(width)x(sizekb)-#", "name_start": 11, "name_digits": 4}
+SETTINGS |= {"probe": r"^(\d+)[.] (\w+)", "term": "s1", "question_prefix": "Q", "solution_prefix": "S", "first_number": 5, "number_digits": 3, "name_pattern": "(Name)_(width)x(HEIGHT)-(sizekb)-(size)-(date).(ext)-(n)", "name_date": "2024-01-31", "name_start": 11, "name_digits": 4}
 
 #: The key under which repeated lines agree.
 EXACT_KEY = "regexp_replace(lower(text), '[^a-z0-9]', ''/*G*/)"
@@ -101,15 +101,23 @@ SELECT doc_id, page, image_id, BROUND(least(w_px / (w_pt / 72), h_px / (h_pt / 7
 relation("b_output_name", "File name of each item's picture.", """
 SELECT doc_id, item, concat(CASE WHEN is_solution THEN $(solution_prefix) ELSE $(question_prefix) END, lpad(CAST(greatest(0, CAST(q_num AS INT) + $(first_number) - 1) AS STRING), $(number_digits), '0'), '.png') AS name FROM {items}""")
 
-relation("b_expand_name_tokens", "New stems from a pattern: each # is the padded number, which is put at the end where there is none; tokens filled in; unsafe characters replaced.", r"""
+#: Tokens of a name pattern, in the order they are filled in, with what stands for them.
+_TOKENS = {
+    "fullname": "original", "name": "stem", "ext": "ext", "width": "coalesce(CAST(width AS STRING), '')", "height": "coalesce(CAST(height AS STRING), '')", "date": "$(name_date)", "moddate": "$(name_date)", "size": "human",
+    "sizekb": "CAST(greatest(1, CAST(floor(bytes / 1024.0 + 0.5) AS BIGINT)) AS STRING)", "sizeb": "CAST(bytes AS STRING)",
+}
+_FILLED = "replace(regexp_replace(pattern, r'(?i)\\(n\\)', '#'/*G*/), '#', number)"
+for _name, _value in _TOKENS.items():
+    _FILLED = f"replace(regexp_replace({_FILLED}, r'(?i)\\({_name}\\)', '\x01'/*G*/), '\x01', {_value})"
+relation("b_expand_name_tokens", "New stems from a pattern: # and (n) are the padded number, which is put at the end where the pattern has no token at all; the file's name, extension, sizes and the date filled in, in any case; unsafe characters replaced.", rf"""
 SELECT idx, CASE WHEN trim(made) = '' THEN number ELSE trim(made) END AS stem, ext FROM (
-  SELECT idx, number, ext, regexp_replace(replace(replace(replace(CASE WHEN contains(pattern, '#') THEN replace(pattern, '#', number) ELSE concat(pattern, number) END,
-    '(name)', stem), '(width)', CAST(width AS STRING)), '(sizekb)', CAST(CAST(floor(bytes / 1024.0) AS BIGINT) AS STRING)), r'[\\/:*?"<>|]+', '_'/*G*/) AS made FROM (
-    SELECT idx, width, bytes, CASE WHEN LIKE_RE(original, r'[^.].*\.') THEN regexp_replace(original, r'\.[^.]*$', '') ELSE original END AS stem,
+  SELECT idx, number, ext, regexp_replace(concat({_FILLED}, CASE WHEN LIKE_RE(pattern, r'(?i)#|\([a-z]+\)') THEN '' ELSE number END), r'[\\/:*?"<>|]+', '_'/*G*/) AS made FROM (
+    SELECT idx, width, height, bytes, original, CASE WHEN LIKE_RE(original, r'[^.].*\.') THEN regexp_replace(original, r'\.[^.]*$', '') ELSE original END AS stem,
       CASE WHEN LIKE_RE(original, r'[^.].*\.') THEN lower(regexp_extract(original, r'\.([^.]*)$', 1)) ELSE '' END AS ext,
+      CASE WHEN bytes < 1024 THEN concat(CAST(bytes AS STRING), 'B') WHEN bytes < 1048576 THEN concat(CAST(CAST(floor(bytes / 102.4 + 0.5) / 10 AS DECIMAL(18, 1)) AS STRING), 'KB') ELSE concat(CAST(CAST(floor(bytes / 104857.6 + 0.5) / 10 AS DECIMAL(18, 1)) AS STRING), 'MB') END AS human,
       CASE WHEN trim($(name_pattern)) = '' THEN '#' ELSE trim($(name_pattern)) END AS pattern,
       CASE WHEN length(n) < $(name_digits) THEN lpad(n, $(name_digits), '0') ELSE n END AS number
-    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY batch ORDER BY idx) - 1 + $(name_start) AS STRING) AS n FROM {files}) f) g) h""")
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY batch ORDER BY idx) - 1 + $(name_start) AS STRING) AS n FROM {{files}}) f) g) h""")
 
 # Gates of figures as shares of the page: pictures by area, drawings and tables by size, and margins.
 SETTINGS |= {

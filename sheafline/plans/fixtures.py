@@ -136,7 +136,7 @@ SELECT CAST(floor(p_partkey/10.0) AS BIGINT) AS doc_id, CAST(p_partkey%10 AS INT
 
 relation("page_images", "Images placed on pages, in pixels and points.", """
 SELECT CAST(floor(p_partkey/10.0) AS BIGINT) AS doc_id, CAST(p_partkey%10 AS INT)+1 AS page, p_partkey AS image_id,
-  p_size*20 AS w_px, p_size*24 AS h_px, CAST(60 + p_size*8 AS DOUBLE) AS w_pt, CAST(72 + p_size*8 AS DOUBLE) AS h_pt FROM {part} WHERE p_partkey%3<>0""")
+  p_size*20 AS w_px, p_size*24 AS h_px, CAST(60 + p_size*8 AS DOUBLE) AS w_pt, CAST(72 + p_size*8 AS DOUBLE) AS h_pt, CASE WHEN p_partkey%40=1 THEN 'DeviceRGB' ELSE 'DeviceGray' END AS colorspace FROM {part} WHERE p_partkey%3<>0""")
 
 relation("model_json", "Raw answers of a page model: wrapped, bare, single, fenced and broken.", """
 SELECT doc_id, box_id AS answer_id, page AS first_page, page + 3 AS last_page,
@@ -156,6 +156,9 @@ relation("tensor_rows", "Detector output: centre, size, objectness and two class
 SELECT doc_id, page, box_id, (x0 + x1) * 2 AS cx, (y0 + y1) * 4 + 32 AS cy, (x1 - x0) * 4 AS w, (y1 - y0) * 8 AS h, score AS obj,
   CASE WHEN label = 'question' THEN 0.75 ELSE 0.25 END AS c0, CASE WHEN label = 'solution' THEN 0.75 ELSE 0.125 END AS c1 FROM {boxes}""")
 
+relation("variants", "Sizes of each file by strength of compression.", """
+SELECT batch, idx, bytes AS original_bytes, level, CAST(floor(bytes * (1.1 - 0.2 * level)) AS BIGINT) AS size FROM {files} CROSS JOIN (SELECT 0 AS level UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) x""")
+
 # Inputs of single operators: what a user selects, other sources and tiers. A caller passes its own.
 _INPUTS = {
     "solution_lines": ("Worked solutions, each with its answer on its last line.", """
@@ -165,7 +168,6 @@ FROM {key_pairs} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2
     "other_segments": ("Segments in a second language of items that hold both.", "SELECT doc_id, item, seg, page, y0, y1, x0 + 4 AS x0, x1 + 4 AS x1 FROM {segments} WHERE item % 4 = 3"),
     "model_key": ("A key as a model read it.", "SELECT doc_id, num, letter FROM {key_pairs} WHERE num <= 999"),
     "document_keys": ("Keys found, in three of four documents.", "SELECT doc_id, num, letter FROM {key_pairs} WHERE doc_id % 4 <> 1"),
-    "chain_candidates": ("Numbers that some line could be.", "SELECT DISTINCT doc_id, is_solution, CAST(q_num AS INT) + 1 AS num FROM {items} WHERE item % 3 = 0"),
     "selected_items": ("Items a user has selected.", "SELECT doc_id, item FROM {items} WHERE item % 4 = 1"),
     "points": ("Points a user has clicked.", "SELECT DISTINCT doc_id, page, x0 + 4 AS px, y0 + 3 AS py FROM {segments} WHERE item % 7 = 0"),
     "page_scope": ("Pages in scope, and whether they hold answers.", "SELECT DISTINCT doc_id, page, page % 2 = 0 AS answers FROM {segments} WHERE page <= 4"),
@@ -182,6 +184,8 @@ FROM (SELECT DISTINCT doc_id, page FROM {segments}) p"""),
     "tier_ocr": ("Segments by OCR.", "SELECT * FROM {segments} WHERE item % 2 = 0 AND (doc_id % 4 > 0 OR item % 40 = 0)"),
     "tier_local": ("Segments by a local model.", "SELECT * FROM {segments} WHERE item % 5 = 0 AND doc_id % 5 = 0"),
     "tier_model": ("Segments by a page model.", "SELECT * FROM {segments} WHERE doc_id % 6 < 5"),
+    "encrypted_documents": ("Documents that need a password.", "SELECT DISTINCT doc_id FROM {page_geom} WHERE doc_id % 9 = 4"),
+    "kept_pages": ("Pages a user leaves at their size.", "SELECT doc_id, page FROM {page_geom} WHERE page % 4 = 0"),
     "queue": ("Files in a queue with their status.", """
 SELECT batch, original, CASE WHEN idx%4=0 THEN 'pending' WHEN idx%4=1 THEN 'processing' WHEN idx%4=2 THEN 'done' ELSE 'error' END AS status FROM {files}"""),
     "named_files": ("Names given to files.", "SELECT batch, idx, concat('item', CAST(width % 70 AS STRING)) AS name FROM {files}"),

@@ -82,13 +82,19 @@ def _spelled(text: str, i: int) -> str:
 
 def relation(name: str, doc: str, sql: str, spark: str | None = None, other: str | None = None, exact: bool = True) -> None:
     """Register an operator. `spark` and `other` replace `sql` for one engine; exact=False: no other engine can run it."""
-    RELATIONS[name] = Relation(name, doc, _spelled(spark or sql, 0), _spelled(other or sql, 1) if exact else None)
+    _register(Relation(name, doc, _spelled(spark or sql, 0), _spelled(other or sql, 1) if exact else None))
+
+
+def _register(r: Relation) -> None:
+    if r.name in RELATIONS:
+        raise ValueError(f"two relations are called {r.name}")
+    RELATIONS[r.name] = r
 
 
 def built(name: str, doc: str, inputs: list[str], build: Callable[..., DataFrame], other: str | None = None) -> None:
     """Register an operator written with DataFrame functions, which takes its inputs in order."""
     text = " ".join(f"{{{x}}}" for x in inputs)
-    RELATIONS[name] = Relation(name, doc, text, _spelled(other, 1) if other else None, build)
+    _register(Relation(name, doc, text, _spelled(other, 1) if other else None, build))
 
 
 def _run(spark: SparkSession, text: str, args: dict[str, DataFrame]) -> DataFrame:

@@ -216,14 +216,14 @@ def compacted(log: DataFrame, path: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (i_upload_sessions, i_job_expiry, i_page_upsert, i_edit_log)}
 ORACLES = {
     "i_upload_sessions": f"""
-WITH RECURSIVE o AS (SELECT user_id AS session, event_id AS file, value AS bytes, epoch_us(ts) - lag(epoch_us(ts)) OVER w > {DAY} * 1000000 AS anew, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+WITH RECURSIVE o AS (SELECT user_id AS session, event_id AS file, value AS bytes, epoch_us(ts) - lag(epoch_us(ts)) OVER w > {DAY * 1_000_000} AS anew, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT session, rn, file, CASE WHEN bytes <= {CEILING} THEN 1 ELSE 0 END AS index, CASE WHEN bytes <= {CEILING} THEN bytes ELSE 0.0 END AS total, bytes <= {CEILING} AS accepted FROM o WHERE rn = 1
   UNION ALL SELECT session, rn, file, CASE WHEN total + bytes <= {CEILING} THEN index + 1 ELSE index END, CASE WHEN total + bytes <= {CEILING} THEN total + bytes ELSE total END, total + bytes <= {CEILING}
   FROM (SELECT o.session, o.rn, o.file, o.bytes, CASE WHEN o.anew THEN 0 ELSE s.index END AS index, CASE WHEN o.anew THEN 0.0 ELSE s.total END AS total FROM s JOIN o ON o.session = s.session AND o.rn = s.rn + 1) x)
 SELECT session, file, CAST(index AS BIGINT) AS index, CAST(total AS DOUBLE) AS total, accepted FROM s""",
     "i_edit_log": f"""
 WITH RECURSIVE e AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _EDIT.items())} FROM events),
-o AS (SELECT *, struct_pack(page := page, x0 := x0, y0 := y0, x1 := x1, y1 := y1) AS box, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > {DAY} * 1000000, false) AS anew, row_number() OVER w AS rn FROM e WINDOW w AS (PARTITION BY doc_id, is_solution ORDER BY ts, edit)),
+o AS (SELECT *, struct_pack(page := page, x0 := x0, y0 := y0, x1 := x1, y1 := y1) AS box, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > {DAY * 1_000_000}, false) AS anew, row_number() OVER w AS rn FROM e WINDOW w AS (PARTITION BY doc_id, is_solution ORDER BY ts, edit)),
 s AS (
   SELECT DISTINCT doc_id, is_solution, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS edit, CAST(NULL AS BIGINT) AS item, '' AS action, CAST([] AS STRUCT(num BIGINT, boxes STRUCT(page INTEGER, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[])[]) AS items FROM o
   UNION ALL

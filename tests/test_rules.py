@@ -175,6 +175,64 @@ def test_names_from_a_pattern(spark, pattern, want):
     assert [r["stem"] for r in got] == want and [r["ext"] for r in got] == ["jpg", "", ""]
 
 
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        ("(NAME)-(n)", "Photo-5"), ("(fullname)", "Photo.JPG"), ("(name)(ext)(width)x(height)", "Photojpg30x40"), ("(date)", "2024-02-03"), ("(size) (sizekb) (sizeb)", "1.5KB 2 1536"), ("(other)", "(other)"),
+        ("plain", "plain5"), ("#(N)", "55"), ("a/b:#", "a_b_5"),
+    ],
+)
+def test_name_tokens(spark, pattern, want):
+    df = spark.createDataFrame([(1, 0, "Photo.JPG", 1536, 30, 40)], "idx long, batch long, original string, bytes long, width int, height int")
+    got = apply("b_expand_name_tokens", {"name_pattern": pattern, "name_start": 5, "name_digits": 0, "name_date": "2024-02-03"}, files=df).collect()
+    assert [(r["stem"], r["ext"]) for r in got] == [(want, "jpg")]
+
+
+GEOM = "doc_id long, page int, width double, height double"
+
+
+@pytest.mark.parametrize(
+    ("target", "want"),
+    [
+        ("auto", (842.2, 595.3)), ("max", (1000.0, 1200.0)), (" A4 ", (841.89, 595.28)), ("square", (612.0, 612.0)), ("pptx", (960.0, 540.0)), ("custom:254x127", (720.0, 360.0)), ("custom:0x5", (842.2, 595.3)), ("b7", (842.2, 595.3)),
+    ],
+)
+def test_target_sizes(spark, target, want):
+    """Three landscape pages that round to one size, the first of them counting, and a large portrait one."""
+    df = spark.createDataFrame([(1, 1, 1000.0, 1200.0), (1, 2, 842.2, 595.3), (1, 3, 841.9, 595.1), (1, 4, 842.0, 595.0)], GEOM)
+    one = apply("d_target_size", {"target": target}, page_geom=df).collect()[0]
+    assert (one["w"], one["h"]) == pytest.approx(want)
+
+
+def test_pages_are_fitted_stretched_or_left(spark):
+    geom = spark.createDataFrame([(1, 1, 100.0, 200.0), (1, 2, 50.0, 50.0), (1, 3, 100.5, 199.5), (1, 4, 50.0, 50.0), (1, 5, 100.0, 200.0)], GEOM)
+    kept = spark.createDataFrame([(1, 4)], "doc_id long, page int")
+    plan = lambda **s: {r["page"]: (r["changed"], r["scale_x"], r["scale_y"], r["dx"], r["dy"]) for r in apply("d_normalize_plan", s, page_geom=geom, kept_pages=kept).collect()}
+    same = (False, 1.0, 1.0, 0.0, 0.0)
+    assert plan() == {1: same, 2: (True, 2.0, 2.0, 0.0, 50.0), 3: same, 4: same, 5: same}
+    assert plan(fill="stretch")[2] == (True, 2.0, 4.0, 0.0, 0.0)
+
+
+def test_preflight(spark):
+    """1 is clean; 2 has every fault; 3 is a scan without fonts, images or text."""
+    tables = {
+        "page_geom": spark.createDataFrame([(1, 1, 595.0, 842.0), (1, 2, 595.2, 842.1), (2, 1, 595.0, 842.0), (2, 2, 612.0, 792.0), (3, 1, 595.0, 842.0)], GEOM),
+        "d_font_audit": spark.createDataFrame([(1, True), (2, True), (2, False)], "doc_id long, embedded boolean"),
+        "b_image_dpi": spark.createDataFrame([(1, 150.0), (2, 71.9)], "doc_id long, dpi double"),
+        "page_images": spark.createDataFrame([(1, "DeviceGray"), (2, "ICCBased(RGB,sRGB)")], "doc_id long, colorspace string"),
+        "lines": spark.createDataFrame([(1, 1, "x" * 51), (2, 1, "x" * 50), (2, 6, "x" * 50)], "doc_id long, page int, text string"),
+        "encrypted_documents": spark.createDataFrame([(2,)], "doc_id long"),
+    }
+    got = {}
+    for r in apply("d_preflight", **tables).collect():
+        got.setdefault((r["doc_id"], r["verdict"]), {})[r["chk"]] = r["status"]
+    names = ("encryption", "fonts_embedded", "image_dpi", "colorspace", "page_sizes", "text_layer")
+    want = {(1, "pass"): "ok ok ok ok ok ok", (2, "fail"): "fail fail fail warn warn info", (3, "pass"): "ok info info ok ok info"}
+    assert {k: " ".join(v[n] for n in names) for k, v in got.items()} == want
+    tables["b_image_dpi"] = spark.createDataFrame([(1, 72.0)], "doc_id long, dpi double")
+    assert {r["verdict"] for r in apply("d_preflight", **tables).collect() if r["doc_id"] == 1} == {"warn"}
+
+
 def test_selections_are_inputs(spark):
     seg = spark.createDataFrame([(1, i, 0, str(i), False, p, 10.0, 20.0, 5.0, 45.0) for i, p in ((1, 1), (2, 1), (3, 2))], "doc_id long, item long, seg int, q_num string, is_solution boolean, page int, y0 double, y1 double, x0 double, x1 double")
     scope = spark.createDataFrame([(1, 2, True)], "doc_id long, page int, answers boolean")
