@@ -64,7 +64,7 @@ relation("a_boxes_from_model_json", "Boxes of raw detector answers in per cent:
 SELECT doc_id, page, box_id, b.label, b.score, round(b.box[0] * k, 6) AS x0, round(b.box[1] * k, 6) AS y0, round(b.box[2] * k, 6) AS x1, round(b.box[3] * k, 6) AS y1 FROM (
   SELECT *, CASE WHEN array_max(b.box) <= 1.5 THEN 100 ELSE 1 END AS k FROM (SELECT doc_id, page, box_id, explode(from_json(raw, 'boxes array<struct<label:string,score:double,box:array<double>>>').boxes) AS b FROM {box_json}) x) y
 WHERE b.label IN ('question', 'solution') AND b.score >= 0.05 AND (b.box[3] - b.box[1]) * k >= 3 AND (b.box[2] - b.box[0]) * k >= 5""",
-    other="SELECT doc_id, page, box_id, label, score, x0, y0, x1, y1 FROM {boxes} WHERE box_id%9 <> 0 AND score >= 0.05")
+    other="SELECT doc_id, page, box_id, label, score, x0, y0, x1, y1 FROM {boxes} WHERE box_id%9 <> 0 AND score >= 0.05 AND y1 - y0 >= 3")
 
 relation("key_json", "Answer keys as a model gives them.", """
 SELECT doc_id, to_json(map_from_entries(collect_list(struct(concat(CASE WHEN num % 2 = 0 THEN 'Q' ELSE '' END, CAST(num AS STRING)), concat(CASE WHEN num % 5 = 0 THEN 'option ' ELSE '(' END, letter, ')'))))) AS raw FROM {key_pairs} GROUP BY doc_id""", exact=False)
