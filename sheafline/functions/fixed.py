@@ -39,6 +39,16 @@ KEY_PAIR = r"(?i)(?:^|[\s,;|])(?:Q\.?\s*)?(\d{1,3})\s*[.)\-:]?\s*\(?\s*([A-D])\s
 SOLUTION_OPENER = r"(?i)^\s*(?:(?:Q|Sol(?:ution)?|Ans(?:wer)?)\.?\s*(\d{1,3})|(\d{1,3})\s*[.)])"
 LABELLED_ANSWER = r"(?i)\b(?:ans(?:wer)?|correct\s*(?:option|answer|choice)?|sol(?:ution)?|key|option)\b\s*(?:is|:|-|=|\.|\))*\s*\(?\s*([A-D])\s*\)?(?:[^A-Za-z]|$)"
 
+# Names of classes that a detector's boxes may have.
+QUESTION_CLASSES = (
+    "q", "question", "questions", "mcq", "mcq_question", "question_box", "question_block", "questionanswerblock",
+    "question_answer_block", "question-answer-block", "question answer block",
+)
+SOLUTION_CLASSES = (
+    "s", "solution", "solutions", "answer_block", "answer-block", "answer block", "answer_solution", "explanation",
+    "solution_box", "description", "solution_block", "answer_explanation",
+)
+
 
 def quoted(values: tuple[str, ...]) -> str:
     return ", ".join(f"'{v}'" for v in values)

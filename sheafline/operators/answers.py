@@ -106,7 +106,14 @@ relation("d_pick_variant", "The gentlest variant of a file that fits a target, e
 SELECT batch, idx, CASE WHEN size >= original_bytes THEN -1 ELSE level END AS level, least(size, original_bytes) AS size, 1 - least(size, original_bytes) / CAST(original_bytes AS DOUBLE) AS saved FROM (
   SELECT *, row_number() OVER (PARTITION BY batch, idx ORDER BY CASE WHEN size <= $(target_bytes) THEN level ELSE 100 END, size, level) AS rn FROM {variants}) x WHERE rn = 1""")
 
-relation("d_key_diagnosis", "Why a document has a key or not.", """
-SELECT p.doc_id, coalesce(t.chars, 0) > 100 AS has_text, coalesce(k.n, 0) AS n, CASE WHEN coalesce(k.n, 0) > 0 THEN 'found' WHEN coalesce(t.chars, 0) <= 100 THEN 'no text layer' ELSE 'no key' END AS verdict
-FROM (SELECT DISTINCT doc_id FROM {paper_pages}) p LEFT JOIN (SELECT doc_id, sum(length(text)) AS chars FROM {lines} WHERE page <= 5 GROUP BY doc_id) t ON p.doc_id = t.doc_id
-LEFT JOIN (SELECT doc_id, count(*) AS n FROM {document_keys} GROUP BY doc_id) k ON p.doc_id = k.doc_id""")
+SETTINGS |= {"sheet_wanted": 1, "ask_model": 0, "some_text": 100}
+relation("d_key_diagnosis", "Why a document has a key or not: sheets are off; the text gave one; it is a scan, which a model reads if one may be asked; or its text has no key. A model's answers count only where it was asked and the text gave none.", """
+WITH found AS (
+  SELECT p.doc_id, coalesce(t.chars, 0) > $(some_text) AS has_text, coalesce(k.n, 0) AS n, $(ask_model) = 1 AND $(model_ready) = 1 AND coalesce(k.n, 0) = 0 AS asked, coalesce(m.n, 0) AS read
+  FROM (SELECT DISTINCT doc_id FROM {paper_pages}) p
+  LEFT JOIN (SELECT doc_id, sum(chars) AS chars FROM (SELECT doc_id, page, sum(length(trim(text))) AS chars FROM {lines} WHERE page <= $(text_pages) GROUP BY doc_id, page) x GROUP BY doc_id) t ON p.doc_id = t.doc_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM {document_keys} GROUP BY doc_id) k ON p.doc_id = k.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM {model_key} GROUP BY doc_id) m ON p.doc_id = m.doc_id
+)
+SELECT doc_id, has_text, n, asked, CASE WHEN asked THEN read ELSE 0 END AS n_model,
+  CASE WHEN $(sheet_wanted) = 0 THEN 'sheets are off' WHEN n > 0 THEN 'found' WHEN NOT has_text AND $(ask_model) = 1 AND $(model_ready) = 1 THEN 'a scan, left to the model' WHEN NOT has_text THEN 'a scan, and no model' ELSE 'text without a key' END AS verdict
+FROM found""")
\ No newline at end of file

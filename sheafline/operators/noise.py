@@ -91,12 +91,15 @@ k AS (SELECT f.doc_id, f.a, f.b, f.c, f.d, SIZE(ADISTINCT(flatten(COLLECT(o.on_p
 m AS (SELECT f.doc_id, f.page, f.fig_id, k.pages FROM {placed_figures} f JOIN k ON f.doc_id = k.doc_id AND f.a = k.a AND f.b = k.b AND f.c = k.c AND f.d = k.d WHERE f.near = f.cell)
 SELECT m.doc_id, m.page, m.fig_id FROM m JOIN n ON m.doc_id = n.doc_id WHERE m.pages < n.least_pages""")
 
-relation("c_bilingual_exact", "Pairs of items alike in side and number, on one page, side by side; a document needs two pairs, or one among four numbers.", """
-WITH p AS (SELECT i.doc_id, i.is_solution, i.q_num, i.item, s.page, s.x0, s.x1, count(*) OVER (PARTITION BY i.doc_id, i.is_solution, i.q_num) AS n FROM {items} i JOIN {segments} s ON i.doc_id = s.doc_id AND i.item = s.item AND s.seg = 0),
-m AS (SELECT a.doc_id, a.is_solution, a.q_num, a.item AS first, b.item AS second FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.is_solution = b.is_solution AND a.q_num = b.q_num AND a.n = 2 AND b.n = 2 AND a.page = b.page
-  AND (b.x0 + b.x1) / 2 - (a.x0 + a.x1) / 2 > 15),
+relation("c_bilingual_exact", "Pairs of the only two items alike in side and number, on one page, side by side by their first segments; a document needs two pairs, or one among four numbers. First is the one with options A to D where one of them has any, else the left one.", """
+WITH f AS (SELECT doc_id, item, page, x0, (x0 + x1) / 2 AS mid, row_number() OVER (PARTITION BY doc_id, item ORDER BY seg) AS rn FROM {segments}),
+p AS (SELECT i.doc_id, i.is_solution, i.q_num, i.item, f.page, f.x0, f.mid, LIKE_RE(upper(coalesce(i.option_labels, '')), '[ABCD]') AS latin, count(*) OVER (PARTITION BY i.doc_id, i.is_solution, i.q_num) AS n
+  FROM {items} i LEFT JOIN f ON i.doc_id = f.doc_id AND i.item = f.item AND f.rn = 1),
+m AS (SELECT a.doc_id, a.is_solution, a.q_num, CASE WHEN a.latin <> b.latin THEN a.latin ELSE a.x0 <= b.x0 END AS ahead, a.item AS one, b.item AS other FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.is_solution = b.is_solution AND a.q_num = b.q_num
+  AND a.n = 2 AND b.n = 2 AND a.item < b.item AND a.page = b.page AND abs(b.mid - a.mid) > 15),
 d AS (SELECT doc_id, count(*) AS pairs FROM m GROUP BY doc_id), g AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, is_solution, q_num FROM p) x GROUP BY doc_id)
-SELECT m.* FROM m JOIN d ON m.doc_id = d.doc_id JOIN g ON m.doc_id = g.doc_id WHERE d.pairs >= 2 OR g.n <= 4""")
+SELECT m.doc_id, m.is_solution, m.q_num, CASE WHEN m.ahead THEN m.one ELSE m.other END AS first, CASE WHEN m.ahead THEN m.other ELSE m.one END AS second
+FROM m JOIN d ON m.doc_id = d.doc_id JOIN g ON m.doc_id = g.doc_id WHERE d.pairs >= 2 OR g.n <= 4""")
 
 relation("d_bilingual_split", "Whether a document's markers pair up side by side (numbers that occur twice, further apart than 15 per cent of the page: two such, or one among four numbers), and the language column of each marker.", """
 WITH pairs AS (

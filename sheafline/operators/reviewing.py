@@ -15,6 +15,7 @@ SETTINGS |= {
     "overlap_from": 6.0, "cover_play": 1.5, "body_top": 6.0, "body_bottom": 94.0, "uncovered_gap": 14.0, "tail_band": 8.0, "head_band": 2.0, "orphan_band": 6.0,
 }
 
+W, H = "$(page_width)", "$(page_height)"
 #: A number's first digits; null where it has none.
 NUMBER = "TRY_CAST(regexp_extract({q}, '([0-9]+)', 1) AS INT)"
 relation("item_numbers", "Items with their number, how many of the options A to D they show, and their last segment's bottom.", f"""
@@ -182,20 +183,35 @@ SELECT doc_id, item, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY is_sol
 relation("f_last_pages", "The last six pages of each paper.", """
 SELECT doc_id, page FROM (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page DESC) AS rn FROM {paper_pages}) x WHERE rn <= 6""")
 
-relation("f_report_caps", "The first six font names and twenty page sizes of each document.", """
-SELECT doc_id, 'font' AS kind, basefont AS value FROM (SELECT doc_id, basefont, row_number() OVER (PARTITION BY doc_id ORDER BY basefont) AS rn FROM (SELECT DISTINCT doc_id, basefont FROM {fonts}) a) b WHERE rn <= 6
-UNION ALL
-SELECT doc_id, 'size', concat(CAST(CAST(width AS INT) AS STRING), 'x', CAST(CAST(height AS INT) AS STRING)) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS rn FROM {page_geom}) c WHERE rn <= 20""")
+# How many of each list a report shows.
+SETTINGS |= {"shown_fonts": 6, "shown_sizes": 20, "shown_images": 200, "scanned_images": 500, "shown_distinct_sizes": 4, "shown_gaps": 8, "shown_key_gaps": 10}
+relation("f_report_caps", "What a report lists of each document: the first six font names, twenty page sizes, 200 of at most 500 pictures, four distinct sizes, eight numbers missing from a side's run and ten from the key.", """
+WITH sizes AS (SELECT doc_id, page, concat(CAST(CAST(width AS INT) AS STRING), 'x', CAST(CAST(height AS INT) AS STRING)) AS value FROM {page_geom}),
+entries AS (
+  SELECT doc_id, 'font' AS kind, basefont AS value, row_number() OVER (PARTITION BY doc_id ORDER BY basefont) AS rn, $(shown_fonts) AS most FROM (SELECT DISTINCT doc_id, basefont FROM {fonts}) a
+  UNION ALL SELECT doc_id, 'size', value, row_number() OVER (PARTITION BY doc_id ORDER BY page), $(shown_sizes) FROM sizes
+  UNION ALL SELECT doc_id, 'distinct size', value, row_number() OVER (PARTITION BY doc_id ORDER BY value), $(shown_distinct_sizes) FROM (SELECT DISTINCT doc_id, value FROM sizes) b
+  UNION ALL SELECT doc_id, 'image', CAST(image_id AS STRING), row_number() OVER (PARTITION BY doc_id ORDER BY page, image_id), least($(shown_images), $(scanned_images)) FROM {page_images}
+  UNION ALL SELECT doc_id, CASE WHEN is_solution THEN 'solution gap' ELSE 'question gap' END, CAST(num AS STRING), row_number() OVER (PARTITION BY doc_id, is_solution ORDER BY num), $(shown_gaps) FROM {g_number_gaps}
+  UNION ALL SELECT doc_id, 'key gap', CAST(num AS STRING), row_number() OVER (PARTITION BY doc_id ORDER BY num), $(shown_key_gaps) FROM {c_key_minus_found}
+)
+SELECT doc_id, kind, CAST(rn AS BIGINT) AS place, value FROM entries WHERE rn <= most""")
 
 relation("g_scope_pages", "Pages of either scope without the skipped ones; an empty scope stands for all pages.", """
 WITH s AS (SELECT doc_id, page FROM {question_scope} UNION SELECT doc_id, page FROM {answer_scope}
   UNION SELECT doc_id, page FROM {paper_pages} p WHERE NOT EXISTS (SELECT 1 FROM {question_scope} q WHERE q.doc_id = p.doc_id) OR NOT EXISTS (SELECT 1 FROM {answer_scope} a WHERE a.doc_id = p.doc_id))
 SELECT * FROM s EXCEPT SELECT doc_id, page FROM {skipped_pages}""")
 
-relation("d_best_per_output", "For each side and number the item of the largest extent, the first of equals.", """
-SELECT doc_id, is_solution, q_num, item FROM (
-  SELECT i.doc_id, i.is_solution, i.q_num, i.item, row_number() OVER (PARTITION BY i.doc_id, i.is_solution, i.q_num ORDER BY e.extent DESC, i.item) AS rn
-  FROM {items} i JOIN {d_extent_stats} e ON i.doc_id = e.doc_id AND i.item = e.item) x WHERE rn = 1""")
+SETTINGS |= {"per_output": "one", "strict_scope": 1, "zoom": 2.0, "paint_pad": 2.0}
+relation("d_best_per_output", "For each side and number the item of the largest extent, the first of equals; with per_output 'two' the first two by place, as papers in two languages have them. Items without a number share one output.", f"""
+WITH numbered AS (SELECT i.doc_id, i.is_solution, i.q_num, i.item, coalesce({NUMBER.format(q="i.q_num")}, 0) AS num, e.extent, i.is_hindi, s.page, s.x0, s.y0, (s.x0 + s.x1) / 2 AS mid FROM {{items}} i JOIN {{d_extent_stats}} e ON i.doc_id = e.doc_id AND i.item = e.item
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, item ORDER BY seg) AS rn FROM {{segments}}) s ON i.doc_id = s.doc_id AND i.item = s.item AND s.rn = 1
+), wide AS (SELECT *, max(x0) OVER w - min(x0) OVER w > 15 OR max(mid) OVER w - min(mid) OVER w > 15 AS beside FROM numbered WINDOW w AS (PARTITION BY doc_id, is_solution, num, page)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, is_solution, num ORDER BY extent DESC, item) AS by_extent,
+    row_number() OVER (PARTITION BY doc_id, is_solution, num ORDER BY CASE WHEN is_hindi THEN 2 WHEN NOT is_hindi THEN 0 ELSE 1 END, page, CASE WHEN beside THEN x0 ELSE y0 END, item) AS by_place FROM wide
+)
+SELECT doc_id, is_solution, q_num, item FROM ranked WHERE CASE WHEN $(per_output) = 'two' THEN by_place <= 2 ELSE by_extent = 1 END""")
 
 relation("d_column_spread", "Columns that a document's items use.", """
 SELECT doc_id, AJOIN(ASORT(COLLECT(c)), ',') AS cols FROM (SELECT DISTINCT doc_id, CASE WHEN (x0 + x1) / 2 < 48 THEN 'left' WHEN (x0 + x1) / 2 > 52 THEN 'right' ELSE 'middle' END AS c FROM {segments}) x GROUP BY doc_id""")
@@ -225,13 +241,30 @@ SELECT doc_id, page, px, py, item, seg FROM (
   SELECT p.doc_id, p.page, p.px, p.py, s.item, s.seg, row_number() OVER (PARTITION BY p.doc_id, p.page, p.px, p.py ORDER BY s.item DESC, s.seg DESC) AS rn
   FROM {points} p JOIN {segments} s ON s.doc_id = p.doc_id AND s.page = p.page AND p.px BETWEEN s.x0 AND s.x1 AND p.py BETWEEN s.y0 AND s.y1) x WHERE rn = 1""")
 
-relation("c_page_scope", "Items kept by page scope: what stands on an answers page is a solution; segments outside go, items need one.", """
-SELECT s.doc_id, s.item, s.seg, s.page, p.answers OR s.is_solution AS is_solution FROM {segments} s JOIN {page_scope} p ON s.doc_id = p.doc_id AND s.page = p.page""")
-
-relation("c_select_entries", "Requested pages matched with rendered ones and names by place; a page that was not rendered is rejected.", """
-SELECT r.batch, r.pos, r.page, CASE WHEN p.page IS NULL THEN 'missing' ELSE 'ok' END AS status, concat('page_', lpad(CAST(r.pos AS STRING), 2, '0')) AS stem
-FROM {requested_pages} r
-LEFT JOIN (SELECT DISTINCT doc_id, page FROM {paper_pages}) p ON p.doc_id = r.batch AND p.page = r.page""")
+relation("c_page_scope", "Segments of items kept by page scope. An item's first page decides its side: on an answers page it is a solution, on a questions page a question; on neither it goes where scope is strict or names both, and keeps its side otherwise. Then segments on the other side's pages go. Documents without a scope stay as they are.", """
+WITH scope AS (SELECT doc_id, page, bool_or(answers) AS answers, bool_or(NOT answers) AS questions FROM {page_scope} GROUP BY doc_id, page),
+named AS (SELECT doc_id, bool_or(answers) AS has_answers, bool_or(questions) AS has_questions FROM scope GROUP BY doc_id),
+start AS (SELECT doc_id, item, min(page) AS page FROM {segments} GROUP BY doc_id, item),
+sided AS (
+  SELECT t.doc_id, t.item, n.has_answers, n.has_questions, n.doc_id IS NULL AS free, CASE WHEN p.answers THEN true WHEN p.questions THEN false END AS side
+  FROM start t LEFT JOIN named n ON t.doc_id = n.doc_id LEFT JOIN scope p ON t.doc_id = p.doc_id AND t.page = p.page
+), judged AS (
+  SELECT s.doc_id, s.item, s.seg, s.page, coalesce(d.side, s.is_solution) AS is_solution, d.free, d.has_answers, d.has_questions, coalesce(p.answers, false) AS on_answers, coalesce(p.questions, false) AS on_questions
+  FROM {segments} s JOIN sided d ON s.doc_id = d.doc_id AND s.item = d.item LEFT JOIN scope p ON s.doc_id = p.doc_id AND s.page = p.page
+  WHERE d.free OR d.side IS NOT NULL OR NOT ($(strict_scope) = 1 OR (d.has_answers AND d.has_questions))
+)
+SELECT doc_id, item, seg, page, is_solution FROM judged
+WHERE free OR CASE WHEN is_solution THEN CASE WHEN has_answers THEN on_answers ELSE NOT on_questions END ELSE CASE WHEN has_questions THEN on_questions ELSE NOT on_answers END END""")
+
+relation("c_select_entries", "Requested pages with their names: those a user gave, by place, else by number. A batch is rejected as a whole where names differ in number from pages, or a page was not rendered.", """
+WITH asked AS (SELECT batch, pos, page, row_number() OVER (PARTITION BY batch ORDER BY pos) AS rn, count(*) OVER (PARTITION BY batch) AS n FROM {requested_pages}),
+named AS (SELECT batch, stem, row_number() OVER (PARTITION BY batch ORDER BY pos) AS rn, count(*) OVER (PARTITION BY batch) AS n FROM {given_stems}),
+counted AS (SELECT DISTINCT batch, n FROM named),
+found AS (SELECT r.*, p.page IS NULL AS missing, bool_or(p.page IS NULL) OVER (PARTITION BY r.batch) AS some_missing, c.n AS names FROM asked r
+  LEFT JOIN (SELECT DISTINCT doc_id, page FROM {paper_pages}) p ON p.doc_id = r.batch AND p.page = r.page LEFT JOIN counted c ON r.batch = c.batch)
+SELECT f.batch, f.pos, f.page, CASE WHEN f.names <> f.n THEN 'names differ in number' WHEN f.missing THEN 'missing' WHEN f.some_missing THEN 'in a batch with missing pages' ELSE 'ok' END AS status,
+  coalesce(s.stem, concat('page_', lpad(CAST(f.pos AS STRING), 2, '0'))) AS stem
+FROM found f LEFT JOIN named s ON f.batch = s.batch AND f.rn = s.rn""")
 
 relation("c_label_pairs", "Pictures and label files with the same stem.", """
 SELECT i.idx AS image, l.idx AS label, i.stem FROM (SELECT idx, regexp_replace(original, r'\\.[^.]*$', '') AS stem FROM {files} WHERE LIKE_RE(original, r'(?i)\\.(jpg|png)$')) i
@@ -262,10 +295,14 @@ SELECT doc_id, item, letter, page, seq, y0, y1, x0, x1 FROM (
   WHERE NOT EXISTS (SELECT 1 FROM {segments} o WHERE o.doc_id = k.doc_id AND o.item = k.item AND o.page = l.page AND l.y0 < o.y1 AND l.y1 > o.y0 AND l.x0 < o.x1 AND l.x1 > o.x0)) x WHERE rn = 1""")
 relation("option_names", "The options a question has.", "SELECT 'A' AS letter UNION ALL SELECT 'B' UNION ALL SELECT 'C' UNION ALL SELECT 'D'")
 
-relation("c_redact_rects", "Furniture within each segment, padded by 2 points, clipped and mapped to its pixels.", """
-SELECT s.doc_id, s.item, s.seg, f.link_id, (greatest(s.x0, f.x0 / 6.4 - 0.3125) - s.x0) * 12.8 AS px0, (least(s.x1, f.x1 / 6.4 + 0.3125) - s.x0) * 12.8 AS px1,
-  (greatest(s.y0, f.y0 / 8 - 0.25) - s.y0) * 16 AS py0, (least(s.y1, f.y1 / 8 + 0.25) - s.y0) * 16 AS py1
-FROM {segments} s JOIN {links} f ON f.doc_id = s.doc_id AND f.page = s.page AND f.x0 / 6.4 - 0.3125 < s.x1 AND f.x1 / 6.4 + 0.3125 > s.x0 AND f.y0 / 8 - 0.25 < s.y1 AND f.y1 / 8 + 0.25 > s.y0""")
+relation("c_redact_rects", "Furniture of every kind within each segment as whole pixels of its picture: padded by 2 points, moved to the segment's corner, zoomed and clipped; what has no pixel left goes.", f"""
+WITH clips AS (SELECT doc_id, item, seg, page, x0 / 100.0 * {W} AS left_pt, y0 / 100.0 * {H} AS top_pt, BROUND((x1 - x0) / 100.0 * {W} * $(zoom), 0) AS w, BROUND((y1 - y0) / 100.0 * {H} * $(zoom), 0) AS h, x0, x1, y0, y1 FROM {{segments}}),
+painted AS (
+  SELECT s.doc_id, s.item, s.seg, f.kind, greatest(0, least(s.w, floor((f.x0 - $(paint_pad) - s.left_pt) * $(zoom)))) AS px0, greatest(0, least(s.w, floor((f.x1 + $(paint_pad) - s.left_pt) * $(zoom)))) AS px1,
+    greatest(0, least(s.h, floor((f.y0 - $(paint_pad) - s.top_pt) * $(zoom)))) AS py0, greatest(0, least(s.h, floor((f.y1 + $(paint_pad) - s.top_pt) * $(zoom)))) AS py1
+  FROM clips s JOIN {{c_furniture_rects}} f ON f.doc_id = s.doc_id AND f.page = s.page
+)
+SELECT doc_id, item, seg, kind, CAST(px0 AS BIGINT) AS px0, CAST(py0 AS BIGINT) AS py0, CAST(px1 AS BIGINT) AS px1, CAST(py1 AS BIGINT) AS py1 FROM painted WHERE px1 > px0 AND py1 > py0""")
 
 relation("c_line_fallback", "Text-layer lines, and OCR lines on pages that have none.", """
 SELECT doc_id, page, seq, 'text' AS origin FROM {text_lines}

@@ -84,10 +84,35 @@ WHERE contains(lower(label), lower($(term))) OR contains(lower(kind), lower($(te
 relation("b_min_box", "Boxes at least 1.5 per cent wide and high.", """
 SELECT doc_id, page, box_id, x0, x1, y0, y1 FROM {tiny_boxes} WHERE x1 - x0 >= 1.5 AND y1 - y0 >= 1.5""")
 
-relation("b_decode_detections", "Boxes in page pixels from rows [xywh, objectness, classes]: best class, padding undone, clipped, cut by score.", """
-SELECT doc_id, page, box_id, label, score, greatest(0, least(400, x0)) AS x0, greatest(0, least(400, x1)) AS x1, greatest(0, least(800, y0)) AS y0, greatest(0, least(800, y1)) AS y1
-FROM (SELECT doc_id, page, box_id, CASE WHEN c0 >= c1 THEN 'question' ELSE 'solution' END AS label, obj * greatest(c0, c1) AS score,
-  cx - w / 2 AS x0, cx + w / 2 AS x1, cy - 32 - h / 2 AS y0, cy - 32 + h / 2 AS y1 FROM {tensor_rows}) x WHERE score >= 0.03""")
+#: The side of the square that a detector reads, and the least score of a box.
+SETTINGS |= {"detector_side": 640, "least_score": 0.03}
+
+
+SHARED |= {"read_rows"}
+
+
+def _rows(tail: str) -> str:
+    """Detector rows with their lists of scores; `tail` is a list's values from the k-th on."""
+    return f"""
+SELECT doc_id, page, box_id, SIZE(vals) = 6 AS flat, NTH(vals, 5) AS fifth, NTH(vals, 6) AS sixth, {tail.format(k=5)} AS scores, {tail.format(k=6)} AS classes, NTH(vals, 1) * unit AS cx, NTH(vals, 2) * unit AS cy, NTH(vals, 3) * unit / 2 AS half_w, NTH(vals, 4) * unit / 2 AS half_h
+FROM (SELECT *, CASE WHEN greatest(abs(NTH(vals, 1)), abs(NTH(vals, 2)), abs(NTH(vals, 3)), abs(NTH(vals, 4))) <= 1.5 THEN $(detector_side) ELSE 1 END AS unit FROM {{tensor_rows}} WHERE SIZE(vals) >= 6) x"""
+
+
+relation("read_rows", "A detector's rows of six values or more: box in the square's pixels, and the values behind it.", "", spark=_rows("slice(vals, {k}, greatest(SIZE(vals) - {k} + 1, 0))"), other=_rows("vals[{k}:]"))
+
+relation("b_decode_detections", "Boxes in page pixels from a detector's rows of any of three layouts: [xywh, score, class], [xywh, classes] or [xywh, objectness, classes], the last two told apart by the higher score; shares of one scaled up, the letterbox's padding and scale undone, clipped to the page, cut by score and class.", f"""
+WITH scored AS (SELECT *, MOST(scores) AS best, CASE WHEN NOT flat AND fifth BETWEEN 0 AND 1 THEN fifth * MOST(classes) END AS product FROM {{read_rows}}),
+classed AS (
+  SELECT doc_id, page, box_id, cx, cy, half_w, half_h, CASE WHEN flat THEN fifth WHEN product > best THEN product ELSE best END AS score,
+    CASE WHEN flat THEN CAST(BROUND(sixth, 0) AS INT) WHEN product > best THEN CAST(array_position(classes, MOST(classes)) AS INT) - 1 ELSE CAST(array_position(scores, best) AS INT) - 1 END AS class_id FROM scored
+)
+SELECT doc_id, page, box_id, label, score, x0, x1, y0, y1 FROM (
+  SELECT c.doc_id, c.page, c.box_id, lower(trim(n.label)) AS label, c.score,
+    greatest(0, least(l.width, (c.cx - c.half_w - l.pad_x) / l.unit)) AS x0, greatest(0, least(l.width, (c.cx + c.half_w - l.pad_x) / l.unit)) AS x1,
+    greatest(0, least(l.height, (c.cy - c.half_h - l.pad_y) / l.unit)) AS y0, greatest(0, least(l.height, (c.cy + c.half_h - l.pad_y) / l.unit)) AS y1
+  FROM classed c JOIN {{class_names}} n ON c.class_id = n.class_id JOIN (SELECT *, CASE WHEN scale > 0 THEN scale ELSE 1.0 END AS unit FROM {{letterboxes}}) l ON c.doc_id = l.doc_id AND c.page = l.page
+  WHERE c.score >= $(least_score)) x
+WHERE label IN ({fx.quoted(fx.QUESTION_CLASSES + fx.SOLUTION_CLASSES)}) AND x1 > x0 AND y1 > y0""")
 
 _NAMED = " ".join(f"WHEN (abs(w - {a}) <= 2 AND abs(h - {b}) <= 2) OR (abs(w - {b}) <= 2 AND abs(h - {a}) <= 2) THEN '{n}'" for n, a, b in fx.FORMATS)
 relation("b_page_size_label", "Millimetres, pixels at 200 dpi, format and orientation of each page.", f"""

@@ -152,9 +152,15 @@ SELECT p_partkey AS spec_id, CASE WHEN p_size%7=0 THEN 'x-3' WHEN p_size%7=1 THE
 relation("tiny_boxes", "Boxes, some shrunk.", """
 SELECT doc_id, page, box_id, x0, CASE WHEN box_id%7=0 THEN x0 + 1.25 WHEN box_id%7=1 THEN x0 + 1.5 ELSE x1 END AS x1, y0, CASE WHEN box_id%5=0 THEN y0 + 1.0 ELSE y1 END AS y1 FROM {boxes}""")
 
-relation("tensor_rows", "Detector output: centre, size, objectness and two class scores, in a letterbox of 640.", """
-SELECT doc_id, page, box_id, (x0 + x1) * 2 AS cx, (y0 + y1) * 4 + 32 AS cy, (x1 - x0) * 4 AS w, (y1 - y0) * 8 AS h, score AS obj,
-  CASE WHEN label = 'question' THEN 0.75 ELSE 0.25 END AS c0, CASE WHEN label = 'solution' THEN 0.75 ELSE 0.125 END AS c1 FROM {boxes}""")
+relation("letterboxes", "How each page was fitted into a detector's square: its scale and padding, and the page's own pixels.", """
+SELECT DISTINCT doc_id, page, CAST(CASE WHEN page%2=0 THEN 0.5 ELSE 0 END AS DOUBLE) AS scale, CAST(CASE WHEN page%2=0 THEN 120 ELSE 0 END AS DOUBLE) AS pad_x, CAST(32 AS DOUBLE) AS pad_y, CAST(400 AS DOUBLE) AS width, CAST(800 AS DOUBLE) AS height FROM {boxes}""")
+relation("class_names", "Names of a detector's classes.", "SELECT 0 AS class_id, 'Question' AS label UNION ALL SELECT 1, ' solution' UNION ALL SELECT 2, 'logo'")
+relation("tensor_rows", "Detector output in three layouts, a third of it in shares of the square.", """
+SELECT doc_id, page, box_id, CASE box_id%3
+  WHEN 0 THEN VALUES_OF(cx, cy, w, h, conf, CASE WHEN label = 'solution' THEN 1.0D ELSE 0.0D END)
+  WHEN 1 THEN VALUES_OF(cx / 640, cy / 640, w / 640, h / 640, CASE WHEN label = 'question' THEN conf ELSE conf / 2 END, CASE WHEN label = 'question' THEN conf / 2 ELSE conf END, CASE WHEN box_id%7=0 THEN conf * 2 ELSE 0.0D END)
+  ELSE VALUES_OF(cx, cy, w, h, conf, CASE WHEN label = 'question' THEN 0.75D ELSE 0.25D END, CASE WHEN label = 'question' THEN 0.25D ELSE 0.75D END) END AS vals
+FROM (SELECT *, CAST((x0 + x1) * 2 AS DOUBLE) AS cx, CAST((y0 + y1) * 4 + 32 AS DOUBLE) AS cy, CAST((x1 - x0) * 4 AS DOUBLE) AS w, CAST((y1 - y0) * 8 AS DOUBLE) AS h, CAST(score AS DOUBLE) AS conf FROM {boxes}) b""".replace("1.0D", "CAST(1 AS DOUBLE)").replace("0.0D", "CAST(0 AS DOUBLE)").replace("0.75D", "CAST(0.75 AS DOUBLE)").replace("0.25D", "CAST(0.25 AS DOUBLE)"))
 
 relation("variants", "Sizes of each file by strength of compression.", """
 SELECT batch, idx, bytes AS original_bytes, level, CAST(floor(bytes * (1.1 - 0.2 * level)) AS BIGINT) AS size FROM {files} CROSS JOIN (SELECT 0 AS level UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) x""")
@@ -175,6 +181,7 @@ FROM {key_pairs} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2
     "answer_scope": ("Pages that may hold answers; some documents name none.", "SELECT doc_id, page FROM {paper_pages} WHERE page > last_page - 2 AND doc_id % 2 = 0"),
     "skipped_pages": ("Pages a user leaves out.", "SELECT doc_id, page FROM {paper_pages} WHERE page % 5 = 0"),
     "requested_pages": ("Pages asked for, in order.", "SELECT batch, CAST(idx % 100 AS INT) AS pos, CAST(width % 13 AS INT) + 1 AS page FROM {files}"),
+    "given_stems": ("Names that a user gave for a batch's pages, in order; one batch gives too few.", "SELECT batch, pos, concat('chapter ', CAST(pos AS STRING)) AS stem FROM {requested_pages} WHERE batch % 3 = 1 OR (batch % 3 = 2 AND pos > 0)"),
     "text_lines": ("Lines of the text layer, which some pages lack.", "SELECT doc_id, page, seq FROM {lines} WHERE page % 3 <> 0"),
     "ocr_lines": ("Lines that OCR read.", "SELECT doc_id, page, seq FROM {lines} WHERE seq % 2 = 0"),
     "tier_pages": ("Pages of each document with their class and OCR's confidence.", """

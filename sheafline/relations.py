@@ -30,6 +30,9 @@ DIALECT = {
     "AJOIN(": ("array_join(", "array_to_string("),
     "ADISTINCT(": ("array_distinct(", "list_distinct("),
     "SIZE(": ("size(", "len("),
+    "NTH(": ("element_at(", "list_extract("),
+    "MOST(": ("array_max(", "list_max("),
+    "VALUES_OF(": ("array(", "list_value("),
     "EXPLODE(": ("explode(", "unnest("),
     "SEQ(": ("sequence(", "generate_series("),
     "STRUCT(": ("struct(", "row("),

@@ -1,6 +1,7 @@
 """Rows from the JSON that text extractors, OCR engines and page models return."""
 
-from ..relations import relation
+from ..functions import fixed as fx
+from ..relations import SETTINGS, relation
 
 relation("page_json", "A text extractor's tree for each page: blocks, lines, spans; some blocks are pictures or blank.", """
 SELECT doc_id, page, to_json(named_struct('blocks', concat(collect_list(named_struct('type', 0, 'lines', array(named_struct('bbox', array(x_left, y_top, x_right, y_bottom), 'spans',
@@ -56,15 +57,40 @@ WITH typed AS (
   UNION ALL SELECT doc_id, box_id, CAST(box_id%50 AS STRING), label = 'solution', page, page, 2, 3.5 FROM {boxes} WHERE box_id%23 <> 0)
 SELECT doc_id, answer_id, CAST(0 AS BIGINT) AS pos, q_num, is_solution, row_number() OVER (PARTITION BY doc_id, answer_id ORDER BY page, y0, y1) AS seg, page, y0, y1 FROM typed WHERE page <= first_page + 3 AND y1 > y0 AND y1 BETWEEN 0 AND 100""")
 
-relation("box_json", "Raw detector answers: boxes in per cent, or in shares of one.", """
-SELECT doc_id, page, box_id, concat('{"boxes":[{"label":"', CASE WHEN box_id%9=0 THEN 'logo' ELSE label END, '","score":', CAST(score AS STRING), ',"box":[', CAST(CASE WHEN box_id%2=0 THEN x0 / 100 ELSE x0 END AS STRING), ',', CAST(CASE WHEN box_id%2=0 THEN y0 / 100 ELSE y0 END AS STRING), ',', CAST(CASE WHEN box_id%2=0 THEN x1 / 100 ELSE x1 END AS STRING), ',', CAST(CASE WHEN box_id%2=0 THEN y1 / 100 ELSE y1 END AS STRING), ']}]}') AS raw
-FROM {boxes}""", exact=False)
-relation("a_boxes_from_model_json", "Boxes of raw detector answers in per cent: scaled up if none is over one, by label and score, at least 3 per cent high and 5 wide.", "",
-    spark="""
-SELECT doc_id, page, box_id, b.label, b.score, round(b.box[0] * k, 6) AS x0, round(b.box[1] * k, 6) AS y0, round(b.box[2] * k, 6) AS x1, round(b.box[3] * k, 6) AS y1 FROM (
-  SELECT *, CASE WHEN array_max(b.box) <= 1.5 THEN 100 ELSE 1 END AS k FROM (SELECT doc_id, page, box_id, explode(from_json(raw, 'boxes array<struct<label:string,score:double,box:array<double>>>').boxes) AS b FROM {box_json}) x) y
-WHERE b.label IN ('question', 'solution') AND b.score >= 0.05 AND (b.box[3] - b.box[1]) * k >= 3 AND (b.box[2] - b.box[0]) * k >= 5""",
-    other="SELECT doc_id, page, box_id, label, score, x0, y0, x1, y1 FROM {boxes} WHERE box_id%9 <> 0 AND score >= 0.05 AND y1 - y0 >= 3")
+SETTINGS |= {"model_score": 0.05, "least_high": 3.0, "least_wide": 5.0}
+relation("box_json", "Raw detector answers of four shapes: corners in pixels or shares of one, edges in pixels, edges in per cent (whole width where none is named), or a list of four.", """
+SELECT doc_id, page, box_id, CASE box_id % 4 WHEN 0 THEN concat('[{', name, '"box":{"xmin":', CAST(x0 / k AS STRING), ',"ymin":', CAST(y0 / h AS STRING), ',"xmax":', CAST(x1 / k AS STRING), ',"ymax":', CAST(y1 / h AS STRING), '}}]')
+  WHEN 1 THEN concat('{"boxes":[{', name, '"page":', CAST(page AS STRING), ',"x1":"', CAST(x0 * 4 AS STRING), '","y1":', CAST(y0 * 8 AS STRING), ',"x2":', CAST(x1 * 4 AS STRING), ',"y2":', CAST(y1 * 8 AS STRING), '},{"label":"question","x1":"?","y1":1,"x2":90,"y2":90},{"score":null}]}')
+  WHEN 2 THEN concat('{"boxes":[{', name, '"x_start_pct":', CAST(x0 AS STRING), ',"y_start_pct":', CAST(y0 AS STRING), ',"x_end_pct":', CAST(x1 AS STRING), ',"y_end_pct":', CAST(y1 AS STRING), '}]}')
+  ELSE concat('{"boxes":[{', name, '"box":[', CAST(x0 AS STRING), ',', CAST(y0 AS STRING), ',', CAST(x1 AS STRING), ',', CAST(y1 AS STRING), ']}]}') END AS raw
+FROM (SELECT *, concat('"', CASE WHEN box_id%5=0 THEN 'class' ELSE 'label' END, '":"', CASE WHEN box_id%9=0 THEN 'logo' ELSE label END, '","score":', CAST(score AS STRING), ',') AS name,
+  CASE WHEN box_id%8=0 THEN 100 ELSE 0.25 END AS k, CASE WHEN box_id%8=0 THEN 100 ELSE 0.125 END AS h FROM {boxes}) x""", exact=False)
+_BOX = "struct<page:string,label:string,class:string,score:string,box:string,x1:string,y1:string,x2:string,y2:string,x_start_pct:string,y_start_pct:string,x_end_pct:string,y_end_pct:string>"
+
+
+def _edge(corner: str, place: int, edge: str, named: str, side: str, missing: int) -> str:
+    """One edge in per cent, whichever shape names it; null where it is no number."""
+    return f"""CASE WHEN c IS NOT NULL THEN try_cast(c.{corner} AS DOUBLE) * CASE WHEN shares THEN 100 ELSE 100 / {side} END WHEN l IS NOT NULL THEN l[{place}] * CASE WHEN array_max(l) <= 1.5 THEN 100 ELSE 1 END
+    WHEN b.x1 IS NOT NULL AND b.y1 IS NOT NULL AND b.x2 IS NOT NULL AND b.y2 IS NOT NULL THEN try_cast(b.{edge} AS DOUBLE) * 100 / {side} WHEN b.{named} IS NULL THEN {missing} ELSE try_cast(b.{named} AS DOUBLE) END"""
+
+
+relation("a_boxes_from_model_json", "Boxes of raw detector answers in per cent of the page, clipped to it: corners or edges in the page's pixels, in per cent, or in shares of one; by class and score (1 where none is given), at least 3 per cent high and 5 wide. Broken ones go.", "",
+    spark=f"""
+WITH parsed AS (
+  SELECT doc_id, page AS own_page, box_id, b, CASE WHEN b.box LIKE '{{{{%' THEN from_json(b.box, 'xmin string, ymin string, xmax string, ymax string') END AS c, CASE WHEN b.box LIKE '[%' THEN from_json(b.box, 'array<double>') END AS l
+  FROM {{box_json}} LATERAL VIEW explode(coalesce(CASE WHEN trim(raw) LIKE '[%' THEN from_json(raw, 'array<{_BOX}>') END, from_json(raw, 'boxes array<{_BOX}>').boxes)) t AS b
+), typed AS (
+  SELECT doc_id, box_id, coalesce(CAST(try_cast(b.page AS DOUBLE) AS INT), own_page) AS page, b, c, l, lower(trim(coalesce(b.label, b.class, 'question'))) AS label, CASE WHEN b.score IS NULL THEN 1 ELSE try_cast(b.score AS DOUBLE) END AS score,
+    greatest(try_cast(c.xmin AS DOUBLE), try_cast(c.ymin AS DOUBLE), try_cast(c.xmax AS DOUBLE), try_cast(c.ymax AS DOUBLE)) <= 1.001 AS shares FROM parsed
+), placed AS (
+  SELECT t.doc_id, t.page, t.box_id, label, score, {_edge("xmin", 0, "x1", "x_start_pct", "p.width", 0)} AS x0, {_edge("ymin", 1, "y1", "y_start_pct", "p.height", 0)} AS y0,
+    {_edge("xmax", 2, "x2", "x_end_pct", "p.width", 100)} AS x1, {_edge("ymax", 3, "y2", "y_end_pct", "p.height", 100)} AS y1 FROM typed t JOIN {{letterboxes}} p ON t.doc_id = p.doc_id AND t.page = p.page
+), clipped AS (
+  SELECT doc_id, page, box_id, label, score, round(greatest(0, least(100, x0)), 6) AS x0, round(greatest(0, least(100, y0)), 6) AS y0, round(greatest(0, least(100, x1)), 6) AS x1, round(greatest(0, least(100, y1)), 6) AS y1
+  FROM placed WHERE x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL
+)
+SELECT * FROM clipped WHERE label IN ({fx.quoted(fx.QUESTION_CLASSES + fx.SOLUTION_CLASSES)}) AND score >= $(model_score) AND y1 - y0 >= $(least_high) AND x1 - x0 >= $(least_wide)""".replace("{{%", "{%"),
+    other="SELECT doc_id, page, box_id, label, score, x0, y0, x1, y1 FROM {boxes} WHERE box_id%9 <> 0 AND score >= 0.05 AND y1 - y0 >= 3 UNION ALL SELECT doc_id, page, box_id, 'question', 1, 0, 0, 100, 100 FROM {boxes} WHERE box_id%4 = 1")
 
 relation("key_json", "Answer keys as a model gives them.", """
 SELECT doc_id, to_json(map_from_entries(collect_list(struct(concat(CASE WHEN num % 2 = 0 THEN 'Q' ELSE '' END, CAST(num AS STRING)), concat(CASE WHEN num % 5 = 0 THEN 'option ' ELSE '(' END, letter, ')'))))) AS raw FROM {key_pairs} GROUP BY doc_id""", exact=False)
