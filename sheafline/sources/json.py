@@ -100,7 +100,8 @@ SELECT doc_id, num, letter FROM (SELECT doc_id, try_cast(regexp_extract(k, r'(\d
   FROM {key_json} LATERAL VIEW explode(from_json(raw, 'map<string,string>')) t AS k, v) x WHERE num BETWEEN 1 AND 999 AND letter <> ''""",
     other="SELECT doc_id, num, letter FROM {key_pairs} WHERE num <= 999")
 
-relation("file_heads", "First bytes, size and pages of uploads.", """
-SELECT idx, CASE WHEN idx % 7 = 0 THEN 'GIF8' ELSE '%PDF' END AS head, bytes * 50000 AS bytes, width * 5 AS pages FROM {files}""")
-relation("a_validate_files", "Uploads accepted, or rejected with the first reason.", """
-SELECT idx, CASE WHEN head <> '%PDF' THEN 'not a PDF' WHEN bytes > 2147483648 THEN 'too large' WHEN pages > 2000 THEN 'too many pages' END AS reason FROM {file_heads}""")
+SETTINGS |= {"most_bytes": 2048 * 1024 * 1024, "most_pages": 2000}
+relation("file_heads", "First bytes, size and pages of uploads; a file that can't be opened has no number of pages.", """
+SELECT idx, CASE WHEN idx % 7 = 0 THEN 'GIF8' ELSE '%PDF' END AS head, bytes * 50000 AS bytes, CASE WHEN idx % 11 > 0 THEN width * 5 END AS pages FROM {files}""")
+relation("a_validate_files", "Uploads accepted, or rejected with the first reason: size, kind or a broken file, number of pages.", """
+SELECT idx, CASE WHEN bytes > $(most_bytes) THEN 'too large' WHEN coalesce(head, '') <> '%PDF' OR pages IS NULL THEN 'not a PDF' WHEN pages > $(most_pages) THEN 'too many pages' END AS reason FROM {file_heads}""")

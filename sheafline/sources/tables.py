@@ -16,10 +16,16 @@ def _place(df: DataFrame, name: str) -> str:
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, head, bytes) of the files under path; only the first bytes of the content are kept."""
+    """(path, head, bytes) of the files under path; only the first bytes of the content are kept. Spark lists no empty files, so these have no row."""
     return spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 4).cast("string").alias("head"), F.col("length").alias("bytes"))
 
 
+def upload_heads(uploads: DataFrame, pages: DataFrame) -> DataFrame:
+    """The input of a_validate_files (idx is the path) from read_uploads and a table (path, page) of the pages that a reader could open."""
+    counted = pages.groupBy("path").agg(F.countDistinct("page").alias("pages"))
+    return uploads.join(counted.hint("merge"), "path", "left").select(F.col("path").alias("idx"), "head", "bytes", "pages")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Files of a JSON-lines manifest (pos, stored, original), pictures only, in order of arrival."""
     rows = spark.read.schema("pos long, stored string, original string").json(path)

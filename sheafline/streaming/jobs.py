@@ -122,6 +122,40 @@ def newest_pages(*logs: DataFrame) -> DataFrame:
     return _newest(reduce(DataFrame.unionByName, logs))
 
 
+def _numbers(spark: SparkSession, table: str, kind: str) -> list[int]:
+    """Numbers of the folders `kind=<number>` of a table that were written to their end, ascending."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{kind}=*/_SUCCESS")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def stored_pages(spark: SparkSession, table: str) -> DataFrame:
+    """The newest row of each page of a table that `upsert_pages` fills: the last compacted part and the batches after it."""
+    done = _numbers(spark, table, "upto")
+    parts = [f"{table}/upto={done[-1]}"] if done else []
+    parts += [f"{table}/batch={n}" for n in _numbers(spark, table, "batch") if not done or n > done[-1]]
+    if not parts:
+        raise ValueError(f"no batch was written to {table}")
+    return newest_pages(spark.read.parquet(*parts))
+
+
+def compact_pages(spark: SparkSession, table: str, keep: bool = False) -> None:
+    """Write the newest rows of all finished batches as one part, so that a read no longer takes every batch.
+
+    The part counts once it is whole; what it stands for is deleted then (with `keep` it stays, for readers still at
+    work). A batch that runs again after it was compacted is not read. Cut off at any point, the table reads the same.
+    """
+    done, batches = _numbers(spark, table, "upto"), _numbers(spark, table, "batch")
+    if batches and (not done or batches[-1] > done[-1]):
+        stored_pages(spark, table).write.mode("overwrite").parquet(f"{table}/upto={batches[-1]}")
+        done.append(batches[-1])
+    if done and not keep:
+        old = [f"{table}/batch={n}" for n in batches if n <= done[-1]] + [f"{table}/upto={n}" for n in done[:-1]]
+        for path in old:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def i_page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = events(spark, sf_dir).select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 5).alias("page"), F.col("event_id").alias("arrival"), F.col("value").alias("y0"))
     return newest_pages(_finished(pages, "pages", upsert_pages))

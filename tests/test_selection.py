@@ -163,3 +163,15 @@ def test_lists_of_reports(spark):
         lists.setdefault(r["kind"], []).append(r["value"])
     assert {k: len(v) for k, v in lists.items()} == {"font": 6, "size": 20, "distinct size": 4, "image": 200, "solution gap": 8, "question gap": 8, "key gap": 10}
     assert lists["question gap"] == [str(k) for k in range(1, 9)] and lists["distinct size"] == ["500x800", "501x800", "502x800", "503x800"]
+
+
+def test_uploads_from_files(spark, tmp_path):
+    from sheafline.sources.tables import read_uploads, upload_heads
+
+    for name, content in {"a": b"%PDF-1.7", "b": b"GIF89a..", "c": b"%PDF-1.4 broken", "d": b"", "e": b"%PDF" + b"x" * 100, "f": b"GIF8" + b"x" * 100, "g": b"%PDF-many"}.items():
+        (tmp_path / name).write_bytes(content)
+    uploads = read_uploads(spark, str(tmp_path))  # without the empty file
+    at = {r["path"].rsplit("/", 1)[1]: r["path"] for r in uploads.collect()}
+    pages = spark.createDataFrame([(at["a"], 1), (at["a"], 1), (at["a"], 2), (at["b"], 1), (at["e"], 1), *[(at["g"], p) for p in range(3)]], "path string, page int")
+    got = apply("a_validate_files", {"most_bytes": 100, "most_pages": 2}, file_heads=upload_heads(uploads, pages)).collect()
+    assert {r["idx"].rsplit("/", 1)[1]: r["reason"] for r in got} == {"a": None, "b": "not a PDF", "c": "not a PDF", "e": "too large", "f": "too large", "g": "too many pages"}
