@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from . import relations
-from .operators import answers, folds, itemising, noise, reviewing, tagging, tiers  # noqa: F401
+from .operators import answers, folds, itemising, languages, noise, reviewing, tagging, tiers  # noqa: F401
 from .plans import fixtures  # noqa: F401
 from .sources import json, tables  # noqa: F401
 from .streaming import jobs
