@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 MARK = "▁"
-CACHE = 50_000  # words that each of two generations holds, and pairs of pieces
+CACHE, PAIRS = 100_000, 400_000  # words that each of two generations holds, and pairs of pieces
 _PARTS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -114,7 +114,7 @@ class Codec:
         ok = self.pairs.get(a << 32 | b)
         if ok is None:
             ok = self.merges(self.text_of[a] + self.text_of[b]) == [self.text_of[a], self.text_of[b]]
-            if len(self.pairs) >= CACHE:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[a << 32 | b] = ok
         return ok
