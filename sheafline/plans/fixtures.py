@@ -3,7 +3,9 @@
 Twenty documents make one paper; its non-empty lines are set 40 to a page in two columns on a page of 640 by 800.
 """
 
-from ..relations import relation
+from ..relations import SHARED, relation
+
+SHARED |= {"key_pairs"}
 
 relation("raw_lines", "Lines of each document.", "",
     spark=r"SELECT doc_id, li, raw FROM {documents} LATERAL VIEW posexplode(split(text, '\n')) t AS li, raw",
