@@ -230,6 +230,13 @@ def _labels(links: DataFrame, hops: int = 4) -> DataFrame:
     return staged(near, "bottomk-labels")
 
 
+def _unsettled(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes roots do not show to be in one component."""
+    own = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    placed = pairs.hint("merge").join(own("a"), "a", "left").hint("merge").join(own("b"), "b", "left")
+    return placed.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def _apart(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """The lists whose nodes are in different components, by roots: (v, node, n, at, size, root, main), main the component of most."""
     placed = lists.hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -299,12 +306,15 @@ def _linked(
     pairs, wanted_nodes = _stars(lists), lists.select("node")
     if simhash:
         near = staged(_by_simhash(nodes), "bottomk-near")
-        pairs = pairs.unionByName(near).distinct()
         wanted_nodes = wanted_nodes.unionByName(near.select(F.explode(F.array("a", "b")).alias("node")))
     placed = staged(wanted_nodes.distinct().hint("merge").join(nodes.select("node", "k", "r"), "node"), "bottomk-keys")
     texts = keyed.hint("merge").join(placed, ["k", "r"]).groupBy("node").agg(F.first("t").alias("t"))  # rows that agree on both are alike
     texts = staged(texts, "bottomk-texts")
-    links = _confirmed(pairs, nodes, texts, shingle_words, k, least)
+    if simhash:  # what fingerprints have linked is settled: sketches are compared where that leaves nodes apart
+        links = _confirmed(near, nodes, texts, shingle_words, k, least)
+        links = links.unionByName(_confirmed(_unsettled(pairs, _labels(links)), nodes, texts, shingle_words, k, least))
+    else:
+        links = _confirmed(pairs, nodes, texts, shingle_words, k, least)
     apart = _apart(lists, _labels(links))
     more = _pairs(apart.filter(F.col("size") <= SHORT), least)
     crowded = staged(apart.filter(F.col("size") > SHORT).select("node").distinct(), "bottomk-crowded")
