@@ -4,6 +4,7 @@ Anchors: of the `LENGTH - GRAM + 1` places in a window of LENGTH bytes, the one
 equals) is the window's anchor, so equal windows have their anchor at the same offset. An anchor answers for a run of
 windows; its context is their bytes. Windows can only be equal if the GRAM bytes at their anchors are, so occurrences are
 grouped by that gram (first a count, so that what occurs once is never moved again), and equal contexts are one class.
+A row is a class within a text, with all its places there: a line that a text repeats a thousand times is one row.
 
 Suffix array: within a gram's group the classes are sorted by what follows the gram; a stack scan over the common-prefix
 lengths of neighbours builds the interval tree. In each interval the text before the gram is tested for diversity: if
@@ -11,8 +12,9 @@ all members agree, the interval extends to the left as a whole, else each member
 it. Left and right extent together must span LENGTH bytes. So every occurrence in an interval counts, not just
 neighbours, and each gets the union of all its repeated windows.
 
-A group with more than GROUP classes is split until none is left: half of the window offsets need more bytes to the left,
-half more to the right, and each half is regrouped by the gram with those bytes; at a single offset a group is one class.
+A group with more than GROUP classes is split until none is left: the window offsets are cut into PARTS ranges, of which
+the higher need more bytes to the left and the lower more to the right, and each range is regrouped by the gram with those
+bytes; at a single offset a group is one class.
 
 In words: with `words` the same runs over texts in which each word is four bytes of its hash, so that a passage counts by
 its words, however short or long they are. Chance equality adds a word to a passage once in about 2 ** 32 ends.
@@ -24,7 +26,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,8 +37,12 @@ from pyspark.sql import functions as F
 from .common import released, staged
 
 LENGTH, GRAM, GROUP = 400, 100, 1024
+#: Ranges into which the offsets of a large group are cut at a time.
+PARTS = 8
 #: A word is WIDE bytes of its hash where repeats are counted in words.
 WIDE, WORD_GRAM = 4, 13
+#: Words whose codes a task keeps from one batch to the next.
+WORDS = 200_000
 NO_ID = -(1 << 63)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -71,8 +76,9 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
 
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Of each text its classes, each with all its places."""
     names = ["k1", "k2", "ctx", "doc_key", "r", "pos", "lo", "hi"]
-    types = [pa.int64()] * 5 + [pa.int32()] * 3
+    types = [pa.int64()] * 5 + [pa.list_(pa.int32())] + [pa.int32()] * 2
 
     def packed(out: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
@@ -80,25 +86,29 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch], length: int, gram: int) -> I
     digest, whole = xxhash.xxh3_128_intdigest, xxhash.xxh3_64_intdigest
     for b in batches:
         out: list[list] = [[] for _ in names]
+        held = 0
         for doc, r, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             text = text.as_buffer()
             if text is None or len(text) < length:
                 continue
             text = text.to_pybytes()
             pos, lo, hi = (x.tolist() for x in anchors(text, length, gram))
+            places: dict[tuple[int, int, int, int], list[int]] = {}
             for p, a, z in zip(pos, lo, hi, strict=True):
-                k = digest(text[p : p + gram])
+                places.setdefault((digest(text[p : p + gram]), whole(text[p - z : p - a + length], a << 16 | z), a, z), []).append(p)
+            for k, c, a, z in places:
                 out[0].append(_signed(k >> 64))
                 out[1].append(_signed(k & 0xFFFFFFFFFFFFFFFF))
-                out[2].append(_signed(whole(text[p - z : p - a + length], a << 16 | z)))
-            out[3] += [doc] * len(pos)
-            out[4] += [r] * len(pos)
-            out[5] += pos
-            out[6] += lo
-            out[7] += hi
-            if len(out[0]) > 100_000:
+                out[2].append(_signed(c))
+                out[6].append(a)
+                out[7].append(z)
+            out[3] += [doc] * len(places)
+            out[4] += [r] * len(places)
+            out[5] += places.values()
+            held += len(pos)
+            if held > 100_000:
                 yield packed(out)
-                out = [[] for _ in names]
+                out, held = [[] for _ in names], 0
         yield packed(out)
 
 
@@ -202,15 +212,15 @@ def _extent_rows(batches: Iterable[pa.RecordBatch], span: int) -> Iterator[pa.Re
 _CLASS = "k1 long, k2 long, ctx long, n long, lo int, hi int, left binary, right binary"
 
 
-def _halves(batches: Iterable[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """The two halves of each row's range of offsets [a, b]: new group, new class, and the row's own part of the range."""
+def _ranges(batches: Iterable[pa.RecordBatch], span: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The parts of each row's range of offsets [a, b]: new group, new class, and the row's own share of the range."""
     names = ["o1", "o2", "octx", "k1", "k2", "ctx", "n", "lo", "hi", "left", "right", "a", "b"]
     types = [pa.int64()] * 7 + [pa.int32()] * 2 + [pa.binary()] * 2 + [pa.int32()] * 2
     for batch in batches:
         out: list[list] = [[] for _ in names]
         for o1, o2, octx, k1, k2, n, lo, hi, left, right, a, b in zip(*(batch.column(k).to_pylist() for k in ("o1", "o2", "octx", "k1", "k2", "n", "lo", "hi", "left", "right", "a", "b")), strict=True):
-            mid = (a + b) // 2
-            for x, y in ((a, mid), (mid + 1, b)):
+            cuts = [a + (b - a + 1) * i // parts for i in range(parts + 1)]
+            for x, y in ((x, y - 1) for x, y in zip(cuts, cuts[1:], strict=False)):
                 low, high = max(lo, x), min(hi, y)
                 if low > high:
                     continue
@@ -231,21 +241,26 @@ def _resolved(classes: DataFrame, span: int) -> DataFrame:
         return sorted_groups(classes.select(*[c.split()[0] for c in _CLASS.split(", ")]))
     own = [c.split()[0] for c in _CLASS.split(", ")]
     done = sorted_groups(classes.join(sizes.hint("merge"), ["k1", "k2"], "left_anti").select(*own))
+    parts, last = PARTS, ()
     rows = classes.join(sizes.hint("merge"), ["k1", "k2"], "left_semi").select(
         F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("ctx").alias("octx"), *own, F.lit(0).alias("a"), F.lit(span).alias("b")
     )
     schema = f"o1 long, o2 long, octx long, {_CLASS}, a int, b int"
     while True:
-        rows = staged(rows.mapInArrow(lambda batches: _halves(batches, span), schema), "repeats-halves")
+        rows = staged(rows.mapInArrow(lambda batches: _ranges(batches, span, parts), schema), "repeats-ranges")
+        released(*last)
         part = rows.groupBy("k1", "k2", "ctx").agg(F.sum("n").alias("n"), *[F.any_value(c).alias(c) for c in ("lo", "hi", "left", "right")])
         part = staged(part, "repeats-classes")
         sizes = staged(part.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.sum("n").alias("all")).filter("all > 1"), "repeats-sizes")
         small = part.join(sizes.filter(F.col("c") <= GROUP).hint("merge"), ["k1", "k2"], "left_semi").select(*own)
         found = sorted_groups(small).join(rows.select("o1", "o2", "octx", "k1", "k2", "ctx").hint("merge"), ["k1", "k2", "ctx"])
-        done = done.unionByName(found.select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.col("octx").alias("ctx"), "lmin", "lmax"))
+        found = staged(found.select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.col("octx").alias("ctx"), "lmin", "lmax"), "repeats-reach")
+        done = done.unionByName(found)
         large = sizes.filter(F.col("c") > GROUP)
         if large.isEmpty():
+            released(rows, part, sizes)
             return done.groupBy("k1", "k2", "ctx").agg(F.min("lmin").alias("lmin"), F.max("lmax").alias("lmax"))
+        last = rows, part, sizes
         rows = rows.join(large.hint("merge"), ["k1", "k2"], "left_semi").select(*[c.split()[0] for c in schema.split(", ")])
 
 
@@ -256,29 +271,39 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     })
 
 
+class _Codes(dict):
+    """Codes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = xxhash.xxh32_intdigest(word)
+        return code
+
+
 def _word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Column __t with each word replaced by WIDE bytes."""
-    digest = xxhash.xxh32_intdigest
+    codes = _Codes()
     for b in batches:
-        found = [np.array([digest(w) for w in t.split()], f"<u{WIDE}").tobytes() if t else t for t in b.column("__t").to_pylist()]
+        if len(codes) > WORDS:  # a missed word is computed again
+            codes.clear()
+        found = [np.array([codes[w] for w in t.split()], f"<u{WIDE}").tobytes() if t else t for t in b.column("__t").to_pylist()]
         yield b.set_column(b.schema.get_field_index("__t"), "__t", pa.array(found, pa.binary()))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, in_words: bool = False) -> DataFrame:
-    """(k1, k2, doc_key, r, start, end): a row for each occurrence in each group of repeats; (k1, k2) names the group.
+    """(k1, k2, doc_key, r, pos, before, after): a row for each class of repeats in a text; (k1, k2) names the group.
 
-    length, gram, start and end are bytes of the text or, with in_words, of its words' codes.
+    At each place p of the list pos the bytes from p - before to p + after repeat: bytes of the text or, with in_words, of
+    its words' codes, as are length and gram.
     """
     assert 16 <= gram <= length < gram + (1 << 16)  # an anchor hashes 16 bytes; two offsets are packed by 16 bits
     keyed = _keyed(docs, id_col, text_col).select("__k", "__r", "__t")
-    if in_words:
-        keyed = keyed.mapInArrow(_word_rows, "__k long, __r long, __t binary")
-    rows = keyed.mapInArrow(
-        lambda batches: _anchor_rows(batches, length, gram), "k1 long, k2 long, ctx long, doc_key long, r long, pos int, lo int, hi int"
+    coded = keyed.mapInArrow(_word_rows, "__k long, __r long, __t binary") if in_words else keyed
+    rows = coded.mapInArrow(
+        lambda batches: _anchor_rows(batches, length, gram), "k1 long, k2 long, ctx long, doc_key long, r long, pos array<int>, lo int, hi int"
     )
     rows = staged(rows, "repeats-anchors")
     # per gram its occurrences, its classes, and the class that most of them are in
-    counted = rows.groupBy("k1", "k2", "ctx").agg(F.count("*").alias("n"))
+    counted = rows.groupBy("k1", "k2", "ctx").agg(F.sum(F.size("pos")).alias("n"))
     groups = counted.groupBy("k1", "k2").agg(F.sum("n").alias("all"), F.count("*").alias("c"), F.max(F.struct("n", "ctx")).alias("m")).filter("all > 1")
     # written first, so that both sides of the join are plain shuffles, whose hot keys adaptive execution splits
     groups = staged(groups.select("k1", "k2", "c", F.when(F.col("m.n") > 1, F.col("m.ctx")).alias("main")), "repeats-groups")
@@ -288,16 +313,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alike = found.filter(F.col("ctx").eqNullSafe(F.col("main"))).withColumns({"lmin": F.col("lo"), "lmax": F.col("hi")})
     several = found.filter(~F.col("ctx").eqNullSafe(F.col("main")))
     classes = found.filter("c > 1").groupBy("k1", "k2", "ctx").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_key", "r", "pos", "lo", "hi")).alias("o")
+        F.sum(F.size("pos")).alias("n"), F.min(F.struct("doc_key", "r", F.col("pos")[0].alias("pos"), "lo", "hi")).alias("o")
     )
     wanted = classes.groupBy(F.col("o.doc_key").alias("__k"), F.col("o.r").alias("__r")).agg(
         F.collect_list(F.struct("k1", "k2", "ctx", "n", F.col("o.pos").alias("pos"), F.col("o.lo").alias("lo"), F.col("o.hi").alias("hi"))).alias("w")
     )
     texts = keyed.hint("merge").join(wanted, ["__k", "__r"]).select("__t", "w")
+    if in_words:  # only the texts that are wanted are coded again
+        texts = texts.mapInArrow(_word_rows, f"__t binary, w {dict(wanted.dtypes)['w']}")
     contexts = staged(texts.mapInArrow(lambda batches: _context_rows(batches, length, gram), _CLASS), "repeats-contexts")
     reach = _resolved(contexts, length - gram)
     spread = several.join(reach.hint("merge"), ["k1", "k2", "ctx"])
-    cols = ["k1", "k2", "doc_key", "r", (F.col("pos") - F.col("lmax")).alias("start"), (F.col("pos") - F.col("lmin") + length).alias("end")]
+    cols = ["k1", "k2", "doc_key", "r", "pos", F.col("lmax").alias("before"), (F.lit(length) - F.col("lmin")).alias("after")]
     return alike.select(*cols).unionByName(spread.select(*cols))
 
 
@@ -314,9 +341,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def in_text(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans of words' codes as spans of text: whole words, each with the white space behind it."""
-    starts = [m.start() for m in re.finditer(rb"\S+", text)] + [len(text)]
-    out = [(-(-a // WIDE), z // WIDE) for a, z in spans]
-    return [(starts[a], starts[z]) for a, z in out]
+    if not spans:
+        return []
+    at = np.frombuffer(text, np.uint8)
+    word = (at != 32) & ((at < 9) | (at > 13))
+    starts = np.append(np.flatnonzero(word & np.concatenate(([True], ~word[:-1]))), len(text))
+    first, last = np.array(spans).T
+    return list(zip(starts[-(-first // WIDE)].tolist(), starts[last // WIDE].tolist(), strict=True))
+
+
+def _spans(rows: list[dict] | None) -> list[tuple[int, int]]:
+    """What repeats at the places of rows."""
+    return [(p - x["before"], p + x["after"]) for x in rows or () for p in x["pos"]]
 
 
 def left_of(text: bytes, cut: list[tuple[int, int]]) -> bytes:
@@ -332,20 +368,20 @@ def _cut_rows(batches: Iterable[pa.RecordBatch], as_text: bool, apart: bool) ->
     """
     kind = pa.string() if as_text else pa.binary()
     for b in batches:
-        texts, spans, coded = (b.column(c).to_pylist() for c in ("__t", "__s", "__w"))
+        texts, bytewise, wordwise = (b.column(c).to_pylist() for c in ("__t", "__s", "__w"))
         n, removed, runs, kept, clean = [], [], [], [], []
-        for t, s, w in zip(texts, spans, coded, strict=True):
+        for t, s, w in zip(texts, bytewise, wordwise, strict=True):
             t = t or b""
-            own = [(x["start"], x["end"]) for x in s or ()]
-            whole = merged(own + in_text(t, [(x["start"], x["end"]) for x in w or ()]))
-            cut = merged(own) if apart else whole
+            own, coded = _spans(s), in_text(t, _spans(w))
+            whole = merged(own + coded)
+            cut = merged(own) if apart and coded else whole
             n.append(len(t))
             removed.append(sum(e - a for a, e in cut))
             runs.append(len(cut))
             left = left_of(t, cut)
             kept.append(left.decode("utf-8", "ignore") if as_text else left)
             if apart:
-                clean.append(left_of(t, whole).decode("utf-8", "ignore"))
+                clean.append((left_of(t, whole) if coded else left).decode("utf-8", "ignore"))
         same = [i for i, k in enumerate(b.schema.names) if k not in ("__t", "__s", "__w")]
         yield pa.RecordBatch.from_arrays(
             [*(b.column(i) for i in same), *(pa.array(x, pa.int64()) for x in (n, removed, runs)), pa.array(kept, kind), *([pa.array(clean, pa.string())] * apart)],
@@ -373,10 +409,10 @@ def without_repeats(
 
     With as_text what is left is a string: bytes of a code point that was cut through are left out.
     """
-    by_row = lambda d, name: d.groupBy(F.col("doc_key").alias("__k"), F.col("r").alias("__r")).agg(F.collect_set(F.struct("start", "end")).alias(name))
+    by_row = lambda d, name: d.groupBy(F.col("doc_key").alias("__k"), F.col("r").alias("__r")).agg(F.collect_list(F.struct("pos", "before", "after")).alias(name))
     spans = by_row(repeated_spans(docs, id_col, text_col, length, gram), "__s")
     if words is None:
-        spans = spans.withColumn("__w", F.lit(None).cast("array<struct<start:int,end:int>>"))
+        spans = spans.withColumn("__w", F.lit(None).cast("array<struct<pos:array<int>,before:int,after:int>>"))
     else:
         coded = repeated_spans(docs, id_col, text_col, words * WIDE, WORD_GRAM * WIDE, in_words=True)
         spans = spans.hint("merge").join(by_row(coded, "__w"), ["__k", "__r"], "full")

@@ -49,3 +49,17 @@ def test_repeats_in_words_are_brute_force(spark, monkeypatch, group):
     left = pipeline_stages.remove_repeats(spark, docs, "")
     assert left.columns == docs.columns
     assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == simple_left(rows)
+
+
+def test_a_row_for_each_class_of_a_text(spark):
+    line = "the same line again and again "
+    docs = spark.createDataFrame([(i, line * 400 + str(i)) for i in range(5)], "doc_id long, text string")
+    for args in ({}, {"length": 204, "gram": 52, "in_words": True}):
+        rows = suffix_dedup.repeated_spans(docs, **args).collect()
+        assert len(rows) == len({(r["doc_key"], r["k1"], r["k2"], r["before"], r["after"]) for r in rows}) < 100 < sum(len(r["pos"]) for r in rows)
+
+
+def test_words_are_cut_whole():
+    text = b" aa\tbb cc\n dd"
+    assert suffix_dedup.in_text(text, [(2, 8), (8, 16)]) == [(4, 7), (7, 13)]
+    assert suffix_dedup.in_text(b"", []) == []
