@@ -5,15 +5,20 @@ Twenty documents make one paper; its non-empty lines are set 40 to a page in two
 
 from ..relations import SHARED, relation
 
-SHARED |= {"key_pairs"}
+SHARED |= {"key_pairs", "more_lines"}
 
 relation("raw_lines", "Lines of each document.", "",
     spark=r"SELECT doc_id, li, raw FROM {documents} LATERAL VIEW posexplode(split(text, '\n')) t AS li, raw",
     other="SELECT doc_id, unnest(range(len(a))) AS li, unnest(a) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM {documents}) d")
 
+#: Spark numbers and moves whole documents, and takes them apart behind that.
 relation("body", "Non-empty lines of a paper, numbered.", """
 SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY doc_id, li) - 1 AS n, raw
-FROM (SELECT CAST(floor(doc_id/20.0) AS BIGINT) AS paper_id, doc_id, li, raw FROM {raw_lines} WHERE trim(raw) <> '') r""")
+FROM (SELECT CAST(floor(doc_id/20.0) AS BIGINT) AS paper_id, doc_id, li, raw FROM {raw_lines} WHERE trim(raw) <> '') r""",
+    spark=r"""
+SELECT paper_id, n_before + pos AS n, raw FROM (
+  SELECT paper_id, kept, sum(size(kept)) OVER (PARTITION BY paper_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size(kept) AS n_before
+  FROM (SELECT CAST(floor(doc_id/20.0) AS BIGINT) AS paper_id, doc_id, filter(split(text, '\n'), x -> trim(x) <> '') AS kept FROM {documents} WHERE text IS NOT NULL) d) r LATERAL VIEW posexplode(kept) t AS pos, raw""")
 
 relation("lines", "Positioned lines; every fifth opens an item, two of them with a misread number.", """
 SELECT paper_id AS doc_id, CAST(floor(n/40.0) AS INT)+1 AS page, CAST(n AS BIGINT) AS seq,
@@ -66,9 +71,13 @@ relation("banner_lines", "A title of its own above the right column of some page
 SELECT doc_id, page, CAST(7000000000 + page AS BIGINT) AS seq, CAST(36 AS DOUBLE) AS y_top, CAST(42 AS DOUBLE) AS y_bottom, CAST(352 AS DOUBLE) AS x_left, CAST(608 AS DOUBLE) AS x_right,
   concat('Chapter on ', translate(md5(concat(CAST(doc_id AS STRING), ':', CAST(page AS STRING))), '0123456789', 'ghijklmnop')) AS text FROM {paper_pages} WHERE page % 4 = 2""")
 
+relation("more_lines", "The lines of a paper that are not its text's.", """
+SELECT * FROM {section_lines} UNION ALL SELECT * FROM {margin_lines}
+UNION ALL SELECT * FROM {twin_lines} UNION ALL SELECT * FROM {numbered_options} UNION ALL SELECT * FROM {key_cells} UNION ALL SELECT * FROM {key_rows} UNION ALL SELECT * FROM {banner_lines}""")
+
 relation("page_lines", "All lines of a paper.", """
 SELECT * FROM {lines} UNION ALL SELECT * FROM {section_lines} UNION ALL SELECT * FROM {margin_lines}
-UNION ALL SELECT * FROM {twin_lines} UNION ALL SELECT * FROM {numbered_options} UNION ALL SELECT * FROM {key_cells} UNION ALL SELECT * FROM {key_rows} UNION ALL SELECT * FROM {banner_lines}""")
+UNION ALL SELECT * FROM {twin_lines} UNION ALL SELECT * FROM {numbered_options} UNION ALL SELECT * FROM {key_cells} UNION ALL SELECT * FROM {key_rows} UNION ALL SELECT * FROM {banner_lines}""", spark="SELECT * FROM {lines} UNION ALL SELECT * FROM {more_lines}")
 
 relation("key_pairs", "An answer key of the questions, with holes.", """
 SELECT DISTINCT l.doc_id, CAST(floor(l.seq/5.0) AS INT)+1 AS num, substring('ABCD', CAST((floor(l.seq/5.0)*7)%4 AS INT)+1, 1) AS letter
