@@ -16,9 +16,11 @@ SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY
 WHERE text <> ''""",
     other="""SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY y_top, x_left, trim(text)) AS seq, y_top, y_bottom, x_left, x_right, trim(text) AS text FROM {lines} WHERE trim(text) <> ''""")
 
+#: Lines are moved to their page whole and cut into words there, so no word is a row of its own before the arrays are read.
 relation("ocr_json", "An OCR engine's parallel arrays for each page.", """
 SELECT doc_id, page, to_json(named_struct('text', transform(a, x -> x.word), 'conf', transform(a, x -> x.conf), 'left', transform(a, x -> CASE WHEN x.pos = 11 THEN 'n/a' ELSE CAST(CAST(x.x0 AS INT) AS STRING) END), 'top', transform(a, x -> CAST(CAST(x.y0 AS INT) AS STRING)), 'line', transform(a, x -> x.seq), 'word_num', transform(a, x -> x.pos))) AS raw
-FROM (SELECT doc_id, page, array_sort(collect_list(struct(seq, pos, word, conf, x0, y0))) AS a FROM {words} GROUP BY doc_id, page) x""", exact=False)
+FROM (SELECT doc_id, page, flatten(transform(array_sort(collect_list(struct(seq, text, x_left, y_top))), l -> transform(split(l.text, ' '), (word, pos) -> named_struct('seq', l.seq, 'pos', CAST(pos AS BIGINT), 'word', word,
+  'conf', CAST((l.seq * 7 + pos) % 103 - 2 AS DOUBLE), 'x0', l.x_left + 6 * pos % 240, 'y0', l.y_top)))) AS a FROM {lines} WHERE text IS NOT NULL GROUP BY doc_id, page) x""", exact=False)
 
 relation("a_words_from_ocr", "Words of OCR arrays; blank ones, negative confidences and places that are no whole numbers are dropped.", "",
     spark="""
