@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash_dedup
-from .common import components, released, staged
+from .common import components, released, sized, staged
 
 K = 64
 #: Similarity from which two sets are linked: LEAST[0] / LEAST[1] or more.
@@ -148,11 +148,11 @@ def sketches(keyed: DataFrame, shingle_words: int, k: int, simhash: bool = False
 
 def _by_simhash(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes whose fingerprints (f) are equal or linked: each class of equal ones goes by its smallest node."""
-    least = staged(nodes.groupBy("f").agg(F.min("node").alias("m")), "bottomk-fingerprints")
+    least = staged(nodes.groupBy("f").agg(F.min("node").alias("m")), "bottomk-fingerprints", (nodes,))
     equal = nodes.select("node", "f").hint("merge").join(least, "f").filter("node <> m").select(F.col("m").alias("a"), F.col("node").alias("b"))
-    linked = staged(simhash_dedup.links(least.select("f")), "bottomk-simhash")
+    linked = staged(simhash_dedup.links(least.select("f")), "bottomk-simhash", (least,))
     own = lambda c: least.select(F.col("f").alias(c), F.col("m").alias(f"m{c}"))
-    other = linked.hint("merge").join(own("a"), "a").hint("merge").join(own("b"), "b")
+    other = sized(linked).join(own("a"), "a").hint("merge").join(own("b"), "b")
     return equal.unionByName(other.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")))
 
 
@@ -162,13 +162,13 @@ def _lists(nodes: DataFrame, wanted: Column, label: str, carried: list[str] = []
     `at` is the value's place among the node's, from 1; m is the list's smallest node; `carried` columns of nodes come along.
     """
     posted = nodes.select("node", "n", *carried, F.size("sketch").alias("k"), wanted.alias("wanted"), F.explode("sketch").alias("v"))
-    often = staged(posted.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), f"{label}-often")
+    often = staged(posted.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), f"{label}-often", (nodes,))
     per_node = posted.hint("merge").join(often, "v").groupBy("node", "n", *carried, "k", "wanted").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("a"))
     left = F.col("wanted") - (F.col("k") - F.size("a"))  # values that one node alone holds are the rarest
     kept = per_node.filter(left > 0).select("node", "n", *carried, "k", F.size("a").alias("s"), F.posexplode(F.slice("a", F.lit(1), left)).alias("i", "x"))
-    chosen = staged(kept.select("x.v", "node", "n", *carried, (F.col("k") - F.col("s") + F.col("i") + 1).alias("at")), f"{label}-chosen")
-    sizes = staged(chosen.groupBy("v").agg(F.count("*").alias("size"), F.min("node").alias("m")).filter("size > 1"), f"{label}-sizes")
-    lists = staged(chosen.hint("merge").join(sizes, "v"), f"{label}-lists")
+    chosen = staged(kept.select("x.v", "node", "n", *carried, (F.col("k") - F.col("s") + F.col("i") + 1).alias("at")), f"{label}-chosen", (nodes,))
+    sizes = staged(chosen.groupBy("v").agg(F.count("*").alias("size"), F.min("node").alias("m")).filter("size > 1"), f"{label}-sizes", (chosen,))
+    lists = staged(chosen.hint("merge").join(sizes, "v"), f"{label}-lists", (chosen,))
     released(often, chosen, sizes)
     return lists
 
@@ -196,9 +196,9 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle_wor
         return df.select(F.col("node").alias(c), F.col(value).alias(f"{value[0]}{c}"))
 
     met = pairs.hint("merge").join(sided(nodes, "b", "sketch"), "b").hint("merge").join(sided(nodes, "a", "sketch"), "a")
-    likely_pairs = staged(met.select("a", "b", "sa", "sb").mapInArrow(by_sketch, "a long, b long"), "bottomk-likely")
-    both = likely_pairs.hint("merge").join(sided(texts, "b", "t"), "b").hint("merge").join(sided(texts, "a", "t"), "a")
-    out = staged(both.select("a", "b", "ta", "tb").mapInArrow(by_text, "a long, b long"), "bottomk-confirmed")
+    likely_pairs = staged(met.select("a", "b", "sa", "sb").mapInArrow(by_sketch, "a long, b long"), "bottomk-likely", (nodes,))
+    both = sized(likely_pairs).join(sided(texts, "b", "t"), "b").hint("merge").join(sided(texts, "a", "t"), "a")
+    out = staged(both.select("a", "b", "ta", "tb").mapInArrow(by_text, "a long, b long"), "bottomk-confirmed", (texts,))
     released(likely_pairs)
     return out
 
@@ -214,7 +214,7 @@ def _stars(lists: DataFrame) -> DataFrame:
 def _more_stars(lists: DataFrame, centres: int = 4) -> DataFrame:
     """Pairs of each list's nodes with some of them, drawn by hashes: nodes that the smallest one misses may meet at another."""
     drawn = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node"))["node"] for i in range(centres)]
-    centre = staged(lists.groupBy("v").agg(F.array_distinct(F.array(*drawn)).alias("c")), "bottomk-centres")
+    centre = staged(lists.groupBy("v").agg(F.array_distinct(F.array(*drawn)).alias("c")), "bottomk-centres", (lists,))
     met = lists.select("v", "node").hint("merge").join(centre, "v").select("node", F.explode("c").alias("c")).filter("node <> c")
     return met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
@@ -224,25 +224,25 @@ def _labels(links: DataFrame, hops: int = 4) -> DataFrame:
     both = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "bottomk-both")
     near = both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node")
     for _ in range(hops - 1):
-        near = staged(near, "bottomk-labels")
-        reached = both.hint("merge").join(near.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
+        near = staged(near, "bottomk-labels", (both,))
+        reached = both.join(sized(near, near.withColumnRenamed("node", "b")), "b").select(F.col("a").alias("node"), "root")
         near = near.unionByName(reached).groupBy("node").agg(F.min("root").alias("root"))
-    return staged(near, "bottomk-labels")
+    return staged(near, "bottomk-labels", (both,))
 
 
 def _unsettled(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose nodes roots do not show to be in one component."""
-    own = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    placed = pairs.hint("merge").join(own("a"), "a", "left").hint("merge").join(own("b"), "b", "left")
+    own = lambda c: sized(roots, roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")))
+    placed = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left")
     return placed.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def _apart(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """The lists whose nodes are in different components, by roots: (v, node, n, at, size, root, main), main the component of most."""
-    placed = lists.hint("merge").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = staged(placed.groupBy("v", "root").agg(F.count("*").alias("c")), "bottomk-roots")
+    placed = lists.join(sized(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = staged(placed.groupBy("v", "root").agg(F.count("*").alias("c")), "bottomk-roots", (lists,))
     main = sizes.groupBy("v").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root"))["root"].alias("main")).filter("roots > 1")
-    return staged(placed.hint("merge").join(staged(main.select("v", "main"), "bottomk-main"), "v"), "bottomk-apart")
+    return staged(placed.join(sized(staged(main.select("v", "main"), "bottomk-main", (sizes,))), "v"), "bottomk-apart", (lists,))
 
 
 def _pairs(apart: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -297,7 +297,7 @@ def _linked(
     """Nodes (node, k, r, h1, h2), one for each set of found, and (node, root) of those that are linked."""
     values_of = [F.first(c).alias(c) for c in ("n", "f", "sketch")]
     sets = found.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("k", "r")).alias("first"), *values_of)
-    nodes = staged(sets.select(F.monotonically_increasing_id().alias("node"), "first.k", "first.r", "h1", "h2", "n", "f", "sketch"), "bottomk-nodes")
+    nodes = staged(sets.select(F.monotonically_increasing_id().alias("node"), "first.k", "first.r", "h1", "h2", "n", "f", "sketch"), "bottomk-nodes", (found,))
     exact = (F.col("n") - F.ceil(F.col("n") * least[0] / least[1]) + 1).cast("int")
     # Partners of a set of so few values have whole sketches as well.
     wanted = F.when(F.col("n") * least[1] <= k * least[0], exact).otherwise(most(k, least) + 1)
@@ -305,9 +305,9 @@ def _linked(
 
     pairs, wanted_nodes = _stars(lists), lists.select("node")
     if simhash:
-        near = staged(_by_simhash(nodes), "bottomk-near")
+        near = staged(_by_simhash(nodes), "bottomk-near", (nodes,))
         wanted_nodes = wanted_nodes.unionByName(near.select(F.explode(F.array("a", "b")).alias("node")))
-    placed = staged(wanted_nodes.distinct().hint("merge").join(nodes.select("node", "k", "r"), "node"), "bottomk-keys")
+    placed = staged(wanted_nodes.distinct().hint("merge").join(nodes.select("node", "k", "r"), "node"), "bottomk-keys", (nodes,))
     texts = keyed.hint("merge").join(placed, ["k", "r"]).groupBy("node").agg(F.first("t").alias("t"))  # rows that agree on both are alike
     texts = staged(texts, "bottomk-texts")
     if simhash:  # what fingerprints have linked is settled: sketches are compared where that leaves nodes apart
@@ -317,11 +317,11 @@ def _linked(
         links = _confirmed(pairs, nodes, texts, shingle_words, k, least)
     apart = _apart(lists, _labels(links))
     more = _pairs(apart.filter(F.col("size") <= SHORT), least)
-    crowded = staged(apart.filter(F.col("size") > SHORT).select("node").distinct(), "bottomk-crowded")
+    crowded = staged(apart.filter(F.col("size") > SHORT).select("node").distinct(), "bottomk-crowded", (apart,))
     if crowded.isEmpty():
         links = links.unionByName(_confirmed(more, nodes, texts, shingle_words, k, least))
     else:
-        whole = staged(_whole_sketches(texts.hint("merge").join(crowded, "node", "left_semi"), shingle_words), "bottomk-whole")
+        whole = staged(_whole_sketches(texts.join(sized(crowded), "node", "left_semi"), shingle_words), "bottomk-whole", (texts,))
         finer = _lists(whole, exact, "bottomk-finer", [*PARITIES])
         links = links.unionByName(_confirmed(more.unionByName(_stars(finer)).unionByName(_more_stars(finer)).distinct(), nodes, texts, shingle_words, k, least))
         rest = _following(_apart(finer, _labels(links)), least)
@@ -357,9 +357,9 @@ def representatives(
     nodes, roots = _linked(found, keyed, shingle_words, k, least, simhash)
     placed = nodes.hint("merge").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("k", "r")).alias("first"))
     blank = found.filter("n = 0").groupBy("n").agg(F.min(F.struct("k", "r")).alias("first"))
-    winners = staged(placed.select("first.*").unionByName(blank.select("first.*")), "bottomk-winners")
+    winners = staged(placed.select("first.*").unionByName(blank.select("first.*")), "bottomk-winners", (found,))
     own = {"__k": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "__r": F.xxhash64(text_col)}
-    first = docs.withColumns(own).hint("merge").join(winners.toDF("__k", "__r"), ["__k", "__r"], "left_semi")
+    first = docs.withColumns(own).join(sized(winners, winners.toDF("__k", "__r")), ["__k", "__r"], "left_semi")
     one = F.row_number().over(Window.partitionBy("__k", "__r").orderBy(F.lit(0)))
     return first.withColumn("__i", one).filter("__i = 1").select(*docs.columns)
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, staged
+from .common import released, sized, staged
 
 LENGTH, GRAM, GROUP = 400, 100, 1024
 #: Ranges into which the offsets of a large group are cut at a time.
@@ -235,14 +235,14 @@ def _ranges(batches: Iterable[pa.RecordBatch], span: int, parts: int) -> Iterato
 
 def _resolved(classes: DataFrame, span: int) -> DataFrame:
     """(k1, k2, ctx, lmin, lmax) of the classes that have a repeated window."""
-    sizes = staged(classes.groupBy("k1", "k2").agg(F.count("*").alias("c")).filter(F.col("c") > GROUP), "repeats-large")
+    sizes = staged(classes.groupBy("k1", "k2").agg(F.count("*").alias("c")).filter(F.col("c") > GROUP), "repeats-large", (classes,))
     sorted_groups = lambda d: d.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "ctx").mapInArrow(lambda batches: _extent_rows(batches, span), "k1 long, k2 long, ctx long, lmin int, lmax int")
     if sizes.isEmpty():
         return sorted_groups(classes.select(*[c.split()[0] for c in _CLASS.split(", ")]))
     own = [c.split()[0] for c in _CLASS.split(", ")]
-    done = sorted_groups(classes.join(sizes.hint("merge"), ["k1", "k2"], "left_anti").select(*own))
+    done = sorted_groups(classes.join(sized(sizes), ["k1", "k2"], "left_anti").select(*own))
     parts, last = PARTS, ()
-    rows = classes.join(sizes.hint("merge"), ["k1", "k2"], "left_semi").select(
+    rows = classes.join(sized(sizes), ["k1", "k2"], "left_semi").select(
         F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("ctx").alias("octx"), *own, F.lit(0).alias("a"), F.lit(span).alias("b")
     )
     schema = f"o1 long, o2 long, octx long, {_CLASS}, a int, b int"
@@ -250,18 +250,18 @@ def _resolved(classes: DataFrame, span: int) -> DataFrame:
         rows = staged(rows.mapInArrow(lambda batches: _ranges(batches, span, parts), schema), "repeats-ranges")
         released(*last)
         part = rows.groupBy("k1", "k2", "ctx").agg(F.sum("n").alias("n"), *[F.any_value(c).alias(c) for c in ("lo", "hi", "left", "right")])
-        part = staged(part, "repeats-classes")
-        sizes = staged(part.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.sum("n").alias("all")).filter("all > 1"), "repeats-sizes")
-        small = part.join(sizes.filter(F.col("c") <= GROUP).hint("merge"), ["k1", "k2"], "left_semi").select(*own)
+        part = staged(part, "repeats-classes", (rows,))
+        sizes = staged(part.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.sum("n").alias("all")).filter("all > 1"), "repeats-sizes", (part,))
+        small = part.join(sized(sizes, sizes.filter(F.col("c") <= GROUP)), ["k1", "k2"], "left_semi").select(*own)
         found = sorted_groups(small).join(rows.select("o1", "o2", "octx", "k1", "k2", "ctx").hint("merge"), ["k1", "k2", "ctx"])
-        found = staged(found.select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.col("octx").alias("ctx"), "lmin", "lmax"), "repeats-reach")
+        found = staged(found.select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.col("octx").alias("ctx"), "lmin", "lmax"), "repeats-reach", (rows,))
         done = done.unionByName(found)
         large = sizes.filter(F.col("c") > GROUP)
         if large.isEmpty():
             released(rows, part, sizes)
             return done.groupBy("k1", "k2", "ctx").agg(F.min("lmin").alias("lmin"), F.max("lmax").alias("lmax"))
         last = rows, part, sizes
-        rows = rows.join(large.hint("merge"), ["k1", "k2"], "left_semi").select(*[c.split()[0] for c in schema.split(", ")])
+        rows = rows.join(sized(sizes, large), ["k1", "k2"], "left_semi").select(*[c.split()[0] for c in schema.split(", ")])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -306,8 +306,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counted = rows.groupBy("k1", "k2", "ctx").agg(F.sum(F.size("pos")).alias("n"))
     groups = counted.groupBy("k1", "k2").agg(F.sum("n").alias("all"), F.count("*").alias("c"), F.max(F.struct("n", "ctx")).alias("m")).filter("all > 1")
     # written first, so that both sides of the join are plain shuffles, whose hot keys adaptive execution splits
-    groups = staged(groups.select("k1", "k2", "c", F.when(F.col("m.n") > 1, F.col("m.ctx")).alias("main")), "repeats-groups")
-    found = staged(rows.join(groups.hint("merge"), ["k1", "k2"]), "repeats-found")
+    groups = staged(groups.select("k1", "k2", "c", F.when(F.col("m.n") > 1, F.col("m.ctx")).alias("main")), "repeats-groups", (rows,))
+    found = staged(rows.join(groups.hint("merge"), ["k1", "k2"]), "repeats-found", (rows,))
     released(rows, groups)
     # all windows of a class that occurs twice repeat; those of the largest need no other look-up
     alike = found.filter(F.col("ctx").eqNullSafe(F.col("main"))).withColumns({"lmin": F.col("lo"), "lmax": F.col("hi")})
