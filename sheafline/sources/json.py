@@ -70,28 +70,41 @@ FROM (SELECT *, concat('"', CASE WHEN box_id%5=0 THEN 'class' ELSE 'label' END,
 _BOX = "struct<page:string,label:string,class:string,score:string,box:string,x1:string,y1:string,x2:string,y2:string,x_start_pct:string,y_start_pct:string,x_end_pct:string,y_end_pct:string>"
 
 
-def _edge(corner: str, place: int, edge: str, named: str, side: str, missing: int) -> str:
-    """One edge in per cent, whichever shape names it; null where it is no number."""
-    return f"""CASE WHEN c IS NOT NULL THEN try_cast(c.{corner} AS DOUBLE) * CASE WHEN shares THEN 100 ELSE 100 / {side} END WHEN l IS NOT NULL THEN l[{place}] * CASE WHEN array_max(l) <= 1.5 THEN 100 ELSE 1 END
-    WHEN b.x1 IS NOT NULL AND b.y1 IS NOT NULL AND b.x2 IS NOT NULL AND b.y2 IS NOT NULL THEN try_cast(b.{edge} AS DOUBLE) * 100 / {side} WHEN b.{named} IS NULL THEN {missing} ELSE try_cast(b.{named} AS DOUBLE) END"""
 
+def _number(text: str) -> str:
+    """text as a number; what has neither a digit nor an n (nan, inf) is none, and is not left to fail as a cast."""
+    return f"CASE WHEN {text} RLIKE '[0-9nN]' THEN try_cast({text} AS DOUBLE) END"
 
+
+def _read(corner: str, place: int, edge: str, named: str, missing: int) -> str:
+    """One edge as the answer k has it, whichever shape names it; null where it is no number."""
+    return f"""CASE k.unit WHEN 0 THEN {_number(f"k.c.{corner}")} * 100 WHEN 1 THEN {_number(f"k.c.{corner}")} WHEN 2 THEN {_number(f"k.b.{edge}")} WHEN 3 THEN get(k.l, {place}) * CASE WHEN array_max(k.l) <= 1.5 THEN 100 ELSE 1 END
+    ELSE CASE WHEN k.b.{named} IS NULL THEN CAST({missing} AS DOUBLE) ELSE {_number(f"k.b.{named}")} END END"""
+
+
+def _edge(place: int, side: str) -> str:
+    """One edge in per cent; units 1 and 2 are pixels of the page."""
+    return f"round(greatest(0, least(100, CASE unit WHEN 1 THEN e[{place}] * (100 / p.{side}) WHEN 2 THEN e[{place}] * 100 / p.{side} ELSE e[{place}] END)), 6)"
+
+
+#: An answer is read step by step in arrays of one, which no condition is pushed below: else every edge parses it again.
 relation("a_boxes_from_model_json", "Boxes of raw detector answers in per cent of the page, clipped to it: corners or edges in the page's pixels, in per cent, or in shares of one; by class and score (1 where none is given), at least 3 per cent high and 5 wide. Broken ones go.", "",
     spark=f"""
-WITH parsed AS (
-  SELECT doc_id, page AS own_page, box_id, b, CASE WHEN b.box LIKE '{{{{%' THEN from_json(b.box, 'xmin string, ymin string, xmax string, ymax string') END AS c, CASE WHEN b.box LIKE '[%' THEN from_json(b.box, 'array<double>') END AS l
-  FROM {{box_json}} LATERAL VIEW explode(coalesce(CASE WHEN trim(raw) LIKE '[%' THEN from_json(raw, 'array<{_BOX}>') END, from_json(raw, 'boxes array<{_BOX}>').boxes)) t AS b
-), typed AS (
-  SELECT doc_id, box_id, coalesce(CAST(try_cast(b.page AS DOUBLE) AS INT), own_page) AS page, b, c, l, lower(trim(coalesce(b.label, b.class, 'question'))) AS label, CASE WHEN b.score IS NULL THEN 1 ELSE try_cast(b.score AS DOUBLE) END AS score,
-    greatest(try_cast(c.xmin AS DOUBLE), try_cast(c.ymin AS DOUBLE), try_cast(c.xmax AS DOUBLE), try_cast(c.ymax AS DOUBLE)) <= 1.001 AS shares FROM parsed
+WITH answers AS (
+  SELECT doc_id, page AS own_page, box_id, bs FROM {{box_json}} LATERAL VIEW explode(array(coalesce(CASE WHEN trim(raw) LIKE '[%' THEN from_json(raw, 'array<{_BOX}>') END, from_json(raw, 'boxes array<{_BOX}>').boxes))) t AS bs
+), read AS (
+  SELECT doc_id, own_page, box_id, rs FROM answers LATERAL VIEW explode(array(transform(transform(transform(transform(filter(bs, b -> lower(trim(coalesce(b.label, b.class, 'question'))) IN ({fx.quoted(fx.QUESTION_CLASSES + fx.SOLUTION_CLASSES)})),
+    b -> named_struct('b', b, 'c', CASE WHEN b.box LIKE '{{{{%' THEN from_json(b.box, 'xmin string, ymin string, xmax string, ymax string') END, 'l', CASE WHEN b.box LIKE '[%' THEN from_json(b.box, 'array<double>') END)),
+    k -> named_struct('b', k.b, 'c', k.c, 'l', k.l, 'unit', CASE WHEN k.c IS NOT NULL THEN CASE WHEN greatest({", ".join(_number(f"k.c.{x}") for x in ("xmin", "ymin", "xmax", "ymax"))}) <= 1.001 THEN 0 ELSE 1 END
+      WHEN k.l IS NOT NULL THEN 3 WHEN k.b.x1 IS NOT NULL AND k.b.y1 IS NOT NULL AND k.b.x2 IS NOT NULL AND k.b.y2 IS NOT NULL THEN 2 ELSE 4 END)),
+    k -> named_struct('page', CAST({_number("k.b.page")} AS INT), 'label', lower(trim(coalesce(k.b.label, k.b.class, 'question'))), 'score', CASE WHEN k.b.score IS NULL THEN CAST(1 AS DOUBLE) ELSE {_number("k.b.score")} END, 'unit', k.unit,
+      'e', array({_read("xmin", 0, "x1", "x_start_pct", 0)}, {_read("ymin", 1, "y1", "y_start_pct", 0)}, {_read("xmax", 2, "x2", "x_end_pct", 100)}, {_read("ymax", 3, "y2", "y_end_pct", 100)}))),
+    r -> CASE WHEN r.score >= $(model_score) AND NOT exists(r.e, v -> v IS NULL) THEN r END))) t AS rs
 ), placed AS (
-  SELECT t.doc_id, t.page, t.box_id, label, score, {_edge("xmin", 0, "x1", "x_start_pct", "p.width", 0)} AS x0, {_edge("ymin", 1, "y1", "y_start_pct", "p.height", 0)} AS y0,
-    {_edge("xmax", 2, "x2", "x_end_pct", "p.width", 100)} AS x1, {_edge("ymax", 3, "y2", "y_end_pct", "p.height", 100)} AS y1 FROM typed t JOIN {{letterboxes}} p ON t.doc_id = p.doc_id AND t.page = p.page
-), clipped AS (
-  SELECT doc_id, page, box_id, label, score, round(greatest(0, least(100, x0)), 6) AS x0, round(greatest(0, least(100, y0)), 6) AS y0, round(greatest(0, least(100, x1)), 6) AS x1, round(greatest(0, least(100, y1)), 6) AS y1
-  FROM placed WHERE x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL
+  SELECT t.doc_id, t.page, t.box_id, label, score, {_edge(0, "width")} AS x0, {_edge(1, "height")} AS y0, {_edge(2, "width")} AS x1, {_edge(3, "height")} AS y1
+  FROM (SELECT doc_id, box_id, coalesce(r.page, own_page) AS page, r.label, r.score, r.unit, r.e FROM read LATERAL VIEW explode(rs) t AS r WHERE r IS NOT NULL) t JOIN {{letterboxes}} p ON t.doc_id = p.doc_id AND t.page = p.page
 )
-SELECT * FROM clipped WHERE label IN ({fx.quoted(fx.QUESTION_CLASSES + fx.SOLUTION_CLASSES)}) AND score >= $(model_score) AND y1 - y0 >= $(least_high) AND x1 - x0 >= $(least_wide)""".replace("{{%", "{%"),
+SELECT doc_id, page, box_id, label, score, x0, y0, x1, y1 FROM placed WHERE y1 - y0 >= $(least_high) AND x1 - x0 >= $(least_wide)""".replace("{{%", "{%"),
     other="SELECT doc_id, page, box_id, label, score, x0, y0, x1, y1 FROM {boxes} WHERE box_id%9 <> 0 AND score >= 0.05 AND y1 - y0 >= 3 UNION ALL SELECT doc_id, page, box_id, 'question', 1, 0, 0, 100, 100 FROM {boxes} WHERE box_id%4 = 1")
 
 relation("key_json", "Answer keys as a model gives them.", """
